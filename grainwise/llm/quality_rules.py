@@ -63,7 +63,7 @@ def _repeat_words(words: Column) -> Column:
         F.sequence(F.lit(0), F.size(words) - 3),
         lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
     )
-    return F.when(F.size(words) >= 4, let(F.array_sort(windows), covered)).otherwise(0).cast("long")
+    return F.when(F.size(words) >= 4, let(F.sort_array(windows), covered)).otherwise(0).cast("long")
 
 
 def measures(text: Column) -> Column:
