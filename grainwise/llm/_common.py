@@ -104,12 +104,12 @@ def text_steps(column: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple
         lo = hi
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word; space tells which bytes are between words."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~_IS_SPACE[data]
+    inside = ~space[data]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     after = np.empty_like(inside)

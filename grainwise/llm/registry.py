@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, sharding, simhash, token_output
+from . import decontamination, mixing, quality_classifier, quality_rules, sharding, simhash, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (simhash.op3_simhash, token_output.op4_token_output, sharding.op5_shards, mixing.op6_mix_sources, quality_rules.op7_quality_rules)
+    found = (
+        simhash.op3_simhash,
+        token_output.op4_token_output,
+        sharding.op5_shards,
+        mixing.op6_mix_sources,
+        quality_rules.op7_quality_rules,
+        quality_classifier.op9_quality_classifier,
+        decontamination.op10_decontamination,
+    )
     return {f.__name__: f for f in found}
 
 
