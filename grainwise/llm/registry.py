@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality_classifier, quality_rules, sharding, simhash, token_output
+from . import decontamination, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        substring_dedup.op1_substring_dedup,
         simhash.op3_simhash,
         token_output.op4_token_output,
         sharding.op5_shards,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
+    return {"op1_substring_dedup": substring_dedup.SQL, "op6_mix_sources": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
