@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, token_output
+from . import decontamination, lm_scoring, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         substring_dedup.op1_substring_dedup,
+        lm_scoring.op2_lm_scoring,
         simhash.op3_simhash,
         token_output.op4_token_output,
         sharding.op5_shards,
