@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lm_scoring, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, token_output
+from . import decontamination, lm_scoring, mixing, pii, quality_classifier, quality_rules, sharding, simhash, substring_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sharding.op5_shards,
         mixing.op6_mix_sources,
         quality_rules.op7_quality_rules,
+        pii.op8_pii,
         quality_classifier.op9_quality_classifier,
         decontamination.op10_decontamination,
     )
