@@ -1,4 +1,4 @@
 """The queries of the library over the given tables, and the same in SQL."""
 
-from . import rows  # noqa: F401
+from . import periods, rows  # noqa: F401
 from ._base import QUERIES, SQL  # noqa: F401
