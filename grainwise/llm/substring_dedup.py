@@ -107,7 +107,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     rows = docs.select("k", "text")
     seeds = rows.mapInArrow(_seed(length, anchor), "k long, at long, anchor long, span long")
     met = seeds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).filter("n > 1")
-    found = staged(seeds.join(met.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor").select("k", "at", "anchor", "span", "alike"), "repeat-seeds")
+    # Written, so that the join has an exchange on either side and Spark can split an anchor that very many documents share.
+    met = staged(met.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "repeat-anchors")
+    found = staged(seeds.join(met, "anchor").select("k", "at", "anchor", "span", "alike"), "repeat-seeds")
     full = found.filter("alike").select("k", "at")
     other = found.filter("not alike")
     kinds = staged(other.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("k", "at")).alias("one")), "repeat-spans")
