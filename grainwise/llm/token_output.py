@@ -7,8 +7,9 @@ the id's rank by frequency over all documents, so common ids take one byte. `ran
 most one row for each id of the vocabulary, and `parts` the first position of each part.
 Decoding looks the four lengths of each control byte up in a table of 256 rows and gathers the ids with numpy.
 
-A text is cut before spaces that follow a non-space, where no token of a byte-level BPE with this kind of
-pre-tokeniser can cross; each distinct piece is encoded once by the tokenizers library and kept in a bounded cache.
+A text is cut before spaces that follow a character other than white space, where no token of a byte-level BPE can cross;
+pieces are told apart by 64-bit hashes, and each distinct piece is encoded by the tokenizers library and kept in a bounded
+cache.
 
 Defined cases: a null text is empty; an empty text has the end id alone; repeated rows and ids are written in order of
 their ids, then their bytes; null ids come first; an empty table gives an empty result; extra columns are left alone.
@@ -16,9 +17,10 @@ their ids, then their bytes; null ids come first; an empty table gives an empty
 
 from __future__ import annotations
 
-import re
-import zlib
+import os
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import new_path, staged
+from ._common import hash_words, new_path, staged, text_steps
 
 #: Ids handled in one numpy step.
 STEP_IDS = 1 << 19
-CACHE_PIECES = 300_000
-CACHE_PIECE_CHARS = 40
+CACHE_PIECES = 600_000
+CACHE_PIECE_BYTES = 40
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _GROUP_BYTES = _LENGTHS.sum(1)
@@ -68,85 +70,115 @@ def decode_ranks(control: bytes, data: bytes) -> np.ndarray:
     return value & _MASKS[_LENGTHS[c].ravel() - 1]
 
 
-_cuts = re.compile(r"(?<=[^\s᠎])(?= )")
-_odd = re.compile(r"[\s᠎] |^ ")
-_tokenizers: dict[str, tuple] = {}
+_encoders: dict[str, Encoder] = {}
 
+# A byte-level vocabulary writes each byte as a letter: printable ones as themselves, the others from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: 256 + n for n, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
+_SPACE = chr(_LETTERS[32])
 
-def _encoder(path: str):
-    """The tokenizer and its caches of pieces at a text's start and after a space; one for each worker process."""
-    if path not in _tokenizers:
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, first): a text is cut before each space after a character that is not white space; first: each text's first piece."""
+    cut = data == 32
+    if len(data):
+        before = np.concatenate([[np.uint8(0)], data[:-1]])
+        cut &= before > 32
+        # After the last byte of white space outside ASCII (U+0085, U+00A0, U+1680 to U+3000) nothing is cut; it may spare more.
+        two, three = np.concatenate([np.zeros(2, np.uint8), data[:-2]]), np.concatenate([np.zeros(3, np.uint8), data[:-3]])
+        cut &= ~((two == 0xC2) & ((before == 0x85) | (before == 0xA0)))
+        cut &= ~((three >= 0xE1) & (three <= 0xE3) & (two >= 0x80) & (two <= 0xA0) & (before >= 0x80))
+    full = offsets[:-1][offsets[1:] > offsets[:-1]]
+    cut[full] = True
+    starts = np.flatnonzero(cut)
+    return starts, np.searchsorted(starts, offsets)
+
+
+class Encoder:
+    """A tokenizer with its caches of pieces and words; one for each worker process."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {}, {})
-    return _tokenizers[path]
-
-
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
-    tokenizer, whole, spaced = _encoder(path)
-    split = []
-    for text in texts:
-        if _odd.search(text):
-            split.append((_cuts.split(text), None))
-        else:
-            head, *rest = text.split(" ")
-            split.append(([head], rest))
-    new_whole = {p for first, _ in split for p in first if p not in whole}
-    new_spaced = {p for _, rest in split if rest for p in rest if p not in spaced}
-    long_ones = ({}, {})
-    for new, cache, extra, lead in ((new_whole, whole, long_ones[0], ""), (new_spaced, spaced, long_ones[1], " ")):
-        if len(cache) > CACHE_PIECES:
-            # Pieces of this batch that were cached must stay known for it.
-            new |= {p for first, rest in split for p in (first if not lead else rest or ())}
-            cache.clear()
-        pieces = list(new)
-        for lo in range(0, len(pieces), 20_000):
-            some = pieces[lo : lo + 20_000]
-            for piece, e in zip(some, tokenizer.encode_batch_fast([lead + p for p in some], add_special_tokens=False)):
-                (cache if len(piece) <= CACHE_PIECE_CHARS else extra)[piece] = np.array(e.ids, "<u4").tobytes()
-    out = []
-    for first, rest in split:
-        a = [whole[p] if p in whole else long_ones[0][p] for p in first]
-        if rest:
-            try:
-                a += map(spaced.__getitem__, rest)
-            except KeyError:
-                a = a[: len(first)] + [spaced[p] if p in spaced else long_ones[1][p] for p in rest]
-        out.append(b"".join(a))
-    return out
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"  # 16 or 32 bits
+        self.known: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _pieces(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces. A space and letters, and stops and commas after them, are units of a byte-level BPE; other pieces are encoded whole."""
+        out, others, words, model = {}, [], self.words, self.tokenizer.model
+        for piece in new:
+            text = piece.decode()
+            word = text[1:].rstrip(".,")
+            if text[:1] != " " or not word.isalpha():
+                others.append(piece)
+                continue
+            ids = words.get(word)
+            if ids is None:
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+                words[word] = ids = array(self.kind, [t.id for t in model.tokenize(_SPACE + letters)]).tobytes()
+            stops = text[len(word) + 1 :]
+            if stops and stops not in words:
+                words[stops] = self._whole([stops])[0]
+            out[piece] = ids + words[stops] if stops else ids
+        if len(words) > CACHE_PIECES:
+            words.clear()
+        return out | dict(zip(others, self._whole([p.decode() for p in others])))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): the ids of texts, one after the other, and how many each has. Equal pieces are looked up once."""
+        starts, first = pieces(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        _, at, of = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        distinct = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        known = self.known
+        new = self._pieces([p for p in distinct if p not in known])
+        found = [new[p] if p in new else known[p] for p in distinct]
+        # Frequent pieces come early: a full cache stays as it is.
+        if (room := CACHE_PIECES - len(known)) > 0:
+            known.update(islice(((p, i) for p, i in new.items() if len(p) <= CACHE_PIECE_BYTES), room))
+        kind = np.dtype(f"<u{array(self.kind).itemsize}")
+        flat = np.frombuffer(b"".join(found), kind)
+        sizes = np.array([len(x) for x in found], np.int64) // kind.itemsize
+        begins = sizes.cumsum() - sizes
+        counts = sizes[of]
+        ends_at = counts.cumsum()
+        ids = flat[np.arange(int(counts.sum())) + np.repeat(begins[of] - (ends_at - counts), counts)]
+        upto = np.concatenate([[0], ends_at])
+        return ids, np.diff(upto[first])
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tail = np.array([end_id], "<u4").tobytes()
+        e = encoder(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                ids = [x + tail for x in encode_texts([t or "" for t in part.column(1).to_pylist()], path)]
-                # Ids of up to 16 bits are kept as a plane of low and a plane of high bytes, which compress well.
-                flat = np.frombuffer(b"".join(ids), "<u4")
-                counts = np.array([len(x) // 4 for x in ids])
-                planes = flat.view(np.uint8).reshape(-1, 4)
-                edges = np.concatenate([[0], counts.cumsum()])
-                width = 2 if not len(flat) or flat.max() < 1 << 16 else 4
-                packed = [np.ascontiguousarray(planes[a:b, :width].T).tobytes() for a, b in zip(edges[:-1], edges[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "planes"])
+            for lo, hi, data, offsets in text_steps(batch.column(1), 4 << 20):
+                ids, counts = e.encode(data, offsets)
+                ids = np.insert(ids, counts.cumsum(), end_id)
+                counts = counts + 1
+                edges = np.concatenate([[0], counts.cumsum()]) * ids.itemsize
+                raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts, pa.int64()), raw], ["doc_id", "n_tokens", "ids"])
 
     return run
 
 
-def _flat_ids(planes: list[bytes], counts: np.ndarray) -> np.ndarray:
-    out = np.zeros(int(counts.sum()), np.uint32)
-    at = 0
-    for raw, n in zip(planes, counts.tolist()):
-        for k, plane in enumerate(np.frombuffer(raw, np.uint8).reshape(-1, n) if n else ()):
-            out[at : at + n] |= plane.astype(np.uint32) << np.uint32(8 * k)
-        at += n
-    return out
+def _flat_ids(raw: list[bytes], n: int) -> np.ndarray:
+    """All ids of some documents, n in number; their width follows from it."""
+    joined = b"".join(raw)
+    return np.frombuffer(joined, "<u2" if len(joined) == 2 * n else "<u4")
 
 
 def _by_ids(batch: pa.RecordBatch, column: str = "n_tokens") -> Iterator[pa.RecordBatch]:
@@ -163,7 +195,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
         for part in _by_ids(batch):
-            seen = np.bincount(_flat_ids(part.column(1).to_pylist(), part.column(0).to_numpy()))
+            seen = np.bincount(_flat_ids(part.column(1).to_pylist(), int(part.column(0).to_numpy().sum())))
             if len(seen) > len(total):
                 total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
             total[: len(seen)] += seen
@@ -177,7 +209,7 @@ def _write(rank_of):
         for batch in batches:
             for part in _by_ids(batch):
                 counts = part.column(1).to_numpy()
-                control, data = encode_ranks(table[_flat_ids(part.column(2).to_pylist(), counts)], counts)
+                control, data = encode_ranks(table[_flat_ids(part.column(2).to_pylist(), int(counts.sum()))], counts)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "control", "data"])
 
     return run
@@ -198,8 +230,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    ids = staged(rows.mapInArrow(_tokenize(tokenizer, end_id), f"doc_id {id_type}, n_tokens long, planes binary"), "token-ids")
-    counted = ids.select("n_tokens", "planes").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    ids = staged(rows.mapInArrow(_tokenize(tokenizer, end_id), f"doc_id {id_type}, n_tokens long, ids binary"), "token-ids")
+    counted = ids.select("n_tokens", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranks = [(r["id"], i) for i, r in enumerate(sorted(counted.collect(), key=lambda r: (-r["n"], r["id"])))]  # at most the vocabulary
     table = np.zeros(max((i for i, _ in ranks), default=0) + 1, np.uint32)
     for token, rank in ranks:
@@ -263,7 +295,3 @@ def token_output(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def op4_token_output(spark, sf_dir: str) -> DataFrame:
     return token_output(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
