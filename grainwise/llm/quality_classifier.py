@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import first_words, hash_words, mix, text_steps, word_spans
+from ._common import first_words, hash_words, mix, staged, text_steps, word_spans
 
 BITS = 18
 FIT_ROWS = 12_000
+BROADCAST_LABELS = 1_000_000
 THRESHOLD = 0.3
 
 # Shape classes of bytes: lower, upper, digit, other ASCII by its own value, and bytes of longer characters as lower.
@@ -155,11 +156,13 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         n[c, seen["f"].to_numpy()] += seen[name].to_numpy()
     ratio = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
     # Both classes get half of the sample at most; a class of fewer rows leaves its place to the other.
-    parts = []
+    least = min(docs.values())
+    kept = F.lit(False)
     for c in (0, 1):
-        least = fit_rows // 2 if min(docs.values()) >= fit_rows // 2 else (fit_rows - min(docs.values()) if docs[c] == max(docs.values()) else docs[c])
-        parts.append(labelled.filter(F.col("label") == c).orderBy("at").limit(least))
-    sample = parts[0].unionByName(parts[1]).repartition(24).mapInArrow(_rows_of_features, "label int, at long, f array<int>").toArrow()
+        most = fit_rows // 2 if least >= fit_rows // 2 else fit_rows - least if docs[c] == max(docs.values()) else docs[c]
+        cut = labelled.filter(F.col("label") == c).select("at").orderBy("at").limit(most).agg(F.max("at")).first()[0]
+        kept |= (F.col("label") == c) & (F.col("at") <= cut)
+    sample = labelled.filter(kept).mapInArrow(_rows_of_features, "label int, at long, f array<int>").toArrow()
     order = np.lexsort((sample["label"].to_numpy(), sample["at"].to_numpy()))
     y = sample["label"].to_numpy()[order].astype(np.int64)
     lists = sample["f"].combine_chunks()
@@ -205,10 +208,16 @@ def remainder(id_col: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label, at) of the labelled documents whose remainder is not 0."""
-    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
-    rows = docs.filter(remainder(F.col(id_col)) != 0).join(marks, F.col(id_col) == F.col("_id"))
-    return rows.select(F.col(text_col).alias("text"), "label", F.xxhash64("_id", F.lit("fit")).alias("at"))
+    """(text, label, at) of the labelled documents whose remainder is not 0.
+
+    Labels go to the texts, and not texts to the labels, while there are at most BROADCAST_LABELS of them (some 20 bytes
+    each); beyond, the labelled texts are shuffled and written once.
+    """
+    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).filter("_id IS NOT NULL AND label IN (0, 1)")
+    small = marks.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    rows = docs.filter(remainder(F.col(id_col)) != 0).join(F.broadcast(marks) if small else marks, F.col(id_col) == F.col("_id"))
+    rows = rows.select(F.col(text_col).alias("text"), "label", F.xxhash64("_id", F.lit("fit")).alias("at"))
+    return rows if small else staged(rows, "labelled")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
