@@ -1,4 +1,4 @@
 """The queries of the library over the given tables, and the same in SQL."""
 
-from . import periods, rows, scalars  # noqa: F401
+from . import catalog, periods, rows, scalars, shaping  # noqa: F401
 from ._base import QUERIES, SQL  # noqa: F401
