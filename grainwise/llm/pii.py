@@ -149,7 +149,7 @@ class Weights:
         self.node, self.chain, self.skip = np.zeros((N_FEATURES, n)), np.zeros((n, n)), np.zeros((n, n))
 
 
-def train(x: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-3) -> Weights:
+def train(x: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> Weights:
     """Pseudo-likelihood: each node given its neighbours' labels; chain and skip are pairs of nodes."""
     w = Weights()
     n = w.node.shape[1]

@@ -185,21 +185,21 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return Model(w[:bias_at] * ratio, float(w[bias_at]), a, b)
 
 
-def _score(model):
+def _score(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [model.value.scores(data, offsets) for _, _, data, offsets in text_steps(batch.column(0))]
             scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], name])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, text: Column, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and the score of each text."""
+def score(docs: DataFrame, model: Model, text: Column, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns `keep` of docs and, under `name`, the score of each text."""
     rows = docs.select(text.alias("_text"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"{schema}, score double")
+    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), name), f"{schema}, {name} double")
 
 
 def remainder(id_col: Column) -> Column:
@@ -229,8 +229,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier accepts."""
-    scored = score(docs, fit(training_rows(docs, labels)), docs["text"], docs.columns)
-    return scored.filter(F.col("score") >= threshold).select(*docs.columns)
+    scored = score(docs, fit(training_rows(docs, labels)), docs["text"], docs.columns, "_quality")
+    return scored.filter(F.col("_quality") >= threshold).select(*docs.columns)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
