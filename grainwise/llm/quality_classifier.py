@@ -168,10 +168,14 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     lists = sample["f"].combine_chunks()
     edges, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     bias_at = 1 << BITS
+    ratio32 = np.append(ratio, 1.0).astype(np.float32)
     x = []
     for i in order:
-        f = flat[edges[i] : edges[i + 1]]
-        x.append((np.concatenate([f, [bias_at]]), np.concatenate([ratio[f] / np.sqrt(max(len(f), 1)), [1.0]])))
+        f = np.append(flat[edges[i] : edges[i + 1]], np.int32(bias_at))
+        v = ratio32[f]
+        v[:-1] /= np.sqrt(max(len(f) - 1, 1))
+        x.append((f, v))
+    del sample, lists, flat
     signs = 2.0 * y - 1
     share = np.array([(y == 0).mean(), (y == 1).mean()])
     cost = 0.5 / share[y]
