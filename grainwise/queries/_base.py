@@ -63,8 +63,8 @@ def retail(spark: SparkSession, sf_dir: str) -> Model:
 
 
 def money(*names: str) -> list:
-    """Figures as doubles of two places, under their names."""
-    return [F.round(F.col(n).cast("double"), 2).alias(n) for n in names]
+    """Figures as doubles of four places, under their names."""
+    return [F.round(F.col(n).cast("double"), 4).alias(n) for n in names]
 
 
 def ratio(*names: str) -> list:

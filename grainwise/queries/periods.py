@@ -34,18 +34,18 @@ def _dated(df):
     return df.withColumn("period", F.to_date("period"))
 
 
-@dated("w_prev_period", f"WITH m AS ({MONTHLY}) SELECT period, round(revenue, 2) AS revenue, round(CASE WHEN lag(period) OVER (ORDER BY period) = period - INTERVAL 1 MONTH THEN lag(revenue) OVER (ORDER BY period) END, 2) AS last_month FROM m")
+@dated("w_prev_period", f"WITH m AS ({MONTHLY}) SELECT period, round(revenue, 4) AS revenue, round(CASE WHEN lag(period) OVER (ORDER BY period) = period - INTERVAL 1 MONTH THEN lag(revenue) OVER (ORDER BY period) END, 4) AS last_month FROM m")
 def w_prev_period(spark, d):
     return _dated(retail(spark, d).evaluate(["revenue", "last_month"], period="month")).select("period", *money("revenue", "last_month"))
 
 
 @dated("w_prev_period_gap", f"""WITH m AS (SELECT c_mktsegment, date_trunc('month', o_orderdate)::DATE AS period, {REV} AS revenue FROM {FROM_LINES} WHERE month(o_orderdate) <> 3 GROUP BY 1, 2)
-SELECT c_mktsegment, period, round(CASE WHEN lag(period) OVER w = period - INTERVAL 1 MONTH THEN lag(revenue) OVER w END, 2) AS last_month FROM m WINDOW w AS (PARTITION BY c_mktsegment ORDER BY period)""")
+SELECT c_mktsegment, period, round(CASE WHEN lag(period) OVER w = period - INTERVAL 1 MONTH THEN lag(revenue) OVER w END, 4) AS last_month FROM m WINDOW w AS (PARTITION BY c_mktsegment ORDER BY period)""")
 def w_prev_period_gap(spark, d):
     return _dated(_gap(retail(spark, d)).evaluate(["last_month"], ["customer.c_mktsegment"], "month")).select("c_mktsegment", "period", *money("last_month"))
 
 
-@dated("w_period_variance", f"WITH m AS ({MONTHLY}) SELECT period, round(revenue - CASE WHEN lag(period) OVER (ORDER BY period) = period - INTERVAL 1 MONTH THEN lag(revenue) OVER (ORDER BY period) END, 2) AS month_change FROM m")
+@dated("w_period_variance", f"WITH m AS ({MONTHLY}) SELECT period, round(revenue - CASE WHEN lag(period) OVER (ORDER BY period) = period - INTERVAL 1 MONTH THEN lag(revenue) OVER (ORDER BY period) END, 4) AS month_change FROM m")
 def w_period_variance(spark, d):
     return _dated(retail(spark, d).evaluate(["month_change"], period="month")).select("period", *money("month_change"))
 
@@ -58,7 +58,7 @@ def _brands(spark, d):
 
 
 @query("w_top_fold", f"""WITH b AS ({BRANDS}), n AS (SELECT *, row_number() OVER (ORDER BY v DESC, p_brand) AS k, count(*) OVER () AS t FROM b)
-SELECT CASE WHEN k > 10 THEN (t - 10)::VARCHAR || ' more' ELSE p_brand END AS label, k > 10 AS folded, round(sum(v), 2) AS value FROM n GROUP BY 1, 2""")
+SELECT CASE WHEN k > 10 THEN (t - 10)::VARCHAR || ' more' ELSE p_brand END AS label, k > 10 AS folded, round(sum(v), 4) AS value FROM n GROUP BY 1, 2""")
 def w_top_fold(spark, d):
     return shape.top_fold(_brands(spark, d)).select("label", "folded", *money("value"))
 
@@ -68,7 +68,7 @@ def w_first_per_table(spark, d):
     return shape.first_per(table(spark, d, "customer"), ["c_nationkey"], F.desc("c_acctbal"), F.col("c_custkey")).select("c_nationkey", "c_custkey")
 
 
-@dated("w_last_n", f"WITH m AS (SELECT c_mktsegment, date_trunc('month', o_orderdate)::DATE AS period, {REV} AS v FROM {FROM_LINES} GROUP BY 1, 2) SELECT c_mktsegment, period, round(v, 2) AS revenue FROM m QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY period DESC) <= 40")
+@dated("w_last_n", f"WITH m AS (SELECT c_mktsegment, date_trunc('month', o_orderdate)::DATE AS period, {REV} AS v FROM {FROM_LINES} GROUP BY 1, 2) SELECT c_mktsegment, period, round(v, 4) AS revenue FROM m QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY period DESC) <= 40")
 def w_last_n(spark, d):
     series = retail(spark, d).evaluate(["revenue"], ["customer.c_mktsegment"], "month")
     return _dated(shape.last_n(series, 40, ["c_mktsegment"])).select("c_mktsegment", "period", *money("revenue"))
@@ -125,8 +125,8 @@ def l_sort_by_column(spark, d):
 # --- composite jobs -------------------------------------------------------------------------------------------------
 
 
-@query("d_evaluate_all", f"""SELECT 'revenue' AS measure, round({REV}, 2) AS value FROM lineitem UNION ALL SELECT 'quantity', round(sum(l_quantity), 2) FROM lineitem UNION ALL SELECT 'lines', count(*) FROM lineitem
-UNION ALL SELECT 'order_count', count(*) FROM orders UNION ALL SELECT 'order_value', round(sum(o_totalprice), 2) FROM orders UNION ALL SELECT 'return_rate', round(count(*) FILTER (WHERE l_returnflag = 'R') / count(*), 2) FROM lineitem""")
+@query("d_evaluate_all", f"""SELECT 'revenue' AS measure, round({REV}, 4) AS value FROM lineitem UNION ALL SELECT 'quantity', round(sum(l_quantity), 4) FROM lineitem UNION ALL SELECT 'lines', count(*) FROM lineitem
+UNION ALL SELECT 'order_count', count(*) FROM orders UNION ALL SELECT 'order_value', round(sum(o_totalprice), 4) FROM orders UNION ALL SELECT 'return_rate', round(count(*) FILTER (WHERE l_returnflag = 'R') / count(*), 4) FROM lineitem""")
 def d_evaluate_all(spark, d):
     names = ["revenue", "quantity", "lines", "order_count", "order_value", "return_rate"]
     return as_rows(retail(spark, d).evaluate(names), names).select("measure", *money("value"))
@@ -152,12 +152,12 @@ def d_chartable(spark, d):
 
 
 @query("d_breakdown", f"""WITH b AS ({BRANDS}), n AS (SELECT *, row_number() OVER (ORDER BY v DESC, p_brand) AS k, count(*) OVER () AS t FROM b)
-SELECT 'revenue' AS measure, 'part.p_brand' AS by, CASE WHEN k > 10 THEN (t - 10)::VARCHAR || ' more' ELSE p_brand END AS label, k > 10 AS folded, round(sum(v), 2) AS value, true AS additive FROM n GROUP BY ALL""")
+SELECT 'revenue' AS measure, 'part.p_brand' AS by, CASE WHEN k > 10 THEN (t - 10)::VARCHAR || ' more' ELSE p_brand END AS label, k > 10 AS folded, round(sum(v), 4) AS value, true AS additive FROM n GROUP BY ALL""")
 def d_breakdown(spark, d):
     return dash.breakdown(retail(spark, d), "revenue", "part.p_brand").select("measure", "by", "label", "folded", "additive", *money("value"))
 
 
-@dated("d_over_time", f"SELECT date_trunc('quarter', o_orderdate)::DATE AS period, round({REV}, 2) AS revenue, count(*)::BIGINT AS lines FROM {FROM_LINES} GROUP BY 1 ORDER BY 1 LIMIT 120")
+@dated("d_over_time", f"SELECT date_trunc('quarter', o_orderdate)::DATE AS period, round({REV}, 4) AS revenue, count(*)::BIGINT AS lines FROM {FROM_LINES} GROUP BY 1 ORDER BY 1 LIMIT 120")
 def d_over_time(spark, d):
     return _dated(dash.over_time(retail(spark, d), ["revenue", "lines"], "quarter")).select("period", "lines", *money("revenue"))
 
@@ -174,18 +174,18 @@ def d_dashboard(spark, d):
     return board.select("by", "label", "folded", "value", "is_filter")
 
 
-@dated("d_sparklines", f"""WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS period, round(sum(l_quantity), 2) AS quantity, count(*)::DOUBLE AS lines FROM {FROM_LINES} GROUP BY 1),
+@dated("d_sparklines", f"""WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS period, round(sum(l_quantity), 4) AS quantity, count(*)::DOUBLE AS lines FROM {FROM_LINES} GROUP BY 1),
 u AS (UNPIVOT m ON quantity, lines INTO NAME measure VALUE value) SELECT measure, period, value FROM u QUALIFY row_number() OVER (PARTITION BY measure ORDER BY period DESC) <= 40""")
 def d_sparklines(spark, d):
     return _dated(dash.sparklines(retail(spark, d), ["quantity", "lines"], "month")).select("measure", "period", *money("value"))
 
 
-@query("d_places", """WITH c AS (SELECT n_name AS label, n_nationkey * 9.0 - 100 AS lat, n_regionkey * 30.0 - 60 AS lon FROM nation), v AS (SELECT n_name AS label, round(sum(c_acctbal), 2) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+@query("d_places", """WITH c AS (SELECT n_name AS label, n_nationkey * 9.0 - 100 AS lat, n_regionkey * 30.0 - 60 AS lon FROM nation), v AS (SELECT n_name AS label, round(sum(c_acctbal), 4) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
 SELECT label, lat AS latitude, lon AS longitude, value, min(lat) OVER () AS south, max(lat) OVER () AS north FROM c JOIN v USING (label) WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180""")
 def d_places(spark, d):
     n = table(spark, d, "nation")
     spots = n.select(F.col("n_name").alias("label"), (F.col("n_nationkey") * 9.0 - 100).alias("latitude"), (F.col("n_regionkey") * 30.0 - 60).alias("longitude"))
-    values = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("label")).agg(F.round(F.sum("c_acctbal"), 2).alias("value"))
+    values = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("label")).agg(F.round(F.sum("c_acctbal"), 4).alias("value"))
     return dash.places(values, spots).select("label", "latitude", "longitude", "value", "south", "north")
 
 
@@ -205,9 +205,9 @@ def e_share_of_all(spark, d):
     return parts.select("r_name", F.round(F.col("lines") / F.sum("lines").over(Window.partitionBy()), 6).alias("share"))
 
 
-@query("e_rank", f"WITH b AS ({BRANDS}) SELECT p_brand, rank() OVER (ORDER BY round(v, 2) DESC)::BIGINT AS place FROM b")
+@query("e_rank", f"WITH b AS ({BRANDS}) SELECT p_brand, rank() OVER (ORDER BY round(v, 4) DESC)::BIGINT AS place FROM b")
 def e_rank(spark, d):
-    return _brands(spark, d).select(F.col("label").alias("p_brand"), F.rank().over(Window.partitionBy("measure").orderBy(F.desc(F.round("value", 2)))).cast("long").alias("place"))
+    return _brands(spark, d).select(F.col("label").alias("p_brand"), F.rank().over(Window.partitionBy("measure").orderBy(F.desc(F.round("value", 4)))).cast("long").alias("place"))
 
 
 @query("e_use_relationship", "SELECT n_name, count(*)::BIGINT AS lines FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
@@ -217,18 +217,18 @@ def e_use_relationship(spark, d):
     return over_supplier.evaluate(["lines"], ["nation.n_name"])
 
 
-@dated("e_same_period_last_year", f"WITH m AS ({MONTHLY}) SELECT a.period, round(a.revenue, 2) AS revenue, round(b.revenue, 2) AS last_year FROM m a LEFT JOIN m b ON b.period = a.period - INTERVAL 1 YEAR")
+@dated("e_same_period_last_year", f"WITH m AS ({MONTHLY}) SELECT a.period, round(a.revenue, 4) AS revenue, round(b.revenue, 4) AS last_year FROM m a LEFT JOIN m b ON b.period = a.period - INTERVAL 1 YEAR")
 def e_same_period_last_year(spark, d):
     m = _dated(retail(spark, d).evaluate(["revenue"], period="month"))
     before = m.select(F.add_months("period", 12).alias("period"), F.col("revenue").alias("last_year"))
     return m.join(before, "period", "left").select("period", *money("revenue", "last_year"))
 
 
-@dated("e_year_to_date", f"WITH m AS ({MONTHLY}) SELECT period, round(sum(revenue) OVER (PARTITION BY year(period) ORDER BY period), 2) AS ytd, round(sum(revenue) OVER (ORDER BY period RANGE BETWEEN INTERVAL 2 MONTHS PRECEDING AND CURRENT ROW), 2) AS trailing FROM m")
+@dated("e_year_to_date", f"WITH m AS ({MONTHLY}) SELECT period, round(sum(revenue) OVER (PARTITION BY year(period) ORDER BY period), 4) AS ytd, round(sum(revenue) OVER (ORDER BY period RANGE BETWEEN INTERVAL 2 MONTHS PRECEDING AND CURRENT ROW), 4) AS trailing FROM m")
 def e_year_to_date(spark, d):
     m = _dated(retail(spark, d).evaluate(["revenue"], period="month")).withColumn("m", F.year("period") * 12 + F.month("period"))
     ytd = Window.partitionBy(F.year("period")).orderBy("period")
-    return m.select("period", F.round(F.sum("revenue").over(ytd), 2).alias("ytd"), F.round(F.sum("revenue").over(Window.partitionBy().orderBy("m").rangeBetween(-2, 0)), 2).alias("trailing"))
+    return m.select("period", F.round(F.sum("revenue").over(ytd), 4).alias("ytd"), F.round(F.sum("revenue").over(Window.partitionBy().orderBy("m").rangeBetween(-2, 0)), 4).alias("trailing"))
 
 
 @query("e_rollup", "SELECT r_name, n_name, count(*)::BIGINT AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")

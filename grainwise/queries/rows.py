@@ -42,10 +42,10 @@ def s_manifest(spark, d):
 # --- projections and filters ----------------------------------------------------------------------------------------
 
 
-@query("p_calc_column", "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net FROM lineitem GROUP BY 1")
+@query("p_calc_column", "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 4) AS net FROM lineitem GROUP BY 1")
 def p_calc_column(spark, d):
     lines = table(spark, d, "lineitem").withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    return lines.groupBy("l_returnflag").agg(F.round(F.sum("net"), 2).alias("net"))
+    return lines.groupBy("l_returnflag").agg(F.round(F.sum("net"), 4).alias("net"))
 
 
 @query("p_compare", """SELECT count(*) FILTER (WHERE l_quantity = 10)::BIGINT AS eq, count(*) FILTER (WHERE l_quantity <> 10)::BIGINT AS ne, count(*) FILTER (WHERE l_quantity < 10)::BIGINT AS lt,
@@ -84,12 +84,12 @@ def p_nested_filter(spark, d):
     return m.evaluate([m.filtered("returned", F.col("lineitem.l_discount") > 0.05, "deep")], ["customer.c_mktsegment"])
 
 
-@query("p_year_filter", f"SELECT c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {FROM_LINES} WHERE year(o_orderdate) = 1997 GROUP BY 1")
+@query("p_year_filter", f"SELECT c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM {FROM_LINES} WHERE year(o_orderdate) = 1997 GROUP BY 1")
 def p_year_filter(spark, d):
     return retail(spark, d).evaluate(["revenue"], ["customer.c_mktsegment"], year=1997).select("c_mktsegment", *money("revenue"))
 
 
-@query("p_cross_filter", f"SELECT p_brand, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {FROM_LINES} LEFT JOIN part p ON l.l_partkey = p.p_partkey WHERE r_name = 'ASIA' AND p_size = 10 GROUP BY 1")
+@query("p_cross_filter", f"SELECT p_brand, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM {FROM_LINES} LEFT JOIN part p ON l.l_partkey = p.p_partkey WHERE r_name = 'ASIA' AND p_size = 10 GROUP BY 1")
 def p_cross_filter(spark, d):
     return retail(spark, d).evaluate(["revenue"], ["part.p_brand"], where={"region.r_name": "ASIA", "part.p_size": 10}).select("p_brand", *money("revenue"))
 
@@ -142,7 +142,7 @@ def j_left_to_one(spark, d):
     return _orphaned(spark, d).evaluate(["n"], ["customer.c_mktsegment"])
 
 
-@query("j_inner_to_many", "SELECT o_orderstatus, round(sum(c_acctbal), 2) AS balance FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY 1")
+@query("j_inner_to_many", "SELECT o_orderstatus, round(sum(c_acctbal), 4) AS balance FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY 1")
 def j_inner_to_many(spark, d):
     return _orphaned(spark, d).evaluate(["balance"], ["orders.o_orderstatus"]).select("o_orderstatus", *money("balance"))
 
@@ -163,8 +163,8 @@ def j_inactive_ignored(spark, d):
     return retail(spark, d).evaluate(["lines"], ["nation.n_name"])
 
 
-@query("j_stitch_full", f"""WITH a AS (SELECT c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {FROM_LINES} GROUP BY 1),
-b AS (SELECT c_mktsegment, count(*)::BIGINT AS order_count, round(sum(o_totalprice), 2) AS order_value FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+@query("j_stitch_full", f"""WITH a AS (SELECT c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM {FROM_LINES} GROUP BY 1),
+b AS (SELECT c_mktsegment, count(*)::BIGINT AS order_count, round(sum(o_totalprice), 4) AS order_value FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1)
 SELECT coalesce(a.c_mktsegment, b.c_mktsegment) AS c_mktsegment, revenue, order_count, order_value FROM a FULL JOIN b ON a.c_mktsegment IS NOT DISTINCT FROM b.c_mktsegment""")
 def j_stitch_full(spark, d):
     return retail(spark, d).evaluate(["revenue", "order_count", "order_value"], ["customer.c_mktsegment"]).select("c_mktsegment", "order_count", *money("revenue", "order_value"))
@@ -211,10 +211,10 @@ def j_unresolved_anti(spark, d):
 # --- aggregates -----------------------------------------------------------------------------------------------------
 
 
-@query("a_basic", "SELECT l_returnflag, round(sum(l_quantity), 2) AS s, round(avg(l_quantity), 4) AS a, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1")
+@query("a_basic", "SELECT l_returnflag, round(sum(l_quantity), 4) AS s, round(avg(l_quantity), 4) AS a, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1")
 def a_basic(spark, d):
     q = "l_quantity"
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(q), 2).alias("s"), F.round(F.avg(q), 4).alias("a"), F.min(q).alias("lo"), F.max(q).alias("hi"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(q), 4).alias("s"), F.round(F.avg(q), 4).alias("a"), F.min(q).alias("lo"), F.max(q).alias("hi"))
 
 
 @query("a_count_nonnull", "SELECT c_mktsegment, count(o_orderkey)::BIGINT AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
@@ -233,9 +233,9 @@ def a_count_rows(spark, d):
     return retail(spark, d).evaluate(["lines"])
 
 
-@query("a_median", "SELECT l_returnflag, round(median(l_extendedprice), 2) AS m FROM lineitem GROUP BY 1")
+@query("a_median", "SELECT l_returnflag, round(median(l_extendedprice), 4) AS m FROM lineitem GROUP BY 1")
 def a_median(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 2).alias("m"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 4).alias("m"))
 
 
 @query("a_conditional", "SELECT l_linestatus, count(DISTINCT CASE WHEN l_discount > 0.05 THEN l_suppkey END)::BIGINT AS n, round(avg(CASE WHEN l_tax > 0 THEN l_quantity END), 4) AS q FROM lineitem GROUP BY 1")
@@ -252,28 +252,28 @@ def a_divide(spark, d):
     )
 
 
-@query("a_arith", "SELECT l_returnflag, round(sum(l_extendedprice) - sum(l_extendedprice * l_discount) + 2 * count(*), 2) AS x FROM lineitem GROUP BY 1")
+@query("a_arith", "SELECT l_returnflag, round(sum(l_extendedprice) - sum(l_extendedprice * l_discount) + 2 * count(*), 4) AS x FROM lineitem GROUP BY 1")
 def a_arith(spark, d):
     p = F.col("l_extendedprice")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(p) - F.sum(p * F.col("l_discount")) + 2 * F.count("*"), 2).alias("x"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(p) - F.sum(p * F.col("l_discount")) + 2 * F.count("*"), 4).alias("x"))
 
 
-@query("a_grain_multi", f"SELECT r_name, c_mktsegment, l_returnflag, count(*)::BIGINT AS lines, round(sum(l_quantity), 2) AS quantity FROM {FROM_LINES} GROUP BY ALL")
+@query("a_grain_multi", f"SELECT r_name, c_mktsegment, l_returnflag, count(*)::BIGINT AS lines, round(sum(l_quantity), 4) AS quantity FROM {FROM_LINES} GROUP BY ALL")
 def a_grain_multi(spark, d):
     return retail(spark, d).evaluate(["lines", "quantity"], ["region.r_name", "customer.c_mktsegment", "lineitem.l_returnflag"]).select("r_name", "c_mktsegment", "l_returnflag", "lines", *money("quantity"))
 
 
-@query("a_whole", """SELECT 'revenue' AS measure, round(sum(l_extendedprice * (1 - l_discount)), 2) AS value, 'ok' AS status FROM lineitem
+@query("a_whole", """SELECT 'revenue' AS measure, round(sum(l_extendedprice * (1 - l_discount)), 4) AS value, 'ok' AS status FROM lineitem
 UNION ALL SELECT 'nothing', NULL, 'no value' UNION ALL SELECT 'lines', count(*)::DOUBLE, 'ok' FROM lineitem""")
 def a_whole(spark, d):
     m = retail(spark, d)
     m.filtered("revenue", F.col("lineitem.l_quantity") < 0, "nothing")
     names = ["revenue", "nothing", "lines"]
     rows = as_rows(m.evaluate(names), names)
-    return rows.select("measure", F.round("value", 2).alias("value"), F.when(F.col("value").isNull(), "no value").when(F.isnan("value"), "no number").otherwise("ok").alias("status"))
+    return rows.select("measure", F.round("value", 4).alias("value"), F.when(F.col("value").isNull(), "no value").when(F.isnan("value"), "no number").otherwise("ok").alias("status"))
 
 
-@query("a_combined", f"""WITH a AS (SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(sum(l_quantity), 2) AS quantity, count(*)::BIGINT AS lines, round(avg(l_discount), 4) AS discount FROM {FROM_LINES} GROUP BY 1),
+@query("a_combined", f"""WITH a AS (SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, round(sum(l_quantity), 4) AS quantity, count(*)::BIGINT AS lines, round(avg(l_discount), 4) AS discount FROM {FROM_LINES} GROUP BY 1),
 b AS (SELECT r_name, count(*)::BIGINT AS order_count FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1)
 SELECT coalesce(a.r_name, b.r_name) AS r_name, revenue, quantity, lines, discount, order_count, round(revenue / order_count, 1) AS revenue_per_order FROM a FULL JOIN b ON a.r_name IS NOT DISTINCT FROM b.r_name""")
 def a_combined(spark, d):

@@ -15,9 +15,9 @@ def t_rows(spark, d):
     return steps.row_range(rows, ["o_totalprice", "o_orderkey"], 100, 5000, 50).select("o_orderkey")
 
 
-@query("t_group", "SELECT o_orderpriority, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+@query("t_group", "SELECT o_orderpriority, count(*)::BIGINT AS n, round(sum(o_totalprice), 4) AS total FROM orders GROUP BY 1")
 def t_group(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 4).alias("total"))
 
 
 @query("t_combine", "SELECT c_name AS name, c_nationkey AS nation, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, s_nationkey, NULL FROM supplier")
@@ -77,7 +77,7 @@ def t_calendar(spark, d):
     return steps.calendar(table(spark, d, "orders"), "o_orderdate").select(F.date_format("date", "yyyy-MM-dd").alias("day"))
 
 
-@query("t_summarize", f"SELECT r_name, l_returnflag, round(sum(l_quantity), 2) AS quantity, 2 * count(*)::BIGINT AS twice FROM {FROM_LINES} GROUP BY 1, 2")
+@query("t_summarize", f"SELECT r_name, l_returnflag, round(sum(l_quantity), 4) AS quantity, 2 * count(*)::BIGINT AS twice FROM {FROM_LINES} GROUP BY 1, 2")
 def t_summarize(spark, d):
     frame = retail(spark, d).evaluate(["quantity", "lines"], ["region.r_name", "lineitem.l_returnflag"])
     return frame.select("r_name", "l_returnflag", *money("quantity"), (2 * F.col("lines")).alias("twice"))
@@ -132,7 +132,7 @@ def _stream(spark, d):
     return jobs.events_stream(spark, f"{d}/events.parque[t]", spark.read.parquet(f"{d}/events.parquet").schema)
 
 
-@query("st_tumbling", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2)
+@query("st_tumbling", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
 SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n, total FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def st_tumbling(spark, d):
     found = jobs.run_available(jobs.tumbling(_stream(spark, d)), "tumbling")
