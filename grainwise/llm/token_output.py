@@ -18,9 +18,9 @@ their ids, then their bytes; null ids come first; an empty table gives an empty
 from __future__ import annotations
 
 import os
+import string
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +76,7 @@ _encoders: dict[str, Encoder] = {}
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTERS = {b: 256 + n for n, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
 _SPACE = chr(_LETTERS[32])
+_SIGNS = string.punctuation
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,26 +110,45 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _pieces(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces. A space and letters, and stops and commas after them, are units of a byte-level BPE; other pieces are encoded whole."""
-        out, others, words, model = {}, [], self.words, self.tokenizer.model
-        for piece in new:
+    def _word(self, word: str, lead: str) -> bytes:
+        """Ids of letters after `lead`, a unit of a byte-level BPE."""
+        ids = self.words.get(lead + word)
+        if ids is None:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            ids = self.words[lead + word] = array(self.kind, [t.id for t in self.tokenizer.model.tokenize(lead + letters)]).tobytes()
+        return ids
+
+    def _signs(self, signs: str) -> bytes:
+        """Ids of a run of signs, or of one line feed, after a letter or sign and before a letter."""
+        if signs not in self.words:
+            self.words[signs] = self._whole([signs])[0]
+        return self.words[signs]
+
+    def _pieces(self, new: list[bytes]) -> list[bytes]:
+        """Ids of pieces. Those of letters and signs after them, a line feed within at most, go unit by unit; others are encoded whole."""
+        out: list[bytes] = [b""] * len(new)
+        others = []
+        for i, piece in enumerate(new):
             text = piece.decode()
-            word = text[1:].rstrip(".,")
-            if text[:1] != " " or not word.isalpha():
-                others.append(piece)
-                continue
-            ids = words.get(word)
-            if ids is None:
-                letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-                words[word] = ids = array(self.kind, [t.id for t in model.tokenize(_SPACE + letters)]).tobytes()
-            stops = text[len(word) + 1 :]
-            if stops and stops not in words:
-                words[stops] = self._whole([stops])[0]
-            out[piece] = ids + words[stops] if stops else ids
-        if len(words) > CACHE_PIECES:
-            words.clear()
-        return out | dict(zip(others, self._whole([p.decode() for p in others])))
+            if text[:1] == " ":
+                word = text[1:].rstrip(_SIGNS)
+                if word.isalpha():
+                    signs = text[len(word) + 1 :]
+                    ids = self._word(word, _SPACE)
+                    out[i] = ids + self._signs(signs) if signs else ids
+                    continue
+                first, feed, second = text[1:].partition("\n")
+                a, b = first.rstrip(_SIGNS), second.rstrip(_SIGNS)
+                if feed and a.isalpha() and b.isalpha():
+                    signs, more = first[len(a) :], second[len(b) :]
+                    out[i] = self._word(a, _SPACE) + (self._signs(signs) if signs else b"") + self._signs(feed) + self._word(b, "") + (self._signs(more) if more else b"")
+                    continue
+            others.append(i)
+        for i, ids in zip(others, self._whole([new[i].decode() for i in others])):
+            out[i] = ids
+        if len(self.words) > CACHE_PIECES:
+            self.words.clear()
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): the ids of texts, one after the other, and how many each has. Equal pieces are looked up once."""
@@ -137,12 +157,15 @@ class Encoder:
         _, at, of = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
         distinct = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-        known = self.known
-        new = self._pieces([p for p in distinct if p not in known])
-        found = [new[p] if p in new else known[p] for p in distinct]
+        found = list(map(self.known.get, distinct))
+        missing = [i for i, ids in enumerate(found) if ids is None]
         # Frequent pieces come early: a full cache stays as it is.
-        if (room := CACHE_PIECES - len(known)) > 0:
-            known.update(islice(((p, i) for p, i in new.items() if len(p) <= CACHE_PIECE_BYTES), room))
+        room = CACHE_PIECES - len(self.known)
+        for i, ids in zip(missing, self._pieces([distinct[i] for i in missing])):
+            found[i] = ids
+            if room > 0 and len(distinct[i]) <= CACHE_PIECE_BYTES:
+                self.known[distinct[i]] = ids
+                room -= 1
         kind = np.dtype(f"<u{array(self.kind).itemsize}")
         flat = np.frombuffer(b"".join(found), kind)
         sizes = np.array([len(x) for x in found], np.int64) // kind.itemsize
