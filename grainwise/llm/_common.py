@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: staging on the shared folder, and words as numpy arrays.
+"""What the operators of this subpackage share: keys of rows, and words as numpy arrays.
 
 Words are maximal runs of bytes outside space and 0x09-0x0D. These bytes never occur inside a multi-byte
 UTF-8 character, so words are cut on the UTF-8 bytes of a whole Arrow column at once.
@@ -6,44 +6,20 @@ UTF-8 character, so words are cut on the UTF-8 bytes of a whole Arrow column at
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import new_path, shared_dir, staged  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one numpy step works on; a longer single document makes a step of its own.
 STEP_BYTES = 1 << 20
 
-_local_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    global _local_dir
-    said = spark.conf.get("spark.checkpoint.dir", None)
-    if said:
-        return said.rstrip("/")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="spark-staged-")
-    return _local_dir
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: it is computed once, and lost executors lose none of it."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, k): k tells rows apart whose ids repeat or are null; only wholly equal rows share it."""

@@ -33,7 +33,7 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("repeat_ratio", None, 0.5),
     ("mean_word", 2.0, 12.0),
     ("symbol_ratio", None, 0.3),
-    ("dup_line_ratio", None, 0.3),
+    ("dup_line_ratio", None, 0.5),
     ("shout_ratio", None, 0.3),
     ("stop_ratio", 0.02, None),
 )
@@ -146,6 +146,6 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words AND word_chars / n_words BETWEEN 2.0 AND 12.0 AND n_symbols / n_words <= 0.3
-         AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.3 AND shouts / n_words <= 0.3 AND stops / n_words >= 0.02 AS kept
+         AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5 AND shouts / n_words <= 0.3 AND stops / n_words >= 0.02 AS kept
 FROM m
 """.replace("__STOPS__", "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)) + "]")

@@ -247,6 +247,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError("the components did not settle in 100 rounds")
     # Stars now: every node but a root has one edge, to its root.
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
 
