@@ -107,7 +107,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     rows = docs.select("k", "text")
     seeds = rows.mapInArrow(_seed(length, anchor), "k long, at long, anchor long, span long")
     met = seeds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).filter("n > 1")
-    # Written, so that the join has an exchange on either side and Spark can split an anchor that very many documents share.
+    # Written, like `shared` below, so that the join has an exchange on either side and Spark can split what very many documents share.
     met = staged(met.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "repeat-anchors")
     found = staged(seeds.join(met, "anchor").select("k", "at", "anchor", "span", "alike"), "repeat-seeds")
     full = found.filter("alike").select("k", "at")
@@ -118,7 +118,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     lists = kinds.select("one.k", "one.at", "anchor").groupBy("k").agg(F.collect_list(F.struct("at", "anchor")).alias("spans"))
     windows = rows.join(lists, "k").select("k", "text", F.col("spans.at").alias("at"), F.col("spans.anchor").alias("anchor")).dropDuplicates(["k"])
     windows = staged(windows.mapInArrow(_extend(length), "k long, start long, anchor long, window long"), "repeat-windows")
-    shared = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window")
+    shared = staged(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window"), "repeat-shared")
     partial = windows.join(shared, ["anchor", "window"]).select("k", "start", F.lit(1).cast("long").alias("n"))
     return full.select("k", F.shiftright("at", 8).alias("start"), F.col("at").bitwiseAND(F.lit(255)).alias("n")).unionByName(partial)
 
