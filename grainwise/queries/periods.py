@@ -180,7 +180,7 @@ def d_sparklines(spark, d):
     return _dated(dash.sparklines(retail(spark, d), ["quantity", "lines"], "month")).select("measure", "period", *money("value"))
 
 
-@query("d_places", """WITH c AS (SELECT n_name AS label, n_nationkey * 9.0 - 100 AS lat, n_regionkey * 30.0 - 60 AS lon FROM nation), v AS (SELECT n_name AS label, round(sum(c_acctbal), 4) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+@query("d_places", """WITH c AS (SELECT n_name AS label, n_nationkey * 9.0::DOUBLE - 100 AS lat, n_regionkey * 30.0::DOUBLE - 60 AS lon FROM nation), v AS (SELECT n_name AS label, round(sum(c_acctbal), 4) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
 SELECT label, lat AS latitude, lon AS longitude, value, min(lat) OVER () AS south, max(lat) OVER () AS north FROM c JOIN v USING (label) WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180""")
 def d_places(spark, d):
     n = table(spark, d, "nation")

@@ -72,6 +72,13 @@ def t_json(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
 
 
+@query("t_xml", "SELECT p_partkey, p_name AS name, p_size::BIGINT AS size FROM part")
+def t_xml(spark, d):
+    xml = F.format_string("<part><name>%s</name><size>%d</size></part>", "p_name", "p_size")
+    read = F.from_xml(xml, "name string, size long")
+    return table(spark, d, "part").select("p_partkey", read.getField("name").alias("name"), read.getField("size").alias("size"))
+
+
 @query("t_calendar", "SELECT strftime(unnest(generate_series(date_trunc('year', min(o_orderdate)), date_trunc('year', max(o_orderdate)) + INTERVAL 1 YEAR - INTERVAL 1 DAY, INTERVAL 1 DAY)), '%Y-%m-%d') AS day FROM orders")
 def t_calendar(spark, d):
     return steps.calendar(table(spark, d, "orders"), "o_orderdate").select(F.date_format("date", "yyyy-MM-dd").alias("day"))
