@@ -32,7 +32,7 @@ from ._common import hash_words, new_path, staged, text_steps
 
 #: Ids handled in one numpy step.
 STEP_IDS = 1 << 19
-CACHE_PIECES = 600_000
+CACHE_PIECES = 250_000
 CACHE_PIECE_BYTES = 40
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
