@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainwise.llm import decontamination, mixing, quality_classifier, simhash, token_output
+from grainwise.llm import decontamination, mixing, near_copies, quality_classifier, token_output
 from grainwise.llm._common import staged
 from grainwise.shipping import ship
 
@@ -18,9 +18,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group linked by a similarity of 0.8 or more of their five-word shingles."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
