@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.names import name_key
+from ...sources.staging import staged
 
 NAME_LIKENESS, COLUMN_OVERLAP, MOST_PAIRS = 0.80, 0.6, 20
+#: Asked names in one broadcast.
+ASKED_BLOCK = 10_000
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -66,11 +70,32 @@ def pairings(left: DataFrame, right: DataFrame, most: int = MOST_PAIRS) -> DataF
     return found.orderBy("contradicted", rank, F.desc("similarity"), "left", "right").limit(most).select("left", "right", "similarity", "basis", "contradicted")
 
 
+def _close(least: float):
+    def run(names: pd.Series, asked: pd.Series) -> pd.Series:
+        matcher, last, found = SequenceMatcher(), None, []
+        for x, word in zip(names, asked):
+            if word != last:
+                matcher.set_seq2(word)
+                last = word
+            matcher.set_seq1(x)
+            # Both quick ratios are never below the ratio.
+            close = matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and (ratio := matcher.ratio()) >= least
+            found.append(ratio if close else None)
+        return pd.Series(found, dtype="float64")
+
+    return F.pandas_udf(run, "double")
+
+
 def did_you_mean(asked: DataFrame, names: DataFrame, most: int = 5, least: float = 0.5) -> DataFrame:
-    """(asked, name, similarity): for each asked name the most alike; names meet over their first two letters."""
-    a = asked.select(F.col("name").alias("asked"), F.substring(F.lower("name"), 1, 2).alias("block")).distinct()
-    n = names.select("name", F.substring(F.lower("name"), 1, 2).alias("block")).distinct()
-    met = a.join(n, "block").filter(likeness_bound(F.col("asked"), F.col("name")) >= least)
-    scored = met.withColumn("similarity", likeness(F.lower("asked"), F.lower("name"))).filter(F.col("similarity") >= least)
-    nth = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("similarity"), "name"))
+    """(asked, name, similarity): for each asked name the most alike of all names, of equals the last by name.
+
+    Every asked name meets every name: the asked ones are broadcast in blocks of about ASKED_BLOCK.
+    """
+    a = staged(asked.select(F.col("name").alias("asked")).filter("asked IS NOT NULL").distinct(), "asked")
+    n = staged(names.select("name").filter("name IS NOT NULL").distinct(), "names")
+    blocks = max(1, -(-a.count() // ASKED_BLOCK))
+    block = F.pmod(F.xxhash64("asked"), F.lit(blocks))
+    met = reduce(DataFrame.union, [n.join(F.broadcast(a.filter(block == b)), likeness_bound(F.col("asked"), F.col("name")) >= least) for b in range(blocks)])
+    scored = met.withColumn("similarity", _close(least)(F.lower("name"), F.lower("asked"))).filter(F.col("similarity") >= least)
+    nth = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("similarity"), F.desc("name")))
     return scored.withColumn("_nth", nth).filter(F.col("_nth") <= most).select("asked", "name", "similarity")
