@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import new_path, shared_dir, staged  # noqa: F401
+from ..sources.staging import discard, new_path, shared_dir, staged  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -1,20 +1,28 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Counts of words and of pairs of words run over all training texts, on Spark. A count c of at least m is quantised to the
-level 1 + floor(log2(c / m)), and the filter gets an n-gram once for each level up to its own; probing levels 1, 2, ...
-until one is missing gives the level back, and the middle of its range is the count. The filter is split by hash into
-segments, each built by one task and joined on the driver. Its size is in proportion to its entries and at most
-MAX_BITS: beyond, the least count m of pairs (2 otherwise), and then that of words, is doubled until the entries fit, so
-rarer n-grams are scored by what is left. That bound holds at any size, so the filter is broadcast.
-
-The model interpolates: P(w | v) = a * c(v, w) / c(v) + (1 - a) * P(w), P(w) from the filter's word counts plus one. The
-weight a depends on the level of v; all training texts, each pair reduced by its own occurrence, choose it by likelihood.
+Counts of words and of pairs of words run over all training texts: each step of a task sorts and counts its n-grams and
+sends them, packed, to the segment of their hash; a segment's task adds the counts up. A count is quantised to the last of
+the values 1 to 8, 10, 12, 14, 16, 20, ... (four a doubling) that it reaches; the filter gets an n-gram once for each
+value up to its own, and probing value after value until one is missing gives the quantised count back. Every n-gram is in
+the filter, those found once too. Segments follow the size of the texts, and a segment's bits what it holds, so false
+positives are as rare in any corpus.
+
+A filter of at most BROADCAST_BYTES is broadcast, and texts probe it where they are. A larger one stays in its segments,
+and each text's n-grams are sent to them and the levels back; the scores are the same.
+
+With q the lower and q' the upper end of a quantised count, m a weight, and n the training texts:
+P(w | v) = (q(v, w) + m P(w)) / (q'(v) + m), at a text's start (q(start, w) + m P(w)) / (n + m), where
+P(w) = (q(w) + 1) / (sum of q over the vocabulary, as probed, + distinct words + 1). So the shares of the vocabulary and of
+one unknown word add up to 1, and the pairs of a context that occur to no more than its own count. A pair counts as no
+more than either of its words.
 
 The base score takes exact counts: words of at least a certain count, at most HEAVY_WORDS of them, are broadcast; the
 other words of each text are joined with their counts.
 
-Defined cases: a null or empty text has the end token alone; rows of null id count as those of the empty text; repeated
-rows score alike and each counts in training; an empty table gives an empty result; extra columns are left alone.
+Defined cases: a null or empty text has the end token alone, and its score is that of an end after a start; a null id
+counts as an empty one in the caller's rule of what is held out; repeated rows score alike and each counts in training;
+without training texts every word is unknown and P(w) is 1 (base score and score 0); an empty table gives an empty result;
+extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -24,18 +32,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import first_words, hash_words, mix, staged, text_steps, word_spans
+from ._common import discard, first_words, hash_words, mix, staged, text_steps, word_spans
 
-MAX_BITS = 1 << 28
-BITS_PER_ENTRY = 10
-PROBES = 4
-SEGMENT_BITS = 18
+BROADCAST_BYTES = 1 << 28
+BITS_PER_ENTRY = 12
+PROBES = 5
+#: Weight of the words' shares against a context's own count.
+PRIOR = 50.0
+#: Bytes of training text for each segment of the filter, and segments that meet their probes together if it isn't broadcast.
+SEGMENT_TEXT = 1 << 20
+GROUP_SEGMENTS_LOG2 = 4
 HEAVY_WORDS = 1 << 20
-LEVELS = 48
-WEIGHTS = np.array([0.0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
+STEP = 4 << 20
+
+_rng = np.random.default_rng(20250103)
+_MASKS_LOG2 = 14
+#: Sets of PROBES bits of a word: an entry's bits share a word, so that one fetch finds them all.
+_MASKS = np.bitwise_or.reduce(np.uint64(1) << np.argsort(_rng.random((1 << _MASKS_LOG2, 64)), axis=1)[:, :PROBES].astype(np.uint64), axis=1)
+
+#: The values that counts are quantised to.
+VALUES = np.array([*range(1, 8), *((4 + i) << e for e in range(1, 50) for i in range(4))], np.int64)
+LOW = np.concatenate([[0], VALUES])
+HIGH = np.concatenate([[0], VALUES[1:] - 1, [VALUES[-1]]])
 
 _START, _END = np.uint64(0x5354415254), mix(np.array([0x454E44], np.uint64))[0] | np.uint64(1)
 
@@ -57,132 +79,131 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, token, mix(before * np.uint64(0x9E3779B97F4A7C15) + token) & ~np.uint64(1)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, data, offsets in text_steps(batch.column(0), 2 << 20):
-            _, token, pair = tokens(data, offsets)
-            for grams in (token, pair):
-                h, n = np.unique(grams, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+def level_of(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(VALUES, counts, "right")
 
 
-def level_of(n: Column, least: int) -> Column:
-    return (1 + F.floor(F.log2(n / float(least)) + 1e-9)).cast("int")
+def segment_of(grams: np.ndarray, segments_log2: int) -> np.ndarray:
+    return (grams >> np.uint64(64 - segments_log2)).astype(np.int64)
 
 
 class Filter:
-    """The bits, and the least counts of words and pairs; level 0 is a missing n-gram."""
-
-    def __init__(self, bits: np.ndarray, segments_log2: int, least_word: int, least_pair: int):
-        self.bits, self.segments_log2, self.least = bits, segments_log2, {1: least_word, 0: least_pair}
+    """Words of 64 bits of some segments, one after the other: `first` has where each of all segments begins, `size` its words (0: not here)."""
+
+    def __init__(self, segments_log2: int, segments: np.ndarray, raw: list):
+        self.segments_log2 = segments_log2
+        self.first, self.size = np.zeros(1 << segments_log2, np.uint64), np.zeros(1 << segments_log2, np.uint64)
+        lengths = np.array([len(b) // 8 for b in raw], np.uint64)
+        self.words = np.empty(int(lengths.sum()), np.uint64)
+        at = 0
+        for b in raw:
+            self.words[at : at + len(b) // 8] = np.frombuffer(b, np.uint64)
+            at += len(b) // 8
+        self.first[segments], self.size[segments] = lengths.cumsum() - lengths, lengths
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
-        """The level of each n-gram, by probing one level after the other."""
+        """The level of each n-gram, by probing one value after the other."""
         level = np.zeros(len(grams), np.int64)
-        live = np.arange(len(grams))
-        for j in range(1, LEVELS):
-            at = positions(grams[live], np.full(len(live), j), self.segments_log2)
-            there = np.ones(len(live), bool)
-            for p in at:
-                there &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-            live = live[there]
-            if not len(live):
-                break
+        segment = segment_of(grams, self.segments_log2)
+        first, size = self.first[segment], self.size[segment]
+        live, j = np.flatnonzero(size), 0
+        if len(live) < len(grams):
+            grams, first, size = grams[live], first[live], size[live]
+        while len(live):
+            j += 1
+            at, mask = place(grams, j, size)
+            there = np.flatnonzero((self.words[first + at] & mask) == mask)
+            live, grams, first, size = live[there], grams[there], first[there], size[there]
             level[live] = j
         return level
 
-    def counts(self, levels: np.ndarray, word: int) -> np.ndarray:
-        """The middle of the range of each level."""
-        low = self.least[word] * 2.0 ** (levels - 1)
-        return np.where(levels > 0, low + (low - 1) / 2, 0.0)
+
+def place(grams: np.ndarray, level, size) -> tuple[np.ndarray, np.ndarray]:
+    """Where (n-gram, level) lies in a segment of `size` words, and its bits there."""
+    y = mix(grams + np.asarray(level, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return (y & np.uint64(0xFFFFFFFF)) * size >> np.uint64(32), _MASKS[y >> np.uint64(64 - _MASKS_LOG2)]
 
 
-def positions(grams: np.ndarray, level: np.ndarray, segments_log2: int) -> list[np.ndarray]:
-    """Bit positions of (n-gram, level), all in the n-gram's segment."""
-    segment = (grams >> np.uint64(64 - segments_log2)).astype(np.int64) if segments_log2 else np.zeros(len(grams), np.int64)
-    y = mix(grams + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    mask = np.uint64((1 << SEGMENT_BITS) - 1)
-    a, b = y & mask, y >> np.uint64(32) | np.uint64(1)
-    return [(segment << SEGMENT_BITS) + (a + np.uint64(i) * b & mask).astype(np.int64) for i in range(PROBES)]
+def _binary(raw: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary value for each stretch of raw between two edges."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * raw.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
-def _build(segments_log2: int):
-    """Segments of the filter from rows (segment, h, level) sorted by segment."""
+def _count(segments_log2: int):
+    """Rows (segment, h, n): the n-grams of a step that fall into a segment, and their counts, as 64 and 32 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits = -1, None
         for batch in batches:
-            segment, grams, levels = (batch.column(c).to_numpy() for c in range(3))
-            if not len(segment):
-                continue
-            edges = np.concatenate([[0], np.flatnonzero(segment[1:] != segment[:-1]) + 1, [len(segment)]])
-            for a, b in zip(edges[:-1], edges[1:]):
-                if segment[a] != now:
-                    if bits is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["segment", "bits"])
-                    now, bits = int(segment[a]), np.zeros(1 << SEGMENT_BITS, bool)
-                n = levels[a:b]
-                each = np.repeat(grams[a:b].view(np.uint64), n)
-                level = np.arange(len(each)) - np.repeat(n.cumsum() - n, n) + 1
-                for p in positions(each, level, segments_log2):
-                    bits[p & ((1 << SEGMENT_BITS) - 1)] = True
-        if bits is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["segment", "bits"])
+            for _, _, data, offsets in text_steps(batch.column(0), STEP):
+                _, token, pair = tokens(data, offsets)
+                h, n = np.unique(np.concatenate([token, pair]), return_counts=True)
+                segment = segment_of(h, segments_log2)
+                new = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+                edges = np.append(new, len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(segment[new], pa.int32()), _binary(h, edges), _binary(n.astype(np.uint32), edges)], ["segment", "h", "n"])
 
     return run
 
 
-def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> Filter:
-    """A filter of counts (h, n); bit 0 of h tells words from pairs."""
-    word = F.col("h").bitwiseAND(F.lit(1))
-    # How many n-grams of each kind and power of two of the count: a few dozen rows.
-    kinds = {(r["word"], r["p"]): r["k"] for r in counts.groupBy(word.alias("word"), level_of(F.col("n"), 1).alias("p")).agg(F.count("*").alias("k")).collect()}
-    floor = {1: 0, 0: 1}
-
-    def entries() -> int:
-        return sum(k * (p - floor[w]) for (w, p), k in kinds.items() if p > floor[w])
-
-    while entries() * BITS_PER_ENTRY > max_bits:
-        floor[0 if any(p > floor[0] for w, p in kinds if w == 0) else 1] += 1
-    segments_log2 = max(0, math.ceil(math.log2(max(1, entries() * BITS_PER_ENTRY / (1 << SEGMENT_BITS)))))
-    segments_log2 = min(segments_log2, int(math.log2(max_bits)) - SEGMENT_BITS)
-    least = {w: 1 << f for w, f in floor.items()}
-    rows = counts.withColumn("level", F.when(word == 1, level_of(F.col("n"), least[1])).otherwise(level_of(F.col("n"), least[0]))).filter("level > 0")
-    segment = F.shiftrightunsigned("h", 64 - segments_log2) if segments_log2 else F.lit(0)
-    parts = (
-        rows.select(segment.cast("long").alias("segment"), "h", F.least("level", F.lit(LEVELS - 1)).alias("level"))
-        .repartition("segment")
-        .sortWithinPartitions("segment")
-        .mapInArrow(_build(segments_log2), "segment long, bits binary")
-        .toArrow()
-    )
-    bits = np.zeros(1 << (SEGMENT_BITS + segments_log2 - 3), np.uint8)
-    width = 1 << (SEGMENT_BITS - 3)
-    for s, raw in zip(parts["segment"].to_pylist(), parts["bits"]):
-        bits[s * width : (s + 1) * width] = np.frombuffer(raw.as_buffer(), np.uint8)
-    return Filter(bits, segments_log2, least[1], least[0])
+_SEGMENT = "segment int, bits binary, tokens long, quantised long, words array<long>, counts array<long>"
+
+
+def _build(segments_log2: int, bits_per_entry: int):
+    """A row for each segment from rows of _count sorted by segment: its bits, sums over its words, and the words' counts."""
+
+    def segment(now: int, grams: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
+        h, n = np.frombuffer(b"".join(grams), np.uint64), np.frombuffer(b"".join(counts), np.uint32)
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        h, n = h[new], np.add.reduceat(n.astype(np.int64), new)
+        level = level_of(n)
+        filled = np.zeros(-(-int(level.sum()) * bits_per_entry // 64), np.uint64)
+        for lo in range(0, len(h), 1 << 18):  # a bounded number of entries at once
+            some = level[lo : lo + (1 << 18)]
+            each = np.repeat(h[lo : lo + (1 << 18)], some)
+            at, mask = place(each, np.arange(len(each)) - np.repeat(some.cumsum() - some, some) + 1, np.uint64(len(filled)))
+            np.bitwise_or.at(filled, at, mask)
+        raw = filled.tobytes()
+        word = (h & np.uint64(1)).astype(bool)
+        probed = Filter(segments_log2, np.array([now]), [raw]).levels(h[word])
+        row = [[now], [raw], [int(n[word].sum())], [int(LOW[probed].sum())], [h[word].view(np.int64)], [n[word]]]
+        types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["segment", "bits", "tokens", "quantised", "words", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, grams, counts = -1, [], []
+        for batch in batches:
+            for s, h, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if s != now:
+                    if grams:
+                        yield segment(now, grams, counts)
+                    now, grams, counts = s, [], []
+                grams.append(h)
+                counts.append(n)
+        if grams:
+            yield segment(now, grams, counts)
+
+    return run
 
 
 class Model:
-    """What the workers need: the filter, totals, interpolation weights by level, and exact counts of frequent words."""
-
-    def __init__(self, filter_: Filter, total: int, distinct: int, n_docs: int, heavy: np.ndarray, heavy_n: np.ndarray):
-        self.filter, self.total, self.distinct, self.n_docs, self.heavy, self.heavy_n = filter_, total, distinct, n_docs, heavy, heavy_n
-        self.weights = np.zeros(LEVELS)
-
-    def parts(self, row: np.ndarray, token: np.ndarray, pair: np.ndarray):
-        """Level of the context, count of the context, count of the pair, and P(word) of each token."""
-        words, of = np.unique(token, return_inverse=True)
-        level = self.filter.levels(words)
-        count = self.filter.counts(level, 1)
-        plain = ((count + 1) / (self.total + self.distinct + 1))[of]
-        pairs, of_pair = np.unique(pair, return_inverse=True)
-        both = self.filter.counts(self.filter.levels(pairs), 0)[of_pair]
+    """What scoring needs beside the filter: totals, and the exact counts of frequent words."""
+
+    def __init__(self, total: int, quantised: int, distinct: int, n_docs: int, heavy: np.ndarray, heavy_n: np.ndarray, prior: float):
+        self.total, self.quantised, self.distinct, self.n_docs, self.heavy, self.heavy_n, self.prior = total, quantised, distinct, n_docs, heavy, heavy_n, prior
+
+    def share(self, level: np.ndarray) -> np.ndarray:
+        """P(w) of words of these levels."""
+        return (LOW[level] + 1) / (self.quantised + self.distinct + 1)
+
+    def logs(self, row: np.ndarray, word_level: np.ndarray, pair_level: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability."""
         start = np.concatenate([[True], row[1:] != row[:-1]])
-        docs_level = min(LEVELS - 1, 1 + int(math.log2(max(1, self.n_docs))))
-        context_level = np.where(start, docs_level, np.concatenate([[0], level[of][:-1]]))
-        context = np.where(start, self.n_docs, np.concatenate([[0.0], count[of][:-1]]))
-        return context_level, context, both, plain
+        before = np.concatenate([[0], word_level[:-1]])
+        most = np.where(start, word_level, np.minimum(word_level, before))
+        own = np.where(start, self.n_docs, HIGH[before])
+        return np.log10((LOW[np.minimum(pair_level, most)] + self.prior * self.share(word_level)) / (own + self.prior))
 
     def exact(self, token: np.ndarray) -> np.ndarray:
         """Exact count of each token, or -1 if it is not among the frequent ones."""
@@ -192,126 +213,178 @@ class Model:
         return np.where(self.heavy[at] == token, self.heavy_n[at], -1)
 
 
-def _tune(model):
-    """Log likelihood of training texts for each level of the context and each weight, every pair without itself."""
+class Trained:
+    """The segments of the filter as a table, the model, and the counts (h, c) of words that the model lacks."""
+
+    def __init__(self, table: DataFrame, segments_log2: int, model: Model, rare: DataFrame, size: int):
+        self.table, self.segments_log2, self.model, self.rare, self.size = table, segments_log2, model, rare, size
+
+    def filter(self) -> Filter:
+        parts = self.table.select("segment", "bits").toArrow()  # of a checked size
+        return Filter(self.segments_log2, parts["segment"].to_numpy(), [b.as_buffer() for b in parts["bits"]])
+
+
+def train(texts: DataFrame, prior: float = PRIOR, bits_per_entry: int = BITS_PER_ENTRY) -> Trained:
+    """A model of texts (text)."""
+    n_docs, n_bytes = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    segments_log2 = max(4, math.ceil(math.log2(max(1, n_bytes / SEGMENT_TEXT))))
+    parts = texts.mapInArrow(_count(segments_log2), "segment int, h binary, n binary").repartition("segment").sortWithinPartitions("segment")
+    table = staged(parts.mapInArrow(_build(segments_log2, bits_per_entry), _SEGMENT), "lm-filter")
+    total, quantised, size = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "quantised", F.octet_length("bits"))]).first()
+    words = table.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("h"), F.col("w.counts").alias("c"))
+    power = F.floor(F.log2("c") + 1e-9).cast("int")
+    kinds = {r["p"]: r["k"] for r in words.groupBy(power.alias("p")).agg(F.count("*").alias("k")).collect()}  # a row for each power of two
+    least, room = 64, HEAVY_WORDS
+    for p in sorted(kinds, reverse=True):
+        room -= kinds[p]
+        if room < 0:
+            break
+        least = p
+    heavy = words.filter(power >= least).toArrow()  # at most HEAVY_WORDS rows
+    h, n = heavy["h"].to_numpy().view(np.uint64), heavy["c"].to_numpy()
+    order = np.argsort(h)
+    return Trained(table, segments_log2, Model(total, quantised, sum(kinds.values()), n_docs, h[order], n[order], prior), words.filter(power < least), size)
+
+
+def _distinct(row: np.ndarray, token: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, n-gram) of each row's distinct n-grams in order, and where the tokens and then the pairs are among them."""
+    rows, grams = np.concatenate([row, row]), np.concatenate([token, pair])
+    order = np.lexsort((grams, rows))
+    rows, grams = rows[order], grams[order]
+    new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])])
+    of = np.empty(len(order), np.int64)
+    of[order] = new.cumsum() - 1
+    return rows[new], grams[new], of
+
+
+def _ask(segments_log2: int):
+    """Rows (part, kind 1, at: the text's row number, raw: its distinct n-grams that fall into the part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        total = np.zeros((LEVELS, len(WEIGHTS)))
         for batch in batches:
-            for _, _, data, offsets in text_steps(batch.column(0)):
-                level, context, both, plain = m.parts(*tokens(data, offsets))
-                share = np.minimum(np.maximum(both - 1, 0) / np.maximum(context - 1, 1), 1.0)
-                for i, a in enumerate(WEIGHTS):
-                    total[:, i] += np.bincount(level, np.log10(a * share + (1 - a) * plain), LEVELS)
-        level, i = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(level, pa.int64()), pa.array(i, pa.int64()), pa.array(total[level, i])], ["level", "i", "s"])
+            for lo, hi, data, offsets in text_steps(batch.column(1)):
+                row, grams, _ = _distinct(*tokens(data, offsets))
+                part = segment_of(grams, segments_log2) >> GROUP_SEGMENTS_LOG2
+                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])]))
+                at = batch.column(0).slice(lo, hi - lo).take(pa.array(row[new]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[new], pa.int32()), pa.array(np.ones(len(new)), pa.int32()), at, _binary(grams, np.append(new, len(grams)))], ["part", "kind", "at", "raw"])
+
+    return run
+
+
+def _answer(segments_log2: int):
+    """Levels of the n-grams that were asked for, from rows sorted by (part, kind, at): first a part's segments (kind 0), then the questions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, segments, bits, known = None, [], [], None
+        for batch in batches:
+            parts, kinds, ats, raws = (batch.column(c).to_pylist() for c in range(4))
+            out: list[list] = [[], [], []]
+            for part, kind, at, raw in zip(parts, kinds, ats, raws):
+                if part != now:
+                    now, segments, bits, known = part, [], [], None
+                if kind == 0:
+                    segments.append(at)
+                    bits.append(raw)
+                    continue
+                if known is None:
+                    known = Filter(segments_log2, np.array(segments, np.int64), bits)
+                levels = known.levels(np.frombuffer(raw, np.uint64)).astype(np.uint8)
+                for o, v in zip(out, (at, part, levels.tobytes())):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["at", "part", "levels"])
 
     return run
 
 
-def _score(model, id_type: pa.DataType):
-    """A row for each text with h null, and rows (h, n) for those of its words that are not among the frequent ones."""
+def _levels_by_segment(rows: DataFrame, trained: Trained) -> DataFrame:
+    """rows (at, text, ...) with `levels`: those of each text's distinct n-grams in order, in pieces; every segment's bits are read where its n-grams are sent."""
+    s = trained.segments_log2
+    kept = trained.table.select(F.shiftright("segment", GROUP_SEGMENTS_LOG2).alias("part"), F.lit(0).alias("kind"), F.col("segment").cast("long").alias("at"), F.col("bits").alias("raw"))
+    asked = rows.select("at", "text").mapInArrow(_ask(s), "part int, kind int, at long, raw binary")
+    answers = kept.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind", "at").mapInArrow(_answer(s), "at long, part int, levels binary")
+    lists = answers.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("part", "levels"))).alias("levels"))
+    return rows.join(lists.select("at", F.col("levels.levels").alias("levels")), "at")
+
+
+_SCORED = ["doc_id", "held_out", "at", "n_tokens", "known", "base", "score", "rare", "rare_n"]
+
+
+def _score(model, known):
+    """A row for each text: sums over all tokens, the base as if words that are not among the frequent ones had count 0, and those words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
+        bloom: Filter | None = known.value if known else None
         floor = math.log10(m.total + m.distinct + 1)
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi, data, offsets in text_steps(batch.column(2)):
                 n_rows = hi - lo
                 row, token, pair = tokens(data, offsets)
-                level, context, both, plain = m.parts(row, token, pair)
-                a = np.where(context > 0, m.weights[level], 0.0)
-                p = a * np.minimum(both / np.maximum(context, 1), 1.0) + (1 - a) * plain
+                if bloom is None:
+                    levels = batch.column(4).slice(lo, n_rows)
+                    flat = np.frombuffer(b"".join(p for pieces in levels.to_pylist() for p in pieces), np.uint8).astype(np.int64)[_distinct(row, token, pair)[2]]
+                    word_level, pair_level = flat[: len(row)], flat[len(row) :]
+                else:
+                    words, of = np.unique(token, return_inverse=True)
+                    word_level = bloom.levels(words)[of]
+                    pair_level = bloom.levels(pair)
+                score = np.bincount(row, m.logs(row, word_level, pair_level), n_rows)
                 c = m.exact(token)
-                heavy = c >= 0
-                base = np.bincount(row[heavy], np.log10(c[heavy] + 1.0) - floor, n_rows)
-                ids, keys, held = (batch.column(i).slice(lo, n_rows) for i in (0, 1, 3))
-                ones, none = np.bincount(row, minlength=n_rows), pa.nulls(n_rows, pa.int64())
+                base = np.bincount(row, np.log10(np.maximum(c, 0) + 1.0) - floor, n_rows)
+                rare = np.flatnonzero(c < 0)
+                order = rare[np.lexsort((token[rare], row[rare]))]
+                new = np.flatnonzero(np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (token[order][1:] != token[order][:-1])])) if len(order) else order
+                n = np.diff(np.append(new, len(order)))
+                edges = pa.array(np.searchsorted(row[order][new], np.arange(n_rows + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [ids, keys, held, keys, none, pa.array(ones, pa.int64()), pa.array(np.bincount(row[heavy], minlength=n_rows), pa.int64()), pa.array(base), pa.array(np.bincount(row, np.log10(p), n_rows))],
+                    [
+                        *(batch.column(i).slice(lo, n_rows) for i in (0, 1)),
+                        pa.array(at + np.arange(n_rows)),
+                        pa.array(np.bincount(row, minlength=n_rows), pa.int64()),
+                        pa.array(np.bincount(row[c > 0], minlength=n_rows), pa.int64()),
+                        pa.array(base),
+                        pa.array(score),
+                        pa.ListArray.from_arrays(edges, pa.array(token[order][new].view(np.int64))),
+                        pa.ListArray.from_arrays(edges, pa.array(n, pa.int64())),
+                    ],
                     _SCORED,
                 )
-                rare = np.stack([row[~heavy].astype(np.uint64), token[~heavy]], 1)
-                if len(rare):
-                    order = np.lexsort((rare[:, 1], rare[:, 0]))
-                    rare = rare[order]
-                    new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]).any(1)]))
-                    n, r = np.diff(np.concatenate([new, [len(rare)]])), pa.array(rare[new, 0].astype(np.int64))
-                    long, real = pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(new), id_type), keys.take(r), held.take(r), pa.array(rare[new, 1].view(np.int64)), pa.array(n, pa.int64()), long, long, real, real], _SCORED)
+                at += n_rows
 
     return run
 
 
-_SCORED = ["doc_id", "k", "held_out", "h", "n", "n_tokens", "known", "base", "score"]
-
-
-def train(texts: DataFrame, max_bits: int = MAX_BITS) -> tuple[Model, DataFrame]:
-    """A model from texts (text), and the exact counts (h, c) of the words that are not among the frequent ones."""
-    spark = texts.sparkSession
-    word = F.col("h").bitwiseAND(F.lit(1)) == 1
-    counts = texts.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    # Pairs found once never get into the filter.
-    counts = staged(counts.filter(word | (F.col("n") > 1)), "lm-counts")
-    words = counts.filter(word)
-    sizes = words.groupBy(level_of(F.col("n"), 1).alias("p")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()
-    least, room = LEVELS, HEAVY_WORDS
-    for r in sorted(sizes, key=lambda r: -r["p"]):
-        room -= r["k"]
-        if room < 0:
-            break
-        least = r["p"]
-    heavy = words.filter(level_of(F.col("n"), 1) >= least).toArrow()  # at most HEAVY_WORDS rows
-    h, n = heavy["h"].to_numpy().view(np.uint64), heavy["n"].to_numpy()
-    order = np.argsort(h)
-    model = Model(build_filter(counts, max_bits), sum(r["n"] for r in sizes), sum(r["k"] for r in sizes), texts.count(), h[order], n[order])
-    told = texts.mapInArrow(_tune(spark.sparkContext.broadcast(model)), "level long, i long, s double").groupBy("level", "i").agg(F.sum("s").alias("s")).collect()
-    best: dict[int, tuple[float, int]] = {}
-    for r in told:
-        best[r["level"]] = max(best.get(r["level"], (-math.inf, 0)), (r["s"], -r["i"]))
-    for level, (_, i) in best.items():
-        model.weights[level] = WEIGHTS[-i] if level else 0.0
-    return model, words.filter(level_of(F.col("n"), 1) < least).select("h", F.col("n").alias("c"))
-
-
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, prior: float = PRIOR, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text, with a model of those not held out."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"), held_out.alias("held_out"))
-    model, rare = train(rows.filter(~F.col("held_out")).select("text"))
-    id_type = rows.schema["doc_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    schema = f"doc_id {id_type.simpleString()}, k long, held_out boolean, h long, n long, n_tokens long, known long, base double, score double"
-    known = spark.sparkContext.broadcast(model)
-    found = rows.select("doc_id", "k", "text", "held_out").mapInArrow(_score(known, to_arrow_type(id_type)), schema)
-    floor = math.log10(model.total + model.distinct + 1)
-    c = F.coalesce("c", F.lit(0))
-    whole = F.col("n").isNull()
-    summed = (
-        found.join(rare, "h", "left")
-        .groupBy("k")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.count_if(whole).alias("copies"),
-            F.max("n_tokens").alias("n_tokens"),
-            F.max("known").alias("known"),
-            F.max("base").alias("base"),
-            F.max("score").alias("score"),
-            F.coalesce(F.sum(F.when(~whole & (c > 0), F.col("n"))), F.lit(0)).alias("more_known"),
-            F.coalesce(F.sum(F.when(~whole, F.col("n") * (F.log10(c + 1.0) - floor))), F.lit(0.0)).alias("more"),
-        )
+    context = docs.sparkSession.sparkContext
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
+    trained = train(rows.filter(~F.col("held_out")).select("text"), prior, bits_per_entry)
+    model, told = trained.model, None
+    if trained.size <= broadcast_bytes:
+        told = context.broadcast(trained.filter())
+        asked = rows.withColumn("at", F.lit(0))
+    else:
+        # Row numbers that are written, so that whatever reads them finds the same.
+        asked = _levels_by_segment(staged(rows.withColumn("at", F.monotonically_increasing_id()), "lm-rows"), trained)
+        asked = asked.select("doc_id", "held_out", "text", "at", "levels")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, at long, n_tokens long, known long, base double, score double, rare array<long>, rare_n array<long>"
+    scored = staged(asked.mapInArrow(_score(context.broadcast(model), told), schema), "lm-scored")
+    more = (
+        scored.select("at", F.explode(F.arrays_zip("rare", "rare_n")).alias("w"))
+        .select("at", F.col("w.rare").alias("h"), F.col("w.rare_n").alias("n"))
+        .join(trained.rare, "h")
+        .groupBy("at")
+        .agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"))
     )
-    # Wholly equal rows share a key: what they add up to is divided among them again.
-    return summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+    return scored.join(more, "at", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + (F.col("more_known") / F.col("copies")).cast("long")).alias("n_known"),
+        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("more") / F.col("copies")).alias("base_score"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
         "score",
     )
 

@@ -1,5 +1,7 @@
 """Each operator against a brute-force version, on odd rows and on the given documents."""
 
+import bisect
+import functools
 import hashlib
 import math
 import re
@@ -7,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -71,18 +74,93 @@ def test_lm_scoring(both, none):
     assert lm_scoring.score_texts(none, held).count() == 0
 
 
-def test_bloom_levels(spark):
+@functools.cache
+def quantised(n):
+    """(lower, upper) end of a count: 1 to 8, then four values a doubling."""
+    values = [*range(1, 8), *((4 + i) << e for e in range(1, 40) for i in range(4))]
+    k = bisect.bisect_right(values, n)
+    return (values[k - 1] if k else 0), (values[k] - 1 if k else 0)
+
+
+def plain_scores(texts, out, prior):
+    """log10 probabilities by exact counts that are quantised as the filter does, and the words' shares."""
+    toks = lambda t: [*words((t or "").translate(FOLD)), None]
+    word, pair, n = Counter(), Counter(), 0
+    for i, t in texts:
+        if not out(i):
+            n += 1
+            w = toks(t)
+            word.update(w)
+            pair.update(zip(["", *w], w))
+    total = sum(quantised(c)[0] for c in word.values()) + len(word) + 1
+    share = lambda w: (quantised(word[w])[0] + 1) / total
+
+    def p(v, w):
+        own = n if v == "" else quantised(word[v])[1]
+        return (quantised(pair[v, w])[0] + prior * share(w)) / (own + prior)
+
+    return [sum(math.log10(p(v, w)) for v, w in zip(["", *toks(t)], toks(t))) for _, t in texts], word, share, p
+
+
+@pytest.mark.parametrize("broadcast", [1 << 28, 0])
+def test_lm_scores(both, broadcast):
+    from pyspark.sql import functions as F
+
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    texts = sorted(((r["doc_id"], r["text"]) for r in both.collect()), key=key)
+    want, vocabulary, share, p = plain_scores(texts, out, lm_scoring.PRIOR)
+    # With bits to spare there are next to no false positives.
+    rows = lm_scoring.score_texts(both, held, broadcast_bytes=broadcast, bits_per_entry=2000).collect()
+    got = sorted((key((r["doc_id"],)), r["n_tokens"], r["score"]) for r in rows)
+    want = sorted((key((i,)), len(words(t)) + 1, s) for (i, t), s in zip(texts, want))
+    off = [abs(a[2] - b[2]) / a[1] for a, b in zip(got, want, strict=True)]
+    assert [x[:2] for x in got] == [x[:2] for x in want] and sum(x > 1e-5 for x in off) <= 2 and max(off) < 0.1
+    rough = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r["score"] for r in lm_scoring.score_texts(both, held, broadcast_bytes=broadcast).collect()}
+    exact = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r["score"] for r in rows}
+    assert sum(abs(rough[k] - exact[k]) for k in exact) < 0.02 * sum(k[1] for k in exact)
+    # Shares of the vocabulary and one unknown word add up to 1; the pairs of a context to no more.
+    assert sum(map(share, vocabulary)) + share("never seen") == pytest.approx(1)
+    for v in ["", *sorted(filter(None, vocabulary))[::3000]]:
+        assert sum(p(v, w) for w in vocabulary) <= 1 + 1e-9
+
+
+def test_lm_scores_without_training(both):
+    from pyspark.sql import functions as F
+
+    assert {(r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in lm_scoring.score_texts(both, F.lit(True)).collect()} == {(0, 0, 0.0, 0.0)}
+
+
+def test_every_pair_is_in_the_filter(spark):
+    """Texts of pairs that occur once: each known pair scores above the words' shares, whatever the number of segments."""
+    rng = np.random.default_rng(1)
+    texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 2000))) for i in range(60)]
+    trained = lm_scoring.train(spark.createDataFrame(texts, "doc_id long, text string").select("text"))
+    f = trained.filter()
+    for _, t in texts[:5]:
+        data, offsets = np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])
+        _, token, pair = lm_scoring.tokens(data, offsets)
+        assert (f.levels(pair) >= 1).all() and (f.levels(token) >= 1).all()
+
+
+def test_bloom_levels():
     rng = np.random.default_rng(1)
-    grams = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64) | np.uint64(1))
-    counts = rng.integers(1, 5000, len(grams))
-    df = spark.createDataFrame([(int(g.astype(np.int64)), int(n)) for g, n in zip(grams, counts)], "h long, n long")
-    f = lm_scoring.build_filter(df)
-    want = 1 + np.floor(np.log2(counts)).astype(int)
-    level = f.levels(grams)
-    assert (level >= want).all() and (level > want).mean() < 0.05
-    assert (f.levels(rng.integers(0, 2**63, 5000).astype(np.uint64) | np.uint64(1)) > 0).mean() < 0.05
-    small = lm_scoring.build_filter(df, max_bits=1 << 18)
-    assert small.least[1] > 1 and len(small.bits) * 8 <= 1 << 18
+    grams = np.unique(rng.integers(0, 2**63, 50000).astype(np.uint64) * np.uint64(2) | np.uint64(1))
+    counts = (2 ** rng.uniform(0, 14, len(grams))).astype(np.int64)
+    segment = lm_scoring.segment_of(grams, 4)
+    rows = []
+    for s in range(16):
+        own = segment == s
+        half = counts[own] // 2
+        for n in (half, counts[own] - half):  # two steps that hold each n-gram
+            rows.append((s, grams[own][n > 0].tobytes(), n[n > 0].astype(np.uint32).tobytes()))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["segment", "h", "n"])
+    built = list(lm_scoring._build(4, lm_scoring.BITS_PER_ENTRY)(iter([batch])))
+    f = lm_scoring.Filter(4, np.array([b.column(0)[0].as_py() for b in built]), [b.column(1)[0].as_py() for b in built])
+    want, level = lm_scoring.level_of(counts), f.levels(grams)
+    assert (level >= want).all() and (level > want).mean() < 0.03
+    assert (f.levels(rng.integers(0, 2**63, 50000).astype(np.uint64) * np.uint64(2)) > 0).mean() < 0.03
+    assert sum(b.column(2)[0].as_py() for b in built) == counts.sum()
 
 
 def fingerprint(text):
