@@ -8,7 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...sources.staging import staged
+from ...sources.staging import discard, staged
+
+
+#: Rounds of a closure after which what was seen is written as one table.
+MERGE_ROUNDS = 20
 
 
 def union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -25,23 +29,30 @@ def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti")
 
 
-def closure(edges: DataFrame, starts: DataFrame, backwards: bool = False, most: int = 1000) -> DataFrame:
-    """(start, id, depth) of all that starts (id) lead to, cycles included once; each round joins the frontier alone."""
+def closure(edges: DataFrame, starts: DataFrame, backwards: bool = False, most: int | None = None) -> DataFrame:
+    """(start, id, depth) of all that starts (id) lead to, cycles included once, within `most` steps if that is given.
+
+    Each round joins the frontier alone, and only what is new is compared with what was seen; a small frontier is broadcast
+    by Spark, a large one joined by shuffle. Rounds go on until nothing is new.
+    """
     a, b = ("dst", "src") if backwards else ("src", "dst")
-    step = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to")).distinct()
-    frontier = staged(starts.select(F.col("id").alias("start"), "id").distinct(), "frontier")
-    rounds = []
-    seen = frontier
-    for depth in range(1, most + 1):
+    step = staged(edges.select(F.col(a).alias("_from"), F.col(b).alias("_to")).distinct(), "steps")
+    frontier = staged(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct(), "frontier")
+    seen, depth = [frontier], 0
+    while most is None or depth < most:
+        depth += 1
         ahead = frontier.join(step, F.col("id") == F.col("_from")).select("start", F.col("_to").alias("id")).distinct()
-        frontier = staged(ahead.join(seen, ["start", "id"], "left_anti"), "frontier")
+        frontier = staged(ahead.join(union(seen), ["start", "id"], "left_anti").select("start", "id", F.lit(depth).alias("depth")), "frontier")
         if frontier.isEmpty():
             break
-        rounds.append(frontier.withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(frontier)
-    if not rounds:
-        return frontier.withColumn("depth", F.lit(0))
-    return union(rounds)
+        if len(seen) == MERGE_ROUNDS:
+            # Deep graphs: what was seen becomes one table, so that plans stay small.
+            merged = staged(union(seen), "seen")
+            discard(*seen)
+            seen = [merged]
+        seen.append(frontier)
+    discard(step)
+    return union(seen).filter("depth > 0")
 
 
 def neighbourhood(edges: DataFrame, nodes: DataFrame, start: str, depth: int = 2, per_column: int = 12) -> DataFrame:

@@ -47,26 +47,30 @@ def verdicts(metrics: DataFrame) -> DataFrame:
 
 
 def pairings(left: DataFrame, right: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
-    """Likely pairs of unmatched metrics (name, columns) of two platforms.
+    """Likely pairs of unmatched metrics (name, columns and, where known, tables) of two platforms; names that both have are matched and left out.
 
-    Pairs meet over a column both read or over the first letters of a word both names have; then the bound on likeness,
-    and only then likeness itself.
+    A pair meets over a column that both read, or by likeness of names: there the left names are a set of queries, broadcast
+    in blocks of about ASKED_BLOCK against all right names, with bounds on likeness before likeness itself. None is lost.
     """
 
-    def blocked(df: DataFrame, side: str) -> DataFrame:
-        words = F.transform(F.filter(F.split(F.lower("name"), "[^\\p{L}\\p{N}]+"), lambda w: w != ""), lambda w: F.concat(F.lit("w:"), F.substring(w, 1, 4)))
-        blocks = F.array_distinct(F.concat(words, F.transform("columns", lambda c: F.concat(F.lit("c:"), F.lower(c)))))
-        return df.select(F.explode(blocks).alias("block"), F.col("name").alias(side), F.col("columns").alias(f"{side}_columns"))
-
-    met = blocked(left, "left").join(blocked(right, "right"), "block").drop("block").dropDuplicates(["left", "right"])
-    a, b = name_key(F.col("left")), name_key(F.col("right"))
-    structure = overlap(F.col("left_columns"), F.col("right_columns"))
-    weighed = met.withColumn("structure", structure).filter((F.col("structure") >= COLUMN_OVERLAP) | (likeness_bound(a, b) >= NAME_LIKENESS)).withColumn("similarity", F.round(likeness(a, b), 3))
-    named, built = F.col("similarity") >= NAME_LIKENESS, F.col("structure") >= COLUMN_OVERLAP
+    def side(df: DataFrame, name: str) -> DataFrame:
+        bare = lambda c: F.array_distinct(F.transform(c, lambda x: F.lower(F.substring_index(x, ".", -1))))
+        tables = bare(F.col("tables")) if "tables" in df.columns else F.array().cast("array<string>")
+        return df.select(F.col("name").alias(name), name_key(F.col("name")).alias(f"{name}_key"), bare(F.col("columns")).alias(f"{name}_columns"), tables.alias(f"{name}_tables")).dropDuplicates([name])
+
+    every = {"left": staged(side(left, "left"), "left-names"), "right": staged(side(right, "right"), "right-names")}
+    own = {n: staged(every[n].join(every[o].select(F.col(f"{o}_key").alias(f"{n}_key")).distinct(), f"{n}_key", "left_anti"), "unmatched") for n, o in (("left", "right"), ("right", "left"))}
+    by_column = {n: own[n].select(n, F.explode(f"{n}_columns").alias("column")) for n in own}
+    met = by_column["left"].join(by_column["right"], "column").select("left", "right").distinct()
+    keys = {n: own[n].select(n, f"{n}_key") for n in own}
+    near = _alike(keys["left"], keys["right"], F.col("left_key"), F.col("right_key"), NAME_LIKENESS).select("left", "right")
+    pairs = met.unionByName(near).distinct().join(own["left"], "left").join(own["right"], "right")
+    weighed = pairs.withColumn("structure", overlap(F.col("left_columns"), F.col("right_columns"))).withColumn("ratio", likeness(F.col("left_key"), F.col("right_key")))
+    named, built = F.col("ratio") >= NAME_LIKENESS, F.col("structure") >= COLUMN_OVERLAP
     basis = F.when(named & built, "both").when(built, "structure").otherwise("name")
-    contradicted = named & (F.size(F.array_intersect("left_columns", "right_columns")) == 0)
+    shared = F.arrays_overlap("left_columns", "right_columns") | F.arrays_overlap("left_tables", "right_tables")
     rank = F.when(F.col("basis") == "both", 0).when(F.col("basis") == "structure", 1).otherwise(2)
-    found = weighed.filter(named | built).withColumn("basis", basis).withColumn("contradicted", contradicted)
+    found = weighed.filter(named | built).withColumn("basis", basis).withColumn("contradicted", (F.col("basis") == "name") & ~shared).withColumn("similarity", F.round("ratio", 3))
     return found.orderBy("contradicted", rank, F.desc("similarity"), "left", "right").limit(most).select("left", "right", "similarity", "basis", "contradicted")
 
 
@@ -86,6 +90,14 @@ def _close(least: float):
     return F.pandas_udf(run, "double")
 
 
+def _alike(asked: DataFrame, names: DataFrame, one: Column, two: Column, least: float) -> DataFrame:
+    """Pairs of asked and names whose texts `one` and `two` have a likeness (ratio) of least or more: asked, a set of queries, is broadcast in blocks."""
+    blocks = max(1, -(-asked.count() // ASKED_BLOCK))
+    block = F.pmod(F.xxhash64(asked.columns[0]), F.lit(blocks))
+    met = reduce(DataFrame.union, [names.join(F.broadcast(asked.filter(block == b)), likeness_bound(one, two) >= least) for b in range(blocks)])
+    return met.withColumn("ratio", _close(least)(one, two)).filter(F.col("ratio") >= least)
+
+
 def did_you_mean(asked: DataFrame, names: DataFrame, most: int = 5, least: float = 0.5) -> DataFrame:
     """(asked, name, similarity): for each asked name the most alike of all names, of equals the last by name.
 
@@ -93,9 +105,6 @@ def did_you_mean(asked: DataFrame, names: DataFrame, most: int = 5, least: float
     """
     a = staged(asked.select(F.col("name").alias("asked")).filter("asked IS NOT NULL").distinct(), "asked")
     n = staged(names.select("name").filter("name IS NOT NULL").distinct(), "names")
-    blocks = max(1, -(-a.count() // ASKED_BLOCK))
-    block = F.pmod(F.xxhash64("asked"), F.lit(blocks))
-    met = reduce(DataFrame.union, [n.join(F.broadcast(a.filter(block == b)), likeness_bound(F.col("asked"), F.col("name")) >= least) for b in range(blocks)])
-    scored = met.withColumn("similarity", _close(least)(F.lower("name"), F.lower("asked"))).filter(F.col("similarity") >= least)
+    scored = _alike(a, n, F.lower("name"), F.lower("asked"), least).withColumnRenamed("ratio", "similarity")
     nth = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("similarity"), F.desc("name")))
     return scored.withColumn("_nth", nth).filter(F.col("_nth") <= most).select("asked", "name", "similarity")

@@ -128,3 +128,17 @@ def test_the_rest_stands_without_llm():
     root = Path(__file__).resolve().parent.parent
     code = "import sys; sys.modules['grainwise.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_closure_goes_to_the_end(spark):
+    """A chain deeper than what is merged at once; with a bound it stops there."""
+    n = 2 * graph.MERGE_ROUNDS + 3
+    edges = spark.createDataFrame([(str(i), str(i + 1), "x") for i in range(n)], "src string, dst string, kind string").coalesce(1)
+    starts = spark.createDataFrame([("0",)], "id string")
+    assert sorted((r["depth"], r["id"]) for r in graph.closure(edges, starts).collect()) == [(i, str(i)) for i in range(1, n + 1)]
+    assert graph.closure(edges, starts, most=2).count() == 2
+
+
+@pytest.mark.parametrize("picture, value, shown", [('0.0"%"', 0.5, "0.5%"), ('0;"a;b" 0', -3.0, "a;b 3"), (".00", 0.5, "0.50"), ("0,.0", 5.0, None), ("0,;0", 5.0, None), ("0.0.0", 1.25, "1.3.0"), ("[red]0", 1.0, None), ("#,##0 %", 12.5, "1,250 %")])
+def test_scanned_formats(spark, picture, value, shown):
+    assert one(spark, formats.render(F.col("v"), picture), v=value) == shown
