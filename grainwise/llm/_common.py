@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import discard, new_path, shared_dir, staged  # noqa: F401
@@ -19,13 +19,44 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one numpy step works on; a longer single document makes a step of its own.
 STEP_BYTES = 1 << 20
+HASHED_BYTES = 1 << 19
+
+
+#: Type of a row's key.
+KEY = "struct<a: long, b: long>"
+
+
+def row_key(*columns: Column) -> Column:
+    """128 bits of the values: two hashes of different seeds."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, k): k tells rows apart whose ids repeat or are null; only wholly equal rows share it."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(
-        "doc_id", "text", F.xxhash64("doc_id", "text").alias("k")
-    )
+    return docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("k"))
+
+
+def named(column: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of docs has it."""
+    there, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        found.append(name)
+        there.add(name.lower())
+    return found
+
+
+def kept_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """The rows of docs whose key is (how: left_semi) or isn't (left_anti) among keys (k); all columns of docs as they are."""
+    (own,) = fresh(docs, "row_key")
+    there = keys.select(F.col("k").alias(own + "_"))
+    return docs.withColumn(own, row_key(named(id_col), named(text_col))).join(there, F.col(own) == F.col(own + "_"), how).drop(own)
 
 
 # --- words of an Arrow column ---------------------------------------------------------------------------------------
@@ -102,10 +133,19 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     """A 64-bit hash of each word; fold: A-Z count as a-z."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_FOLDED if fold else _BYTE)[data] * powers(len(data)), out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * powers(len(data), inverse=True)[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    byte = _BYTE_FOLDED if fold else _BYTE
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        # Stretches of a bounded length: the sums take 8 bytes for each byte of text.
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + HASHED_BYTES, "right")))
+        first, a, b = starts[lo], starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo]
+        part = data[first : first + b[-1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(byte[part] * powers(len(part)), out=sums[1:])
+        out[lo:hi] = (sums[b] - sums[a]) * powers(len(part), inverse=True)[a]
+        lo = hi
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def hash_runs(words: np.ndarray, length: int) -> np.ndarray:
