@@ -1,16 +1,19 @@
 """Sharding by vector bin packing: bytes, tokens and rows of the shards are balanced jointly.
 
-Groups are the rows of equal text, and are placed together. Groups are dealt by hash into a fixed number of lots; a
-group above 1 / (64 * shards) of any total is a lot of its own, or several where it is above twice that: its rows are
-dealt over pieces by a hash of their ids, so a group of copies that holds a third of all rows is no single task or
-lump. There are at most 128 lots and, as the shares add up to 1 in each of three dimensions, 6 * 64 pieces for each
-shard: that bound holds at any size, and so the lots' sums are packed on the driver and the placing is broadcast.
+Groups are the rows of equal text, and a group lies in one shard; only a group above a shard's capacity (1 / shards of the
+bytes, tokens or rows) is dealt over as many shards as it needs. Groups above 1 / (64 * shards) of any total are packed one
+by one, of which there are at most 3 * 64 * shards; all others are dealt whole, by hash, into 128 lots for each shard, and
+the lots are packed. Those bounds hold at any size, so the sums are packed on the driver and the placing is broadcast.
 
-Packing: lots in falling order of their largest share; each goes to the shard with the highest dot product of its
+Packing: in falling order of the largest share; each group or lot goes to the shard with the highest dot product of its
 vector with the residual capacity, among those it fits in, else among all.
 
-Defined cases: a null text has 0 bytes and a null crc taken as 0; null ids sort first; wholly equal rows get adjacent
-slots; an empty table gives an empty result; extra columns are left alone.
+Slots are counted piece by piece: a lot is a piece, and the rows of a group that is packed by itself are dealt by a hash of
+their ids (of their places in the input, where they are null) into pieces of some 1 / (128 * shards), so no task numbers a hot
+group whole.
+
+Defined cases: a null text has 0 bytes and is one group with the empty text; null ids sort first; wholly equal rows get
+slots next to each other or in other pieces; an empty table gives an empty result; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, staged
+from ._common import WORD, named, row_key, staged
 
 LOTS_PER_SHARD = 128
 PIECES_PER_SHARD = 64
@@ -43,14 +46,16 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, tokens, text_crc32, shard, slot): slots run from 0 without gaps in each shard."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(named(text_col), F.lit(""))
     rows = staged(
         docs.select(
-            F.col(id_col).alias("doc_id"),
+            named(id_col).alias("doc_id"),
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("g"),
+            row_key(text).alias("g"),
+            # Where an id is null the rows of a hot group are dealt by their places; written, so that all that follows sees the same.
+            F.when(named(id_col).isNull(), F.monotonically_increasing_id()).alias("place"),
         ),
         "shard-rows",
     )
@@ -59,26 +64,34 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     parts = shards * PIECES_PER_SHARD
     share = F.greatest(*[F.col(c) / float(max(total[c] or 0, 1)) for c in ("size", "tokens", "n")])
     # At most 3 * parts groups can be above 1 / parts of a total.
-    heavy = rows.groupBy("g").agg(*sums).filter(share > 1.0 / parts).select("g", F.ceil(share * (parts / 2.0)).cast("int").alias("pieces")).collect()
-    lots, first = shards * LOTS_PER_SHARD, []
+    heavy = rows.groupBy("g").agg(*sums).filter(share > 1.0 / parts).select("g", F.ceil(share * (parts * 2.0)).cast("int").alias("pieces"), F.ceil(share * shards).cast("int").alias("shares")).collect()
+    lots, first, units = shards * LOTS_PER_SHARD, [], {}
     for row in sorted(heavy, key=lambda r: r["g"]):
         first.append((row["g"], lots, row["pieces"]))
+        # A group's pieces are placed together, or as so many units as it needs shards.
+        units |= {lots + i: (lots, i % row["shares"]) for i in range(row["pieces"])}
         lots += row["pieces"]
-    own = F.broadcast(spark.createDataFrame(first, "_g long, _first int, _pieces int"))
+    own = F.broadcast(spark.createDataFrame(first, "_g struct<a: long, b: long>, _first int, _pieces int"))
     rows = (
         rows.join(own, F.col("g") == F.col("_g"), "left")
         .withColumn(
             "lot",
-            F.when(F.col("_g").isNull(), F.pmod("g", F.lit(shards * LOTS_PER_SHARD)))
-            .otherwise(F.col("_first") + F.pmod(F.xxhash64("doc_id"), F.col("_pieces")))
+            F.when(F.col("_g").isNull(), F.pmod("g.a", F.lit(shards * LOTS_PER_SHARD)))
+            .otherwise(F.col("_first") + F.pmod(F.xxhash64("doc_id", "place"), F.col("_pieces")))
             .cast("int"),
         )
         .drop("_g", "_first", "_pieces")
     )
-    filled = rows.groupBy("lot").agg(*sums).orderBy("lot").collect()
-    placed = pack(np.array([[r["size"], r["tokens"], r["n"]] for r in filled], float).reshape(-1, 3), shards)
+    filled = rows.groupBy("lot").agg(*sums).orderBy("lot").collect()  # at most lots rows
+    unit_of = [units.get(r["lot"], (r["lot"], 0)) for r in filled]
+    names = sorted(set(unit_of))
+    at = {u: i for i, u in enumerate(names)}
+    vectors = np.zeros((len(names), 3))
+    np.add.at(vectors, [at[u] for u in unit_of], np.array([[r["size"], r["tokens"], r["n"]] for r in filled], float).reshape(-1, 3))
+    placed = pack(vectors, shards)
     slots, place = [0] * shards, []
-    for row, shard in zip(filled, placed.tolist(), strict=True):
+    for row, unit in zip(filled, unit_of, strict=True):
+        shard = int(placed[at[unit]])
         place.append((row["lot"], shard, slots[shard]))
         slots[shard] += row["n"]
     side = F.broadcast(spark.createDataFrame(place, "_lot int, shard int, _slot long"))
