@@ -7,7 +7,8 @@ value up to its own, and probing value after value until one is missing gives th
 the filter, those found once too. Segments follow the size of the texts, and a segment's bits what it holds, so false
 positives are as rare in any corpus.
 
-A filter of at most BROADCAST_BYTES is broadcast, and texts probe it where they are. A larger one stays in its segments,
+A filter of at most BROADCAST_BYTES is broadcast, as a file that each executor gets once and its workers map, and texts
+probe it where they are. A larger one stays in its segments,
 and each text's n-grams are sent to them and the levels back; the scores are the same.
 
 With q the lower and q' the upper end of a quantised count, m a weight, and n the training texts:
@@ -28,15 +29,18 @@ extra columns are left alone.
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, first_words, hash_words, mix, staged, text_steps, word_spans
+from ._common import first_words, hash_words, mix, staged, text_steps, word_spans
 
 BROADCAST_BYTES = 1 << 28
 BITS_PER_ENTRY = 12
@@ -47,7 +51,9 @@ PRIOR = 50.0
 SEGMENT_TEXT = 1 << 20
 GROUP_SEGMENTS_LOG2 = 4
 HEAVY_WORDS = 1 << 20
-STEP = 4 << 20
+STEP = 2 << 20
+#: Parts in which the driver reads the filter, one after the other.
+FILE_PARTS = 8
 
 _rng = np.random.default_rng(20250103)
 _MASKS_LOG2 = 14
@@ -90,17 +96,15 @@ def segment_of(grams: np.ndarray, segments_log2: int) -> np.ndarray:
 class Filter:
     """Words of 64 bits of some segments, one after the other: `first` has where each of all segments begins, `size` its words (0: not here)."""
 
-    def __init__(self, segments_log2: int, segments: np.ndarray, raw: list):
-        self.segments_log2 = segments_log2
+    def __init__(self, segments_log2: int, segments: np.ndarray, lengths: np.ndarray, words: np.ndarray):
+        self.segments_log2, self.words = segments_log2, words
         self.first, self.size = np.zeros(1 << segments_log2, np.uint64), np.zeros(1 << segments_log2, np.uint64)
-        lengths = np.array([len(b) // 8 for b in raw], np.uint64)
-        self.words = np.empty(int(lengths.sum()), np.uint64)
-        at = 0
-        for b in raw:
-            self.words[at : at + len(b) // 8] = np.frombuffer(b, np.uint64)
-            at += len(b) // 8
         self.first[segments], self.size[segments] = lengths.cumsum() - lengths, lengths
 
+    @staticmethod
+    def of(segments_log2: int, segments: list[int], raw: list[bytes]) -> Filter:
+        return Filter(segments_log2, np.array(segments, np.int64), np.array([len(b) // 8 for b in raw], np.uint64), np.frombuffer(b"".join(raw), np.uint64))
+
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The level of each n-gram, by probing one value after the other."""
         level = np.zeros(len(grams), np.int64)
@@ -166,7 +170,7 @@ def _build(segments_log2: int, bits_per_entry: int):
             np.bitwise_or.at(filled, at, mask)
         raw = filled.tobytes()
         word = (h & np.uint64(1)).astype(bool)
-        probed = Filter(segments_log2, np.array([now]), [raw]).levels(h[word])
+        probed = Filter.of(segments_log2, [now], [raw]).levels(h[word])
         row = [[now], [raw], [int(n[word].sum())], [int(LOW[probed].sum())], [h[word].view(np.int64)], [n[word]]]
         types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["segment", "bits", "tokens", "quantised", "words", "counts"])
@@ -219,9 +223,29 @@ class Trained:
     def __init__(self, table: DataFrame, segments_log2: int, model: Model, rare: DataFrame, size: int):
         self.table, self.segments_log2, self.model, self.rare, self.size = table, segments_log2, model, rare, size
 
+    def shared(self) -> Shared:
+        """The filter as a file that every executor gets once."""
+        name = f"lm-filter-{uuid.uuid4().hex}"
+        path = Path(tempfile.mkdtemp(prefix="spark-filter-")) / name  # on the driver, which serves it to the executors
+        segments, lengths = [], []
+        with path.open("wb") as out:
+            for r in self.table.select("segment", "bits").coalesce(FILE_PARTS).toLocalIterator():
+                segments.append(r["segment"])
+                lengths.append(out.write(r["bits"]) // 8)
+        self.table.sparkSession.sparkContext.addFile(str(path))
+        return Shared(name, self.segments_log2, np.array(segments, np.int64), np.array(lengths, np.uint64))
+
+
+class Shared:
+    """Where the filter's segments are in its file."""
+
+    def __init__(self, name: str, segments_log2: int, segments: np.ndarray, lengths: np.ndarray):
+        self.name, self.segments_log2, self.segments, self.lengths = name, segments_log2, segments, lengths
+
     def filter(self) -> Filter:
-        parts = self.table.select("segment", "bits").toArrow()  # of a checked size
-        return Filter(self.segments_log2, parts["segment"].to_numpy(), [b.as_buffer() for b in parts["bits"]])
+        """The filter, mapped: the workers of an executor share its memory."""
+        words = np.memmap(SparkFiles.get(self.name), np.uint64, "r") if len(self.lengths) else np.zeros(0, np.uint64)
+        return Filter(self.segments_log2, self.segments, self.lengths, words)
 
 
 def train(texts: DataFrame, prior: float = PRIOR, bits_per_entry: int = BITS_PER_ENTRY) -> Trained:
@@ -288,7 +312,7 @@ def _answer(segments_log2: int):
                     bits.append(raw)
                     continue
                 if known is None:
-                    known = Filter(segments_log2, np.array(segments, np.int64), bits)
+                    known = Filter.of(segments_log2, segments, bits)
                 levels = known.levels(np.frombuffer(raw, np.uint64)).astype(np.uint8)
                 for o, v in zip(out, (at, part, levels.tobytes())):
                     o.append(v)
@@ -310,12 +334,12 @@ def _levels_by_segment(rows: DataFrame, trained: Trained) -> DataFrame:
 _SCORED = ["doc_id", "held_out", "at", "n_tokens", "known", "base", "score", "rare", "rare_n"]
 
 
-def _score(model, known):
+def _score(model, known: Shared | None):
     """A row for each text: sums over all tokens, the base as if words that are not among the frequent ones had count 0, and those words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        bloom: Filter | None = known.value if known else None
+        bloom = known.filter() if known else None
         floor = math.log10(m.total + m.distinct + 1)
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -363,7 +387,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     trained = train(rows.filter(~F.col("held_out")).select("text"), prior, bits_per_entry)
     model, told = trained.model, None
     if trained.size <= broadcast_bytes:
-        told = context.broadcast(trained.filter())
+        told = trained.shared()
         asked = rows.withColumn("at", F.lit(0))
     else:
         # Row numbers that are written, so that whatever reads them finds the same.

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from grainwise.llm import decontamination, lm_scoring, mixing, pii, quality_classifier, quality_rules, registry, sharding, simhash, substring_dedup, token_output
 
@@ -53,8 +54,6 @@ def test_substring_dedup(both, none):
 
 
 def test_lm_scoring(both, none):
-    from pyspark.sql import functions as F
-
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     texts = [(r["doc_id"], r["text"]) for r in both.collect()]
     toks = lambda t: [*words((t or "").translate(FOLD)), None]
@@ -104,8 +103,6 @@ def plain_scores(texts, out, prior):
 
 @pytest.mark.parametrize("broadcast", [1 << 28, 0])
 def test_lm_scores(both, broadcast):
-    from pyspark.sql import functions as F
-
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     texts = sorted(((r["doc_id"], r["text"]) for r in both.collect()), key=key)
@@ -126,8 +123,6 @@ def test_lm_scores(both, broadcast):
 
 
 def test_lm_scores_without_training(both):
-    from pyspark.sql import functions as F
-
     assert {(r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in lm_scoring.score_texts(both, F.lit(True)).collect()} == {(0, 0, 0.0, 0.0)}
 
 
@@ -136,7 +131,7 @@ def test_every_pair_is_in_the_filter(spark):
     rng = np.random.default_rng(1)
     texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 2000))) for i in range(60)]
     trained = lm_scoring.train(spark.createDataFrame(texts, "doc_id long, text string").select("text"))
-    f = trained.filter()
+    f = trained.shared().filter()
     for _, t in texts[:5]:
         data, offsets = np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])
         _, token, pair = lm_scoring.tokens(data, offsets)
@@ -156,7 +151,7 @@ def test_bloom_levels():
             rows.append((s, grams[own][n > 0].tobytes(), n[n > 0].astype(np.uint32).tobytes()))
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["segment", "h", "n"])
     built = list(lm_scoring._build(4, lm_scoring.BITS_PER_ENTRY)(iter([batch])))
-    f = lm_scoring.Filter(4, np.array([b.column(0)[0].as_py() for b in built]), [b.column(1)[0].as_py() for b in built])
+    f = lm_scoring.Filter.of(4, [b.column(0)[0].as_py() for b in built], [b.column(1)[0].as_py() for b in built])
     want, level = lm_scoring.level_of(counts), f.levels(grams)
     assert (level >= want).all() and (level > want).mean() < 0.03
     assert (f.levels(rng.integers(0, 2**63, 50000).astype(np.uint64) * np.uint64(2)) > 0).mean() < 0.03
@@ -264,9 +259,34 @@ def test_packing_balances_three_dimensions():
 
 
 def test_a_hot_group_is_split(spark):
-    df = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same text' ELSE concat('text ', id) END AS text")
-    sizes = Counter(r["shard"] for r in sharding.shard_documents(df, 24).collect())
-    assert max(sizes.values()) - min(sizes.values()) < 25
+    """A group of a third of all rows needs several of 24 shards, and a group of null ids likewise; all others stay whole."""
+    for doc_id in ("id", "CASE WHEN id % 3 > 0 THEN id END"):
+        df = spark.range(6000).selectExpr(f"{doc_id} AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same text' WHEN id % 3 = 1 THEN concat('text ', id % 900) ELSE concat('text ', id) END AS text")
+        rows = sharding.shard_documents(df, 24).collect()
+        sizes, where = Counter(r["shard"] for r in rows), {}
+        for r in rows:
+            where.setdefault(r["text_crc32"], set()).add(r["shard"])
+        assert max(sizes.values()) - min(sizes.values()) < 60
+        one, most = sorted(map(len, where.values()))[-2:]
+        assert one == 1 and 8 <= most <= 11  # it holds 3 / 7 of the tokens
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_shards_of_documents(spark, sf):
+    """No group of equal texts is above a shard's capacity here, so each lies in one shard; bytes, tokens and rows are near equal."""
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    rows = sharding.op5_shards(spark, f"/root/testdata/sf{sf}").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    shard_of, load = {}, np.zeros((24, 3))
+    for r in rows:
+        text = texts[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text.encode()) + 8, zlib.crc32(text.encode()), "bytes", None)
+        assert shard_of.setdefault(text, r["shard"]) == r["shard"]
+        load[r["shard"]] += r["size"], len(words(text)), 1
+    assert len(rows) == len(texts) and len(shard_of) < len(texts)
+    assert (load.max(0) / load.mean(0) < (1.15 if sf == "0.01" else 1.02)).all()
+    for s in range(24):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
 
 
 def test_mixing(odd, both, none):
@@ -286,9 +306,36 @@ def test_mixing(odd, both, none):
 
 def test_mix_comes_near_its_targets(spark):
     df = spark.range(4000).selectExpr("id AS doc_id", "repeat('w ', 1 + int(id % 37)) AS text", "concat('s', id % 7) AS source")
-    rows = mixing.mix_sources(df).groupBy("source").agg({"target": "max"}).collect()
-    taken = {r["source"]: r["t"] for r in mixing.mix_sources(df).selectExpr("source", "size * copies AS t").groupBy("source").agg({"t": "sum"}).toDF("source", "t").collect()}
-    assert all(abs(taken[r["source"]] - r["max(target)"]) <= 37 for r in rows)
+    # Null and repeated ids, and wholly equal rows, each have a draw of their own.
+    for rows in (df, df.selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "source"), df.selectExpr("doc_id % 5 AS doc_id", "'one text of five words' AS text", "source")):
+        for r in mixing.mix_sources(rows).groupBy("source").agg({"target": "max", "*": "count"}).join(mixing.mix_sources(rows).selectExpr("source AS s", "size * copies AS t").groupBy("s").agg({"t": "sum"}), F.col("source").eqNullSafe(F.col("s"))).collect():
+            assert abs(r["sum(t)"] - r["max(target)"]) <= 0.01 * r["max(target)"] + 37
+
+
+def test_order_by_odds_is_not_the_order_of_the_draw(spark):
+    """Documents of one source and class of size: what is taken is a fixed number, those of least q, and not those of least u."""
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3 + i % 60, 64)), "ab"[i % 2]) for i in range(1200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    rows = mixing.staged(mixing.sized(df, "doc_id", "text", "source"), "test")
+    rows = mixing.drawn(mixing._single(mixing._joined(rows, mixing._plan(rows, (3, 1, 2), 1.5, 2), ["source"])), 2, 6)
+    whole = mixing._copies(rows, mixing.cuts(rows, 16)).withColumn("u", mixing.uniform(F.col("doc_id"), F.col("text_md5"), F.col("occurrence"), 6)).collect()
+    some = [r for r in whole if r["source"] == "b" and r["odds"] > 0 and r["class"] == 24]
+    n = round(sum(r["odds"] for r in some) / mixing.ODDS)
+    q = lambda r: r["u"] / (1 - r["u"]) / (r["odds"] / mixing.ODDS / (1 - r["odds"] / mixing.ODDS))
+    lowest = {r["doc_id"] for r in sorted(some, key=q)[:n]}
+    whole_copies = {r["doc_id"]: r["whole"] for r in mixing.drawn(rows.drop("copies", "odds", "class", "place"), 2, 6).withColumnRenamed("copies", "whole").collect()}
+    taken = {r["doc_id"] for r in some if r["copies"] > whole_copies[r["doc_id"]]}
+    assert taken == lowest and 50 < n < len(some) - 50
+    assert taken != {r["doc_id"] for r in sorted(some, key=lambda r: r["u"])[:n]}
+    assert len({r["odds"] for r in some}) > 20
+
+
+def test_clashing_columns_of_a_mix(spark):
+    df = spark.createDataFrame([(i, f"some text {i}", "s", i, "x") for i in range(50)] * 2, "doc_id long, text string, source string, `a.b` long, _mix_p string").withColumn("copies", F.lit(7)).withColumn("row", F.lit(8))
+    found = mixing.take_mix(df)
+    assert found.columns == df.columns and {(r["a.b"] - r["doc_id"], r["copies"], r["row"], r["_mix_p"]) for r in found.collect()} == {(0, 7, 8, "x")}
+    assert found.count() == mixing.mix_sources(df).agg(F.sum("copies")).first()[0]
 
 
 def test_quality_rules(both, none):
