@@ -424,6 +424,9 @@ def plain_overlaps(text, item):
     w = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").translate(FOLD))
     a, b = w(text), w(item)
     best = 0
+    if len(b) < 13:
+        same = [sum(x == y for x, y in zip(a[i:], b)) for i in range(len(a) - len(b) + 1)]
+        return len(b) if b and max(same, default=0) >= 4 * (len(b) - max(same, default=0)) else 0
     for shift in range(-len(b), len(a)):
         same = [a[i + shift] == b[i] for i in range(len(b)) if 0 <= i + shift < len(a)]
         for i in range(len(same)):
@@ -432,7 +435,7 @@ def plain_overlaps(text, item):
                 if part[0] and part[-1] and sum(part) >= 4 * (len(part) - sum(part)):
                     best = j - i
                     break
-    return best if best >= min(13, len(b)) and b else 0
+    return best if best >= 13 else 0
 
 
 def test_decontamination(spark, odd, none):
@@ -451,11 +454,49 @@ def test_decontamination(spark, odd, none):
     assert decontamination.overlaps(none, bench).count() == 0 and decontamination.clean(df, bench.limit(0)).count() == len(texts)
 
 
-def test_decontamination_in_blocks(spark, docs, sf_dir, monkeypatch):
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    whole = sorted(map(tuple, decontamination.overlaps(docs, bench).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 300)
-    assert sorted(map(tuple, decontamination.overlaps(docs, bench).collect())) == whole
+@pytest.mark.parametrize("length", [1, 4, 5, 6, 7, 9, 12, 13, 14, 20])
+def test_items_of_any_length(spark, length):
+    """Items with up to a fifth of their words substituted, at any places, are found in a text."""
+    rng = np.random.default_rng(length)
+    item = [f"i{x}" for x in range(length)]
+    texts = [(0, " ".join(["x", *item, "y"])), (1, " ".join(item)), (2, " ".join(item[:-1]))]
+    for i in range(3, 40):
+        w = list(item)
+        for at in rng.choice(length, min(length, int(rng.integers(0, length // 5 + 2))), replace=False):
+            w[at] = "other"
+        texts.append((i, " ".join(["before", "it", *w, "after"])))
+    bench = spark.createDataFrame([(1, " ".join(item).upper())], "item_id long, text string")
+    want = sorted((i, n) for i, t in texts if (n := plain_overlaps(t, " ".join(item))))
+    found = decontamination.overlaps(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["n_words"]) for r in found) == want and len(want) > 2
+
+
+def test_longest_overlap():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        agree = rng.random(rng.integers(0, 40)) < rng.choice([0.5, 0.8, 0.95])
+        best = (0, 0)
+        for i in range(len(agree)):
+            for j in range(i + 1, len(agree) + 1):
+                n = int(agree[i:j].sum())
+                if agree[i] and agree[j - 1] and n >= 4 * (j - i - n) and j - i > best[1] - best[0]:
+                    best = (i, j)
+        assert decontamination.longest_overlap(agree) == best
+
+
+@pytest.mark.parametrize("bits", [2, 24])
+def test_decontamination_with_a_full_bitmap(spark, bits):
+    """Passages that many items and many texts share, words that repeat, and a bitmap that rules nothing out."""
+    common = " ".join(f"c{i}" for i in range(20))
+    items = [(i, f"{common} only{i} " + " ".join(f"w{i}x{j}" for j in range(15))) for i in range(12)] + [(99, "ha " * 30), (98, common), (98, common)]
+    texts = [(i, f"t{i} {common} u{i} " + " ".join(f"w{i}x{j}" for j in range(14))) for i in range(30)] + [(50, "so ha " + "ha " * 40), (51, "ha " * 12), (52, f"t0 {common}"), (53, f"t0 {common}")]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    want = sorted((i, k, n) for i, t in texts for k, x in items if (n := plain_overlaps(t, x)))
+    key = lambda df: decontamination._texts(df, "text")
+    found = decontamination.text_overlaps(key(frame(texts, "doc_id")), key(frame(items, "item_id")).withColumnRenamed("k", "item"), bits)
+    assert found.count() == len({(t, x) for _, t in texts for _, x in items if plain_overlaps(t, x)})
+    got = decontamination.overlaps(frame(texts, "doc_id"), frame(items, "item_id")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_words"]) for r in got) == want
 
 
 def test_digest(spark, sf_dir):
