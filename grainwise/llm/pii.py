@@ -2,13 +2,18 @@
 
 Patterns find email addresses, IP addresses, payment cards and phone numbers (leftmost, non-overlapping for each kind;
 what fails its check is dropped). The field then looks at the words that hold a digit or an at sign: every other word is
-no entity. Its nodes have features of a word's form; neighbouring nodes share a transition potential; and words of a
-document that repeat, or have the same seven digits or more, share a skip potential, however far apart. Nodes that a
-pattern found are observed; loopy message passing over all texts of a step at once gives the rest their marginals, and
-words of a marginal of ADD or more are added as spans of that kind.
-
-The field is trained by pseudo-likelihood on what the patterns find in about FIT_DOCS documents, those whose key's hash
-is below a cut; documents of more than FIT_NODES nodes are left out of the fit, though not of the search.
+no entity. Its labels are the four kinds, secrets (keys, access tokens) and none. Its nodes have features of a word's form
+and of the words around it; neighbouring nodes share a transition potential; and words of a document that repeat, or whose
+last seven digits or more are the same, share a skip potential, however far apart. Nodes that a pattern found are observed;
+loopy message passing over all texts of a step at once gives the rest their marginals, and words of a marginal of a
+threshold or more are added as spans of that kind.
+
+The field is trained by pseudo-likelihood on at most FIT_UNITS stretches of FIT_NODES nodes, those of least hash among the
+stretches of about FIT_DOCS documents. Labels are what the patterns find and, for secrets, values that are assigned to a
+telling name, and so are words that repeat them; evidence is hidden: each labelled word has a hidden twin, of the same label and linked to it, that lacks the
+signs patterns go by and the words around it, and so do words of label none. A fifth of the stretches is held out, with
+secrets and twins unobserved there; for each label the least threshold of LEVELS at which PRECISE of what is added is right
+is taken, and nothing of that label is added if there is none.
 
 Defined cases: a null or empty text has no spans; repeated rows have the same spans; where a text holds no entity to
 learn from, nothing is added; an empty table gives an empty result; extra columns are left alone. Positions are code
@@ -18,6 +23,8 @@ points, ends exclusive.
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import keyed, text_steps
+from ._common import KEY, keyed, text_steps
 
+#: Kinds of the patterns, and then the one that only the field gives.
 KINDS = ("email", "ip", "card", "phone")
-FIT_DOCS = 2000
-FIT_NODES = 200
-ADD = 0.9
+LABELS = (*KINDS, "secret")
+FIT_DOCS = 4000
+FIT_UNITS, FIT_NODES = 4000, 100
+LEVELS, PRECISE = (0.9, 0.95, 0.98, 0.99), 0.98
 ROUNDS = 15
 
+# Names to which secrets are assigned.
+_SECRET = re.compile(r"""\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)["']?\x20?[=:]\x20?["']?([A-Za-z0-9+/_=-]{16,})""", re.IGNORECASE)
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match can't begin within a run of digits unless it begins with the run: the run's end would fail it alike.
@@ -40,7 +51,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+#: From a digit or an at sign to its word's end.
+_REST = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
+_BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 
@@ -82,7 +95,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-N_FEATURES = 24
+def node_words(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each word that holds a digit or an at sign; every character is looked at a few times at most."""
+    upto = 0
+    for m in _REST.finditer(text):
+        start = max(upto - 1, *(text.rfind(c, upto, m.start()) for c in _BLANKS)) + 1
+        yield start, m.end()
+        upto = m.end()
+
+
+FORMS, BUCKETS = 27, 48
+N_FEATURES = FORMS + 3 * BUCKETS
+_TRIM = ".,;:!?()[]{}<>\"'#*$%&|"
 
 
 def _form(word: str, digits: int) -> list[int]:
@@ -96,57 +120,110 @@ def _form(word: str, digits: int) -> list[int]:
         f.append(22)
     if len(word) > 20:
         f.append(23)
+    if digits and word.isalnum() and not word.isdigit():
+        f.append(24)
+        if all(c in "0123456789abcdefABCDEF" for c in word):
+            f.append(25)
+    return f
+
+
+def _around(text: str, start: int, end: int) -> list[int]:
+    """Features of the two words before and the one after."""
+    before = text[max(0, start - 80) : start].lower().split()
+    after = text[end : end + 40].lower().split()
+    bucket = lambda w: zlib.crc32(w.strip(_TRIM + "=").encode() or w.encode()) % BUCKETS
+    f = [FORMS + BUCKETS * nth + bucket(words[0]) for nth, words in enumerate((before[-1:], before[-2:-1], after[:1])) if words]
+    if before and before[-1].rstrip("\"'")[-1:] in ("=", ":"):
+        f.append(26)
     return f
 
 
+def secret_values(text: str) -> list[tuple[int, int]]:
+    """Where values that are assigned to a telling name lie: labels to learn from."""
+    return [m.span(1) for m in _SECRET.finditer(text) if any("0" <= c <= "9" for c in m[1])]
+
+
+#: What a node is: still open, observed, or a hidden twin.
+OPEN, SEEN, TWIN = 0, 1, 2
+
+
 class Field:
-    """The nodes of some texts: features, observed labels (0: none, kind + 1), chain links and skip links."""
+    """The nodes of some texts: features, labels (0: none, kind + 1), which are observed, chain links and skip links.
 
-    def __init__(self, texts: list[tuple[int, str, list[tuple[int, int, int]]]]):
-        self.text, self.start, self.end, self.label = [], [], [], []
-        forms, chain, skip = [], [], []
+    In a field to learn from, secrets have their label, and twins follow each node.
+    """
+
+    def __init__(self, texts: list[tuple[int, str, list[tuple[int, int, int]]]], learn: bool = False):
+        self.text, self.start, self.end, self.label, self.role = [], [], [], [], []
+        self.forms: list[list[int]] = []
+        chain, skip = [], []
         for nth, text, base in texts:
-            seen: dict[str, int] = {}
+            last_of: dict[str, int] = {}
             spans = sorted((a, b, kind) for kind, a, b in base)
-            reach = np.maximum.accumulate([b for _, b, _ in spans]) if spans else []
-            last_end = -2
-            for m in _NODE.finditer(text):
-                word = m[0].strip(".,;:!?()[]{}<>\"'")
+            told = sorted((a, b, len(KINDS)) for a, b in secret_values(text)) if learn else []
+            last, last_end = -1, -2
+            for begin, stop in node_words(text):
+                whole = text[begin:stop]
+                word = whole.strip(_TRIM)
                 digits = sum("0" <= c <= "9" for c in word)
                 if not digits and "@" not in word:
                     continue
-                i = len(self.text)
-                a = m.start() + m[0].index(word)
+                a = begin + whole.index(word)
                 b = a + len(word)
-                label = 0
-                for s in range(int(np.searchsorted(reach, a, "right")), len(spans)):
-                    if spans[s][0] >= b:
-                        break
-                    if spans[s][1] > a:
-                        label = spans[s][2] + 1
-                        break
-                self.text.append(nth), self.start.append(a), self.end.append(b), self.label.append(label)
-                forms.append(_form(word, digits))
-                if m.start() == last_end + 1:
-                    chain.append((i - 1, i))
-                last_end = m.end()
+                label = _label(spans, a, b)
+                i = self._add(nth, a, b, label or _label(told, a, b), SEEN if label else OPEN, _form(word, digits) + _around(text, begin, stop))
+                if begin == last_end + 1:
+                    chain.append((last, i))
+                last, last_end = i, stop
                 if digits >= 6 or "@" in word:
-                    for key in {word.lower(), "".join(c for c in word if "0" <= c <= "9") if digits >= 7 else word.lower()}:
-                        if key in seen:
-                            skip.append((seen[key], i))
-                        seen[key] = i
-        self.x = np.zeros((len(forms), N_FEATURES), np.float32)
-        for i, f in enumerate(forms):
-            self.x[i, f] = 1
-        self.label = np.array(self.label, np.int64)
+                    number = "".join(c for c in word if "0" <= c <= "9")[-7:]
+                    for key in {word.lower(), number if len(number) == 7 else word.lower()}:
+                        if key in last_of:
+                            skip.append((last_of[key], i))
+                        last_of[key] = i
+                if learn:
+                    hidden = word.lstrip("+(").replace("-", "").rstrip(")")
+                    skip.append((i, self._add(nth, a, b, self.label[i], TWIN, _form(hidden, digits))))
+        if learn:
+            # A word that repeats what a pattern found is of that kind, whether a pattern sees it or not.
+            for links in (skip, skip[::-1]):
+                for i, j in links:
+                    self.label[i], self.label[j] = self.label[i] or self.label[j], self.label[j] or self.label[i]
+        self.label, self.role = np.array(self.label, np.int64), np.array(self.role, np.int64)
+        self.seen = self.role == SEEN
         self.chain = np.array(chain, np.int64).reshape(-1, 2)
         self.skip = np.array(sorted(set(skip)), np.int64).reshape(-1, 2)
 
+    def _add(self, nth: int, a: int, b: int, label: int, role: int, form: list[int]) -> int:
+        for held, value in ((self.text, nth), (self.start, a), (self.end, b), (self.label, label), (self.role, role), (self.forms, form)):
+            held.append(value)
+        return len(self.forms) - 1
+
+    @property
+    def x(self) -> np.ndarray:
+        return dense(self.forms)
+
+
+def dense(forms: list[list[int]]) -> np.ndarray:
+    x = np.zeros((len(forms), N_FEATURES), np.float32)
+    x[np.repeat(np.arange(len(forms)), [len(f) for f in forms]), [i for f in forms for i in f]] = 1
+    return x
+
+
+def _label(spans: list[tuple[int, int, int]], a: int, b: int) -> int:
+    """Kind + 1 of the first of sorted spans that meets a to b, or 0. Spans of other kinds may overlap, so those before are looked through."""
+    for start, end, kind in spans[: bisect_left(spans, (b,))]:
+        if end > a:
+            return kind + 1
+    return 0
+
 
 class Weights:
     def __init__(self):
-        n = len(KINDS) + 1
+        n = len(LABELS) + 1
         self.node, self.chain, self.skip = np.zeros((N_FEATURES, n)), np.zeros((n, n)), np.zeros((n, n))
+        #: Least marginal of what is added, by label.
+        self.least = np.full(len(LABELS), 2.0)
 
 
 def train(x: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> Weights:
@@ -179,7 +256,7 @@ def train(x: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray,
 def marginals(field: Field, w: Weights, rounds: int = ROUNDS) -> np.ndarray:
     """(nodes, labels) by loopy sum-product messages; observed nodes are fixed."""
     unary = field.x @ w.node
-    seen = field.label > 0
+    seen = field.seen
     unary[seen] = np.where(np.arange(unary.shape[1]) == field.label[seen, None], 0.0, -50.0)
     links = np.concatenate([field.chain, field.skip])
     if not len(links):
@@ -209,8 +286,8 @@ def marginals(field: Field, w: Weights, rounds: int = ROUNDS) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def added_spans(field: Field, w: Weights, least: float = ADD) -> dict[int, list[tuple[int, int, int]]]:
-    """Spans by text that the field adds; neighbouring words of a kind make one span."""
+def added_spans(field: Field, w: Weights) -> dict[int, list[tuple[int, int, int]]]:
+    """Spans by text that the field adds; neighbouring words of a kind make one span, but for secrets."""
     out: dict[int, list[tuple[int, int, int]]] = {}
     if not len(field.label) or not w.node.any():
         return out
@@ -218,9 +295,9 @@ def added_spans(field: Field, w: Weights, least: float = ADD) -> dict[int, list[
     best = p[:, 1:].argmax(1)
     linked = {int(b): int(a) for a, b in field.chain}
     made: dict[int, tuple[int, int]] = {}
-    for i in np.flatnonzero((field.label == 0) & (p[:, 1:].max(1) >= least)).tolist():
+    for i in np.flatnonzero(~field.seen & (p[:, 1:].max(1) >= w.least[best])).tolist():
         kind, spans = int(best[i]), out.setdefault(field.text[i], [])
-        if (before := linked.get(i)) in made and made[before][1] == kind:
+        if (before := linked.get(i)) in made and made[before][1] == kind < len(KINDS):
             at = made[before][0]
             spans[at] = (kind, spans[at][1], field.end[i])
         else:
@@ -243,41 +320,80 @@ def _texts(column: pa.Array, step_bytes: int = 4 << 20) -> Iterator[tuple[int, i
         yield lo, hi, [(r, t, base_spans(t)) for r, t in zip(rows.tolist(), texts)]
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training nodes, a row for each text: features and labels, and links as positions in the text's nodes."""
+_UNIT = f"k {KEY}, nth int, sizes array<int>, forms array<int>, label array<int>, role array<int>, chain array<int>, skip array<int>"
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training nodes, a row for each stretch of FIT_NODES nodes of a text; links between stretches are left out."""
+    ints = pa.list_(pa.int32())
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], [], []]
         for lo, _, texts in _texts(batch.column(1)):
             for r, text, base in texts:
-                field = Field([(r, text, base)])
-                if 0 < len(field.label) <= FIT_NODES:
-                    row = [batch.column(0)[lo + r].as_py(), field.x.ravel().astype(int).tolist(), field.label.tolist(), field.chain.ravel().tolist(), field.skip.ravel().tolist()]
+                field = Field([(r, text, base)], learn=True)
+                for nth in range(-(-len(field.label) // FIT_NODES)):
+                    a, b = nth * FIT_NODES, min(len(field.label), (nth + 1) * FIT_NODES)
+                    forms = field.forms[a:b]
+                    within = [x[((x >= a) & (x < b)).all(1)] - a for x in (field.chain, field.skip)]
+                    row = [lo + r, nth, [len(f) for f in forms], [i for f in forms for i in f], field.label[a:b].tolist(), field.role[a:b].tolist(), *[x.ravel().tolist() for x in within]]
                     for o, v in zip(out, row):
                         o.append(v)
-        ints = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(o, ints) for o in out[1:]]], ["k", "x", "label", "chain", "skip"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *[pa.array(o, ints) for o in out[2:]]], ["k", "nth", "sizes", "forms", "label", "role", "chain", "skip"]
+        )
+
+
+class Sample:
+    """Stretches put together: what Field has, without places."""
+
+    def __init__(self, rows: list[dict]):
+        self.forms, chain, skip, at = [], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)], 0
+        for r in rows:
+            edges = np.concatenate([[0], np.cumsum(r["sizes"])])
+            self.forms += [r["forms"][a:b] for a, b in zip(edges[:-1], edges[1:])]
+            chain.append(np.array(r["chain"], np.int64).reshape(-1, 2) + at)
+            skip.append(np.array(r["skip"], np.int64).reshape(-1, 2) + at)
+            at += len(r["sizes"])
+        self.x, self.chain, self.skip = dense(self.forms), np.concatenate(chain), np.concatenate(skip)
+        self.label = np.array([x for r in rows for x in r["label"]], np.int64)
+        self.role = np.array([x for r in rows for x in r["role"]], np.int64)
+        self.seen = self.role == SEEN
+
+
+def thresholds(held: Sample, w: Weights) -> np.ndarray:
+    """For each label the least of LEVELS at which PRECISE of what would be added is right, or 2 if there is none: among the twins, and among the other words alike."""
+    least = np.full(len(LABELS), 2.0)
+    if not len(held.label) or not w.node.any():
+        return least
+    p = marginals(held, w)[:, 1:]
+    best, most = p.argmax(1), np.where(held.seen, 0.0, p.max(1))
+    for kind in range(len(LABELS)):
+        for level in LEVELS:
+            hit = (best == kind) & (most >= level)
+            right = held.label == kind + 1
+            if hit.any() and all(right[hit & group].mean() >= PRECISE for group in (held.role == TWIN, held.role == OPEN) if (hit & group).any()):
+                least[kind] = level
+                break
+    return least
+
+
+def learn(rows: list[dict]) -> Weights:
+    """Weights of stretches, of which every fifth is held out for the threshold."""
+    fitted, held = Sample([r for i, r in enumerate(rows) if i % 5]), Sample(rows[::5])
+    w = train(fitted.x, fitted.label, fitted.chain, fitted.skip)
+    w.least = thresholds(held, w)
+    return w
 
 
-def fit(rows: DataFrame, fit_docs: int = FIT_DOCS) -> Weights:
-    """Weights from about fit_docs of rows (k, text) that hold a digit or an at sign."""
+def fit(rows: DataFrame, fit_docs: int = FIT_DOCS, fit_units: int = FIT_UNITS) -> Weights:
+    """Weights from the stretches of about fit_docs of rows (k, text) that hold a digit or an at sign, at most fit_units."""
     rows = rows.select("k", "text").filter(F.col("text").rlike("[0-9@]"))
     n = rows.count()
     parts = 1 << 30
     cut = parts if n <= fit_docs else max(1, parts * fit_docs // n)
-    sample = rows.filter(F.pmod(F.xxhash64("k", F.lit("fit")), F.lit(parts)) < cut).mapInArrow(_nodes, "k long, x array<int>, label array<int>, chain array<int>, skip array<int>").toArrow()
-    order = np.argsort(sample["k"].to_numpy(), kind="stable")
-    x, label, chain, skip, at = [], [], [], [], 0
-    lists = [sample[c].to_pylist() for c in ("x", "label", "chain", "skip")]
-    for i in order.tolist():
-        a, b, c, d = (lists[j][i] for j in range(4))
-        x.append(np.array(a, np.float32).reshape(-1, N_FEATURES))
-        label.append(np.array(b, np.int64))
-        chain.append(np.array(c, np.int64).reshape(-1, 2) + at)
-        skip.append(np.array(d, np.int64).reshape(-1, 2) + at)
-        at += len(b)
-    if not at:
-        return Weights()
-    return train(np.concatenate(x), np.concatenate(label), np.concatenate(chain), np.concatenate(skip))
+    units = rows.filter(F.pmod(F.xxhash64("k", F.lit("fit")), F.lit(parts)) < cut).mapInArrow(_units, _UNIT)
+    sample = units.orderBy(F.xxhash64("k", "nth"), "k", "nth").limit(fit_units).drop("k", "nth").toArrow()
+    return learn(sample.to_pylist())
 
 
 def _find(weights):
@@ -289,7 +405,7 @@ def _find(weights):
                 more = added_spans(Field(texts), w)
                 base, spans = [[] for _ in range(hi - lo)], [[] for _ in range(hi - lo)]
                 for r, _, found in texts:
-                    as_rows = lambda x: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in sorted(x)]
+                    as_rows = lambda x: [{"kind": LABELS[k], "start": a, "end": b} for k, a, b in sorted(x)]
                     base[r] = as_rows(found)
                     spans[r] = as_rows(found + more.get(r, [])) if r in more else base[r]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(base, pa.list_(kind)), pa.array(spans, pa.list_(kind))], ["doc_id", "base", "spans"])
@@ -309,4 +425,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", *[of_kind(k).alias(f"n_{k}") for k in KINDS], F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    counts = [of_kind(k).alias(f"n_{k}") for k in KINDS]
+    added = F.size("spans") - F.size("base")
+    return found.select(
+        "doc_id", *counts, F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), added.cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans")
+    )
