@@ -12,8 +12,8 @@ q = (u / (1 - u)) / (p / (1 - p)), and that fixed number of lowest q is taken; u
 text and occurrence. So a source's words differ from its target by what sizes differ within a class, and by half of its
 smallest documents.
 
-The cut is found without sorting a class: ranks are counted over 4,096 slices of q / (1 + q), and only the slice that holds
-the cut is ordered. Rows are never dropped or capped. The sources, a row each, are ordered in one task.
+The cut is found without sorting a class: ranks are counted over slices of the logarithm of q, of which each holds some
+a thousandth of documents of equal odds, and only the slice that holds the cut is ordered. Rows are never dropped or capped. The sources, a row each, are ordered in one task.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ranked last; null and repeated ids are told
 apart by their texts, and wholly equal rows by an occurrence number, so that each has a draw of its own; an empty table
@@ -35,7 +35,8 @@ BROADCAST_ROWS = 100_000
 TILT = 0.5
 #: Inclusion odds are multiples of 1 / ODDS, so that their sums are exact.
 ODDS = 1 << 20
-SLICES = 4096
+#: Slices for each unit of the logarithm of q.
+SLICES = 250
 
 
 def uniform(id_col: Column, text_md5: Column, occurrence: Column, seed: int) -> Column:
@@ -45,9 +46,8 @@ def uniform(id_col: Column, text_md5: Column, occurrence: Column, seed: int) ->
 
 
 def pareto(u: Column, p: Column) -> Column:
-    """q / (1 + q) of the odds ratio q: it orders like q and lies in (0, 1)."""
-    q = (u / (1 - u)) / (p / (1 - p))
-    return q / (1 + q)
+    """The logarithm of the odds ratio q = (u / (1 - u)) / (p / (1 - p)); it orders like q."""
+    return F.log(u) - F.log(1 - u) - F.log(p) + F.log(1 - p)
 
 
 def targets(sizes: DataFrame, weights: Sequence[int], share: float, max_copies: int) -> DataFrame:
@@ -134,7 +134,7 @@ def cuts(rows: DataFrame, slices: int) -> DataFrame:
     exact = lambda c: F.sum(c.cast("decimal(20,0)")).cast("double")
     classes = rows.groupBy("source", "class").agg(F.count("*").alias("rows"), exact(F.col("odds")).alias("odds"), exact(F.col("odds") * F.col("size")).alias("words"))
     numbers = staged(fixed_numbers(classes), "mix-numbers")
-    sliced = rows.withColumn("slice", F.least(F.floor(F.col("place") * slices), F.lit(slices - 1)))
+    sliced = rows.withColumn("slice", F.floor(F.col("place") * slices))
     upto = Window.partitionBy("source", "class").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = sliced.groupBy("source", "class", "slice").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(upto))
     edge = _joined(counted, numbers, ["source", "class"]).filter("upto >= number and upto - n < number")
