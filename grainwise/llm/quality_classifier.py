@@ -8,21 +8,24 @@ hash, a bounded sample; at most 2**BITS weights go to the workers. A logistic cu
 left out turns margins into scores.
 
 Defined cases: a null or empty text has no features, and its score is that of the intercept; labels of null count as
-none; ids that repeat among the labels are each a labelled row of theirs; without labels of both classes every score is
-the share of label 1, or 0.5 without any; repeated rows score alike; an empty table gives an empty result; extra columns
-are left alone.
+none; ids that repeat among the labels or the documents are each a labelled row, and of tied rows the fit takes no more than
+its bound; without labels of both classes every score is
+the share of label 1, or 0.5 without any; repeated rows score alike; an empty table gives an empty result; extra columns,
+whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._common import first_words, hash_words, mix, staged, text_steps, word_spans
+from ._common import first_words, fresh, hash_words, mix, named, staged, text_steps, word_spans
 
 BITS = 18
 FIT_ROWS = 12_000
@@ -141,6 +144,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -30, 30)))
 
 
+def fit_sample(labelled: DataFrame, docs: dict[int, int], fit_rows: int) -> DataFrame:
+    """At most fit_rows of labelled (text, label, at), those of least `at`; docs has the number of rows of each label.
+
+    Both classes get half of the sample at most; a class of fewer rows leaves its place to the other. Rows that tie at the
+    cut are equal, and as many of them are taken as there is room.
+    """
+    least, parts = min(docs.values()), []
+    for c in (0, 1):
+        most = fit_rows // 2 if least >= fit_rows // 2 else fit_rows - least if docs[c] == max(docs.values()) else docs[c]
+        own = labelled.filter(F.col("label") == c)
+        first = own.select("at").orderBy("at").limit(most).groupBy("at").agg(F.count("*").alias("n")).orderBy(F.desc("at")).first()
+        parts += [own.filter(F.col("at") < first["at"]), own.filter(F.col("at") == first["at"]).limit(first["n"])]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model from labelled (text, label, at): at orders the rows by hash, and the fit takes the first fit_rows."""
     labelled = labelled.filter("label in (0, 1)")
@@ -155,14 +173,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     for c, name in ((0, "n0"), (1, "n1")):
         n[c, seen["f"].to_numpy()] += seen[name].to_numpy()
     ratio = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
-    # Both classes get half of the sample at most; a class of fewer rows leaves its place to the other.
-    least = min(docs.values())
-    kept = F.lit(False)
-    for c in (0, 1):
-        most = fit_rows // 2 if least >= fit_rows // 2 else fit_rows - least if docs[c] == max(docs.values()) else docs[c]
-        cut = labelled.filter(F.col("label") == c).select("at").orderBy("at").limit(most).agg(F.max("at")).first()[0]
-        kept |= (F.col("label") == c) & (F.col("at") <= cut)
-    sample = labelled.filter(kept).mapInArrow(_rows_of_features, "label int, at long, f array<int>").toArrow()
+    sample = fit_sample(labelled, docs, fit_rows).mapInArrow(_rows_of_features, "label int, at long, f array<int>").toArrow()
     order = np.lexsort((sample["label"].to_numpy(), sample["at"].to_numpy()))
     y = sample["label"].to_numpy()[order].astype(np.int64)
     lists = sample["f"].combine_chunks()
@@ -189,21 +200,23 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return Model(w[:bias_at] * ratio, float(w[bias_at]), a, b)
 
 
-def _score(model, name: str):
+def _score(model, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.value.scores(data, offsets) for _, _, data, offsets in text_steps(batch.column(0))]
+            parts = [model.value.scores(data, offsets) for _, _, data, offsets in text_steps(batch.column(at))]
             scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, text: Column, keep: list[str], name: str = "score") -> DataFrame:
-    """The columns `keep` of docs and, under `name`, the score of each text."""
-    rows = docs.select(text.alias("_text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), name), f"{schema}, {name} double")
+def score(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
+    """docs and, in a new column of this name, the score of each text."""
+    # Plain names on the way: mapInArrow doesn't take those with a dot.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    schema = StructType([*plain.schema.fields, StructField("score", DoubleType())])
+    found = plain.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)), schema)
+    return found.toDF(*docs.columns, name)
 
 
 def remainder(id_col: Column) -> Column:
@@ -217,24 +230,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     Labels go to the texts, and not texts to the labels, while there are at most BROADCAST_LABELS of them (some 20 bytes
     each); beyond, the labelled texts are shuffled and written once.
     """
-    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).filter("_id IS NOT NULL AND label IN (0, 1)")
+    marks = labels.select(named(id_col).alias("of"), named(label_col).cast("int").alias("label")).filter("of IS NOT NULL AND label IN (0, 1)")
     small = marks.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    rows = docs.filter(remainder(F.col(id_col)) != 0).join(F.broadcast(marks) if small else marks, F.col(id_col) == F.col("_id"))
-    rows = rows.select(F.col(text_col).alias("text"), "label", F.xxhash64("_id", F.lit("fit")).alias("at"))
+    texts = docs.select(named(id_col).alias("doc"), named(text_col).alias("text")).filter(remainder(F.col("doc")) != 0)
+    rows = texts.join(F.broadcast(marks) if small else marks, F.col("doc") == F.col("of"))
+    rows = rows.select("text", "label", F.xxhash64("doc", "text", F.lit("fit")).alias("at"))
     return rows if small else staged(rows, "labelled")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) with a model learnt from the labelled rows that are not held out."""
     model = fit(training_rows(docs, labels))
-    rows = docs.select("text", "doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"))
-    return score(rows, model, F.col("text"), ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "text")
+    return score(rows, model, "text", "score").select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier accepts."""
-    scored = score(docs, fit(training_rows(docs, labels)), docs["text"], docs.columns, "_quality")
-    return scored.filter(F.col("_quality") >= threshold).select(*docs.columns)
+    (name,) = fresh(docs, "quality_score")
+    return score(docs, fit(training_rows(docs, labels)), "text", name).filter(F.col(name) >= threshold).drop(name)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

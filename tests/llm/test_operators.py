@@ -432,7 +432,7 @@ def test_marginals_of_small_graphs():
         n = 4
         f.forms = [[int(x)] for x in rng.integers(0, pii.N_FEATURES, n)]
         f.label, f.seen = np.array([0, 0, 3, 0]), np.array([False, False, True, False])
-        f.chain, f.skip = np.array(links[:1]).reshape(-1, 2), np.array(links[1:]).reshape(-1, 2)
+        f.chain, f.skip = np.array(links[:1], int).reshape(-1, 2), np.array(links[1:], int).reshape(-1, 2)
         total = np.zeros((n, labels))
         unary = pii.dense(f.forms) @ w.node
         for y in product(range(labels), repeat=n):
@@ -464,9 +464,64 @@ def test_quality_classifier(spark, both, none, sf_dir):
     assert all(r["score"] == pytest.approx(1.0) for r in quality_classifier.classify(both, labels.filter("quality = 1")).collect())
 
 
-def test_classifier_stage_keeps_clashing_columns(spark, odd):
+def test_classifier_keeps_clashing_columns(spark, odd):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    assert quality_classifier.keep_quality(odd, labels).columns == odd.columns
+    clashing = odd.selectExpr("*", "21 AS label", "22 AS quality", "23 AS _id", "24 AS at", "25 AS _text", "26 AS _quality", "27 AS `a.b`", "28 AS quality_score")
+    found = quality_classifier.keep_quality(clashing, labels)
+    assert found.columns == clashing.columns
+    assert {tuple(r)[-8:] for r in found.collect()} <= {tuple(range(21, 29))}
+    assert len(quality_classifier.classify(clashing, labels).collect()) == odd.count()
+
+
+def test_the_fit_takes_just_its_rows(spark):
+    """One labelled id that repeats, so that all its rows tie: the sample stays as large as it may be."""
+    docs = spark.range(2000).selectExpr("1 AS doc_id", "'one text of many words' AS text")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    rows = quality_classifier.training_rows(docs, labels).unionByName(spark.range(300).selectExpr("concat('other ', id) AS text", "0 AS label", "id AS at"))
+    sample = quality_classifier.fit_sample(rows, {1: 2000, 0: 300}, 100)
+    assert Counter(r["label"] for r in sample.collect()) == {0: 50, 1: 50}
+
+
+def test_class_counts_and_scores_by_force(spark):
+    """Counts of every n-gram and shape by sets of strings, ratios, margins and the curve from them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows = quality_classifier.training_rows(docs, labels).collect()
+    shape = lambda w: re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub(r"[a-z\u0080-\U0010ffff]", "a", w))))
+    counts = [Counter(), Counter()]
+    for r in rows:
+        w = words(r["text"])
+        low, shapes = [x.translate(FOLD) for x in w], [shape(x) for x in w]
+        counts[r["label"]].update({("w", x) for x in low} | {("s", x) for x in shapes} | {("ww", *x) for x in zip(low, low[1:])} | {("ss", *x) for x in zip(shapes, shapes[1:])})
+    frame = spark.createDataFrame(rows, "text string, label int, at long").select("text", "label")
+    found = {r["f"]: (r["n0"], r["n1"]) for r in frame.mapInArrow(quality_classifier._class_counts, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()}
+    # Buckets that one n-gram has to itself hold its count; there are few others.
+    want = Counter((counts[0][x], counts[1][x]) for x in set(counts[0]) | set(counts[1]))
+    got = Counter(found.values())
+    assert sum((got & want).values()) > 0.8 * sum(want.values())
+    model = quality_classifier.fit(quality_classifier.training_rows(docs, labels))
+    scores = {r["doc_id"]: r["score"] for r in quality_classifier.classify(docs, labels).collect()}
+    for r in docs.limit(40).collect():
+        data = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        _, f = quality_classifier.features(data, np.array([0, len(data)]))
+        margin = sum(float(model.weights[x]) for x in set(f.tolist())) / math.sqrt(max(1, len(f))) + model.bias
+        assert scores[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, model.a * margin + model.b)))), abs=1e-6)
+
+
+def test_dual_descent_is_the_optimum():
+    """The weights against projected gradient steps on the dual's dense matrix."""
+    rng = np.random.default_rng(7)
+    x = [(np.sort(rng.choice(12, 5, replace=False)), rng.normal(size=5)) for _ in range(60)]
+    y, cost = np.where(rng.random(60) < 0.5, 1.0, -1.0), rng.uniform(0.2, 1.0, 60)
+    rows = np.zeros((60, 12))
+    for i, (f, v) in enumerate(x):
+        rows[i, f] = v
+    q = (y[:, None] * rows) @ (y[:, None] * rows).T
+    alpha = np.zeros(60)
+    for _ in range(60_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, cost)
+    w = quality_classifier.dual_descent(x, y, cost, 12, rounds=3000)
+    assert np.abs(w - (alpha * y) @ rows).max() < 1e-2
 
 
 def test_dual_descent_separates():
