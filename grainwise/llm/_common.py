@@ -52,11 +52,11 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return found
 
 
-def kept_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    """The rows of docs whose key is (how: left_semi) or isn't (left_anti) among keys (k); all columns of docs as they are."""
-    (own,) = fresh(docs, "row_key")
-    there = keys.select(F.col("k").alias(own + "_"))
-    return docs.withColumn(own, row_key(named(id_col), named(text_col))).join(there, F.col(own) == F.col(own + "_"), how).drop(own)
+def one_of_each(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row of docs for each of keys (k), with all columns of docs as they are; of rows that share a key one is left."""
+    own, there = fresh(docs, "row_key", "kept_key")
+    rows = docs.withColumn(own, row_key(named(id_col), named(text_col)))
+    return rows.join(keys.select(F.col("k").alias(there)), F.col(own) == F.col(there), "left_semi").dropDuplicates([own]).drop(own)
 
 
 # --- words of an Arrow column ---------------------------------------------------------------------------------------

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import first_words, hash_runs, hash_words, keyed, mix, staged, text_steps, word_spans
+from ._common import KEY, discard, first_words, hash_runs, hash_words, keyed, mix, one_of_each, staged, text_steps, word_spans
 from .simhash import components
 
 WORDS = 5
@@ -210,7 +210,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, k, root) of every row: k is its key, root is common to all rows of a component."""
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    made = staged(rows.mapInArrow(_sketch, f"doc_id {id_type}, k long, s long, sketch binary, bands array<long>"), "near-sets")
+    made = staged(rows.mapInArrow(_sketch, f"doc_id {id_type}, k {KEY}, s long, sketch binary, bands array<long>"), "near-sets")
     met = made.select(F.explode("bands").alias("key"), "s")
     busy = met.groupBy("key").agg(F.min("s").alias("least"), F.max("s").alias("most")).filter("least < most").select("key")
     meetings = staged(met.join(busy, "key").distinct(), "near-meetings")
@@ -229,7 +229,4 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest id, null ids last, then of the smallest key."""
     found = near_copies(docs, id_col, text_col)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("first")).select(F.col("first.k").alias("_kept"))
-    rows = docs.withColumn("_k", F.xxhash64(id_col, text_col))
-    # Wholly equal rows share a key: one is left.
-    return rows.join(kept, F.col("_k") == F.col("_kept"), "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
+    return one_of_each(docs, found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("first")).select("first.k"), id_col, text_col)

@@ -3,7 +3,8 @@
 Fingerprints are pre-aggregated, so copies of a text are one row from there on. Candidates: the 64 bits are cut into
 six blocks; 3 differing bits leave at least three blocks equal, so each fingerprint goes out under its 20 choices of
 three blocks, and fingerprints meet under an equal choice. That misses no pair. A meeting of more than 2,048
-fingerprints is cut into chunks that are compared chunk by chunk, so no task gets it whole.
+fingerprints is dealt anew by each quarter of its other bits, one of which is equal too; what is still larger is cut into
+chunks that are compared chunk by chunk, so no task gets it whole.
 
 Comparison is bit-sliced: 64 bit planes hold one fingerprint a lane. For each distance d in the sort order, the planes
 are set against themselves d lanes further, and all lanes' differences are counted together by carry-save adders; words
@@ -20,6 +21,7 @@ columns are left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import first_words, keyed, staged, text_steps, word_spans
+from ._common import KEY, discard, first_words, keyed, one_of_each, staged, text_steps, word_spans
 
 RADIUS = 3
 CHUNK = 2048
@@ -81,7 +83,7 @@ def _fingerprints(words_per_shingle: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
     """(doc_id, k, fp): k is the row's key, fp has the fingerprint's 64 bits as a signed long."""
     rows = keyed(docs, id_col, text_col)
-    return rows.mapInArrow(_fingerprints(words_per_shingle), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k long, fp long")
+    return rows.mapInArrow(_fingerprints(words_per_shingle), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k {KEY}, fp long")
 
 
 # --- bit-sliced comparison ------------------------------------------------------------------------------------------
@@ -197,36 +199,46 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _block_key(fp, choice: tuple[int, ...]):
-    """A long of the chosen blocks' bits."""
-    mask = 0
-    for b in choice:
-        mask |= ((1 << (_EDGES[b + 1] - _EDGES[b])) - 1) << _EDGES[b]
-    return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask))
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def _masks() -> tuple[list[int], list[int]]:
+    """The bits of each choice of three blocks; and, for each, a quarter of the other bits four times."""
+    chosen, quarters = [], []
+    for choice in _CHOICES:
+        mask = sum(((1 << (_EDGES[b + 1] - _EDGES[b])) - 1) << _EDGES[b] for b in choice)
+        others = [bit for bit in range(64) if not mask >> bit & 1]
+        chosen.append(_signed(mask))
+        quarters += [_signed(sum(1 << bit for bit in others[j::4])) for j in range(4)]
+    return chosen, quarters
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) between the fingerprints of distinct (fp) that span every component of the links at RADIUS bits."""
-    keys = F.array(*[F.xxhash64(_block_key(F.col("fp"), c), F.lit(n)) for n, c in enumerate(_CHOICES)])
-    met = distinct.select("fp", F.explode(keys).alias("key"))
-    busy = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    chosen, quarters = _masks()
+    keys = F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(n)) for n, m in enumerate(chosen)])
+    met = distinct.select("fp", F.posexplode(keys).alias("choice", "key"))
+    count = lambda df: df.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    busy = staged(count(met), "simhash-busy")
+    parts = [met.join(busy.filter(F.col("n") <= CHUNK), "key").select("key", F.lit(0).cast("long").alias("part"), "fp")]
+    crowded = busy.filter(F.col("n") > CHUNK).select("key")
+    if not crowded.isEmpty():
+        # Of the bits outside the three blocks, three differ at most, so that one quarter of them is equal.
+        masks = F.array(*[F.lit(m) for m in quarters])
+        quarter = lambda j: F.xxhash64("key", F.lit(j), F.col("fp").bitwiseAND(F.element_at(masks, F.col("choice") * 4 + j + 1)))
+        finer = staged(met.join(crowded, "key").select("fp", F.explode(F.array(*[quarter(j) for j in range(4)])).alias("key")), "simhash-finer")
+        parts.append(_dealt(finer.join(count(finer), "key")))
+    rows = reduce(DataFrame.unionByName, parts).repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "fp")
+    return rows.mapInArrow(_compare, "a long, b long").distinct()
+
+
+def _dealt(met: DataFrame) -> DataFrame:
+    """(key, part, fp) of (key, n, fp): a meeting of n above CHUNK is cut into c chunks, and a chunk goes out once for each, c = n / CHUNK."""
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(1)), "chunks").cast("int")
-    # With c chunks, a chunk goes out once for each chunk: c rows for each of n fingerprints, c = n / CHUNK.
-    parts = F.transform(
-        F.sequence(F.lit(0), F.col("chunks") - 1),
-        lambda x: F.least(x, F.col("own")) * F.col("chunks") + F.greatest(x, F.col("own")),
-    )
-    dealt = (
-        met.join(busy, "key")
-        .withColumn("chunks", chunks)
-        .withColumn("own", own)
-        .select("key", F.explode(parts).alias("part"), "fp")
-        .withColumn("part", F.col("part").cast("long"))
-        .repartition(F.col("key"), F.col("part"))
-        .sortWithinPartitions("key", "part", "fp")
-    )
-    return dealt.mapInArrow(_compare, "a long, b long").distinct()
+    parts = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: (F.least(x, F.col("own")) * F.col("chunks") + F.greatest(x, F.col("own"))).cast("long"))
+    return met.withColumn("chunks", chunks).withColumn("own", own).select("key", F.explode(parts).alias("part"), "fp")
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -242,7 +254,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         lowest = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(lowest, "u")
         small = small.select("m", "v").filter("m < v").select(F.col("m").alias("a"), F.col("v").alias("b")).union(lowest.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
-        edges = staged(small, name)
+        before, edges = edges, staged(small, name)
+        discard(before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == seen:
             break
@@ -272,7 +285,4 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest id, null ids last, then of the smallest key."""
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("first")).select(F.col("first.k").alias("_kept"))
-    rows = docs.withColumn("_k", F.xxhash64(id_col, text_col))
-    # Wholly equal rows share a key: one is left.
-    return rows.join(kept, F.col("_k") == F.col("_kept"), "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
+    return one_of_each(docs, found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("first")).select("first.k"), id_col, text_col)

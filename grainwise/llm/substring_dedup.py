@@ -11,7 +11,7 @@ the windows of a span are all its extensions to the left and right that reach th
 share are found by grouping on (anchor, window), which costs a row for each extension and not one for each pair of spans.
 Repeats that overlap are merged into maximal ones.
 
-Defined cases: null and empty texts have no words; repeated rows repeat each other; a document may repeat itself; hashes
+Defined cases: null and empty texts have no words; repeated rows repeat each other, and their spans are listed once; a document may repeat itself; hashes
 have 64 bits and are compared under an equal anchor, so 128 in all; an empty table gives an empty result; extra columns
 are left alone.
 """
@@ -25,27 +25,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import first_words, hash_runs, hash_words, keyed, mix, staged, text_steps, word_spans
+from ._common import KEY, first_words, hash_runs, hash_words, keyed, mix, staged, text_steps, word_spans
 
 LENGTH = 35
 ANCHOR = 12
-#: Bits of the position in a step, and so of words in one step; the hash keeps the rest for choosing anchors.
-_AT_BITS = 26
+#: Bits of the position in a block of words; the hash keeps the rest for choosing anchors.
+AT_BITS = 24
+BLOCK = (1 << AT_BITS) - 1024
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
-    """(row, first window, windows, anchor hash, span hash) of each span, and (windows' hashes, first words of rows)."""
+def spans(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """(row, first window, windows, anchor hash, span hash) of each span."""
     starts, ends, rows = word_spans(data, offsets)
-    n_rows = len(offsets) - 1
-    first = first_words(rows, n_rows)
+    first = first_words(rows, len(offsets) - 1)
     words = hash_words(data, starts, ends)
+    # In blocks that overlap, so that positions fit into AT_BITS; a span that a block's end cuts is two spans.
+    found = [_block(words[lo : lo + BLOCK + length - 1], rows[lo : lo + BLOCK + length - 1], lo, length, anchor) for lo in range(0, max(1, len(words) - length + 1), BLOCK)]
+    row, at, n, gram, whole = (np.concatenate(x) for x in zip(*found))
+    return row, at - first[row], n, gram, whole
+
+
+def _block(words: np.ndarray, rows: np.ndarray, offset: int, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     n = len(words) - length + 1
     none = np.zeros(0, np.int64)
-    if n <= 0:
-        return (none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)), (np.zeros(0, np.uint64), first)
-    windows = hash_runs(words, length)
-    grams = hash_runs(words, anchor)
-    at_mask = np.uint64((1 << _AT_BITS) - 1)
+    inside = np.flatnonzero(rows[: max(n, 0)] == rows[length - 1 : length - 1 + max(n, 0)])
+    if not len(inside):
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    windows, grams = hash_runs(words, length), hash_runs(words, anchor)
+    at_mask = np.uint64((1 << AT_BITS) - 1)
     packed = grams & ~at_mask | (at_mask - np.arange(len(grams), dtype=np.uint64))
     width, reach = length - anchor + 1, 1
     least = packed
@@ -55,23 +62,19 @@ def spans(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
     if width > reach:
         least = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
     at = (at_mask - (least & at_mask)).astype(np.int64)[:n]
-    inside = np.flatnonzero(rows[:n] == rows[length - 1 : length - 1 + n])
-    if not len(inside):
-        return (none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)), (windows, first)
     new = np.flatnonzero(np.concatenate([[True], (at[inside][1:] != at[inside][:-1]) | (inside[1:] != inside[:-1] + 1)]))
     lo = inside[new]
     hi = inside[np.concatenate([new[1:], [len(inside)]]) - 1]
-    row = rows[lo]
     # A span is shorter than a window, so its first and its last window together have all its words.
     whole = mix(windows[lo] * np.uint64(0x9E3779B97F4A7C15) + windows[hi] + (hi - lo).astype(np.uint64))
-    return (row, lo - first[row], hi - lo + 1, grams[at[lo]], whole), (windows, first)
+    return rows[lo], lo + offset, hi - lo + 1, grams[at[lo]], whole
 
 
 def _seed(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_steps(batch.column(1)):
-                (row, start, n, gram, whole), _ = spans(data, offsets, length, anchor)
+                row, start, n, gram, whole = spans(data, offsets, length, anchor)
                 k = batch.column(0).slice(lo, hi - lo).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([k, pa.array(start << 8 | n), pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64))], ["k", "at", "anchor", "span"])
 
@@ -105,7 +108,7 @@ def _extend(length: int):
 def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(k, start, n): windows start .. start + n - 1 of the row with key k repeat; docs has (k, text)."""
     rows = docs.select("k", "text")
-    seeds = rows.mapInArrow(_seed(length, anchor), "k long, at long, anchor long, span long")
+    seeds = rows.mapInArrow(_seed(length, anchor), f"k {KEY}, at long, anchor long, span long")
     met = seeds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).filter("n > 1")
     # Written, like `shared` below, so that the join has an exchange on either side and Spark can split what very many documents share.
     met = staged(met.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "repeat-anchors")
@@ -117,7 +120,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     # One span of each kind is extended against those of the same anchor.
     lists = kinds.select("one.k", "one.at", "anchor").groupBy("k").agg(F.collect_list(F.struct("at", "anchor")).alias("spans"))
     windows = rows.join(lists, "k").select("k", "text", F.col("spans.at").alias("at"), F.col("spans.anchor").alias("anchor")).dropDuplicates(["k"])
-    windows = staged(windows.mapInArrow(_extend(length), "k long, start long, anchor long, window long"), "repeat-windows")
+    windows = staged(windows.mapInArrow(_extend(length), f"k {KEY}, start long, anchor long, window long"), "repeat-windows")
     shared = staged(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window"), "repeat-shared")
     partial = windows.join(shared, ["anchor", "window"]).select("k", "start", F.lit(1).cast("long").alias("n"))
     return full.select("k", F.shiftright("at", 8).alias("start"), F.col("at").bitwiseAND(F.lit(255)).alias("n")).unionByName(partial)
@@ -160,7 +163,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """(doc_id, n_words, n_removed, kept, repeat_start, repeat_end): kept words, and the maximal repeats as word ranges."""
     rows = keyed(docs, id_col, text_col)
     packed = F.shiftleft("start", 32).bitwiseOR(F.col("n"))
-    found = repeats(rows, length, anchor).groupBy("k").agg(F.collect_list(packed).alias("found"))
+    found = repeats(rows, length, anchor).groupBy("k").agg(F.collect_set(packed).alias("found"))  # copies share a key and have the same spans
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_words long, n_removed long, kept string, repeat_start array<long>, repeat_end array<long>"
     return rows.join(found, "k", "left").select("doc_id", "text", "found").mapInArrow(_remove(length), schema)

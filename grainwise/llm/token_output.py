@@ -12,7 +12,7 @@ pieces are told apart by 64-bit hashes, and each distinct piece is encoded by th
 cache.
 
 Defined cases: a null text is empty; an empty text has the end id alone; repeated rows and ids are written in order of
-their ids, then their bytes; null ids come first; an empty table gives an empty result; extra columns are left alone.
+their ids, then of a hash of their bytes; null ids come first; an empty table gives an empty result; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import hash_words, new_path, staged, text_steps
+from ._common import discard, hash_words, named, new_path, staged, text_steps
 
 #: Ids handled in one numpy step.
 STEP_IDS = 1 << 19
@@ -251,7 +251,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Write the documents' ids under path; gives path back."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     ids = staged(rows.mapInArrow(_tokenize(tokenizer, end_id), f"doc_id {id_type}, n_tokens long, ids binary"), "token-ids")
     counted = ids.select("n_tokens", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
@@ -262,14 +262,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     spark.createDataFrame(ranks, "id long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
     known = spark.sparkContext.broadcast(table)
     schema = f"doc_id {id_type}, n_tokens long, control binary, data binary"
+    # Written, since the ranges are sampled from it before it is dealt out; a hash splits the rows of an id that very many have.
+    coded = staged(ids.mapInArrow(_write(known), schema), "token-codes")
+    discard(ids)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("control", "data")]
     (
-        ids.mapInArrow(_write(known), schema)
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "control", "data")
+        coded.repartitionByRange(*order)
+        .sortWithinPartitions(*order, "n_tokens", "control", "data")
         .mapInArrow(_number, schema.replace("n_tokens", "part int, local_start long, n_tokens"))
         .write.option("compression", "zstd")
         .parquet(f"{path}/documents")
     )
+    discard(coded)
     files = spark.read.parquet(f"{path}/documents")
     start = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", start.alias("start")).write.parquet(f"{path}/parts")

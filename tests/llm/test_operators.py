@@ -617,3 +617,49 @@ def test_digest(spark, sf_dir):
     d = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     clean = next(i for i, x in r.items() if x["n_removed"] == 0)
     assert r[clean]["kept_sha256"] == hashlib.sha256(" ".join(words(d[clean])).encode()).hexdigest()
+
+
+def test_crowded_meetings(spark, monkeypatch):
+    """Fingerprints that meet in large numbers, near and far from each other, against all pairs."""
+    monkeypatch.setattr(simhash, "CHUNK", 4)
+    rng = np.random.default_rng(9)
+    low = rng.integers(0, 2**31, 150)
+    fps = sorted({int(x) for x in low} | {int(x) ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) for x in low[:60] for a, b, c in [rng.integers(0, 64, 3)]})
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    root = {f: f for f in fps}
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(fps):
+            for b in fps[i + 1 :]:
+                if (a ^ b).bit_count() <= 3 and root[a] != root[b]:
+                    root[a] = root[b] = min(root[a], root[b])
+                    changed = True
+    found = {r["node"] % 2**64: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()}
+    groups = lambda of: {frozenset(f for f in of if of[f] == r) for r in of.values()} - {frozenset([f]) for f in fps}
+    assert groups(found) == groups(root) and len(groups(root)) > 40
+
+
+def test_repeats_across_blocks(spark, both, monkeypatch):
+    """Texts longer than a block of words, and copies of one text, whose spans are listed once."""
+    whole = sorted(map(str, substring_dedup.remove_repeats(both).collect()))
+    copies = spark.createDataFrame([(1, " ".join(f"a{i % 400}" for i in range(900)))] * 40 + [(2, None)] * 3, "doc_id long, text string")
+    rows = substring_dedup.keyed(copies, "doc_id", "text")
+    found = substring_dedup.repeats(rows).groupBy("k").agg(F.collect_set(F.struct("start", "n")).alias("found")).collect()
+    assert len(found) == 1 and len(found[0]["found"]) < 900
+    assert {(r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(copies).collect()} == {(900, 900), (0, 0)}
+    data = np.frombuffer(" ".join(f"b{i % 700}" for i in range(3000)).encode(), np.uint8)
+    windows = lambda: {w for _, at, n, _, _ in zip(*(x.tolist() for x in substring_dedup.spans(data, np.array([0, len(data)]), 35, 12))) for w in range(at, at + n)}
+    one = windows()
+    monkeypatch.setattr(substring_dedup, "BLOCK", 500)
+    assert windows() == one == set(range(3000 - 34))
+    assert sorted(map(str, substring_dedup.remove_repeats(both).collect())) == whole
+
+
+def test_hot_ids_of_token_files(spark):
+    """Null ids and one id that many rows have: starts follow each other, whatever the order among them."""
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id", "concat('text number ', id % 500) AS text").repartition(7)
+    rows = sorted(token_output.token_output(df).collect(), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in rows]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1]]
