@@ -32,3 +32,8 @@ def datediff(start: Column, end: Column, part: str) -> Column:
     size = {"hour": 3600, "minute": 60, "second": 1}[part]
     cut = lambda m: F.unix_timestamp(F.date_trunc(part, m))
     return ((cut(end) - cut(start)) / size).cast("long")
+
+
+def today() -> Column:
+    """The date on which the query runs, in the session's zone."""
+    return F.current_date()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def admissible(condition: Column, frame: DataFrame) -> bool:
     """True if the condition is a boolean on the frame's columns, without aggregates."""
     try:
         return frame.filter(condition).select(condition).dtypes[0][1] == "boolean"
-    except Exception:
+    except AnalysisException:
         return False
 
 
@@ -67,11 +68,20 @@ def resolve_fields(fields: DataFrame, measures: DataFrame, columns: DataFrame) -
 
 
 def implicit_measures(shown: DataFrame, columns: DataFrame, authored: DataFrame) -> DataFrame:
-    """(agg, col, tiles) of the aggregations that visuals declare: numbers only, no sums or means of ids, authored ones left out."""
+    """(name, agg, table, col, tiles) of the aggregations that visuals declare, shown (tile, agg, table, col), over columns (table, col, data_type).
+
+    Numbers only, no sums or means of ids; a column name that visuals take from several tables is told apart by its table;
+    a name that authored (name) has is the author's.
+    """
     numeric = F.col("data_type").rlike("int|double|decimal|currency|number|float|money|real")
     allowed = numeric & ~(F.col("agg").isin("sum", "avg") & is_id_like(F.col("col")))
-    kept = shown.join(F.broadcast(columns), "col").filter(allowed | F.col("agg").isin("count", "count_distinct"))
-    return kept.join(authored, ["agg", "col"], "left_anti").groupBy("agg", "col").agg(F.count_distinct("tile").alias("tiles"))
+    found = shown.groupBy("agg", "table", "col").agg(F.count_distinct("tile").alias("tiles"))
+    shared = found.groupBy(F.lower("col").alias("_low")).agg((F.count_distinct("table") > 1).alias("_shared"))
+    kept = found.join(columns, ["table", "col"]).filter(allowed | F.col("agg").isin("count", "count_distinct")).join(shared, F.lower("col") == F.col("_low"))
+    shown_as = F.when(F.col("_shared"), F.concat("table", F.lit("["), "col", F.lit("]"))).otherwise(F.col("col"))
+    named = kept.withColumn("name", F.concat(F.initcap(F.replace("agg", F.lit("_"), F.lit(" "))), F.lit(" of "), shown_as))
+    theirs = authored.select(F.lower("name").alias("_known")).distinct()
+    return named.join(theirs, F.lower("name") == F.col("_known"), "left_anti").select("name", "agg", "table", "col", "tiles")
 
 
 def additive(parts: DataFrame, wholes: DataFrame, tolerance: float = 1e-9) -> DataFrame:

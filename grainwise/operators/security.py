@@ -12,20 +12,12 @@ from ..plans.model import Model
 
 
 def row_role(model: Model, filters: Mapping[str, Column]) -> Model:
-    """The model as a role sees it: filtered tables, and of every table on a many side only rows whose one side is left."""
+    """The model as a role sees it: filtered tables, and of every table on a many side only rows whose one side is left.
+
+    Nothing is joined twice: whatever is evaluated joins the filtered tables it leads to, and inner.
+    """
     tables = {t: df.filter(filters[t]) if t in filters else df for t, df in model.tables.items()}
-    narrowed, todo = set(filters), list(filters)
-    while todo:
-        one_table = todo.pop(0)
-        for r in model.relationships:
-            (many, many_key), (one, one_key) = r.many.split("."), r.one.split(".")
-            if r.active and one == one_table:
-                keys = tables[one].select(F.col(one_key).alias("_key"))
-                tables[many] = tables[many].join(keys, F.col(many_key) == F.col("_key"), "left_semi")
-                if many not in narrowed:
-                    narrowed.add(many)
-                    todo.append(many)
-    return Model(tables, model.relationships, model.measures, model.calendar)
+    return Model(tables, model.relationships, model.measures, model.calendar, model.restricted | set(filters))
 
 
 def hide(model: Model, objects: Sequence[str]) -> Model:
@@ -34,7 +26,7 @@ def hide(model: Model, objects: Sequence[str]) -> Model:
     columns = {o for o in objects if "." in o}
     tables = {t: df.drop(*[c for c in df.columns if f"{t}.{c}" in columns]) for t, df in model.tables.items() if t not in gone}
     measures = {n: m for n, m in model.measures.items() if m.base not in gone and not gone & set(m.reads)}
-    return Model(tables, [r for r in model.relationships if not {r.many.split(".")[0], r.one.split(".")[0]} & gone], measures, model.calendar)
+    return Model(tables, [r for r in model.relationships if not {r.many.split(".")[0], r.one.split(".")[0]} & gone], measures, model.calendar, model.restricted)
 
 
 def perspective(model: Model, columns: Mapping[str, Sequence[str]], measures: Sequence[str]) -> Model:
@@ -42,7 +34,7 @@ def perspective(model: Model, columns: Mapping[str, Sequence[str]], measures: Se
     keys = {c for r in model.relationships for c in (r.many, r.one)}
     tables = {t: model.tables[t].select(*[c for c in model.tables[t].columns if c in shown or f"{t}.{c}" in keys]) for t, shown in columns.items()}
     kept = [r for r in model.relationships if r.many.split(".")[0] in tables and r.one.split(".")[0] in tables]
-    return Model(tables, kept, {n: model.measures[n] for n in measures}, model.calendar)
+    return Model(tables, kept, {n: model.measures[n] for n in measures}, model.calendar, model.restricted)
 
 
 def calculation_item(model: Model, names: Sequence[str], item: str, rewrite: Callable[[Model, str, str], str]) -> list[str]:

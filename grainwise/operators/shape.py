@@ -57,8 +57,12 @@ def positions(parts: DataFrame, order: str, label: str = "label", value: str = "
     return parts.withColumn("position", F.row_number().over(Window.orderBy(*by)))
 
 
+def key_is_number(kind: str) -> bool:
+    return kind in ("int", "bigint", "smallint", "tinyint", "float", "double") or kind.startswith("decimal")
+
+
 def sort_key(value: Column, kind: str) -> Column:
     """A declared sort column's value as text that sorts like it: numbers from 0 are padded."""
-    if kind in ("int", "bigint", "smallint", "tinyint", "float", "double") or kind.startswith("decimal"):
+    if key_is_number(kind):
         return F.when(value >= 0, F.format_string("%018.4f", value.cast("double"))).otherwise(value.cast("string"))
     return value.cast("string")

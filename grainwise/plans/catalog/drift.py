@@ -36,23 +36,28 @@ def events(changes: DataFrame) -> DataFrame:
     return others.unionByName(pairs.select(F.col("old_id").alias("id"), F.lit("renamed").alias("event"), F.lit(False).alias("is_semantic")))
 
 
-def affected(requirements: DataFrame, happened: DataFrame) -> DataFrame:
-    """(requirement, n_events, action) of requirements (requirement, evidence array): revalidate, or only update references."""
-    hit = requirements.select("requirement", F.explode("evidence").alias("id")).join(happened, "id")
+def affected(evidence: DataFrame, happened: DataFrame) -> DataFrame:
+    """(requirement, n_events, action) of evidence (requirement, id): revalidate, or only update references."""
+    hit = evidence.join(happened, "id")
     action = F.when(F.bool_or("is_semantic"), "revalidate").otherwise("reference update")
     return hit.groupBy("requirement").agg(F.count("*").alias("n_events"), action.alias("action"))
 
 
-def change_rows(happened: DataFrame, requirements: DataFrame) -> DataFrame:
-    """(id, event, position of its kind of event, requirements): for a document, in order."""
+def change_rows(happened: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(id, event, position of its kind of event, requirement): for a document; a row for each requirement that rests on the object, one with none if there is none."""
     order = F.element_at(F.create_map(*[F.lit(x) for p in (("changed", 0), ("removed", 1), ("added", 2), ("renamed", 3)) for x in p]), F.col("event"))
-    touched = requirements.select("requirement", F.explode("evidence").alias("id")).groupBy("id").agg(F.array_sort(F.collect_set("requirement")).alias("requirements"))
-    return happened.join(touched, "id", "left").select("id", "event", order.alias("event_order"), F.coalesce("requirements", F.array().cast("array<string>")).alias("requirements"))
+    touched = evidence.select("requirement", "id").distinct()
+    return happened.join(touched, "id", "left").select("id", "event", order.alias("event_order"), "requirement")
 
 
-def gate(happened: DataFrame, touched: DataFrame, fail_on: str = "semantic") -> DataFrame:
-    """One row: counts, and whether the gate fails on any, semantic or revalidation changes."""
+def gate(happened: DataFrame, touched: DataFrame, fail_on: str = "semantic", models: tuple[str, str] | None = None, allow_different: bool = False) -> DataFrame:
+    """One row: counts, and whether the gate fails on any, semantic, revalidation or no changes.
+
+    models are the names of the two that are compared: different ones are refused unless that is allowed.
+    """
+    if models and models[0] != models[1] and not allow_different:
+        raise ValueError(f"{models[0]} and {models[1]} are different models: every object would be added or removed")
     a = happened.agg(F.count("*").alias("n_events"), F.count_if("is_semantic").alias("n_semantic"))
     b = touched.agg(F.count_if(F.col("action") == "revalidate").alias("n_revalidate"))
-    fails = {"any": F.col("n_events"), "semantic": F.col("n_semantic"), "revalidation": F.col("n_revalidate")}[fail_on] > 0
+    fails = {"any": F.col("n_events"), "semantic": F.col("n_semantic"), "revalidation": F.col("n_revalidate"), "none": F.lit(0)}[fail_on] > 0
     return a.crossJoin(b).withColumn("fails", fails)  # one row each

@@ -55,11 +55,14 @@ def closure(edges: DataFrame, starts: DataFrame, backwards: bool = False, most:
     return union(seen).filter("depth > 0")
 
 
-def neighbourhood(edges: DataFrame, nodes: DataFrame, start: str, depth: int = 2, per_column: int = 12) -> DataFrame:
-    """(id, kind, depth, more): nodes within `depth` steps either way, nearest depth first; at most per_column of a kind and depth, the rest counted in `more`."""
+def neighbourhood(edges: DataFrame, nodes: DataFrame, start: str, depth: int = 2, per_column: int = 12, always: Sequence[str] = ("source",)) -> DataFrame:
+    """(id, kind, depth, more): nodes within `depth` steps either way, nearest depth first, and the neighbours of these of a kind in `always`, a step further; at most per_column of a kind and depth, the rest counted in `more`."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     begin = nodes.filter(F.col("id") == start).select("id")
-    reached = closure(both, begin, most=depth).groupBy("id").agg(F.min("depth").alias("depth"))
+    within = closure(both, begin, most=depth).select("id", "depth")
+    kept = nodes.filter(F.col("kind").isin(*always)).select(F.col("id").alias("dst"))
+    beyond = within.unionByName(begin.select("id", F.lit(0).alias("depth"))).join(both.join(kept, "dst"), F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth"))
+    reached = within.unionByName(beyond).filter(F.col("id") != start).groupBy("id").agg(F.min("depth").alias("depth"))
     column = Window.partitionBy("kind", "depth")
     ranked = reached.join(nodes, "id").withColumn("_nth", F.row_number().over(column.orderBy("id"))).withColumn("_n", F.count("*").over(column))
     return ranked.filter(F.col("_nth") <= per_column).select("id", "kind", "depth", F.greatest(F.col("_n") - per_column, F.lit(0)).alias("more"))

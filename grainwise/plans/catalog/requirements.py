@@ -25,19 +25,23 @@ RULES = {
 
 
 def derive(objects: DataFrame) -> DataFrame:
-    """(requirement, kind, category, statement, confidence, evidence) of objects (id, kind, name); the id is a hash of what it is about."""
-    parts = None
-    for kind, (what, category, statement, confidence) in RULES.items():
-        part = objects.filter(F.col("kind") == kind).select(
-            fingerprint(F.lit(kind), F.col("id")).alias("requirement"),
-            F.lit(what).alias("kind"),
-            F.lit(category).alias("category"),
-            F.format_string(statement, F.col("name")).alias("statement"),
-            F.lit(confidence).alias("confidence"),
-            F.array("id").alias("evidence"),
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """(requirement, kind, category, statement, confidence, evidence) of objects (id, kind, name), in one pass; the id is a hash of what it is about."""
+    rules = F.create_map(*[x for kind, rule in RULES.items() for x in (F.lit(kind), F.array(*[F.lit(r) for r in rule]))])
+    rows = objects.withColumn("_rule", F.element_at(rules, F.col("kind"))).filter("_rule IS NOT NULL")
+    what, category, statement, confidence = (F.col("_rule")[i] for i in range(4))
+    return rows.select(
+        fingerprint(F.col("kind"), F.col("id")).alias("requirement"),
+        what.alias("kind"),
+        category.alias("category"),
+        F.replace(statement, F.lit("%s"), F.col("name")).alias("statement"),
+        confidence.alias("confidence"),
+        F.array("id").alias("evidence"),
+    )
+
+
+def evidence(requirements: DataFrame) -> DataFrame:
+    """(requirement, id): what each requirement rests on, a row each."""
+    return requirements.select("requirement", F.explode("evidence").alias("id"))
 
 
 def corroborated(objects: DataFrame, shown: DataFrame, readers: DataFrame) -> DataFrame:
@@ -54,3 +58,15 @@ def standing(current: DataFrame, decisions: DataFrame) -> DataFrame:
     same = F.array_sort("fingerprints").eqNullSafe(F.array_sort("_bound"))
     state = F.when(F.col("verdict").isNull(), "open").when(same, "decided").otherwise("stale")
     return current.join(last, "id", "left").select("id", state.alias("standing"), "verdict")
+
+
+def review_queue(requirements: DataFrame, standings: DataFrame) -> DataFrame:
+    """(requirement, standing) of requirements (requirement, confidence) of low confidence that aren't decided, standings being (id, standing)."""
+    low = requirements.filter("confidence = 'low'").join(standings.withColumnRenamed("id", "requirement"), "requirement", "left")
+    return low.select("requirement", F.coalesce("standing", F.lit("open")).alias("standing")).filter("standing <> 'decided'")
+
+
+def review_counts(requirements: DataFrame, standings: DataFrame) -> DataFrame:
+    """(confidence, standing, n)."""
+    rows = requirements.join(standings.withColumnRenamed("id", "requirement"), "requirement", "left")
+    return rows.groupBy("confidence", F.coalesce("standing", F.lit("open")).alias("standing")).agg(F.count("*").alias("n"))

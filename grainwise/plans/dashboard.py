@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import is_id_like, is_unreadable, label
-from ..operators.shape import first_per, top_fold
+from ..operators.shape import disjoint_spans, first_per, key_is_number, sort_key, top_fold
+from ..sources.staging import staged
 from ..sources.tables import profile
-from .model import PERIODS, Model, as_rows
+from .model import PERIODS, Measure, Model, NotComputable, as_rows
 
 MIN_CLASSES, MAX_CLASSES, MAX_SLICES, MAX_PERIODS, MAX_POINTS, MAX_SPLITS, MAX_PLACES = 2, 30, 10, 120, 40, 4, 400
 
@@ -23,9 +24,29 @@ def calendar_choice(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     return best.withColumn("tied", F.count("*").over(Window.partitionBy())).filter("tied = 1").select("column_name", "n_distinct")
 
 
+def calendar_tables(model: Model, dates: Mapping[str, Sequence[str]], marked: Sequence[str] = ()) -> list[str]:
+    """The table to take years from, in a list of one, or none: the one marked table with dates, else the only one with dates that others lead to and that leads to none itself."""
+    own = [t for t in marked if dates.get(t)]
+    if len(own) == 1:
+        return own
+    pointed = {r.one.split(".")[0] for r in model.relationships} - {r.many.split(".")[0] for r in model.relationships}
+    leaves = sorted(t for t in pointed if dates.get(t))
+    return leaves if len(leaves) == 1 else []
+
+
+def calendar(model: Model, dates: Mapping[str, Sequence[str]], marked: Sequence[str] = ()) -> DataFrame:
+    """(table_name, column_name, n_distinct) of the date column to take years from, dates being the date columns of each table; no row if the model doesn't settle it."""
+    spark = next(iter(model.tables.values())).sparkSession
+    found = calendar_tables(model, dates, marked)
+    if not found:
+        return spark.createDataFrame([], "table_name string, column_name string, n_distinct long")
+    return calendar_choice(model.tables[found[0]], dates[found[0]]).select(F.lit(found[0]).alias("table_name"), "column_name", "n_distinct")
+
+
 def usable_periods(table: DataFrame, column: str, most: int = MAX_PERIODS) -> DataFrame:
-    """(period, buckets) of the periods that have 2 to `most` buckets."""
-    counts = table.agg(*[F.count_distinct(F.date_trunc(p, column)).alias(p) for p in PERIODS])
+    """(period, buckets) of the periods that have 2 to `most` buckets; coarser ones are counted over the distinct hours."""
+    hours = table.select(F.date_trunc("hour", column).alias("hour")).distinct()
+    counts = hours.agg(*[F.count_distinct(F.date_trunc(p, "hour")).alias(p) for p in PERIODS])
     return counts.unpivot([], list(PERIODS), "period", "buckets").filter(F.col("buckets").between(2, most))
 
 
@@ -53,7 +74,7 @@ def chartable(model: Model, base: str, hidden: Sequence[str] = ()) -> DataFrame:
     for t in one_side(model, base):
         columns = [c for c, kind in model.tables[t].dtypes if f"{t}.{c}" not in barred and kind in ("string", "int", "bigint", "boolean")]
         if columns:
-            parts.append(profile(model.tables[t], columns).select(F.lit(t).alias("table_name"), "*"))
+            parts.append(profile(model.tables[t], columns, MAX_CLASSES).select(F.lit(t).alias("table_name"), "*"))
     if not parts:
         raise ValueError(f"nothing on a one side of {base} can be charted")
     found = reduce(DataFrame.unionByName, parts)
@@ -65,14 +86,31 @@ def one_per_table(columns: DataFrame, most: int = MAX_SPLITS) -> DataFrame:
     return first_per(columns, ["table_name"], F.col("n_distinct"), F.col("column_name")).orderBy("table_name").limit(most)
 
 
-def breakdown(model: Model, measure: str, by: str, where: Mapping[str, object] | None = None, year: int | None = None, most: int = MAX_SLICES) -> DataFrame:
-    """(measure, by, label, value, folded, additive) of a measure split by one column."""
-    column = by.split(".")[-1]
-    parts = model.evaluate([measure], [by], where=where, year=year).select(F.lit(measure).alias("measure"), F.lit(by).alias("by"), label(F.col(column)).alias("label"), F.col(measure).cast("double").alias("value")).filter("value IS NOT NULL")
-    whole = model.evaluate([measure], where=where, year=year).select(F.col(measure).cast("double").alias("whole"))
-    total = parts.agg(F.sum("value").alias("parts")).crossJoin(whole)  # one row each
-    check = total.select((F.abs(F.col("parts") - F.col("whole")) <= 1e-9 * F.greatest(F.abs("whole"), F.lit(1.0))).alias("additive"))
-    return top_fold(parts, most, ["measure", "by"]).crossJoin(check)  # check is one row
+def label_order(table: DataFrame, column: str, sort_by: str | None = None, date: str | None = None) -> DataFrame:
+    """(label, order_key): the order of a column's labels as its declared sort column has it, or, where the labels are periods of a date column, each ending before the next begins, as time has it; no rows otherwise."""
+    named = table.select(label(F.col(column)).alias("label"), *[F.col(c).alias("at") for c in (sort_by or date,) if c])
+    if sort_by:
+        kind = dict(table.dtypes)[sort_by]
+        firsts = named.groupBy("label").agg(F.min("at").alias("at")).filter("at IS NOT NULL")
+        key = sort_key(F.col("at"), kind)
+        if key_is_number(kind):
+            # One negative number, and all are compared as text.
+            key = F.when(F.min("at").over(Window.partitionBy()) < 0, F.col("at").cast("string")).otherwise(key)
+        return firsts.select("label", key.alias("order_key"))
+    if date:
+        spans = named.groupBy("label").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low IS NOT NULL")
+        fit = disjoint_spans(spans.withColumn("all", F.lit(1)), ["all"]).filter("disjoint").select("disjoint")
+        enough = F.count("*").over(Window.partitionBy())
+        return spans.crossJoin(fit).withColumn("n", enough).filter(F.col("n") >= MIN_CLASSES).select("label", F.col("low").cast("string").alias("order_key"))  # fit is one row or none
+    return named.select("label", F.lit(None).cast("string").alias("order_key")).limit(0)
+
+
+def breakdown(model: Model, measure: str, by: str, where: Mapping[str, object] | None = None, year: int | None = None, most: int = MAX_SLICES, order: DataFrame | None = None) -> DataFrame:
+    """(measure, by, label, value, folded, additive, order_key) of a measure split by one column; order is (label, order_key)."""
+    found = dashboard(model, measure, [by], where, year, most, refuse=False, whole_split=False).drop("is_filter")
+    if order is None:
+        return found.withColumn("order_key", F.lit(None).cast("string"))
+    return found.join(order, "label", "left").select("measure", "by", "label", "value", "folded", "additive", "order_key")
 
 
 def over_time(model: Model, measures: Sequence[str], period: str, grain: Sequence[str] = (), year: int | None = None, most: int = MAX_PERIODS) -> DataFrame:
@@ -84,14 +122,61 @@ def over_time(model: Model, measures: Sequence[str], period: str, grain: Sequenc
     return frame.orderBy("period").limit(most)
 
 
-def dashboard(model: Model, measure: str, splits: Sequence[str], where: Mapping[str, object] | None = None, year: int | None = None) -> DataFrame:
-    """The splits of a measure under a cross-filter; the split of a filtered column stays whole and is marked is_filter."""
+def dashboard(
+    model: Model, measure: str, splits: Sequence[str], where: Mapping[str, object] | None = None, year: int | None = None, most: int = MAX_SLICES, refuse: bool = True, whole_split: bool = True
+) -> DataFrame:
+    """(measure, by, label, value, folded, additive, is_filter): the splits of a measure under a cross-filter.
+
+    With whole_split the split of a filtered column stays whole and is marked is_filter. A measure of one base is
+    aggregated for all splits and their wholes in one pass over one joined frame, by grouping sets, each split with its own
+    conditions. Refused if no rows are left.
+    """
     where = dict(where or {})
-    parts = []
-    for by in splits:
-        others = {c: v for c, v in where.items() if c != by}
-        parts.append(breakdown(model, measure, by, others, year).withColumn("is_filter", F.lit(by in where)))
-    return reduce(DataFrame.unionByName, parts)
+    leaves = model.leaves(measure)
+    bases = {leaf.base for leaf in leaves}
+    conditions = [{c: v for c, v in where.items() if not (whole_split and c == by)} for by in splits]
+    if len(bases) > 1 or model.shifts(measure):
+        rows = reduce(DataFrame.unionByName, [_split(model, measure, by, others, year) for by, others in zip(splits, conditions)])
+    else:
+        rows = _splits_in_one(model, measure, leaves, splits, conditions, year)
+    if refuse:
+        rows = staged(rows, "splits")
+        if rows.filter("label IS NOT NULL").isEmpty():
+            raise NotComputable("BLOCKED", "rows", f"the filters leave no rows of {measure}")
+    parts = rows.filter("NOT total").select("measure", "by", label(F.col("label")).alias("label"), "value").filter("value IS NOT NULL")
+    whole = rows.filter("total").select("measure", "by", F.col("value").alias("whole"))
+    gap = F.abs(F.col("parts") - F.col("whole")) <= 1e-9 * F.greatest(F.abs("whole"), F.lit(1.0))
+    check = parts.groupBy("measure", "by").agg(F.sum("value").alias("parts")).join(whole, ["measure", "by"]).select("measure", "by", gap.alias("additive"))
+    return top_fold(parts, most, ["measure", "by"]).join(check, ["measure", "by"], "left").withColumn("is_filter", F.col("by").isin(*where) if where and whole_split else F.lit(False))
+
+
+def _split(model: Model, measure: str, by: str, where: Mapping[str, object], year: int | None) -> DataFrame:
+    """(measure, by, label, value, total) of one split, and its whole."""
+    head = (F.lit(measure).alias("measure"), F.lit(by).alias("by"))
+    value = F.col(f"`{measure}`").cast("double").alias("value")
+    parts = model.evaluate([measure], [by], where=where, year=year).select(*head, F.col(by.split(".")[-1]).cast("string").alias("label"), value, F.lit(False).alias("total"))
+    return parts.unionByName(model.evaluate([measure], where=where, year=year).select(*head, F.lit(None).cast("string").alias("label"), value, F.lit(True).alias("total")))
+
+
+def _splits_in_one(model: Model, measure: str, leaves: Sequence[Measure], splits: Sequence[str], conditions: Sequence[Mapping[str, object]], year: int | None) -> DataFrame:
+    """The same for several splits, in one pass."""
+    frame, keeps = model.scoped(leaves, [*splits, *{c for some in conditions for c in some}], conditions, year)
+    keys = [F.col(by).cast("string").alias(f"split{i}") for i, by in enumerate(splits)]
+    read = frame.select("*", *keys)
+    sums = [leaf.build(keep).alias(f"{i}:{leaf.name}") for i, keep in enumerate(keeps) for leaf in leaves]
+    there = [keep.rows().alias(f"{i}:rows") for i, keep in enumerate(keeps)]
+    names = [f"split{i}" for i in range(len(splits))]
+    grouped = read.groupingSets([[F.col(n)] for n in names] + [[]], *[F.col(n) for n in names]).agg(F.grouping_id().alias("gid"), *sums, *there)
+    all_ones = (1 << len(splits)) - 1
+    out = []
+    for i, by in enumerate(splits):
+        # Of the grouping id's bits the one of this split is 0, the others are 1; the whole has all.
+        mine = F.when(F.col("gid") == all_ones, True).when(F.col("gid") == all_ones & ~(1 << (len(splits) - 1 - i)), False)
+        own = [F.col(f"`{i}:{leaf.name}`").alias(leaf.name) for leaf in leaves]
+        out.append(F.struct(F.lit(by).alias("by"), F.col(f"split{i}").alias("label"), mine.alias("total"), F.col(f"`{i}:rows`").alias("rows"), *own))
+    rows = grouped.select(F.inline(F.array(*out))).filter("total IS NOT NULL AND (total OR rows > 0)")
+    value = model.derived(rows, measure, {leaf.name for leaf in leaves})
+    return value.select(F.lit(measure).alias("measure"), "by", "label", F.col(f"`{measure}`").cast("double").alias("value"), "total")
 
 
 def sparklines(model: Model, measures: Sequence[str], period: str, points: int = MAX_POINTS) -> DataFrame:

@@ -6,6 +6,7 @@ Measures of different bases are aggregated before they are joined, so facts neve
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -67,12 +68,17 @@ class NotComputable(ValueError):
         self.status, self.construct, self.reason = status, construct, reason
 
 
+FIGURES = "measure string, value double, status string, reason string, implicit boolean"
+
+
 @dataclass
 class Model:
     tables: Mapping[str, DataFrame]
     relationships: Sequence[Relationship] = ()
     measures: dict[str, Measure] = field(default_factory=dict)
     calendar: Mapping[str, str] = field(default_factory=dict)
+    #: Tables of which a role sees only some rows: what leads to them is joined, and inner.
+    restricted: frozenset[str] = frozenset()
 
     def add(self, *measures: Measure) -> Model:
         for m in measures:
@@ -86,7 +92,7 @@ class Model:
             Relationship(r.many, r.one, r == relationship, r.integrity, r.both_directions) if {r.many.split(".")[0], r.one.split(".")[0]} == pair else r
             for r in self.relationships
         ]
-        return Model(self.tables, turned, dict(self.measures), self.calendar)
+        return Model(self.tables, turned, dict(self.measures), self.calendar, self.restricted)
 
     # --- joins ------------------------------------------------------------------------------------------------------
 
@@ -113,21 +119,41 @@ class Model:
         return steps[::-1]
 
     def joined(self, base: str, needed: Iterable[str]) -> DataFrame:
-        """base with the tables it needs: LEFT to a one side, so unmatched facts stay; INNER to a many side or under integrity."""
+        """base with the tables it needs: LEFT to a one side, so unmatched facts stay; INNER to a many side, under integrity, or on the way to a restricted table."""
         if base not in self.tables:
             raise NotComputable("BLOCKED", "table", f"there is no table {base}")
+        narrow = {t for t in self.restricted - {base} if (way := self.ways_up(base).get(t)) is not None}
+        strict = {r for t in narrow for r in self.ways_up(base)[t]}
         frame, there = self.tables[base].alias(base), {base}
-        for table in sorted(set(needed) - {base}):
+        for table in sorted({*needed, *narrow} - {base}):
             if table not in self.tables:
                 raise NotComputable("BLOCKED", "table", f"there is no table {table}")
-            for r, to_one in self.path(base, table):
+            steps = [(r, True) for r in self.ways_up(base)[table]] if table in narrow else self.path(base, table)
+            for r, to_one in steps:
                 new = (r.one if to_one else r.many).split(".")[0]
                 if new not in there:
-                    how = "left" if to_one and not r.integrity else "inner"
+                    how = "left" if to_one and not r.integrity and r not in strict else "inner"
                     frame = frame.join(self.tables[new].alias(new), F.col(r.many) == F.col(r.one), how)
                     there.add(new)
         return frame
 
+    def ways_up(self, base: str) -> dict[str, tuple[Relationship, ...]]:
+        """The tables that base reaches going only to one sides, with the relationships on the way."""
+        ways: dict[str, tuple[Relationship, ...]] = {base: ()}
+        queue = deque([base])
+        while queue:
+            here = queue.popleft()
+            for r in self.relationships:
+                many, one = r.many.split(".")[0], r.one.split(".")[0]
+                if r.active and many == here and one not in ways:
+                    ways[one] = (*ways[here], r)
+                    queue.append(one)
+        return ways
+
+    def visible(self, table: str) -> DataFrame:
+        """The rows of a table that a restricted model lets through."""
+        return self.joined(table, ()).select(f"{table}.*")
+
     # --- evaluation -------------------------------------------------------------------------------------------------
 
     def leaves(self, name: str, above: tuple[str, ...] = ()) -> list[Measure]:
@@ -167,8 +193,9 @@ class Model:
         period: str | None = None,
         year: int | None = None,
         where: Mapping[str, object] | None = None,
+        ordered: bool = False,
     ) -> DataFrame:
-        """A row for each group of the grain ('table.column', named by the column) and period; a column for each measure."""
+        """A row for each group of the grain ('table.column', named by the column) and period, in their order if asked for; a column for each measure."""
         where = where or {}
         leaves = {leaf.name: leaf for n in names for leaf in self.leaves(n)}
         keys = [g.split(".")[-1] for g in grain] + (["period"] if period else [])
@@ -197,7 +224,86 @@ class Model:
         done = set(leaves)
         for n in names:
             frame = self._derive(frame, n, done, keys)
-        return frame.select(*keys, *names)
+        frame = frame.select(*keys, *names)
+        return frame.orderBy(*keys) if ordered and keys else frame
+
+    def scoped(self, leaves: Sequence[Measure], columns: Iterable[str], conditions: Sequence[Mapping[str, object]], year: int | None = None) -> tuple[DataFrame, list[Keep]]:
+        """The joined frame of leaves of one base with what the columns need, and for each set of conditions (column to value) the rows it keeps."""
+        base = leaves[0].base
+        needed = {c.split(".")[0] for c in columns} | {t for m in leaves for t in m.reads}
+        calendar = self.calendar.get(base)
+        if year:
+            if calendar is None:
+                raise NotComputable("BLOCKED", "calendar", f"{base} has no calendar column")
+            needed.add(calendar.split(".")[0])
+        frame = self.joined(base, needed)
+        if year:
+            frame = frame.filter(F.year(calendar) == year)
+        equal = lambda c, v: F.col(c) == F.lit(str(v)).try_cast(frame.select(c).schema[0].dataType)
+        common = [c for c in conditions[0] if all(c in some and some[c] == conditions[0][c] for some in conditions)]
+        for c in common:
+            frame = frame.filter(equal(c, conditions[0][c]))
+        keeps = []
+        for some in conditions:
+            keep = Keep()
+            for c, v in some.items():
+                keep = keep if c in common else keep & equal(c, v)
+            keeps.append(keep)
+        return frame, keeps
+
+    def derived(self, frame: DataFrame, name: str, done: set[str]) -> DataFrame:
+        """frame, which has columns of the measures in done, with the measure."""
+        return self._derive(frame, name, set(done), [])
+
+    def figures(self, names: Sequence[str] | None = None, implicit: Iterable[str] = ()) -> DataFrame:
+        """(measure, value, status, reason, implicit): a figure for each measure over everything, or why there is none.
+
+        What can be computed is computed together. A measure that looks back has a figure for each period, and so no single one.
+        """
+        names, implicit = list(self.measures) if names is None else list(names), set(implicit)
+        states = {n: self.status(n) for n in names}
+        refused = {n: (s, why) for n, (s, _, why) in states.items() if s != "EXACT"}
+        refused |= {n: ("several rows", "it has a figure for each period, and none for all of them") for n in names if n not in refused and self.shifts(n)}
+        whole = [n for n in names if n not in refused]
+        spark = next(iter(self.tables.values())).sparkSession
+        told = spark.createDataFrame([(n, None, *refused[n], n in implicit) for n in refused], FIGURES)
+        if not whole:
+            return told
+        bases = {n: sorted({leaf.base for leaf in self.leaves(n)}) for n in whole}
+        rows = {f"rows of {b}": Measure(f"rows of {b}", b, lambda keep: keep.rows()) for b in sorted({b for some in bases.values() for b in some})}
+        counted = Model(self.tables, self.relationships, {**self.measures, **rows}, self.calendar, self.restricted)
+        frame = counted.evaluate([*whole, *rows])
+        empty = {n: reduce(lambda a, b: a & b, [F.col(f"`rows of {b}`") == 0 for b in bases[n]]) for n in whole}
+        found = []
+        for n in whole:
+            value = F.col(f"`{n}`").try_cast("double") if dict(frame.dtypes)[n] == "string" else F.col(f"`{n}`").cast("double")
+            bad = F.isnan(value) | F.abs(value).isin(float("inf"))
+            status = F.when(empty[n], "no rows").when(F.col(f"`{n}`").isNull(), "no value").when(value.isNull() | bad, "no number").otherwise("ok")
+            found.append(F.struct(F.lit(n).alias("measure"), F.when(status == "ok", value).alias("value"), status.alias("status"), F.lit(n in implicit).alias("implicit")))
+        reason = F.when(F.col("status") == "no rows", "its tables have no rows").when(F.col("status") == "no value", "it has no value").when(F.col("status") == "no number", "what it gives is no number")
+        return frame.select(F.inline(F.array(*found))).select("measure", "value", "status", reason.alias("reason"), "implicit").unionByName(told)
+
+    def columns_read(self, name: str) -> list[str]:
+        """The columns ('table.column') that a measure reads, through the measures it is made of."""
+        known = {f"{t}.{c}" for t, df in self.tables.items() for c in df.columns}
+        return sorted({c for leaf in self.leaves(name) for c in re.findall(r"\w+\.\w+", str(leaf.build(Keep())))} & known)
+
+    def home(self, name: str) -> str | None:
+        """The table a measure belongs to: its base, or that of the first measure it is made of that has one."""
+        m = self.measures.get(name)
+        return m and (m.base or next((h for i in m.inputs if i != name and (h := self.home(i))), None))
+
+    def lineage(self) -> tuple[list[tuple[str, str, str]], list[tuple[str, str, str]]]:
+        """(table, measure, column read) of every measure that can be computed, and (table, measure, reason) of the others."""
+        reads, omitted = [], []
+        for name in self.measures:
+            status, construct, reason = self.status(name)
+            table = (None if construct == "cycle" else self.home(name)) or ""
+            if status == "EXACT":
+                reads += [(table, name, c) for c in self.columns_read(name)]
+            else:
+                omitted.append((table, name, reason))
+        return reads, omitted
 
     def _derive(self, frame: DataFrame, name: str, done: set[str], keys: list[str]) -> DataFrame:
         if name in done:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint
 from ..plans.catalog import drift, graph, listing, reconcile, requirements, search
-from ..plans.dashboard import keys_of
+from ..plans.model import Measure
 from ._base import RELATIONSHIPS, query, retail, table
 
 OBJ = """a AS (SELECT doc_id::VARCHAR AS id, lang AS kind, source || ' ' || doc_id AS name, text AS expression, sha256(text) AS fingerprint FROM documents),
@@ -39,7 +39,7 @@ def after(spark, d):
 
 
 def _requirements(spark, d):
-    return table(spark, d, "documents").groupBy(F.col("source").alias("requirement")).agg(F.collect_list(F.col("doc_id").cast("string")).alias("evidence"))
+    return table(spark, d, "documents").select(F.col("source").alias("requirement"), F.col("doc_id").cast("string").alias("id"))
 
 
 def _diff(spark, d):
@@ -66,16 +66,15 @@ def c_affected(spark, d):
     return drift.affected(_requirements(spark, d), drift.events(_diff(spark, d)))
 
 
-@query("c_change_rows", f"WITH {OBJ} SELECT h.id, event, CASE event WHEN 'changed' THEN 0 WHEN 'removed' THEN 1 WHEN 'added' THEN 2 ELSE 3 END AS event_order, coalesce(req.requirement, '') AS requirements FROM happened h LEFT JOIN req USING (id)")
+@query("c_change_rows", f"WITH {OBJ} SELECT h.id, event, CASE event WHEN 'changed' THEN 0 WHEN 'removed' THEN 1 WHEN 'added' THEN 2 ELSE 3 END AS event_order, req.requirement FROM happened h LEFT JOIN req USING (id)")
 def c_change_rows(spark, d):
-    rows = drift.change_rows(drift.events(_diff(spark, d)), _requirements(spark, d))
-    return rows.withColumn("requirements", F.array_join("requirements", ","))
+    return drift.change_rows(drift.events(_diff(spark, d)), _requirements(spark, d))
 
 
 @query("c_drift_gate", f"WITH {OBJ} SELECT (SELECT count(*)::BIGINT FROM happened) AS n_events, (SELECT count(*)::BIGINT FROM happened WHERE is_semantic) AS n_semantic, (SELECT count(*)::BIGINT FROM touched WHERE action = 'revalidate') AS n_revalidate, (SELECT count(*) > 0 FROM happened WHERE is_semantic) AS fails")
 def c_drift_gate(spark, d):
     happened = drift.events(_diff(spark, d))
-    return drift.gate(happened, drift.affected(_requirements(spark, d), happened))
+    return drift.gate(happened, drift.affected(_requirements(spark, d), happened), models=("documents", "documents"))
 
 
 # --- graph ----------------------------------------------------------------------------------------------------------
@@ -137,6 +136,14 @@ def c_neighbourhood(spark, d):
     return graph.neighbourhood(edges, nodes, "nation:3")
 
 
+@query("c_neighbourhood_sources", f"""WITH {EDGES}, {NODES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), d1 AS (SELECT DISTINCT dst AS id, 1 AS depth FROM u WHERE src = 'customer:3'),
+d2 AS (SELECT DISTINCT dst AS id, 2 AS depth FROM u JOIN d1 ON u.src = d1.id WHERE dst NOT IN (SELECT id FROM d1) AND (starts_with(dst, 'region:') OR starts_with(dst, 'part:'))), r AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2)
+SELECT id, kind, depth, greatest(count(*) OVER w - 12, 0)::BIGINT AS more FROM r JOIN n USING (id) WINDOW w AS (PARTITION BY kind, depth) QUALIFY row_number() OVER (PARTITION BY kind, depth ORDER BY id) <= 12""")
+def c_neighbourhood_sources(spark, d):
+    nodes, edges = keys_graph(spark, d)
+    return graph.neighbourhood(edges, nodes, "customer:3", depth=1, always=("region", "part"))
+
+
 @query("c_table_refs", "SELECT DISTINCT event_type AS id, name FROM events JOIN (SELECT DISTINCT event_type AS name FROM events WHERE value > 20) ON name = event_type")
 def c_table_refs(spark, d):
     e = table(spark, d, "events")
@@ -220,12 +227,28 @@ def c_find_in_expr(spark, d):
     return search.find_in_expressions(graph.union([table(spark, d, t).select(F.lit(k).alias("kind"), F.col(c).alias("expression")) for k, t, c in _EXPRESSIONS]), "Then")
 
 
-@query("c_list_tables", " UNION ALL ".join(f"SELECT '{t}' AS table_name, {n} AS n_columns, {k} AS n_keys, count(*)::BIGINT AS n_rows FROM {t}" for t, n, k in (("region", 2, 1), ("nation", 3, 2), ("customer", 5, 2), ("supplier", 4, 2), ("part", 6, 1), ("orders", 6, 2), ("lineitem", 11, 3))))
+def _model_columns(spark, m):
+    """(table_name, column_name, data_type) of a model's tables."""
+    return spark.createDataFrame([(t, c, k) for t, df in m.tables.items() for c, k in df.dtypes], "table_name string, column_name string, data_type string")
+
+
+_TABLE_KINDS = (("region", "data", 2, 0), ("nation", "data", 3, 0), ("customer", "data", 5, 0), ("supplier", "data", 4, 0), ("part", "parameter", 6, 0), ("orders", "data", 6, 2), ("lineitem", "data", 11, 5), ("LocalDateTable_1", "system", 1, 0), ("key figures", "measures", 0, 4))
+
+
+@query("c_list_tables", "SELECT *, 0::BIGINT AS n_rows FROM (VALUES " + ", ".join(f"('{t}', '{k}', {c}::BIGINT, {m}::BIGINT)" for t, k, c, m in _TABLE_KINDS if " " in t or "_" in t) + ") v(table_name, kind, n_columns, n_measures) UNION ALL " + " UNION ALL ".join(f"SELECT '{t}', '{k}', {c}::BIGINT, {m}::BIGINT, count(*)::BIGINT FROM {t}" for t, k, c, m in _TABLE_KINDS if not (" " in t or "_" in t)))
 def c_list_tables(spark, d):
     m = retail(spark, d)
-    keys = keys_of(m)
-    listed = [df.agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), F.lit(len(df.columns)).alias("n_columns"), F.lit(sum(f"{t}.{c}" in keys for c in df.columns)).alias("n_keys"), "n_rows") for t, df in m.tables.items()]
-    return graph.union(listed)
+    columns = _model_columns(spark, m).withColumn("parameter", F.col("table_name") == "part").unionByName(spark.createDataFrame([("LocalDateTable_1", "Date", "date", False)], "table_name string, column_name string, data_type string, parameter boolean"))
+    measures = spark.createDataFrame([(x.base or "key figures", x.name) for x in m.measures.values()], "table_name string, measure string")
+    tables = columns.select("table_name").unionByName(measures.select("table_name")).distinct()
+    counts = graph.union([df.agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows") for t, df in m.tables.items()])
+    return listing.list_tables(tables, columns, measures).join(counts, "table_name", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+
+
+@query("c_list_measures", "SELECT event_type AS table_name, user_id::VARCHAR AS measure, user_id IN (SELECT doc_id FROM labels) AS documented FROM events")
+def c_list_measures(spark, d):
+    measures = table(spark, d, "events").select(F.col("event_type").alias("table_name"), F.col("user_id").cast("string").alias("measure"))
+    return listing.list_measures(measures, table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("measure")))
 
 
 _KINDS = (("measure", "documents", "doc_id", "source"), ("relationship", "nation", "n_nationkey", "n_name"), ("hierarchy", "region", "r_regionkey", "r_name"), ("calculated column", "part", "p_partkey", "p_name"), ("role", "customer", "c_custkey", "c_mktsegment"),
@@ -276,33 +299,45 @@ def c_glossary(spark, d):
     return listing.glossary(before(spark, d), F.col("expression"))
 
 
-@query("c_tiles", "SELECT conv_id AS tile, count(DISTINCT role)::BIGINT AS n_fields, count(DISTINCT role) FILTER (WHERE role = 'assistant')::BIGINT AS n_measures, bool_or(role = 'assistant') AND min(CASE WHEN role = 'user' THEN 'number' ELSE 'table' END) = 'number' AS is_kpi FROM (SELECT DISTINCT conv_id, role FROM conversations) GROUP BY 1")
+@query("c_tiles", """WITH f AS (SELECT DISTINCT conv_id, role FROM conversations)
+SELECT conv_id AS tile, count(*)::BIGINT AS n_fields, count(*) FILTER (WHERE role = 'assistant')::BIGINT AS n_measures, count(*) FILTER (WHERE role = 'user')::BIGINT AS n_columns, count(*) FILTER (WHERE role NOT IN ('assistant', 'user'))::BIGINT AS n_unresolved,
+  count(*) FILTER (WHERE role = 'assistant') > 0 AND conv_id % 2 = 0 AS is_kpi FROM f GROUP BY 1""")
 def c_tiles(spark, d):
-    t = table(spark, d, "conversations").select(F.col("conv_id").alias("tile"), F.col("role").alias("field"), (F.col("role") == "assistant").alias("is_measure"), F.when(F.col("role") == "user", "number").otherwise("table").alias("visual"))
-    return listing.tiles(t)
+    t = table(spark, d, "conversations").select(F.col("conv_id").alias("tile"), F.col("role").alias("field"), F.when(F.col("conv_id") % 2 == 0, "number").otherwise("table").alias("visual"))
+    roles = t.select("field").distinct()
+    return listing.tiles(t, roles.filter("field = 'assistant'"), roles.filter("field = 'user'"))
 
 
-@query("c_verify")
+@query("c_verify", "SELECT doc_id AS id, true AS same_when_reformatted, true AS differs_when_mutated FROM documents")
 def c_verify(spark, d):
     return listing.self_check(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("c_load_steps", """SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN 'csv' ELSE 'sql' END AS connector, p_name AS first_literal, 2 AS steps, CASE WHEN p_size > 25 THEN 'filters rows, casts columns' ELSE 'adds a column, renames columns' END AS effects, p_size > 25 AS changes_rows FROM part""")
+_STEPS = tuple(listing.STEP_EFFECTS.items())
+_STEP_LIST = lambda i: "[" + ", ".join("'" + step[i] + "'" for step in _STEPS) + "]"
+
+
+@query("c_load_steps", f"""WITH p AS (SELECT *, (p_partkey % {len(_STEPS)} + 1)::INT AS k FROM part), s AS (SELECT *, {_STEP_LIST(0)}[k] AS f, {_STEP_LIST(1)}[k] AS e FROM p)
+SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN 'csv' WHEN f = 'File.Contents' THEN 'file' WHEN f = 'Csv.Document' THEN 'csv' WHEN f = 'Json.Document' THEN 'json' WHEN f = 'Xml.Tables' THEN 'xml' WHEN f = 'Excel.Workbook' THEN 'excel' ELSE NULL END AS connector, p_name AS first_literal,
+  CASE WHEN p_size > 25 THEN 4 ELSE 2 END AS calls, CASE WHEN p_size > 25 THEN 3 ELSE 1 END AS steps, CASE WHEN p_size > 25 THEN 'reads delimited text, reads a file, ' ELSE '' END || e AS effects, 'Own.Function' AS "unknown",
+  f IN ('Table.SelectRows', 'Table.Distinct', 'Table.FirstN', 'Table.Skip', 'Table.Range', 'Table.RemoveLastN', 'Table.Group', 'Table.Combine', 'Table.Join', 'Table.NestedJoin', 'Table.ExpandTableColumn', 'Table.Pivot', 'Table.Unpivot', 'Table.UnpivotOtherColumns') AS changes_rows FROM s""")
 def c_load_steps(spark, d):
-    a = F.concat(F.lit('Csv.Document(File.Contents("'), "p_name", F.lit('")), Table.SelectRows(x), Table.TransformColumnTypes(x)'))
-    b = F.concat(F.lit('Sql.Database("'), "p_name", F.lit('"), Table.AddColumn(x), Table.RenameColumns(x)'))
-    return listing.load_steps(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, a).otherwise(b).alias("script")))
+    p = table(spark, d, "part")
+    step = F.get(F.array(*[F.lit(f) for f, _ in _STEPS]), (F.col("p_partkey") % len(_STEPS)).cast("int"))
+    source = F.when(F.col("p_size") > 25, F.concat(F.lit('Csv.Document(File.Contents("'), "p_name", F.lit('")), '))).otherwise(F.concat(F.lit('"'), "p_name", F.lit('", ')))
+    return listing.load_steps(p.select(F.col("p_partkey").alias("id"), F.concat(source, step, F.lit("(x), Own.Function (y)")).alias("script")))
 
 
-@query("c_sql_refs", "SELECT p_partkey AS id, list_aggregate(list_sort(list_distinct([lower(p_type), 'site'])), 'string_agg', ',') AS tables, CASE WHEN p_size > 25 THEN 'AVG,SUM' ELSE 'COUNT' END AS aggregates FROM part")
+@query("c_sql_refs", """SELECT p_partkey AS id, list_aggregate(list_sort(list_distinct(['Plant Sites', CASE WHEN p_size > 25 THEN lower(p_type) ELSE 'wh.' || lower(p_type) END])), 'string_agg', ',') AS tables, CASE WHEN p_size > 25 THEN 'a,x,y' ELSE 'a,x' END AS columns, CASE WHEN p_size > 25 THEN 'AVG,SUM' ELSE 'COUNT' END AS aggregates FROM part""")
 def c_sql_refs(spark, d):
-    body = F.concat(F.lit("SELECT "), F.when(F.col("p_size") > 25, "sum(x) / avg(y)").otherwise("count(x)"), F.lit(" FROM "), "p_type", F.lit(" t JOIN site s ON t.a = s.a"))
+    picked, schema = F.when(F.col("p_size") > 25, "sum(t.x) / avg(t.y)").otherwise("count(t.x)"), F.when(F.col("p_size") > 25, "").otherwise("WH.")
+    body = F.concat(F.lit("WITH given AS (SELECT 1) SELECT "), picked, F.lit(" -- FROM nowhere\nFROM "), schema, "p_type", F.lit(" t JOIN \"Plant Sites\" s ON t.a = s.a JOIN given ON 'from text' <> ''"))
     return listing.sql_refs(table(spark, d, "part").select(F.col("p_partkey").alias("id"), body.alias("body")))
 
 
-@query("c_data_as_of", "SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS as_of, count(*)::BIGINT AS tables FROM events WHERE event_type <> 'error'")
+@query("c_data_as_of", "SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS as_of, count(*)::BIGINT AS tables, 'mixed' AS storage FROM events WHERE event_type <> 'error'")
 def c_data_as_of(spark, d):
-    found = listing.data_as_of(table(spark, d, "events").select(F.col("ts").alias("refreshed_at"), (F.col("event_type") == "error").alias("calculated")))
+    found = listing.data_as_of(table(spark, d, "events").select(F.col("ts").alias("refreshed_at"), (F.col("event_type") == "error").alias("calculated"), F.when(F.col("user_id") % 2 == 0, "import").otherwise("direct").alias("mode")))
     return found.withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -312,16 +347,51 @@ def c_gaps(spark, d):
     return listing.gaps(p, p.filter("p_brand = 'Brand#7'").select("kind").distinct())
 
 
-@query("c_security", "SELECT c_mktsegment AS role, string_agg(DISTINCT c_nationkey::VARCHAR, ',' ORDER BY c_nationkey::VARCHAR) AS member, string_agg(DISTINCT CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END, ',' ORDER BY CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END) AS filter, '' AS hidden FROM customer GROUP BY 1")
+@query("c_security", "SELECT DISTINCT c_mktsegment AS role, 'member' AS what, c_nationkey::VARCHAR AS value FROM customer UNION ALL SELECT DISTINCT c_mktsegment, 'filter', CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END FROM customer")
 def c_security(spark, d):
+    return listing.security(_grants(spark, d))
+
+
+@query("c_security_counts", "SELECT c_mktsegment AS role, count(DISTINCT c_nationkey)::BIGINT AS members, count(DISTINCT c_acctbal < 0)::BIGINT AS filters, 0::BIGINT AS hidden FROM customer GROUP BY 1")
+def c_security_counts(spark, d):
+    return listing.security_counts(_grants(spark, d))
+
+
+def _grants(spark, d):
     c = table(spark, d, "customer")
     grant = lambda what, value: c.select(F.col("c_mktsegment").alias("role"), F.lit(what).alias("what"), value.alias("value"))
-    return listing.security(grant("member", F.col("c_nationkey").cast("string")).unionByName(grant("filter", F.when(F.col("c_acctbal") < 0, "debt").otherwise("credit"))))
+    return grant("member", F.col("c_nationkey").cast("string")).unionByName(grant("filter", F.when(F.col("c_acctbal") < 0, "debt").otherwise("credit")))
+
+
+_REVIEW = "r AS (SELECT doc_id, CASE lang WHEN 'de' THEN 'low' WHEN 'fr' THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN CASE WHEN source = 'src1' THEN 'stale' ELSE 'decided' END ELSE 'open' END AS standing FROM documents)"
+
+
+def _review(spark, d):
+    docs = table(spark, d, "documents")
+    confidence = F.when(F.col("lang") == "de", "low").when(F.col("lang") == "fr", "medium").otherwise("high")
+    standings = docs.join(table(spark, d, "labels"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.when(F.col("source") == "src1", "stale").otherwise("decided").alias("standing"))
+    return docs.select(F.col("doc_id").alias("requirement"), confidence.alias("confidence")), standings
+
+
+@query("c_review_queue", f"WITH {_REVIEW} SELECT doc_id AS requirement, standing FROM r WHERE confidence = 'low' AND standing <> 'decided'")
+def c_review_queue(spark, d):
+    return requirements.review_queue(*_review(spark, d))
+
+
+@query("c_review_counts", f"WITH {_REVIEW} SELECT confidence, standing, count(*)::BIGINT AS n FROM r GROUP BY 1, 2")
+def c_review_counts(spark, d):
+    return requirements.review_counts(*_review(spark, d))
+
+
+_EVENTS = (("region", 2, 0, 0), ("nation", 3, 0, 0), ("customer", 5, 0, 0), ("supplier", 4, 0, 0), ("part", 6, 0, 0), ("orders", 6, 1, 0), ("lineitem", 11, 12, 1))
 
 
-@query("s_lineage_events", "SELECT c_mktsegment AS table_name, count(DISTINCT c_name)::BIGINT AS n_fields, count(DISTINCT c_nationkey)::BIGINT AS n_inputs FROM customer GROUP BY 1")
+@query("s_lineage_events", " UNION ALL ".join(f"SELECT '{t}' AS table_name, {n}::BIGINT AS n_fields, {r}::BIGINT AS n_inputs, {o}::BIGINT AS n_omitted, count(*)::BIGINT AS n_rows FROM {t}" for t, n, r, o in _EVENTS))
 def s_lineage_events(spark, d):
-    c = table(spark, d, "customer").withColumnRenamed("c_mktsegment", "table_name")
-    events = listing.lineage_events(c.select("table_name", F.col("c_name").alias("column_name"), F.lit("string").alias("data_type")), c.select("table_name", F.col("c_nationkey").cast("string").alias("measure"), F.lit("c_acctbal").alias("column_name")))
-    size = lambda path: F.size(F.from_json(F.get_json_object("event", path), "array<string>")).cast("long")
-    return events.select("table_name", size("$.fields").alias("n_fields"), size("$.lineage").alias("n_inputs"))
+    m = retail(spark, d).add(Measure("broken", inputs=("revenue", "no such measure"), fn=lambda a, b: a))
+    reads, omitted = m.lineage()
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    events = listing.lineage_events(_model_columns(spark, m), frame(reads, "table_name string, measure string, column_name string"), frame(omitted, "table_name string, measure string, reason string"))
+    size = lambda path: F.coalesce(F.size(F.from_json(F.get_json_object("event", path), "array<string>")), F.lit(0)).cast("long")
+    counts = graph.union([df.agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows") for t, df in m.tables.items()])
+    return events.join(counts, "table_name").select("table_name", size("$.fields").alias("n_fields"), size("$.lineage").alias("n_inputs"), size("$.omitted").alias("n_omitted"), "n_rows")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import is_id_like
 from ..operators import shape
 from ..plans import dashboard as dash
-from ..plans.model import Model, as_rows
+from ..plans.model import Measure, Model, Relationship, as_rows
 from ._base import FROM_LINES, money, query, retail, table
 
 REV = "sum(l_extendedprice * (1 - l_discount))"
@@ -138,6 +138,14 @@ def d_calendar_pick(spark, d):
     return dash.calendar_choice(rows, ["o_orderdate", "l_shipdate"])
 
 
+@query("d_calendar", "SELECT 'calendar' AS table_name, 'day' AS column_name, count(DISTINCT o_orderdate::DATE)::BIGINT AS n_distinct FROM orders")
+def d_calendar(spark, d):
+    m = retail(spark, d)
+    days = m.tables["orders"].select(F.to_date("o_orderdate").alias("day"), F.trunc("o_orderdate", "month").alias("month")).distinct()
+    with_days = Model({**m.tables, "calendar": days}, [*m.relationships, Relationship("orders.o_orderdate", "calendar.day")], m.measures, m.calendar)
+    return dash.calendar(with_days, {"orders": ["o_orderdate"], "lineitem": ["l_shipdate"], "calendar": ["day", "month"]})
+
+
 @query("d_usable_periods", "WITH p AS (" + " UNION ALL ".join(f"SELECT '{p}' AS period, count(DISTINCT date_trunc('{p}', ts))::BIGINT AS buckets FROM events" for p in ("year", "quarter", "month", "day", "hour")) + ") SELECT * FROM p WHERE buckets BETWEEN 2 AND 120")
 def d_usable_periods(spark, d):
     return dash.usable_periods(table(spark, d, "events"), "ts")
@@ -157,6 +165,28 @@ def d_breakdown(spark, d):
     return dash.breakdown(retail(spark, d), "revenue", "part.p_brand").select("measure", "by", "label", "folded", "additive", *money("value"))
 
 
+@query("d_breakdown_ordered", f"""WITH b AS ({BRANDS}), n AS (SELECT *, row_number() OVER (ORDER BY v DESC, p_brand) AS k, count(*) OVER () AS t FROM b), o AS (SELECT p_brand, printf('%018.4f', min(p_size)::DOUBLE) AS order_key FROM part GROUP BY 1)
+SELECT CASE WHEN k > 10 THEN (t - 10)::VARCHAR || ' more' ELSE p_brand END AS label, k > 10 AS folded, round(sum(v), 4) AS value, min(CASE WHEN k <= 10 THEN order_key END) AS order_key FROM n LEFT JOIN o USING (p_brand) GROUP BY 1, 2""")
+def d_breakdown_ordered(spark, d):
+    m = retail(spark, d)
+    found = dash.breakdown(m, "revenue", "part.p_brand", order=dash.label_order(m.tables["part"], "p_brand", sort_by="p_size"))
+    return found.select("label", "folded", *money("value"), "order_key")
+
+
+@query("d_period_labels", "SELECT strftime(o_orderdate, '%Y') || ' orders' AS label, min(o_orderdate)::DATE::VARCHAR AS order_key FROM orders GROUP BY 1")
+def d_period_labels(spark, d):
+    """Years are periods of the order date; order priorities, added to show it, are none, and have no order."""
+    o = table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
+    years = o.withColumn("year", F.concat(F.date_format("o_orderdate", "yyyy"), F.lit(" orders")))
+    return dash.label_order(years, "year", date="day").unionByName(dash.label_order(o, "o_orderpriority", date="day"))
+
+
+@query("l_ordered_grain", "SELECT n_name, count(*)::BIGINT AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY 1")
+def l_ordered_grain(spark, d):
+    m = retail(spark, d).add(Measure("customers", "customer", lambda keep: keep.rows()))
+    return m.evaluate(["customers"], ["nation.n_name"], ordered=True)
+
+
 @dated("d_over_time", f"SELECT date_trunc('quarter', o_orderdate)::DATE AS period, round({REV}, 4) AS revenue, count(*)::BIGINT AS lines FROM {FROM_LINES} GROUP BY 1 ORDER BY 1 LIMIT 120")
 def d_over_time(spark, d):
     return _dated(dash.over_time(retail(spark, d), ["revenue", "lines"], "quarter")).select("period", "lines", *money("revenue"))
@@ -189,7 +219,13 @@ def d_places(spark, d):
     return dash.places(values, spots).select("label", "latitude", "longitude", "value", "south", "north")
 
 
-@query("d_grain_options")
+_GRAINS = (
+    "orders.o_orderstatus", "orders.o_totalprice", "orders.o_orderdate", "orders.o_orderpriority", "part.p_name", "part.p_brand", "part.p_type", "part.p_size", "part.p_retailprice",
+    "supplier.s_name", "supplier.s_acctbal", "customer.c_name", "customer.c_acctbal", "customer.c_mktsegment", "nation.n_name", "region.r_name",
+)
+
+
+@query("d_grain_options", "SELECT c AS column_name, (SELECT count(*)::BIGINT FROM lineitem) AS lines FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in _GRAINS) + "]) AS c)")
 def d_grain_options(spark, d):
     m = retail(spark, d)
     listed = spark.createDataFrame([(g,) for g in dash.grain_options(m, "lineitem")], "column_name string").filter(~is_id_like(F.col("column_name")))
@@ -213,8 +249,10 @@ def e_rank(spark, d):
 @query("e_use_relationship", "SELECT n_name, count(*)::BIGINT AS lines FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def e_use_relationship(spark, d):
     m = retail(spark, d)
-    over_supplier = Model(m.tables, [type(r)(r.many, r.one, r.many != "customer.c_nationkey") for r in m.relationships], m.measures, m.calendar)
-    return over_supplier.evaluate(["lines"], ["nation.n_name"])
+    over_supplier = next(r for r in m.relationships if r.many == "supplier.s_nationkey")
+    # Its tables' other way to the nations is turned off, as the path must be one.
+    m = Model(m.tables, [r for r in m.relationships if r.many != "customer.c_nationkey"], m.measures, m.calendar)
+    return m.using(over_supplier).evaluate(["lines"], ["nation.n_name"])
 
 
 @dated("e_same_period_last_year", f"WITH m AS ({MONTHLY}) SELECT a.period, round(a.revenue, 4) AS revenue, round(b.revenue, 4) AS last_year FROM m a LEFT JOIN m b ON b.period = a.period - INTERVAL 1 YEAR")

@@ -19,7 +19,10 @@ def s_table_counts(spark, d):
     return src.counts({n: table(spark, d, n) for n in NAMES})
 
 
-@query("s_catalog_columns")
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "DATE": "date", "TIMESTAMP": "timestamp"}
+
+
+@query("s_catalog_columns", "WITH n AS (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*)::BIGINT AS n_rows FROM {n}" for n in NAMES) + ") SELECT c.table_name, (row_number() OVER (PARTITION BY c.table_name ORDER BY c.column_index) - 1)::INT AS position, c.column_name, CASE c.data_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPES.items()) + " ELSE lower(c.data_type) END AS data_type, n.n_rows FROM duckdb_columns() c JOIN n USING (table_name) WHERE c.schema_name = 'main' AND c.database_name NOT IN ('system', 'temp')")
 def s_catalog_columns(spark, d):
     for n in NAMES:
         table(spark, d, n).createOrReplaceTempView(n)
@@ -175,7 +178,7 @@ def j_stitch_cross(spark, d):
     return retail(spark, d).evaluate(["lines", "order_count"])
 
 
-@query("j_list")
+@query("j_list", " UNION ALL ".join(f"SELECT '{r.many}' AS from_column, '{r.one}' AS to_column, 'many to one' AS cardinality, {str(r.active).lower()} AS active, false AS both_directions, 'LEFT JOIN {r.one.split(chr(46))[0]} ON {r.many} = {r.one}' AS sql_clause, count(*)::BIGINT AS orphans FROM {r.many.split(chr(46))[0]} WHERE {r.many.split(chr(46))[1]} IS NULL OR {r.many.split(chr(46))[1]} NOT IN (SELECT {r.one.split(chr(46))[1]} FROM {r.one.split(chr(46))[0]})" for r in RELATIONSHIPS))
 def j_list(spark, d):
     m = retail(spark, d)
     listed = src.relationship_rows(spark, RELATIONSHIPS)
@@ -263,14 +266,18 @@ def a_grain_multi(spark, d):
     return retail(spark, d).evaluate(["lines", "quantity"], ["region.r_name", "customer.c_mktsegment", "lineitem.l_returnflag"]).select("r_name", "c_mktsegment", "l_returnflag", "lines", *money("quantity"))
 
 
-@query("a_whole", """SELECT 'revenue' AS measure, round(sum(l_extendedprice * (1 - l_discount)), 4) AS value, 'ok' AS status FROM lineitem
-UNION ALL SELECT 'nothing', NULL, 'no value' UNION ALL SELECT 'lines', count(*)::DOUBLE, 'ok' FROM lineitem""")
+@query("a_whole", """SELECT 'revenue' AS measure, round(sum(l_extendedprice * (1 - l_discount)), 4) AS value, 'ok' AS status, false AS implicit FROM lineitem UNION ALL SELECT 'lines', count(*)::DOUBLE, 'ok', true FROM lineitem
+UNION ALL SELECT * FROM (VALUES ('nothing', NULL, 'no value', false), ('last_month', NULL, 'several rows', false), ('infinite', NULL, 'no number', false), ('of none', NULL, 'no rows', false), ('worded', NULL, 'no number', false), ('broken', NULL, 'BLOCKED', false), ('constant', NULL, 'UNSUPPORTED', false))""")
 def a_whole(spark, d):
     m = retail(spark, d)
     m.filtered("revenue", F.col("lineitem.l_quantity") < 0, "nothing")
-    names = ["revenue", "nothing", "lines"]
-    rows = as_rows(m.evaluate(names), names)
-    return rows.select("measure", F.round("value", 4).alias("value"), F.when(F.col("value").isNull(), "no value").when(F.isnan("value"), "no number").otherwise("ok").alias("status"))
+    m = Model({**m.tables, "none": m.tables["orders"].filter("o_orderkey < 0")}, m.relationships, m.measures, m.calendar)
+    m.add(
+        Measure("infinite", inputs=("lines",), fn=lambda n: n * F.lit(float("inf"))), Measure("of none", "none", lambda keep: F.sum(keep(F.col("none.o_totalprice")))), Measure("worded", inputs=("lines",), fn=lambda n: F.when(n > 0, "many")),
+        Measure("broken", inputs=("revenue", "no such measure"), fn=lambda a, b: a), Measure("constant", inputs=(), fn=lambda: F.lit(1)),
+    )
+    found = m.figures(["revenue", "nothing", "lines", "last_month", "infinite", "of none", "worded", "broken", "constant"], implicit=["lines"])
+    return found.select("measure", F.round("value", 4).alias("value"), "status", "implicit")
 
 
 @query("a_combined", f"""WITH a AS (SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, round(sum(l_quantity), 4) AS quantity, count(*)::BIGINT AS lines, round(avg(l_discount), 4) AS discount FROM {FROM_LINES} GROUP BY 1),
@@ -281,14 +288,19 @@ def a_combined(spark, d):
     return retail(spark, d).evaluate(names, ["region.r_name"]).select("r_name", "lines", "order_count", *money("revenue", "quantity"), *ratio("discount"), F.round("revenue_per_order", 1).alias("revenue_per_order"))
 
 
-@query("a_implicit", """WITH v AS (SELECT l_returnflag AS tile, unnest(['sum', 'avg', 'sum', 'max']) AS agg, unnest(['l_quantity', 'l_tax', 'l_orderkey', 'l_discount']) AS col FROM lineitem)
-SELECT agg, col, count(DISTINCT tile)::BIGINT AS tiles FROM v WHERE NOT (agg IN ('sum', 'avg') AND regexp_matches(col, '(id|key)$')) AND NOT (agg = 'max' AND col = 'l_discount') GROUP BY 1, 2""")
+@query("a_implicit", """WITH v AS (SELECT l_returnflag AS tile, unnest(['sum', 'avg', 'sum', 'max', 'count']) AS agg, unnest(['quantity', 'tax', 'orderkey', 'discount', 'orderkey']) AS col, 'lineitem' AS tab FROM lineitem
+  UNION ALL SELECT o_orderstatus, unnest(['avg', 'count', 'sum']), unnest(['totalprice', 'orderkey', 'orderstatus']), 'orders' FROM orders),
+g AS (SELECT agg, tab, col, count(DISTINCT tile)::BIGINT AS tiles, (SELECT count(DISTINCT tab) FROM v w WHERE w.col = v.col) > 1 AS shared FROM v GROUP BY ALL)
+SELECT upper(agg[1]) || agg[2:] || ' of ' || CASE WHEN shared THEN tab || '[' || col || ']' ELSE col END AS name, agg, tab AS "table", col, tiles FROM g
+WHERE NOT (agg IN ('sum', 'avg') AND (regexp_matches(col, '(id|key)$') OR col = 'orderstatus')) AND NOT (agg = 'max' AND col = 'discount')""")
 def a_implicit(spark, d):
-    fields = F.explode(F.array(*[F.struct(F.lit(a).alias("agg"), F.lit(c).alias("col")) for a, c in (("sum", "l_quantity"), ("avg", "l_tax"), ("sum", "l_orderkey"), ("max", "l_discount"))]))
-    shown = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("tile"), fields.alias("f")).select("tile", "f.*")
-    columns = spark.createDataFrame([(c, k) for c, k in table(spark, d, "lineitem").dtypes], "col string, data_type string")
-    authored = spark.createDataFrame([("max", "l_discount")], "agg string, col string")
-    return flt.implicit_measures(shown, columns, authored)
+    def shown(name, tile, picked):
+        fields = F.explode(F.array(*[F.struct(F.lit(a).alias("agg"), F.lit(c).alias("col")) for a, c in picked]))
+        return table(spark, d, name).select(F.col(tile).alias("tile"), F.lit(name).alias("table"), fields.alias("f")).select("tile", "table", "f.*")
+
+    tiles = shown("lineitem", "l_returnflag", (("sum", "quantity"), ("avg", "tax"), ("sum", "orderkey"), ("max", "discount"), ("count", "orderkey"))).unionByName(shown("orders", "o_orderstatus", (("avg", "totalprice"), ("count", "orderkey"), ("sum", "orderstatus"))))
+    columns = spark.createDataFrame([(t, c.split("_", 1)[1], k) for t in ("lineitem", "orders") for c, k in table(spark, d, t).dtypes], "table string, col string, data_type string")
+    return flt.implicit_measures(tiles, columns, spark.createDataFrame([("max of DISCOUNT",)], "name string"))
 
 
 @query("a_profile", "SELECT 'c_mktsegment' AS column_name, count(DISTINCT c_mktsegment)::BIGINT AS n_distinct, min(c_mktsegment) AS sample FROM customer UNION ALL SELECT 'c_name', count(DISTINCT c_name)::BIGINT, min(c_name) FROM customer UNION ALL SELECT 'c_nationkey', count(DISTINCT c_nationkey)::BIGINT, min(c_nationkey)::VARCHAR FROM customer")

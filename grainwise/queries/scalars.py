@@ -56,6 +56,11 @@ def f_datediff(spark, d):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[dates.datediff(F.col("o_orderdate"), F.col("l_shipdate"), p).alias(f"{p}s") for p in _PARTS])
 
 
+@query("f_today", "SELECT o_orderstatus, count(*) FILTER (WHERE o_orderdate < current_date)::BIGINT AS past FROM orders GROUP BY 1")
+def f_today(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count_if(F.col("o_orderdate") < dates.today()).alias("past"))
+
+
 @query("f_date_trunc", "SELECT event_id, " + ", ".join(f"strftime(date_trunc('{p}', ts), '%Y-%m-%d %H:%M:%S') AS {p}_start" for p in ("year", "quarter", "month", "day", "hour")) + " FROM events")
 def f_date_trunc(spark, d):
     return table(spark, d, "events").select("event_id", *[F.date_format(F.date_trunc(p, "ts"), "yyyy-MM-dd HH:mm:ss").alias(f"{p}_start") for p in ("year", "quarter", "month", "day", "hour")])

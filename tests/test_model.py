@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from grainwise.operators import security
+from grainwise.plans import dashboard
 from grainwise.plans.model import Measure, Model, NotComputable, Relationship, stitched
 
 D = dt.date
@@ -94,3 +96,51 @@ def test_stitch_keeps_one_blank_group(spark):
     a = spark.createDataFrame([(None, 1), ("x", 2)], "g string, a int")
     b = spark.createDataFrame([(None, 3), ("y", 4)], "g string, b int")
     assert sorted(map(tuple, stitched([a, b], ["g"]).collect()), key=str) == sorted([(None, 1, 3), ("x", 2, None), ("y", None, 4)], key=str)
+
+
+def test_dashboard_in_one_pass(plant):
+    """Splits of a measure over two leaves, against each split by itself; and a refusal where nothing is left."""
+    where = {"site.site_name": "North"}
+    board = dashboard.dashboard(plant, "rejection rate", ["site.site_name", "batch.status"], where)
+    got = {(r["by"], r["label"]): (r["value"], r["is_filter"], r["additive"]) for r in board.collect()}
+    assert got == {("site.site_name", "North"): (0.0, True, False), ("site.site_name", "South"): (1.0, True, False), ("site.site_name", "East"): (0.0, True, False), ("batch.status", "Released"): (0.0, False, True)}
+    with pytest.raises(NotComputable, match="leave no rows"):
+        dashboard.dashboard(plant, "batches", ["batch.status"], {"site.site_name": "Nowhere"})
+
+
+def test_roles_join_what_they_restrict(plant):
+    seen = security.row_role(plant, {"site": F.col("site_name") == "North"})
+    assert [tuple(r) for r in seen.evaluate(["batches", "tests"]).collect()] == [(2, 10)]
+    assert seen.visible("test").count() == 10 and seen.visible("batch").columns == plant.tables["batch"].columns
+    assert seen.evaluate(["batches"], ["site.site_name"]).count() == 1
+    both = security.row_role(seen, {"batch": F.col("status") == "Rejected"})
+    assert both.evaluate(["tests"]).first()["tests"] == 0
+
+
+def test_figures_and_reasons(plant):
+    found = {r["measure"]: r for r in plant.figures(["batches", "rate", "failures before", "a", "nothing", "quality"], implicit=["rate"]).collect()}
+    assert {n: r["status"] for n, r in found.items()} == {"batches": "ok", "rate": "ok", "failures before": "several rows", "a": "BLOCKED", "nothing": "UNSUPPORTED", "quality": "no number"}
+    assert found["batches"]["value"] == 4 and found["rate"]["implicit"] and "period" in found["failures before"]["reason"] and "cycle" not in (found["rate"]["reason"] or "")
+
+
+def test_lineage_goes_through_measures(plant):
+    reads, omitted = plant.lineage()
+    assert [c for t, m, c in reads if m == "rate"] == ["test.result"] and {t for t, m, _ in reads if m == "rate"} == {"test"}
+    assert {m for _, m, _ in omitted} >= {"a", "b", "nothing", "both"}
+
+
+def test_calendar_needs_one_table(plant, spark):
+    days = spark.createDataFrame([(D(2026, 1, d), D(2026, 1, 1)) for d in range(1, 10)], "day date, month date")
+    model = Model({**plant.tables, "days": days}, [*plant.relationships, Relationship("test.day", "days.day")])
+    dates = {"test": ["day"], "batch": ["made", "released"], "days": ["day", "month"]}
+    assert [tuple(r) for r in dashboard.calendar(model, dates).collect()] == [("days", "day", 9)]
+    assert dashboard.calendar(model, {**dates, "site": ["opened"]}).count() == 0
+    assert dashboard.calendar_tables(model, {**dates, "site": ["opened"]}, marked=["batch"]) == ["batch"]
+
+
+def test_label_order(spark):
+    rows = spark.createDataFrame([("b", 2, D(2020, 1, 1)), ("a", 10, D(2020, 2, 1)), ("b", 3, D(2020, 1, 9)), ("c", 1, D(2020, 1, 20))], "x string, n int, d date")
+    of = lambda **k: sorted((r["order_key"], r["label"]) for r in dashboard.label_order(rows, "x", **k).collect())
+    assert [x for _, x in of(sort_by="n")] == ["c", "b", "a"] and [x for _, x in of(date="d")] == ["b", "c", "a"]
+    assert of() == [] and dashboard.label_order(rows.union(spark.createDataFrame([("b", 1, D(2020, 3, 1))])), "x", date="d").count() == 0
+    assert [k for k, _ in of(sort_by="n")] == ["0000000000001.0000", "0000000000002.0000", "0000000000010.0000"]

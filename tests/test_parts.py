@@ -142,3 +142,12 @@ def test_closure_goes_to_the_end(spark):
 @pytest.mark.parametrize("picture, value, shown", [('0.0"%"', 0.5, "0.5%"), ('0;"a;b" 0', -3.0, "a;b 3"), (".00", 0.5, "0.50"), ("0,.0", 5.0, None), ("0,;0", 5.0, None), ("0.0.0", 1.25, "1.3.0"), ("[red]0", 1.0, None), ("#,##0 %", 12.5, "1,250 %")])
 def test_scanned_formats(spark, picture, value, shown):
     assert one(spark, formats.render(F.col("v"), picture), v=value) == shown
+
+
+def test_gate_refuses_two_models(spark):
+    happened = spark.createDataFrame([("a", "changed", True)], "id string, event string, is_semantic boolean")
+    touched = spark.createDataFrame([("r", "revalidate")], "requirement string, action string")
+    with pytest.raises(ValueError, match="different models"):
+        drift.gate(happened, touched, models=("one", "two"))
+    assert drift.gate(happened, touched, "any", ("one", "two"), allow_different=True).first()["fails"]
+    assert not drift.gate(happened, touched, "none").first()["fails"]
