@@ -151,12 +151,18 @@ def st_standing(spark, d):
     return jobs.standing_stream(_stream(spark, d).select(F.col("user_id").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("verdict")))
 
 
-@query("st_quota")
+WEEK = 7 * 24 * 3600
+QUOTA = """WITH RECURSIVE e AS (SELECT user_id AS client, event_id AS request, ts FROM events),
+w AS (SELECT client, min(ts) AS start FROM e GROUP BY 1 UNION ALL SELECT w.client, min(e.ts) FROM w JOIN e ON e.client = w.client AND e.ts >= w.start + INTERVAL 7 DAYS GROUP BY w.client)
+SELECT e.client, e.request, row_number() OVER (PARTITION BY e.client, w.start ORDER BY e.ts, e.request) <= 3 AS allowed FROM e ASOF JOIN w ON e.client = w.client AND e.ts >= w.start"""
+
+
+@query("st_quota", QUOTA)
 def st_quota(spark, d):
     requests = _stream(spark, d).select(F.col("user_id").alias("client"), F.col("event_id").alias("request"), "ts")
-    return jobs.run_available(jobs.quota_stream(requests), "quota")
+    return jobs.quota_stream(requests, seconds=WEEK)
 
 
-@query("st_quota_batch")
+@query("st_quota_batch", QUOTA)
 def st_quota_batch(spark, d):
-    return jobs.quota_batch(table(spark, d, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("request"), "ts"))
+    return jobs.quota_batch(table(spark, d, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("request"), "ts"), seconds=WEEK)

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.staging import new_path
 
@@ -47,43 +46,66 @@ def standing_stream(decisions: DataFrame, name: str = "standing") -> DataFrame:
     return rows.groupBy("id").agg(F.max_by("verdict", "at").alias("verdict"))
 
 
-def _quota(limit: int, seconds: int):
-    """Admissions of a client's requests, whose window starts at the first request after the window before."""
+_QUOTA = "kind int, client long, request long, allowed boolean, start long, used long"
 
-    def admit(times: list[float], start: float | None, used: int) -> tuple[list[bool], float | None, int]:
-        out = []
-        for t in times:
-            if start is None or t >= start + seconds:
-                start, used = t, 0
-            used += 1
-            out.append(used <= limit)
-        return out, start, used
 
-    return admit
+def _admit(limit: int, micros: int):
+    """Admissions from rows sorted by (client, kind, ts, request): a client's state so far (kind 0) and its requests (kind 1); gives the requests, and each client's new state.
 
+    A client's window starts at the first request after the window before. One window and count are carried from batch to
+    batch, whatever the number of a client's requests.
+    """
 
-def quota_batch(requests: DataFrame, limit: int = 3, seconds: int = 3600) -> DataFrame:
-    """(client, request, allowed) of requests (client, request, ts)."""
-    admit = _quota(limit, seconds)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, start, used = None, None, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for kind, whose, ts, request, begun, so_far in zip(*(c.to_pylist() for c in batch.columns)):
+                if whose != client:
+                    if client is not None:
+                        out.append((0, client, None, None, start, used))
+                    client, start, used = whose, None, 0
+                if kind == 0:
+                    start, used = begun, so_far
+                    continue
+                if start is None or ts >= start + micros:
+                    start, used = ts, 0
+                used += 1
+                out.append((1, client, request, used <= limit, start, used))
+            yield _quota_rows(out)
+        if client is not None:
+            yield _quota_rows([(0, client, None, None, start, used)])
+
+    return run
+
+
+def _quota_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 6
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["kind", "client", "request", "allowed", "start", "used"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "request"])
-        return pdf[["client", "request"]].assign(allowed=admit(pdf["ts"].astype("int64").div(1e6).tolist(), None, 0)[0])
 
-    timed = requests.select("client", "request", F.unix_micros("ts").alias("ts"))
-    return timed.groupBy("client").applyInPandas(one, "client long, request long, allowed boolean")
+def _admitted(requests: DataFrame, state: DataFrame | None, limit: int, seconds: int) -> DataFrame:
+    none = F.lit(None).cast("long")
+    rows = requests.select(F.lit(1).alias("kind"), "client", F.unix_micros("ts").alias("ts"), "request", none.alias("start"), none.alias("used"))
+    if state is not None:
+        rows = rows.unionByName(state.select(F.lit(0).alias("kind"), "client", none.alias("ts"), none.alias("request"), "start", "used"))
+    return rows.repartition("client").sortWithinPartitions("client", "kind", "ts", "request").mapInArrow(_admit(limit, seconds * 1_000_000), _QUOTA)
 
 
-def quota_stream(requests: DataFrame, limit: int = 3, seconds: int = 3600) -> DataFrame:
-    """The same on a stream: a client's window and count are its state."""
-    admit = _quota(limit, seconds)
+def quota_batch(requests: DataFrame, limit: int = 3, seconds: int = 3600) -> DataFrame:
+    """(client, request, allowed) of requests (client, request, ts)."""
+    return _admitted(requests, None, limit, seconds).filter("kind = 1").select("client", "request", "allowed")
+
+
+def quota_stream(requests: DataFrame, name: str = "quota", limit: int = 3, seconds: int = 3600) -> DataFrame:
+    """The same on a stream, over all that is there now: each batch reads the clients' states that the batch before has written, and a batch that is run again overwrites its own."""
+    spark = requests.sparkSession
+    path = new_path(spark, name)
 
-    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, used = state.get if state.exists else (None, 0)
-        pdf = pd.concat(list(batches)).sort_values(["ts", "request"])
-        allowed, start, used = admit(pdf["ts"].astype("int64").div(1e6).tolist(), start, used)
-        state.update((start, used))
-        yield pd.DataFrame({"client": pdf["client"], "request": pdf["request"], "allowed": allowed})
+    def one(df: DataFrame, n: int) -> None:
+        state = spark.read.schema(_QUOTA).parquet(f"{path}/out/batch={n - 1}").filter("kind = 0") if n else None
+        _admitted(df, state, limit, seconds).write.mode("overwrite").parquet(f"{path}/out/batch={n}")
 
-    timed = requests.select("client", "request", F.unix_micros("ts").alias("ts"))
-    return timed.groupBy("client").applyInPandasWithState(one, "client long, request long, allowed boolean", "start double, used long", "append", GroupStateTimeout.NoTimeout)
+    requests.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(one).start().awaitTermination()
+    return spark.read.schema(_QUOTA).parquet(f"{path}/out").filter("kind = 1").select("client", "request", "allowed")

@@ -28,3 +28,13 @@ def test_quota_window_starts_at_the_first_request(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)], "client long, request long, t long").withColumn("ts", F.timestamp_seconds("t"))
     found = {r["request"]: r["allowed"] for r in jobs.quota_batch(df, limit=3, seconds=3600).collect()}
     assert found == {0: True, 1: True, 2: True, 3: False, 4: False, 5: True, 6: True, 7: True}
+
+
+def test_quota_state_goes_from_batch_to_batch(spark, tmp_path):
+    df = spark.range(300).selectExpr("id % 7 AS client", "id AS request", "timestamp_seconds(id * 97) AS ts")
+    for n in range(3):
+        df.filter(f"request >= {n * 100} AND request < {n * 100 + 100}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = jobs.quota_stream(stream, limit=2, seconds=7000)
+    assert rows(found) == rows(jobs.quota_batch(df, limit=2, seconds=7000))
+    assert {r["allowed"] for r in found.collect()} == {True, False}
