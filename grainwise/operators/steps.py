@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 def row_range(df: DataFrame, order: Sequence, first: int = 0, count: int | None = None, drop_last: int = 0) -> DataFrame:
     """Rows `first` to `first + count` in a stated order, less the last `drop_last`.
@@ -24,8 +26,8 @@ def row_range(df: DataFrame, order: Sequence, first: int = 0, count: int | None
 
 
 def add_index(df: DataFrame, order: Sequence, name: str = "index", start: int = 0) -> DataFrame:
-    """A gapless index in a stated order."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    """A gapless index in a stated order. The ranges are written before they are counted, so that both uses see the same."""
+    ranged = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
     ranged = ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_local", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -82,11 +84,11 @@ def calendar(df: DataFrame, column: str) -> DataFrame:
 
 
 def logged(df: DataFrame, steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> tuple[DataFrame, DataFrame]:
-    """(result, log): log has (step, rows_in, rows_out) of each step."""
-    log = None
+    """(result, log): log has (n, step, rows_in, rows_out) of each step. What a step gives is written, and the next one reads it."""
+    count = lambda x, name: x.agg(F.count("*").alias(name))
+    log, rows_in = [], count(df, "rows_in")
     for n, (name, step) in enumerate(steps):
-        out = step(df)
-        a, b = (x.agg(F.count("*").alias(c)) for x, c in ((df, "rows_in"), (out, "rows_out")))
-        row = a.crossJoin(b).select(F.lit(n).alias("n"), F.lit(name).alias("step"), "rows_in", "rows_out")  # one row each
-        log, df = row if log is None else log.unionByName(row), out
-    return df, log
+        df = staged(step(df), "step")
+        log.append(rows_in.crossJoin(count(df, "rows_out")).select(F.lit(n).alias("n"), F.lit(name).alias("step"), "rows_in", "rows_out"))  # one row each
+        rows_in = count(df, "rows_in")
+    return df, reduce(DataFrame.unionByName, log)

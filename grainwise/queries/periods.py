@@ -278,7 +278,9 @@ def e_rollup(spark, d):
 @query("e_spread", "SELECT l_returnflag, round(stddev_pop(l_quantity), 4) AS sd, round(var_pop(l_quantity), 4) AS v, round(median(l_quantity), 4) AS m FROM lineitem GROUP BY 1")
 def e_spread(spark, d):
     q = "l_quantity"
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*[F.round(f(q), 4).alias(n) for n, f in (("sd", F.stddev_pop), ("v", F.var_pop), ("m", F.median))])
+    lines = table(spark, d, "lineitem")
+    spread = lines.groupBy("l_returnflag").agg(F.round(F.stddev_pop(q), 4).alias("sd"), F.round(F.var_pop(q), 4).alias("v"))
+    return spread.join(shape.medians(lines, ["l_returnflag"], q, "m").withColumn("m", F.round("m", 4)), "l_returnflag")
 
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters as flt
+from ..operators import shape
 from ..plans.model import Measure, Model, Relationship, as_rows
 from ..sources import tables as src
 from ._base import FROM_LINES, RELATIONSHIPS, money, query, ratio, retail, table
@@ -238,7 +239,7 @@ def a_count_rows(spark, d):
 
 @query("a_median", "SELECT l_returnflag, round(median(l_extendedprice), 4) AS m FROM lineitem GROUP BY 1")
 def a_median(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 4).alias("m"))
+    return shape.medians(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice").select("l_returnflag", F.round("median", 4).alias("m"))
 
 
 @query("a_conditional", "SELECT l_linestatus, count(DISTINCT CASE WHEN l_discount > 0.05 THEN l_suppkey END)::BIGINT AS n, round(avg(CASE WHEN l_tax > 0 THEN l_quantity END), 4) AS q FROM lineitem GROUP BY 1")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainwise.functions import dates, formats, names, text
-from grainwise.operators import filters, security, steps
+from grainwise.operators import filters, security, shape, steps
 from grainwise.plans import dashboard
 from grainwise.plans.catalog import drift, graph, reconcile, requirements
 from grainwise.sources import stores, tables
@@ -151,3 +151,11 @@ def test_gate_refuses_two_models(spark):
         drift.gate(happened, touched, models=("one", "two"))
     assert drift.gate(happened, touched, "any", ("one", "two"), allow_different=True).first()["fails"]
     assert not drift.gate(happened, touched, "none").first()["fails"]
+
+
+def test_medians(spark):
+    """Against the built-in one: even and odd numbers, ties, nulls, one row, and a group of nulls alone."""
+    rows = spark.range(9001).selectExpr("CASE WHEN id % 5 = 4 THEN NULL ELSE id % 5 END AS g", "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 5 = 1 THEN 7.0D ELSE pmod(id * 7919, 1000) / 8 END AS v")
+    rows = rows.union(spark.createDataFrame([(10, 1.5), (11, None), (12, 1.0), (12, 4.0)], "g long, v double"))
+    found = {r["g"]: r["median"] for r in shape.medians(rows, ["g"], "v").collect()}
+    assert found == {r["g"]: r["m"] for r in rows.groupBy("g").agg(F.median("v").alias("m")).collect()} and len(found) == 8
