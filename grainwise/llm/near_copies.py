@@ -1,11 +1,13 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and their components.
 
-SimHash at the radius of `simhash` reaches few such pairs, and at a radius that does its blocks would hold next to no
-bits. Candidates are therefore found by least hashes, and every link is confirmed on the whole shingle sets:
-
-1. Texts of equal sets are one from here on. Each set has BANDS * ROWS least hashes; sets meet under an equal band.
-2. Sets that meet are compared by the low bytes of all least hashes; those with LIKELY or more equal are joined, as a
-   spanning forest, into groups.
+Candidates come from SimHash fingerprints of the shingle sets, linked by `simhash.links`. At its radius these reach few of
+such pairs, and at a radius that reaches all its blocks would hold next to no bits; so least hashes add candidates, and
+every link is confirmed on the whole shingle sets:
+
+1. Texts of equal sets are one from here on. Each set has a fingerprint, and BANDS * ROWS least hashes; sets meet under an
+   equal band.
+2. Sets that meet are compared by the low bytes of all least hashes; those with LIKELY or more equal, and those whose
+   fingerprints differ in simhash.RADIUS bits at most, are joined, as a spanning forest, into groups.
 3. In each group the shingle sets themselves are compared, and links of SIMILAR or more are given as a spanning forest.
 
 A pair of similarity 0.8 is missed with a probability of (1 - 0.8**4)**40 = 7e-10 in step 1 and of 2e-9 in step 2 if the hashes are independent, a
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import KEY, discard, first_words, hash_runs, hash_words, keyed, mix, one_of_each, staged, text_steps, word_spans
-from .simhash import components
+from .simhash import components, links
 
 WORDS = 5
 #: Jaccard similarity of a link, as a fraction.
@@ -81,17 +83,27 @@ def set_keys(found: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(found), begins)) ^ np.diff(np.append(begins, len(found))).astype(np.uint64)
 
 
+def fingerprints(found: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """SimHash of the sets that begin at `begins`: a bit is 1 if it is in over half of the set's hashes."""
+    sizes = np.diff(np.append(begins, len(found)))
+    out = np.zeros(len(begins), np.uint64)
+    for bit in range(64):
+        ones = np.add.reduceat((found >> np.uint64(bit)) & np.uint64(1), begins)
+        out |= (2 * ones.astype(np.int64) > sizes).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text, k to doc_id, k, s (the set's key, 0 for no words), sketch and bands."""
+    """Columns doc_id, text, k to doc_id, k, s (the set's key, 0 for no words), fp, sketch and bands."""
     for batch in batches:
         for lo, hi, data, offsets in text_steps(batch.column(1)):
             n = hi - lo
             row, found = shingles(data, offsets)
             full, begins = np.unique(row, return_index=True)
-            s, sketch = np.zeros(n, np.uint64), np.zeros((n, BANDS * ROWS), np.uint8)
+            s, fp, sketch = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros((n, BANDS * ROWS), np.uint8)
             bands = np.zeros((len(full), BANDS), np.uint64)
             if len(full):
-                s[full] = set_keys(found, begins)
+                s[full], fp[full] = set_keys(found, begins), fingerprints(found, begins)
                 least = least_hashes(found, begins)
                 sketch[full] = (least & np.uint32(255)).astype(np.uint8)
                 for r in range(ROWS):
@@ -103,10 +115,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     batch.column(0).slice(lo, n),
                     batch.column(2).slice(lo, n),
                     pa.array(s.view(np.int64)),
+                    pa.array(fp.view(np.int64)),
                     pa.array([x.tobytes() for x in sketch], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends.cumsum(dtype=np.int32)), pa.array(bands.ravel().view(np.int64))),
                 ],
-                ["doc_id", "k", "s", "sketch", "bands"],
+                ["doc_id", "k", "s", "fp", "sketch", "bands"],
             )
 
 
@@ -206,18 +219,29 @@ def _compared(dealt: DataFrame, content: DataFrame, run) -> DataFrame:
     return rows.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "s").mapInArrow(run, "a long, b long").distinct()
 
 
+def _near_fingerprints(made: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets of equal fingerprints, and between one set each of linked ones."""
+    sets = made.filter("s <> 0").select("s", "fp").distinct()
+    one = staged(sets.groupBy("fp").agg(F.min("s").alias("one")), "near-fingerprints")
+    equal = sets.join(one, "fp").filter("s <> one").select(F.col("one").alias("a"), F.col("s").alias("b"))
+    of = lambda end: one.select(F.col("fp").alias(end), F.col("one").alias(f"{end}_set"))
+    near = links(one.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
+    return equal.unionByName(near)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, k, root) of every row: k is its key, root is common to all rows of a component."""
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    made = staged(rows.mapInArrow(_sketch, f"doc_id {id_type}, k {KEY}, s long, sketch binary, bands array<long>"), "near-sets")
+    made = staged(rows.mapInArrow(_sketch, f"doc_id {id_type}, k {KEY}, s long, fp long, sketch binary, bands array<long>"), "near-sets")
     met = made.select(F.explode("bands").alias("key"), "s")
     busy = met.groupBy("key").agg(F.min("s").alias("least"), F.max("s").alias("most")).filter("least < most").select("key")
     meetings = staged(met.join(busy, "key").distinct(), "near-meetings")
     sizes = meetings.groupBy("key").agg(F.count("*").alias("n"))
     candidates = meetings.select("s").distinct()
     sketches = made.join(candidates, "s", "left_semi").groupBy("s").agg(F.min("sketch").alias("value"))
-    groups = staged(components(_compared(_dealt(meetings.join(sizes, "key"), "n", MEETING), sketches, _likely), "near-likely").select(F.col("node").alias("s"), F.col("root").alias("key")), "near-groups")
+    alike = _compared(_dealt(meetings.join(sizes, "key"), "n", MEETING), sketches, _likely).unionByName(_near_fingerprints(made))
+    groups = staged(components(alike, "near-likely").select(F.col("node").alias("s"), F.col("root").alias("key")), "near-groups")
     members = groups.groupBy("key").agg(F.count("*").alias("n"))
     one = made.join(groups.select("s"), "s", "left_semi").groupBy("s").agg(F.min("k").alias("k"))
     # Wholly equal rows share a key: one text of each is enough.

@@ -179,14 +179,18 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     lists = sample["f"].combine_chunks()
     edges, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     bias_at = 1 << BITS
-    ratio32 = np.append(ratio, 1.0).astype(np.float32)
-    x = []
-    for i in order:
-        f = np.append(flat[edges[i] : edges[i + 1]], np.int32(bias_at))
-        v = ratio32[f]
-        v[:-1] /= np.sqrt(max(len(f) - 1, 1))
-        x.append((f, v))
-    del sample, lists, flat
+    # All rows in two arrays, each row with the bias at its end: large pieces of memory go back when they are done with.
+    sizes = np.diff(edges)[order] + 1
+    ends = sizes.cumsum()
+    f_all = np.full(int(ends[-1]), bias_at, np.int32)
+    for i, end, size in zip(order.tolist(), ends.tolist(), sizes.tolist()):
+        f_all[end - size : end - 1] = flat[edges[i] : edges[i + 1]]
+    v_all = np.append(ratio, 1.0).astype(np.float32)[f_all]
+    v_all /= np.repeat(np.sqrt(np.maximum(sizes - 1, 1)), sizes).astype(np.float32)
+    v_all[ends - 1] = 1
+    x = [(f_all[end - size : end], v_all[end - size : end]) for end, size in zip(ends.tolist(), sizes.tolist())]
+    del sample, lists, flat, edges
+    pa.default_memory_pool().release_unused()
     signs = 2.0 * y - 1
     share = np.array([(y == 0).mean(), (y == 1).mean()])
     cost = 0.5 / share[y]
