@@ -196,6 +196,44 @@ def places(values: DataFrame, coordinates: DataFrame, most: int = MAX_PLACES) ->
     return top.select("*", F.min("latitude").over(everything).alias("south"), F.max("latitude").over(everything).alias("north"), F.min("longitude").over(everything).alias("west"), F.max("longitude").over(everything).alias("east"))
 
 
+# Names of coordinate columns.
+LATITUDES, LONGITUDES = ("lat", "latitude"), ("lon", "lng", "long", "longitude")
+
+
+def coordinate_columns(columns: Sequence[str], categories: Mapping[str, str] | None = None) -> tuple[str, str] | None:
+    """The latitude and longitude among a table's columns: those of that declared category, else those so named; None unless there are both."""
+    categories = {c: k.lower() for c, k in (categories or {}).items()}
+
+    def one(category: str, names: Sequence[str]) -> str | None:
+        said = [c for c in columns if categories.get(c) == category]
+        return next(iter(said or [c for c in columns if c.lower().replace(" ", "").replace("_", "") in names]), None)
+
+    pair = one("latitude", LATITUDES), one("longitude", LONGITUDES)
+    return pair if all(pair) else None
+
+
+def place_label(frame: DataFrame, table: str, coordinates: Sequence[str]) -> str | None:
+    """The column to name places by: called like the table or `name`, else the first text that isn't id-like, else the first that is left."""
+    left = [c for c in frame.columns if c not in coordinates]
+    called = [c for c in left if c.lower() in (table.lower(), "name")]
+    text = [c for c, kind in frame.dtypes if c in left and kind == "string"]
+    if text and not called:
+        spark = frame.sparkSession
+        fit = spark.createDataFrame([(i, c) for i, c in enumerate(text)], "i int, c string").filter(~is_id_like(F.col("c"))).orderBy("i").first()
+        called = [fit["c"]] if fit else []
+    return next(iter(called or left), None)
+
+
+def map_places(model: Model, measure: str, categories: Mapping[str, Mapping[str, str]] | None = None, most: int = MAX_PLACES) -> DataFrame:
+    """places() of a measure over the first table that has coordinates, categories being what a table's columns are declared to be."""
+    for table, frame in model.tables.items():
+        pair = coordinate_columns(frame.columns, (categories or {}).get(table))
+        if pair and (name := place_label(frame, table, pair)):
+            values = model.evaluate([measure], [f"{table}.{name}"]).select(F.col(name).cast("string").alias("label"), F.col(measure).cast("double").alias("value")).filter("value IS NOT NULL")
+            return places(values, frame.select(F.col(name).cast("string").alias("label"), F.col(pair[0]).alias("latitude"), F.col(pair[1]).alias("longitude")), most)
+    raise NotComputable("BLOCKED", "coordinates", "no table has a latitude, a longitude and a column to name places by")
+
+
 def grain_options(model: Model, base: str) -> list[str]:
     """Columns a user may group by: on a one side, no key."""
     barred = keys_of(model)

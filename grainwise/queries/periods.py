@@ -219,6 +219,24 @@ def d_places(spark, d):
     return dash.places(values, spots).select("label", "latitude", "longitude", "value", "south", "north")
 
 
+@query("d_map_places", """WITH v AS (SELECT n_name AS label, round(sum(c_acctbal), 4) AS value, any_value(n_nationkey) * 7.0::DOUBLE - 80 AS latitude, any_value(n_regionkey) * 30.0::DOUBLE - 60 AS longitude FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT label, latitude, longitude, value FROM v""")
+def d_map_places(spark, d):
+    m = retail(spark, d)
+    nation = m.tables["nation"].select("n_nationkey", "n_name", "n_regionkey", (F.col("n_nationkey") * 7.0 - 80).alias("y"), (F.col("n_regionkey") * 30.0 - 60).alias("Long"))
+    m = Model({**m.tables, "nation": nation}, m.relationships, m.measures, m.calendar).add(Measure("balance", "customer", lambda keep: F.sum(keep(F.col("customer.c_acctbal")))))
+    return dash.map_places(m, "balance", {"nation": {"y": "Latitude"}}).select("label", "latitude", "longitude", *money("value"))
+
+
+@query("d_status", "SELECT * FROM (VALUES ('revenue', 'EXACT', NULL), ('last_month', 'EXACT', NULL), ('broken', 'BLOCKED', 'measure'), ('constant', 'UNSUPPORTED', 'constant'), ('lost', 'BLOCKED', 'table'), ('loop', 'BLOCKED', 'cycle')) v(measure, status, construct), (SELECT count(*)::BIGINT AS lines FROM lineitem)")
+def d_status(spark, d):
+    m = retail(spark, d).add(
+        Measure("broken", inputs=("revenue", "no such measure"), fn=lambda a, b: a), Measure("constant", fn=lambda: F.lit(1)), Measure("lost", "no such table", lambda keep: keep.rows()), Measure("loop", inputs=("loop",), fn=lambda a: a)
+    )
+    rows = [(n, *m.status(n)[:2]) for n in ("revenue", "last_month", "broken", "constant", "lost", "loop")]
+    return spark.createDataFrame(rows, "measure string, status string, construct string").crossJoin(m.evaluate(["lines"]))  # one row
+
+
 _GRAINS = (
     "orders.o_orderstatus", "orders.o_totalprice", "orders.o_orderdate", "orders.o_orderpriority", "part.p_name", "part.p_brand", "part.p_type", "part.p_size", "part.p_retailprice",
     "supplier.s_name", "supplier.s_acctbal", "customer.c_name", "customer.c_acctbal", "customer.c_mktsegment", "nation.n_name", "region.r_name",

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import filters as flt
 from ..operators import shape
 from ..plans.model import Measure, Model, Relationship, as_rows
+from ..sources import stores
 from ..sources import tables as src
+from ..sources.staging import new_path
 from ._base import FROM_LINES, RELATIONSHIPS, money, query, ratio, retail, table
 
 # --- scans ----------------------------------------------------------------------------------------------------------
@@ -36,6 +38,36 @@ def s_tolerant_json(spark, d):
     return read.groupBy("event_type").agg(F.count("*").alias("n_rows"), F.sum("k").alias("k"))
 
 
+@query("s_csv", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
+def s_csv(spark, d):
+    """The customers, written as CSV with a header and read back under a schema."""
+    path = new_path(spark, "csv")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    rows.write.csv(path, header=True)
+    return src.read_csv(spark, path, ", ".join(f"{c} {kind}" for c, kind in rows.dtypes))
+
+
+@query("s_snapshot", "SELECT doc_id::VARCHAR AS id, lang AS kind, source AS name, sha256(text) AS fingerprint FROM documents WHERE lang <> 'de'")
+def s_snapshot(spark, d):
+    """Two snapshots of the documents under one path, of which one is read back."""
+    path = new_path(spark, "snapshots")
+    objects = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("kind"), F.col("source").alias("name"), F.sha2("text", 256).alias("fingerprint"))
+    stores.save_snapshot(objects, path, "all")
+    stores.save_snapshot(objects.filter("kind <> 'de'"), path, "without German")
+    return stores.load_snapshot(spark, path, "without German")
+
+
+@query("s_decisions", "SELECT doc_id::VARCHAR AS id, CASE quality WHEN 1 THEN 'accepted' ELSE 'rejected' END AS verdict FROM labels WHERE quality IS NOT NULL UNION ALL SELECT item_id::VARCHAR, 'deferred' FROM benchmark")
+def s_decisions(spark, d):
+    """Decisions appended in three steps; those of an unknown verdict are left out when they are read."""
+    path = new_path(spark, "decisions")
+    decide = lambda df, key, verdict: df.select(F.col(key).cast("string").alias("id"), F.current_timestamp().alias("at"), verdict.alias("verdict"), F.lit("a reviewer").alias("by"), F.array().cast("array<string>").alias("fingerprints"))
+    stores.append_decisions(decide(table(spark, d, "labels"), "doc_id", F.when(F.col("quality") == 1, "accepted").when(F.col("quality") == 0, "rejected")), path)
+    stores.append_decisions(decide(table(spark, d, "benchmark"), "item_id", F.lit("deferred")), path)
+    stores.append_decisions(decide(table(spark, d, "nation"), "n_nationkey", F.lit("perhaps")), path)
+    return stores.read_decisions(spark, path).select("id", "verdict")
+
+
 @query("s_manifest", """SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE quality = 1)::BIGINT AS confident, count(*) FILTER (WHERE quality = 0)::BIGINT AS awaiting_review,
   count(*) FILTER (WHERE doc_id IS NOT NULL AND quality IS NULL)::BIGINT AS gaps, count(DISTINCT lang)::BIGINT AS kinds FROM documents LEFT JOIN labels USING (doc_id)""")
 def s_manifest(spark, d):
@@ -88,6 +120,15 @@ def p_nested_filter(spark, d):
     return m.evaluate([m.filtered("returned", F.col("lineitem.l_discount") > 0.05, "deep")], ["customer.c_mktsegment"])
 
 
+@query("p_admissible", "SELECT 'quantity' AS condition, count(*) FILTER (WHERE l_quantity > 25)::BIGINT AS n FROM lineitem UNION ALL SELECT 'flag', count(*) FILTER (WHERE l_returnflag IN ('A', 'R'))::BIGINT FROM lineitem")
+def p_admissible(spark, d):
+    """Rows that each admissible condition keeps: sums, numbers and columns of other tables are no conditions."""
+    lines = table(spark, d, "lineitem")
+    asked = {"quantity": F.col("l_quantity") > 25, "flag": F.col("l_returnflag").isin("A", "R"), "aggregate": F.sum("l_quantity") > 1, "number": F.col("l_tax") + 1, "elsewhere": F.col("o_orderkey") > 0}
+    kept = {name: c for name, c in asked.items() if flt.admissible(c, lines)}
+    return as_rows(lines.agg(*[F.count_if(c).alias(n) for n, c in kept.items()]), list(kept)).select(F.col("measure").alias("condition"), F.col("value").cast("long").alias("n"))
+
+
 @query("p_year_filter", f"SELECT c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM {FROM_LINES} WHERE year(o_orderdate) = 1997 GROUP BY 1")
 def p_year_filter(spark, d):
     return retail(spark, d).evaluate(["revenue"], ["customer.c_mktsegment"], year=1997).select("c_mktsegment", *money("revenue"))
