@@ -161,3 +161,16 @@ def hash_runs(words: np.ndarray, length: int) -> np.ndarray:
 def first_words(rows: np.ndarray, n_rows: int) -> np.ndarray:
     """Index of the first word of each row, and at the end the number of words."""
     return np.searchsorted(rows, np.arange(n_rows + 1))
+
+
+# --- crc32 in DuckDB's SQL, for the queries' SQL --------------------------------------------------------------------
+
+#: A CTE `tab` of one row: t, the crc32 of each byte.
+CRC_TABLE = "tab AS (SELECT list(list_reduce(range(8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i::BIGINT) ORDER BY i) AS t FROM range(256) AS r(i))"
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes, in a row that has `t` of CRC_TABLE."""
+    digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(1, len({digits}), 2), lambda p: ('0x' || substr({digits}, p, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295)"

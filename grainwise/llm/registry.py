@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lm_scoring, mixing, pii, quality_classifier, quality_rules, sharding, simhash, substring_dedup, token_output
+from . import decontamination, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, resampling, sharding, simhash, spelling, substring_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         pii.op8_pii,
         quality_classifier.op9_quality_classifier,
         decontamination.op10_decontamination,
+        packing.op11_pack,
+        spelling.op12_spelling,
+        resampling.op13_resample,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.SQL, "op6_mix_sources": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
+    return {"op1_substring_dedup": substring_dedup.SQL, "op6_mix_sources": mixing.SQL, "op7_quality_rules": quality_rules.SQL, "op12_spelling": spelling.SQL, "op13_resample": resampling.SQL}

@@ -29,7 +29,7 @@ def key(row):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in registry.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
