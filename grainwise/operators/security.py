@@ -51,7 +51,7 @@ def share_item(condition: Column, reads: tuple[str, ...] = ()) -> Callable[[Mode
 
     def rewrite(model: Model, name: str, new: str) -> str:
         part = model.filtered(name, condition, f"{new}: part", reads)
-        model.add(replace(model.measures[name], name=new, base=None, build=None, inputs=(part, name), fn=lambda a, b: F.try_divide(a, b), previous=None))
+        model.add(replace(model.measures[name], name=new, base=None, build=None, inputs=(part, name), fn=lambda a, b: F.try_divide(a, b), previous=None, over=None, shift=None, span=None, states=None, distinct=None))
         return new
 
     return rewrite

@@ -135,7 +135,7 @@ def dashboard(
     leaves = model.leaves(measure)
     bases = {leaf.base for leaf in leaves}
     conditions = [{c: v for c, v in where.items() if not (whole_split and c == by)} for by in splits]
-    if len(bases) > 1 or model.shifts(measure):
+    if len(bases) > 1 or model.shifts(measure) or model.moving(measure):
         rows = reduce(DataFrame.unionByName, [_split(model, measure, by, others, year) for by, others in zip(splits, conditions)])
     else:
         rows = _splits_in_one(model, measure, leaves, splits, conditions, year)

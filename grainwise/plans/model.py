@@ -9,14 +9,13 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIODS = ("year", "quarter", "month", "day", "hour")
-STEP = {"year": "1 YEAR", "quarter": "3 MONTHS", "month": "1 MONTH", "day": "1 DAY", "hour": "1 HOUR"}
+from .contexts import PERIODS, STEP, Over, Span, States  # noqa: F401
 
 
 class Keep:
@@ -48,7 +47,11 @@ class Relationship:
 
 @dataclass(frozen=True)
 class Measure:
-    """Either an aggregate over `base` (build), or a function of other measures (inputs, fn), or one of them a period earlier (previous)."""
+    """Either an aggregate over `base` (build), or a function of other measures (inputs, fn), or one of them a period earlier
+    (previous), at another grain (over), so many units of time on (shift), or running over periods (span).
+
+    A running figure needs aggregates that can be merged over periods: `states`, or of a count of distinct values, `distinct`.
+    """
 
     name: str
     base: str | None = None
@@ -58,6 +61,45 @@ class Measure:
     fn: Callable[..., Column] | None = None
     previous: str | None = None
     format: str | None = None
+    over: Over | None = None
+    shift: tuple[int, str] | None = None
+    span: Span | None = None
+    states: States | None = None
+    distinct: Callable[[], Column] | None = None
+
+    @property
+    def moves(self) -> bool:
+        return bool(self.over or self.shift or self.span)
+
+
+def total(name: str, base: str, value: Callable[[], Column], **more) -> Measure:
+    """A sum that can run over periods."""
+    return Measure(name, base, lambda keep: F.sum(keep(value())), states=States(lambda keep: [F.sum(keep(value()))], [F.sum]), **more)
+
+
+def row_count(name: str, base: str, condition: Callable[[], Column] | None = None, **more) -> Measure:
+    """A count of rows, of those that meet a condition if there is one, that can run over periods."""
+    own = lambda keep: keep & condition() if condition else keep
+    return Measure(name, base, lambda keep: own(keep).rows(), states=States(lambda keep: [own(keep).rows()], [F.sum]), **more)
+
+
+def mean(name: str, base: str, value: Callable[[], Column], **more) -> Measure:
+    """An average that can run over periods: sum and count are merged."""
+    parts = lambda keep: [F.sum(keep(value())), F.count(keep(value()))]
+    return Measure(name, base, lambda keep: F.avg(keep(value())), states=States(parts, [F.sum, F.sum], F.try_divide), **more)
+
+
+def lowest(name: str, base: str, value: Callable[[], Column], **more) -> Measure:
+    return Measure(name, base, lambda keep: F.min(keep(value())), states=States(lambda keep: [F.min(keep(value()))], [F.min]), **more)
+
+
+def highest(name: str, base: str, value: Callable[[], Column], **more) -> Measure:
+    return Measure(name, base, lambda keep: F.max(keep(value())), states=States(lambda keep: [F.max(keep(value()))], [F.max]), **more)
+
+
+def distinct_count(name: str, base: str, value: Callable[[], Column], **more) -> Measure:
+    """A count of distinct values that can run over periods."""
+    return Measure(name, base, lambda keep: F.count_distinct(keep(value())), distinct=value, **more)
 
 
 class NotComputable(ValueError):
@@ -168,14 +210,14 @@ class Model:
         if not m.inputs:
             raise NotComputable("UNSUPPORTED", "constant", f"{name} reads no table")
         found = [leaf for i in m.inputs for leaf in self.leaves(i, (*above, name))]
-        shifts = {p for i in (name, *m.inputs) for p in self.shifts(i)}
+        shifts = {p for i in (name, *m.inputs) for p in self.shifts(i)} - {"other periods"}
         if len(shifts) > 1:
             raise NotComputable("UNSUPPORTED", "previous", f"{name} looks back by {' and '.join(sorted(shifts))}")
         return found
 
     def shifts(self, name: str) -> set[str]:
         m = self.measures[name]
-        return ({m.previous} if m.previous else set()) | {p for i in m.inputs if i in self.measures for p in self.shifts(i)}
+        return ({m.previous} if m.previous else set()) | ({"other periods"} if m.shift or m.span else set()) | {p for i in m.inputs if i in self.measures for p in self.shifts(i)}
 
     def status(self, name: str, grain: Sequence[str] = ()) -> tuple[str, str | None, str | None]:
         """(EXACT | BLOCKED | UNSUPPORTED, construct, reason)."""
@@ -194,10 +236,20 @@ class Model:
         year: int | None = None,
         where: Mapping[str, object] | None = None,
         ordered: bool = False,
+        dense: bool = False,
     ) -> DataFrame:
-        """A row for each group of the grain ('table.column', named by the column) and period, in their order if asked for; a column for each measure."""
+        """A row for each group of the grain ('table.column', named by the column) and period, in their order if asked for; a column for each measure.
+
+        dense: each group also has the periods in which it has no rows, from the first to the last of all; every measure is null there.
+        """
         where = where or {}
         leaves = {leaf.name: leaf for n in names for leaf in self.leaves(n)}
+        if dense or any(self.moving(n) for n in names):
+            from . import grains
+
+            frame = grains.evaluate(self, names, grain, period, year, where, dense)
+            keys = [*[g.split(".")[-1] for g in grain], *(["period"] if period else [])]
+            return frame.orderBy(*keys) if ordered and keys else frame
         keys = [g.split(".")[-1] for g in grain] + (["period"] if period else [])
         by_base: dict[str, list[Measure]] = {}
         for leaf in leaves.values():
@@ -214,8 +266,7 @@ class Model:
             if year:
                 frame = frame.filter(F.year(calendar) == year)
             for column, value in where.items():
-                kind = frame.select(column).schema[0].dataType
-                frame = frame.filter(F.col(column) == F.lit(str(value)).try_cast(kind))
+                frame = frame.filter(self.equals(frame, column, value))
             by = [F.col(g).alias(g.split(".")[-1]) for g in grain]
             if period:
                 by.append(F.date_trunc(period, calendar).alias("period"))
@@ -227,6 +278,18 @@ class Model:
         frame = frame.select(*keys, *names)
         return frame.orderBy(*keys) if ordered and keys else frame
 
+    @staticmethod
+    def equals(frame: DataFrame, column: str, value: object) -> Column:
+        """Whether a column has a value, given as it is or as text; None asks for blanks."""
+        if value is None:
+            return F.col(column).isNull()
+        return F.col(column) == F.lit(str(value)).try_cast(frame.select(column).schema[0].dataType)
+
+    def moving(self, name: str) -> bool:
+        """Whether a measure, or one it is made of, is seen at another grain or over other periods."""
+        m = self.measures[name]
+        return m.moves or any(self.moving(i) for i in m.inputs if i != name)
+
     def scoped(self, leaves: Sequence[Measure], columns: Iterable[str], conditions: Sequence[Mapping[str, object]], year: int | None = None) -> tuple[DataFrame, list[Keep]]:
         """The joined frame of leaves of one base with what the columns need, and for each set of conditions (column to value) the rows it keeps."""
         base = leaves[0].base
@@ -239,7 +302,7 @@ class Model:
         frame = self.joined(base, needed)
         if year:
             frame = frame.filter(F.year(calendar) == year)
-        equal = lambda c, v: F.col(c) == F.lit(str(v)).try_cast(frame.select(c).schema[0].dataType)
+        equal = lambda c, v: self.equals(frame, c, v)
         common = [c for c in conditions[0] if all(c in some and some[c] == conditions[0][c] for some in conditions)]
         for c in common:
             frame = frame.filter(equal(c, conditions[0][c]))
@@ -309,6 +372,8 @@ class Model:
         if name in done:
             return frame
         m = self.measures[name]
+        if m.moves:
+            raise NotComputable("UNSUPPORTED", "context", f"{name} is seen at another grain or over other periods")
         for i in m.inputs:
             frame = self._derive(frame, i, done, keys)
         done.add(name)
@@ -320,10 +385,12 @@ class Model:
         """Declare a measure that is `name` over the rows that also meet the condition; filters inside it stay."""
         m = self.measures[name]
         if m.build is not None:
-            self.add(Measure(new, m.base, lambda keep: m.build(keep & condition), (*m.reads, *reads), format=m.format))
+            states = m.states and replace(m.states, parts=lambda keep: m.states.parts(keep & condition))
+            distinct = m.distinct and (lambda: F.when(condition, m.distinct()))
+            self.add(replace(m, name=new, build=lambda keep: m.build(keep & condition), reads=(*m.reads, *reads), states=states, distinct=distinct))
         else:
             inputs = tuple(self.filtered(i, condition, f"{new}: {i}", reads) for i in m.inputs)
-            self.add(Measure(new, inputs=inputs, fn=m.fn, previous=m.previous, format=m.format))
+            self.add(replace(m, name=new, inputs=inputs))
         return new
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.model import Measure, Model, Relationship
+from ..plans.model import Measure, Model, Relationship, row_count, total
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,13 +48,13 @@ def retail(spark: SparkSession, sf_dir: str) -> Model:
     names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
     model = Model({n: table(spark, sf_dir, n) for n in names}, RELATIONSHIPS, {}, {"lineitem": "orders.o_orderdate", "orders": "orders.o_orderdate"})
     return model.add(
-        Measure("revenue", "lineitem", lambda keep: F.sum(keep(net())), format="#,0.00"),
-        Measure("quantity", "lineitem", lambda keep: F.sum(keep(F.col("lineitem.l_quantity")))),
-        Measure("lines", "lineitem", lambda keep: keep.rows()),
+        total("revenue", "lineitem", net, format="#,0.00"),
+        total("quantity", "lineitem", lambda: F.col("lineitem.l_quantity")),
+        row_count("lines", "lineitem"),
         Measure("discount", "lineitem", lambda keep: F.avg(keep(F.col("lineitem.l_discount"))), format="0.0%"),
-        Measure("returned", "lineitem", lambda keep: (keep & (F.col("lineitem.l_returnflag") == "R")).rows()),
-        Measure("order_count", "orders", lambda keep: keep.rows()),
-        Measure("order_value", "orders", lambda keep: F.sum(keep(F.col("orders.o_totalprice")))),
+        row_count("returned", "lineitem", lambda: F.col("lineitem.l_returnflag") == "R"),
+        row_count("order_count", "orders"),
+        total("order_value", "orders", lambda: F.col("orders.o_totalprice")),
         Measure("return_rate", inputs=("returned", "lines"), fn=lambda a, b: F.try_divide(a, b), format="0.0%"),
         Measure("revenue_per_order", inputs=("revenue", "order_count"), fn=lambda a, b: F.try_divide(a, b)),
         Measure("last_month", inputs=("revenue",), previous="month"),

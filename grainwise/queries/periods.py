@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.names import is_id_like
 from ..operators import shape
+from ..plans import contexts as ctx
 from ..plans import dashboard as dash
-from ..plans.model import Measure, Model, Relationship, as_rows
+from ..plans.model import Measure, Model, Relationship, as_rows, distinct_count, mean
 from ._base import FROM_LINES, money, query, retail, table
 
 REV = "sum(l_extendedprice * (1 - l_discount))"
@@ -253,10 +254,48 @@ def d_grain_options(spark, d):
 # --- measures beyond parity -----------------------------------------------------------------------------------------
 
 
+FROM_ORDERS = """orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey"""
+
+
+def _with_buyers(spark, d) -> Model:
+    return retail(spark, d).add(distinct_count("buyers", "orders", lambda: F.col("orders.o_custkey")))
+
+
+def _share(model: Model, name: str, of: str, over: ctx.Over) -> Model:
+    """The model with `name`, a measure's share of itself over other rows."""
+    return model.add(Measure(f"{name} whole", inputs=(of,), over=over), Measure(name, inputs=(of, f"{name} whole"), fn=lambda a, b: F.try_divide(a, b)))
+
+
 @query("e_share_of_all", f"SELECT r_name, round(count(*) / (SELECT count(*) FROM lineitem), 6) AS share FROM {FROM_LINES} GROUP BY 1")
 def e_share_of_all(spark, d):
-    parts = retail(spark, d).evaluate(["lines"], ["region.r_name"])
-    return parts.select("r_name", F.round(F.col("lines") / F.sum("lines").over(Window.partitionBy()), 6).alias("share"))
+    m = _share(retail(spark, d), "share", "lines", ctx.everything())
+    return m.evaluate(["share"], ["region.r_name"]).select("r_name", F.round("share", 6).alias("share"))
+
+
+@query("e_share_distinct", f"""WITH o AS (SELECT * FROM {FROM_ORDERS}),
+f AS (SELECT r_name, c_mktsegment, count(DISTINCT o_custkey) AS buyers FROM o WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1997 GROUP BY 1, 2),
+g AS (SELECT r_name, count(DISTINCT o_custkey) AS region_buyers FROM o WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1997 GROUP BY 1),
+s AS (SELECT r_name, c_mktsegment, count(DISTINCT o_custkey) AS any_status FROM o WHERE year(o_orderdate) = 1997 GROUP BY 1, 2)
+SELECT f.r_name, f.c_mktsegment, f.buyers, round(f.buyers / g.region_buyers, 6) AS of_region, round(f.buyers / s.any_status, 6) AS of_status, round(f.buyers / (SELECT count(DISTINCT o_custkey) FROM o), 6) AS of_all
+FROM f JOIN g ON f.r_name IS NOT DISTINCT FROM g.r_name JOIN s ON f.r_name IS NOT DISTINCT FROM s.r_name AND f.c_mktsegment IS NOT DISTINCT FROM s.c_mktsegment""")
+def e_share_distinct(spark, d):
+    """Shares of a distinct count, which no sum of parts gives: without the segment, without the filter on the status, and of everything."""
+    m = _with_buyers(spark, d)
+    for name, over in (("of_region", ctx.all_except("customer", "customer.c_custkey")), ("of_status", ctx.without("orders.o_orderstatus")), ("of_all", ctx.everything())):
+        m = _share(m, name, "buyers", over)
+    found = m.evaluate(["buyers", "of_region", "of_status", "of_all"], ["region.r_name", "customer.c_mktsegment"], where={"orders.o_orderstatus": "F"}, year=1997)
+    return found.select("r_name", "c_mktsegment", "buyers", *[F.round(c, 6).alias(c) for c in ("of_region", "of_status", "of_all")])
+
+
+@query("e_share_in_period", f"""WITH m AS (SELECT date_trunc('quarter', o_orderdate)::DATE AS period, r_name, count(*) AS lines, count(*) FILTER (WHERE l_returnflag = 'R') / count(*) AS rate FROM {FROM_LINES} GROUP BY 1, 2),
+t AS (SELECT date_trunc('quarter', o_orderdate)::DATE AS period, count(*) AS lines, count(*) FILTER (WHERE l_returnflag = 'R') / count(*) AS rate FROM {FROM_LINES} GROUP BY 1)
+SELECT strftime(m.period, '%Y-%m-%d') AS period, r_name, round(m.lines / t.lines, 6) AS share, round(m.rate - t.rate, 6) AS above FROM m JOIN t ON m.period = t.period""")
+def e_share_in_period(spark, d):
+    """A region's share of each quarter, and its rate of returns above that of all regions: a ratio at a coarser grain."""
+    m = _share(retail(spark, d), "share", "lines", ctx.only("period"))
+    m.add(Measure("rate of all", inputs=("return_rate",), over=ctx.without("region")), Measure("above", inputs=("return_rate", "rate of all"), fn=lambda a, b: a - b))
+    found = _dated(m.evaluate(["share", "above"], ["region.r_name"], "quarter")).withColumn("period", F.date_format("period", "yyyy-MM-dd"))
+    return found.select("period", "r_name", *[F.round(c, 6).alias(c) for c in ("share", "above")])
 
 
 @query("e_rank", f"WITH b AS ({BRANDS}) SELECT p_brand, rank() OVER (ORDER BY round(v, 4) DESC)::BIGINT AS place FROM b")
@@ -275,16 +314,61 @@ def e_use_relationship(spark, d):
 
 @dated("e_same_period_last_year", f"WITH m AS ({MONTHLY}) SELECT a.period, round(a.revenue, 4) AS revenue, round(b.revenue, 4) AS last_year FROM m a LEFT JOIN m b ON b.period = a.period - INTERVAL 1 YEAR")
 def e_same_period_last_year(spark, d):
-    m = _dated(retail(spark, d).evaluate(["revenue"], period="month"))
-    before = m.select(F.add_months("period", 12).alias("period"), F.col("revenue").alias("last_year"))
-    return m.join(before, "period", "left").select("period", *money("revenue", "last_year"))
+    m = retail(spark, d).add(Measure("last_year", inputs=("revenue",), shift=(-1, "year")))
+    return _dated(m.evaluate(["revenue", "last_year"], period="month")).select("period", *money("revenue", "last_year"))
+
+
+_SPINE = "p AS (SELECT unnest(generate_series((SELECT min(date_trunc('month', o_orderdate)) FROM orders WHERE month(o_orderdate) <> 3), (SELECT max(date_trunc('month', o_orderdate)) FROM orders WHERE month(o_orderdate) <> 3), INTERVAL 1 MONTH))::DATE AS period)"
+
+
+@dated("e_shifts", f"""WITH {_SPINE}, m AS (SELECT c_mktsegment, date_trunc('month', o_orderdate)::DATE AS period, count(DISTINCT o_custkey)::BIGINT AS buyers, count(*)::BIGINT AS order_count FROM {FROM_ORDERS} WHERE month(o_orderdate) <> 3 GROUP BY 1, 2),
+s AS (SELECT DISTINCT c_mktsegment FROM m), y AS (SELECT c_mktsegment, year(period) AS y, sum(order_count)::BIGINT AS n FROM m GROUP BY 1, 2)
+SELECT s.c_mktsegment, p.period, m.buyers, a.buyers AS month_before, b.buyers AS year_before, c.buyers AS two_on, y.n AS whole_year_before FROM s CROSS JOIN p
+LEFT JOIN m ON m.c_mktsegment = s.c_mktsegment AND m.period = p.period LEFT JOIN m a ON a.c_mktsegment = s.c_mktsegment AND a.period = p.period - INTERVAL 1 MONTH
+LEFT JOIN m b ON b.c_mktsegment = s.c_mktsegment AND b.period = p.period - INTERVAL 1 YEAR LEFT JOIN m c ON c.c_mktsegment = s.c_mktsegment AND c.period = p.period + INTERVAL 2 MONTH
+LEFT JOIN y ON y.c_mktsegment = s.c_mktsegment AND y.y = year(p.period) - 1
+WHERE coalesce(m.buyers, a.buyers, b.buyers, c.buyers, y.n) IS NOT NULL""")
+def e_shifts(spark, d):
+    """Several shifts of a distinct count in one result, by segment, with each March missing; and the whole year before."""
+    m = _with_buyers(spark, d)
+    m = Model({**m.tables, "orders": m.tables["orders"].filter(F.month("o_orderdate") != 3)}, m.relationships, m.measures, m.calendar).add(
+        Measure("month_before", inputs=("buyers",), shift=(-1, "month")),
+        Measure("year_before", inputs=("buyers",), shift=(-1, "year")),
+        Measure("two_on", inputs=("buyers",), shift=(2, "month")),
+        Measure("whole_year_before", inputs=("order_count",), span=ctx.parallel(-1, "year")),
+    )
+    return _dated(m.evaluate(["buyers", "month_before", "year_before", "two_on", "whole_year_before"], ["customer.c_mktsegment"], "month"))
+
+
+@dated("e_shift_days", "WITH m AS (SELECT o_orderdate::DATE AS period, count(*)::BIGINT AS order_count FROM orders GROUP BY 1) SELECT a.period, a.order_count, b.order_count AS month_before FROM m a LEFT JOIN m b ON b.period = a.period - INTERVAL 1 MONTH")
+def e_shift_days(spark, d):
+    """Days against the same day of the month before; the last days of longer months against its last."""
+    m = retail(spark, d).add(Measure("month_before", inputs=("order_count",), shift=(-1, "month")))
+    return _dated(m.evaluate(["order_count", "month_before"], period="day").filter("order_count IS NOT NULL"))
 
 
 @dated("e_year_to_date", f"WITH m AS ({MONTHLY}) SELECT period, round(sum(revenue) OVER (PARTITION BY year(period) ORDER BY period), 4) AS ytd, round(sum(revenue) OVER (ORDER BY period RANGE BETWEEN INTERVAL 2 MONTHS PRECEDING AND CURRENT ROW), 4) AS trailing FROM m")
 def e_year_to_date(spark, d):
-    m = _dated(retail(spark, d).evaluate(["revenue"], period="month")).withColumn("m", F.year("period") * 12 + F.month("period"))
-    ytd = Window.partitionBy(F.year("period")).orderBy("period")
-    return m.select("period", F.round(F.sum("revenue").over(ytd), 4).alias("ytd"), F.round(F.sum("revenue").over(Window.partitionBy().orderBy("m").rangeBetween(-2, 0)), 4).alias("trailing"))
+    m = retail(spark, d).add(Measure("ytd", inputs=("revenue",), span=ctx.to_date("year")), Measure("trailing", inputs=("revenue",), span=ctx.trailing(3, "month")))
+    return _dated(m.evaluate(["ytd", "trailing"], period="month")).select("period", *money("ytd", "trailing"))
+
+
+@dated("e_trailing_distinct", f"""WITH {_SPINE.replace("WHERE month(o_orderdate) <> 3", "")}, o AS (SELECT c_mktsegment, date_trunc('month', o_orderdate)::DATE AS at, o_custkey, o_totalprice FROM {FROM_ORDERS}), s AS (SELECT DISTINCT c_mktsegment FROM o),
+t AS (SELECT s.c_mktsegment, period, count(DISTINCT o_custkey)::BIGINT AS buyers_3 FROM s CROSS JOIN p JOIN o ON o.c_mktsegment = s.c_mktsegment AND o.at <= period AND o.at > period - INTERVAL 3 MONTH GROUP BY 1, 2),
+q AS (SELECT s.c_mktsegment, period, count(DISTINCT o_custkey)::BIGINT AS buyers_qtd, round(avg(o_totalprice) + 0.00001, 4) AS mean_ytd FROM s CROSS JOIN p JOIN o ON o.c_mktsegment = s.c_mktsegment AND o.at <= period AND year(o.at) = year(period) GROUP BY 1, 2),
+r AS (SELECT s.c_mktsegment, period, count(DISTINCT o_custkey)::BIGINT AS buyers_qtd FROM s CROSS JOIN p JOIN o ON o.c_mktsegment = s.c_mktsegment AND o.at <= period AND date_trunc('quarter', o.at) = date_trunc('quarter', period) GROUP BY 1, 2)
+SELECT t.c_mktsegment, t.period, t.buyers_3, r.buyers_qtd, q.mean_ytd, l.buyers_3 AS buyers_3_last_year FROM t LEFT JOIN r USING (c_mktsegment, period) LEFT JOIN q USING (c_mktsegment, period) LEFT JOIN t l ON l.c_mktsegment = t.c_mktsegment AND l.period = t.period - INTERVAL 1 YEAR""")
+def e_trailing_distinct(spark, d):
+    """Distinct buyers of the last three months and of the quarter so far, the year's mean so far, and the first a year earlier. (The mean is put off the ties that two engines round differently.)"""
+    m = _with_buyers(spark, d).add(
+        mean("mean order", "orders", lambda: F.col("orders.o_totalprice")),
+        Measure("buyers_3", inputs=("buyers",), span=ctx.trailing(3, "month")),
+        Measure("buyers_qtd", inputs=("buyers",), span=ctx.to_date("quarter")),
+        Measure("mean_ytd", inputs=("mean order",), span=ctx.to_date("year")),
+        Measure("buyers_3_last_year", inputs=("buyers_3",), shift=(-1, "year")),
+    )
+    found = _dated(m.evaluate(["buyers_3", "buyers_qtd", "mean_ytd", "buyers_3_last_year"], ["customer.c_mktsegment"], "month"))
+    return found.select("c_mktsegment", "period", "buyers_3", "buyers_qtd", F.round(F.col("mean_ytd") + 0.00001, 4).alias("mean_ytd"), "buyers_3_last_year")
 
 
 @query("e_rollup", "SELECT r_name, n_name, count(*)::BIGINT AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
