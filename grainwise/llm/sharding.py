@@ -9,15 +9,17 @@ Packing: in falling order of the largest share; each group or lot goes to the sh
 vector with the residual capacity, among those it fits in, else among all.
 
 Slots are counted piece by piece: a lot is a piece, and the rows of a group that is packed by itself are dealt by a hash of
-their ids (of their places in the input, where they are null) into pieces of some 1 / (128 * shards), so no task numbers a hot
-group whole.
+their places in the input, whatever their ids, into pieces of some 1 / (128 * shards), so no task numbers a hot group whole.
+Where such a group needs several shards, its pieces go to that many parts, largest first, each to the part that has least.
 
-Defined cases: a null text has 0 bytes and is one group with the empty text; null ids sort first; wholly equal rows get
-slots next to each other or in other pieces; an empty table gives an empty result; extra columns are left alone.
+Defined cases: a null text has 0 bytes and is one group with the empty text; null ids sort first; wholly equal rows are
+rows of a group like any other, and dealt by place if it is heavy; an empty table gives an empty result; extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +45,20 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     return placed
 
 
+def units(pieces: list[tuple[int, int, int]], group_of: dict[int, tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is placed together, for pieces (lot, size, rows): a group's pieces, in as many even parts as it needs shards; other lots by themselves."""
+    found = {lot: (lot, 0) for lot, _, _ in pieces}
+    loads: dict[int, list[tuple[int, int, int]]] = {}
+    for lot, size, n in sorted(pieces, key=lambda p: (-p[1], -p[2], p[0])):
+        if lot in group_of:
+            group, shares = group_of[lot]
+            heap = loads.setdefault(group, [(0, 0, i) for i in range(shares)])
+            at_size, at_n, part = heapq.heappop(heap)
+            found[lot] = (group, part)
+            heapq.heappush(heap, (at_size + size, at_n + n, part))
+    return [found[lot] for lot, _, _ in pieces]
+
+
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, tokens, text_crc32, shard, slot): slots run from 0 without gaps in each shard."""
     spark = docs.sparkSession
@@ -54,8 +70,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             row_key(text).alias("g"),
-            # Where an id is null the rows of a hot group are dealt by their places; written, so that all that follows sees the same.
-            F.when(named(id_col).isNull(), F.monotonically_increasing_id()).alias("place"),
+            # Written, so that all that follows sees the same.
+            F.monotonically_increasing_id().alias("place"),
         ),
         "shard-rows",
     )
@@ -65,11 +81,10 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     share = F.greatest(*[F.col(c) / float(max(total[c] or 0, 1)) for c in ("size", "tokens", "n")])
     # At most 3 * parts groups can be above 1 / parts of a total.
     heavy = rows.groupBy("g").agg(*sums).filter(share > 1.0 / parts).select("g", F.ceil(share * (parts * 2.0)).cast("int").alias("pieces"), F.ceil(share * shards).cast("int").alias("shares")).collect()
-    lots, first, units = shards * LOTS_PER_SHARD, [], {}
+    lots, first, group_of = shards * LOTS_PER_SHARD, [], {}
     for row in sorted(heavy, key=lambda r: r["g"]):
         first.append((row["g"], lots, row["pieces"]))
-        # A group's pieces are placed together, or as so many units as it needs shards.
-        units |= {lots + i: (lots, i % row["shares"]) for i in range(row["pieces"])}
+        group_of |= dict.fromkeys(range(lots, lots + row["pieces"]), (lots, row["shares"]))
         lots += row["pieces"]
     own = F.broadcast(spark.createDataFrame(first, "_g struct<a: long, b: long>, _first int, _pieces int"))
     rows = (
@@ -77,13 +92,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
         .withColumn(
             "lot",
             F.when(F.col("_g").isNull(), F.pmod("g.a", F.lit(shards * LOTS_PER_SHARD)))
-            .otherwise(F.col("_first") + F.pmod(F.xxhash64("doc_id", "place"), F.col("_pieces")))
+            .otherwise(F.col("_first") + F.pmod(F.xxhash64("place"), F.col("_pieces")))
             .cast("int"),
         )
         .drop("_g", "_first", "_pieces")
     )
     filled = rows.groupBy("lot").agg(*sums).orderBy("lot").collect()  # at most lots rows
-    unit_of = [units.get(r["lot"], (r["lot"], 0)) for r in filled]
+    unit_of = units([(r["lot"], r["size"], r["n"]) for r in filled], group_of)
     names = sorted(set(unit_of))
     at = {u: i for i, u in enumerate(names)}
     vectors = np.zeros((len(names), 3))
