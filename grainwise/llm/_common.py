@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one numpy step works on; a longer single document makes a step of its own.
 STEP_BYTES = 1 << 20
-HASHED_BYTES = 1 << 19
 
 
 #: Type of a row's key.
@@ -64,10 +64,12 @@ def one_of_each(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) ->
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
-_rng = np.random.default_rng(20250101)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE_FOLDED = _BYTE.copy()
-_BYTE_FOLDED[65:91] = _BYTE[97:123]
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
+#: The bits of a lane of eight bytes that so many bytes fill.
+_FILLED = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 256
 #: Odd, so that it has an inverse modulo 2**64.
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(int(_R), -1, 2**64))
@@ -129,23 +131,56 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _IS_SP
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word; fold: A-Z count as a-z."""
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as a little-endian number; zeros follow the last."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; fold: A-Z count as a-z. Seeds give hashes that have nothing to do with each other.
+
+    Eight bytes at a time are mixed into all words that have as many; long words have XXH64. Neither is a sum over the
+    bytes, so no rule for making words makes equal hashes.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    byte = _BYTE_FOLDED if fold else _BYTE
-    out = np.empty(len(starts), np.uint64)
-    lo = 0
-    while lo < len(starts):
-        # Stretches of a bounded length: the sums take 8 bytes for each byte of text.
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + HASHED_BYTES, "right")))
-        first, a, b = starts[lo], starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo]
-        part = data[first : first + b[-1]]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(byte[part] * powers(len(part)), out=sums[1:])
-        out[lo:hi] = (sums[b] - sums[a]) * powers(len(part), inverse=True)[a]
-        lo = hi
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if fold:
+        data = _FOLDED[data]
+    length = ends - starts
+    here, left = lanes(data), length
+    out = np.full(len(starts), (seed + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+    live = slice(None)
+    for at in range(0, LONG_WORD, 8):
+        out[live] = mix(out[live] ^ (here[starts[live] + at] & _FILLED[np.minimum(left, 8)]))
+        if at == 0:
+            live = np.flatnonzero((length > 8) & (length <= LONG_WORD))
+        else:
+            live = live[left > 8]
+        if not len(live):
+            break
+        left = length[live] - (at + 8)
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    return mix(out + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each word has the bytes of the word others[i]."""
+    length = ends - starts
+    same = length == length[others]
+    here = lanes(data)
+    live = np.flatnonzero(same & (others != np.arange(len(others))))
+    for i in live[length[live] > LONG_WORD].tolist():
+        same[i] = np.array_equal(data[starts[i] : ends[i]], data[starts[others[i]] : ends[others[i]]])
+    live = live[length[live] <= LONG_WORD]
+    for at in range(0, LONG_WORD, 8):
+        if not len(live):
+            break
+        fill = _FILLED[np.minimum(length[live] - at, 8)]
+        same[live] &= (here[starts[live] + at] & fill) == (here[starts[others[live]] + at] & fill)
+        live = live[length[live] > at + 8]
+    return same
 
 
 def hash_runs(words: np.ndarray, length: int) -> np.ndarray:

@@ -11,8 +11,8 @@ the windows of a span are all its extensions to the left and right that reach th
 share are found by grouping on (anchor, window), which costs a row for each extension and not one for each pair of spans.
 Repeats that overlap are merged into maximal ones.
 
-Defined cases: null and empty texts have no words; repeated rows repeat each other, and their spans are listed once; a document may repeat itself; hashes
-have 64 bits and are compared under an equal anchor, so 128 in all; an empty table gives an empty result; extra columns
+Defined cases: null and empty texts have no words; repeated rows repeat each other, and their spans are listed once; a document may repeat itself; anchors
+and windows have 64 bits each, of word hashes with different seeds, so 128 in all; an empty table gives an empty result; extra columns
 are left alone.
 """
 
@@ -29,6 +29,8 @@ from ._common import KEY, first_words, hash_runs, hash_words, keyed, mix, staged
 
 LENGTH = 35
 ANCHOR = 12
+#: Windows are hashed from other word hashes than anchors are.
+WINDOW_SEED = 1
 #: Bits of the position in a block of words; the hash keeps the rest for choosing anchors.
 AT_BITS = 24
 BLOCK = (1 << AT_BITS) - 1024
@@ -38,20 +40,20 @@ def spans(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tu
     """(row, first window, windows, anchor hash, span hash) of each span."""
     starts, ends, rows = word_spans(data, offsets)
     first = first_words(rows, len(offsets) - 1)
-    words = hash_words(data, starts, ends)
+    words, others = hash_words(data, starts, ends), hash_words(data, starts, ends, seed=WINDOW_SEED)
     # In blocks that overlap, so that positions fit into AT_BITS; a span that a block's end cuts is two spans.
-    found = [_block(words[lo : lo + BLOCK + length - 1], rows[lo : lo + BLOCK + length - 1], lo, length, anchor) for lo in range(0, max(1, len(words) - length + 1), BLOCK)]
+    found = [_block(words[lo : lo + BLOCK + length - 1], others[lo : lo + BLOCK + length - 1], rows[lo : lo + BLOCK + length - 1], lo, length, anchor) for lo in range(0, max(1, len(words) - length + 1), BLOCK)]
     row, at, n, gram, whole = (np.concatenate(x) for x in zip(*found))
     return row, at - first[row], n, gram, whole
 
 
-def _block(words: np.ndarray, rows: np.ndarray, offset: int, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+def _block(words: np.ndarray, others: np.ndarray, rows: np.ndarray, offset: int, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     n = len(words) - length + 1
     none = np.zeros(0, np.int64)
     inside = np.flatnonzero(rows[: max(n, 0)] == rows[length - 1 : length - 1 + max(n, 0)])
     if not len(inside):
         return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    windows, grams = hash_runs(words, length), hash_runs(words, anchor)
+    windows, grams = hash_runs(others, length), hash_runs(words, anchor)
     at_mask = np.uint64((1 << AT_BITS) - 1)
     packed = grams & ~at_mask | (at_mask - np.arange(len(grams), dtype=np.uint64))
     width, reach = length - anchor + 1, 1
@@ -88,7 +90,7 @@ def _extend(length: int):
         for batch in batches:
             for lo, hi, data, offsets in text_steps(batch.column(1)):
                 starts, ends, rows = word_spans(data, offsets)
-                windows = hash_runs(hash_words(data, starts, ends), length)
+                windows = hash_runs(hash_words(data, starts, ends, seed=WINDOW_SEED), length)
                 first = first_words(rows, hi - lo)
                 at, anchors = (batch.column(c).slice(lo, hi - lo) for c in (2, 3))
                 counts = np.diff(at.offsets.to_numpy())
@@ -107,6 +109,8 @@ def _extend(length: int):
 
 def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(k, start, n): windows start .. start + n - 1 of the row with key k repeat; docs has (k, text)."""
+    if not 0 < length - anchor + 1 < 256:
+        raise ValueError(f"a length of {length} has room for {length - anchor + 1} windows of an anchor of {anchor}; 1 to 255 are kept")
     rows = docs.select("k", "text")
     seeds = rows.mapInArrow(_seed(length, anchor), f"k {KEY}, at long, anchor long, span long")
     met = seeds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).filter("n > 1")

@@ -8,7 +8,7 @@ most one row for each id of the vocabulary, and `parts` the first position of ea
 Decoding looks the four lengths of each control byte up in a table of 256 rows and gathers the ids with numpy.
 
 A text is cut before spaces that follow a character other than white space, where no token of a byte-level BPE can cross;
-pieces are told apart by 64-bit hashes, and each distinct piece is encoded by the tokenizers library and kept in a bounded
+pieces of a step are told apart by 64-bit hashes and then by their bytes, and each distinct piece is encoded by the tokenizers library and kept in a bounded
 cache.
 
 Defined cases: a null text is empty; an empty text has the end id alone; repeated rows and ids are written in order of
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import discard, hash_words, named, new_path, staged, text_steps
+from ._common import discard, hash_words, named, new_path, same_words, staged, text_steps
 
 #: Ids handled in one numpy step.
 STEP_IDS = 1 << 19
@@ -155,6 +155,10 @@ class Encoder:
         starts, first = pieces(data, offsets)
         ends = np.append(starts[1:], len(data))
         _, at, of = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
+        other = np.flatnonzero(~same_words(data, starts, ends, at[of]))
+        # Pieces that share a hash with another one are each taken by themselves.
+        of[other] = len(at) + np.arange(len(other))
+        at = np.concatenate([at, other])
         raw = data.tobytes()
         distinct = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         found = list(map(self.known.get, distinct))

@@ -663,3 +663,76 @@ def test_hot_ids_of_token_files(spark):
     ids = [r["doc_id"] for r in rows]
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
     assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1]]
+
+
+def doubled(times):
+    """Two words of 2 ** times bytes by the rule x, y -> xy, yx: sums over bytes modulo a power of two can't tell them apart."""
+    a, b = "a", "b"
+    for _ in range(times):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("times", [5, 8, 10, 11])
+def test_words_made_by_doubling(spark, times):
+    """Documents that differ in one such word share no window; each piece has its own ids."""
+    from tokenizers import Tokenizer
+
+    p, q = doubled(times)
+    around = [f"w{i}" for i in range(34)]
+    docs = spark.createDataFrame([(1, " ".join([*around[:17], p, *around[17:]])), (2, " ".join([*around[:17], q, *around[17:]]))], "doc_id long, text string")
+    assert [(r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect()] == [(35, 0), (35, 0)]
+    text = f"x {p} {q} {q} {p}"
+    ids = [*Tokenizer.from_file(token_output.byte_bpe_path()).encode(text, add_special_tokens=False).ids, 2]
+    got = token_output.token_output(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got["n_tokens"], got["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_pieces_that_share_a_hash(monkeypatch):
+    """Were all hashes equal, the pieces' bytes would still keep them apart."""
+    monkeypatch.setattr(token_output, "hash_words", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    e = token_output.Encoder(token_output.byte_bpe_path())
+    texts = ["one two three two one", "two two", ""]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ids, counts = e.encode(data, np.cumsum([0, *map(len, texts)]))
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+
+
+def test_hash_words():
+    from grainwise.llm._common import hash_words, same_words
+
+    for n in (1, 5, 8, 9, 16, 255, 256, 257, 700):
+        x = np.frombuffer(b"q" * n + b"q" * (n - 1) + b"Z" + b"Q" * n + b"q" * n, np.uint8)
+        starts = np.arange(4) * n
+        h, folded, other = (hash_words(x, starts, starts + n, **k) for k in ({}, {"fold": True}, {"seed": 1}))
+        assert h[0] == h[3] and len(set(h.tolist())) == 3 and folded[0] == folded[2] == folded[3] != folded[1] and not set(h.tolist()) & set(other.tolist())
+        assert same_words(x, starts, starts + n, np.zeros(4, int)).tolist() == [True, False, False, True]
+
+
+def test_windows_that_fit(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="windows"):
+        substring_dedup.remove_repeats(docs, length=267).collect()
+    assert substring_dedup.remove_repeats(docs, length=266).count() == 1
+
+
+@pytest.mark.parametrize("ids", [1, 3, None])
+def test_shards_of_repeated_rows(spark, ids):
+    """All rows equal, under one id or none: shards of about equal sizes, slots without gaps."""
+    doc_id = "CAST(NULL AS LONG)" if ids is None else f"id % {ids}"
+    rows = sharding.shard_documents(spark.range(2400).selectExpr(f"{doc_id} AS doc_id", "'the same text' AS text").repartition(5)).collect()
+    n = Counter(r["shard"] for r in rows)
+    assert len(n) == 24 and max(n.values()) <= 105 and min(n.values()) >= 95
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(k)) for s, k in n.items())
+
+
+def test_shards_of_which_half_is_one_text(spark):
+    docs = spark.range(4800).selectExpr("IF(id % 2 = 0, id % 6, id) AS doc_id", "IF(id % 2 = 0, 'the same old text', concat('text ', lpad(id, 9, '0'))) AS text")
+    rows = sharding.shard_documents(docs).collect()
+    size = Counter()
+    for r in rows:
+        size[r["shard"]] += r["size"]
+    mean = sum(size.values()) / 24
+    assert len(size) == 24 and all(abs(v / mean - 1) <= 0.05 for v in size.values())
+    assert len({r["shard"] for r in rows if r["doc_id"] in (0, 2, 4)}) <= 17  # it holds two thirds of the tokens
