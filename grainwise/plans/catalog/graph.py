@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ...sources.staging import discard, staged
 
 
-#: Rounds of a closure after which what was seen is written as one table.
-MERGE_ROUNDS = 20
+#: Rounds that a closure goes step by step before it contracts what is left.
+STEP_ROUNDS = 6
 
 
 def union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -29,30 +29,89 @@ def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti")
 
 
-def closure(edges: DataFrame, starts: DataFrame, backwards: bool = False, most: int | None = None) -> DataFrame:
-    """(start, id, depth) of all that starts (id) lead to, cycles included once, within `most` steps if that is given.
+def closure(edges: DataFrame, starts: DataFrame, backwards: bool = False, most: int | None = None, step_rounds: int = STEP_ROUNDS) -> DataFrame:
+    """(start, id, depth) of all that starts (id) lead to, cycles included once, within `most` steps if that is given; depth is the least number of steps.
 
-    Each round joins the frontier alone, and only what is new is compared with what was seen; a small frontier is broadcast
-    by Spark, a large one joined by shuffle. Rounds go on until nothing is new.
+    The first rounds go step by step: each joins the frontier alone. What is deeper is contracted: chains of nodes with one
+    way in and one way out, however long, and cycles with them, become one edge of their length each, in rounds that grow
+    with its logarithm; then each round follows an edge.
     """
     a, b = ("dst", "src") if backwards else ("src", "dst")
     step = staged(edges.select(F.col(a).alias("_from"), F.col(b).alias("_to")).distinct(), "steps")
-    frontier = staged(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct(), "frontier")
-    seen, depth = [frontier], 0
+    seen = frontier = staged(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct(), "frontier")
+    parts, depth = [frontier], 0
     while most is None or depth < most:
         depth += 1
-        ahead = frontier.join(step, F.col("id") == F.col("_from")).select("start", F.col("_to").alias("id")).distinct()
-        frontier = staged(ahead.join(union(seen), ["start", "id"], "left_anti").select("start", "id", F.lit(depth).alias("depth")), "frontier")
+        ahead = frontier.join(step, F.col("id") == F.col("_from")).select("start", F.col("_to").alias("id"), F.lit(depth).alias("depth"))
+        # One exchange tells repeats and what was seen apart from what is new.
+        frontier = staged(least(ahead.unionByName(union(parts))).filter(F.col("depth") == depth), "frontier")
         if frontier.isEmpty():
             break
-        if len(seen) == MERGE_ROUNDS:
-            # Deep graphs: what was seen becomes one table, so that plans stay small.
-            merged = staged(union(seen), "seen")
-            discard(*seen)
-            seen = [merged]
-        seen.append(frontier)
+        parts.append(frontier)
+        if depth == step_rounds:
+            seen = staged(union(parts), "seen")
+            deeper = _closure_of_chains(step, seen, frontier, most)
+            discard(step, *parts)
+            return deeper.filter("depth > 0")
     discard(step)
-    return union(seen).filter("depth > 0")
+    return union(parts).filter("depth > 0")
+
+
+def least(paths: DataFrame) -> DataFrame:
+    """(start, id, depth): the shortest of paths."""
+    return paths.groupBy("start", "id").agg(F.min("depth").alias("depth"))
+
+
+def _closure_of_chains(step: DataFrame, seen: DataFrame, frontier: DataFrame, most: int | None) -> DataFrame:
+    """seen, carried on from its frontier to the end."""
+    edges, inside = contracted(step, frontier.select("id").distinct())
+    best, parts, n = seen, [seen], 0
+    while True:
+        ahead = frontier.join(edges, F.col("id") == F.col("_from")).select("start", F.col("_to").alias("id"), (F.col("depth") + F.col("steps")).alias("depth"))
+        if most is not None:
+            ahead = ahead.filter(F.col("depth") <= most)
+        known = union(parts).groupBy("start", "id").agg(F.min("depth").alias("_known"))
+        frontier = staged(least(ahead).join(known, ["start", "id"], "left").filter("_known IS NULL OR depth < _known").select("start", "id", "depth"), "frontier")
+        n += 1
+        if frontier.isEmpty():
+            break
+        parts.append(frontier)
+    best = staged(least(union(parts)), "seen")
+    between = best.join(inside, F.col("id") == F.col("_from")).select("start", F.col("_to").alias("id"), (F.col("depth") + F.col("steps")).alias("depth"))
+    if most is not None:
+        between = between.filter(F.col("depth") <= most)
+    found = staged(least(best.unionByName(between)), "reach")
+    discard(edges, inside, best, *parts)
+    return found
+
+
+def contracted(step: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, inside) of a graph of steps (_from, _to): chains between nodes that are in kept (id), or have not just one way in and one way out, as (_from, _to, steps); and the nodes on them, by the steps from the node the chain leaves.
+
+    Each node on a chain points back to the node before it; a round doubles the way twice. Cycles that nothing leads into
+    stay unresolved and are left out.
+    """
+    ways = step.select(F.col("_from").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(step.select(F.col("_to").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    plain = ways.groupBy("id").agg(F.sum("out").alias("out"), F.sum("in").alias("in")).filter("out = 1 AND in = 1").select("id").join(kept, "id", "left_anti")
+    plain = staged(plain, "plain")
+    back = step.join(plain.select(F.col("id").alias("_to")), "_to").select(F.col("_to").alias("id"), F.col("_from").alias("at"), F.lit(1).alias("steps"))
+    back = staged(back.join(plain.select(F.col("id").alias("at"), F.lit(True).alias("open")), "at", "left").select("id", "at", "steps", F.coalesce("open", F.lit(False)).alias("open")), "chains")
+    left, before = back.filter("open").count(), None
+    while left and left != before:
+        for _ in range(2):
+            onward = back.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("open").alias("_open"))
+            longer = back.filter("open").join(onward, "at").select("id", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_open").alias("open"))
+            back = back.filter("NOT open").unionByName(longer)
+        back, before = staged(back, "chains"), left
+        left = back.filter("open").count()
+    inside = staged(back.filter("NOT open").select(F.col("at").alias("_from"), F.col("id").alias("_to"), "steps"), "chains")
+    into = inside.select(F.col("_from"), F.col("_to").alias("_last"), "steps").join(step.withColumnsRenamed({"_from": "_last"}), "_last")
+    longer = into.join(plain.select(F.col("id").alias("_to")), "_to", "left_anti").select("_from", "_to", (F.col("steps") + 1).alias("steps"))
+    ends = plain.select(F.col("id").alias("_from")), plain.select(F.col("id").alias("_to"))
+    short = step.join(ends[0], "_from", "left_anti").join(ends[1], "_to", "left_anti").select("_from", "_to", F.lit(1).alias("steps"))
+    edges = staged(longer.unionByName(short).groupBy("_from", "_to").agg(F.min("steps").alias("steps")), "chain-edges")
+    discard(plain, back)
+    return edges, inside
 
 
 def neighbourhood(edges: DataFrame, nodes: DataFrame, start: str, depth: int = 2, per_column: int = 12, always: Sequence[str] = ("source",)) -> DataFrame:

@@ -1,5 +1,7 @@
 """Sources, formats, names and load steps on small fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,18 +133,64 @@ def test_the_rest_stands_without_llm():
 
 
 def test_closure_goes_to_the_end(spark):
-    """A chain deeper than what is merged at once; with a bound it stops there."""
-    n = 2 * graph.MERGE_ROUNDS + 3
+    """A chain deeper than what is walked step by step; with a bound it stops there."""
+    n = 4 * graph.STEP_ROUNDS + 3
     edges = spark.createDataFrame([(str(i), str(i + 1), "x") for i in range(n)], "src string, dst string, kind string").coalesce(1)
     starts = spark.createDataFrame([("0",)], "id string")
     assert sorted((r["depth"], r["id"]) for r in graph.closure(edges, starts).collect()) == [(i, str(i)) for i in range(1, n + 1)]
     assert graph.closure(edges, starts, most=2).count() == 2
+    assert graph.closure(edges, starts, most=n - 2).count() == n - 2
+
+
+def plain_closure(edges, starts, most=None):
+    ahead = {}
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+    found = []
+    for s in set(starts):
+        depth, todo = {s: 0}, [s]
+        while todo:
+            at = todo.pop(0)
+            for b in ahead.get(at, ()):
+                if b not in depth:
+                    depth[b] = depth[at] + 1
+                    todo.append(b)
+        found += [(s, x, d) for x, d in depth.items() if d and (most is None or d <= most)]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("most", [None, 9])
+def test_closure_of_chains_and_cycles(spark, seed, most):
+    """Random edges between long chains and cycles, some that nothing leads to: contracted from the first round on, as by hand."""
+    rng = random.Random(seed)
+    edges, n = [], 0
+    for _ in range(12):
+        size = rng.randint(1, 25)
+        edges += [(i, i + 1) for i in range(n, n + size)]
+        if rng.random() < 0.4:
+            edges.append((n + size, n))
+        n += size + 1
+    edges += [(rng.randrange(n), rng.randrange(n)) for _ in range(10)]
+    starts = [rng.randrange(n) for _ in range(5)]
+    frame = spark.createDataFrame([(str(a), str(b)) for a, b in edges], "src string, dst string")
+    ids = spark.createDataFrame([(str(s),) for s in starts], "id string")
+    for backwards in (False, True):
+        want = plain_closure([(b, a) if backwards else (a, b) for a, b in edges], starts, most)
+        got = sorted((int(r["start"]), int(r["id"]), r["depth"]) for r in graph.closure(frame, ids, backwards, most, step_rounds=1).collect())
+        assert got == want
+
+
+def test_closure_of_a_very_deep_chain(spark, monkeypatch):
+    """10,000 steps, and a cycle at their end, in under 20 written rounds."""
+    edges = spark.range(10_000).selectExpr("CAST(id AS STRING) AS src", "CAST(id + 1 AS STRING) AS dst").unionByName(spark.createDataFrame([("10000", "9000")], "src string, dst string"))
+    rounds, write = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: rounds.append(name) or write(df, name))
+    found = graph.closure(edges, spark.createDataFrame([("0",)], "id string"))
+    assert found.agg(F.count("*"), F.max("depth")).first() == (10_000, 10_000)
+    assert rounds.count("frontier") + rounds.count("chains") < 20
 
 
-@pytest.mark.parametrize("picture, value, shown", [('0.0"%"', 0.5, "0.5%"), ('0;"a;b" 0', -3.0, "a;b 3"), (".00", 0.5, "0.50"), ("0,.0", 5.0, None), ("0,;0", 5.0, None), ("0.0.0", 1.25, "1.3.0"), ("[red]0", 1.0, None), ("#,##0 %", 12.5, "1,250 %")])
-def test_scanned_formats(spark, picture, value, shown):
-    assert one(spark, formats.render(F.col("v"), picture), v=value) == shown
-
 
 def test_gate_refuses_two_models(spark):
     happened = spark.createDataFrame([("a", "changed", True)], "id string, event string, is_semantic boolean")
