@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...sources.staging import discard, staged
+
 LIMIT = 40
 
 
@@ -26,3 +28,75 @@ def find_in_expressions(expressions: DataFrame, asked: str) -> DataFrame:
     held = F.lower("expression").contains(asked.lower())
     times = F.when(held, (F.length("expression") - F.length(F.replace(F.lower("expression"), F.lit(asked.lower()), F.lit("")))) / len(asked))
     return expressions.groupBy("kind").agg(F.count_if(held).alias("n_objects"), F.coalesce(F.sum(times), F.lit(0)).cast("long").alias("n_found"))
+
+
+# --- an index for many questions ------------------------------------------------------------------------------------
+
+GRAM = 3
+#: Rarest grams of a question whose postings are intersected; what they leave is verified.
+MOST_GRAMS = 4
+
+
+def _grams(text: Column) -> Column:
+    """The distinct grams of a text, those that run over its end included, so each shorter part begins one."""
+    ended = F.concat(text, F.lit("\x00" * (GRAM - 1)))
+    return F.when(F.length(text) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(ended, i, F.lit(GRAM)))))
+
+
+def write_index(objects: DataFrame, path: str) -> str:
+    """Store the postings of objects (id, kind, name, expression): (gram, field, id) by ranges of grams, and how many each gram has.
+
+    Files hold stretches of grams, so a scan for some of them reads only row groups that may have them. Null names and
+    expressions have no postings; objects that share an id are one.
+    """
+    fields = [objects.select("id", F.lit(f).alias("field"), F.explode(_grams(F.lower(f))).alias("gram")) for f in ("name", "expression")]
+    postings = staged(fields[0].unionByName(fields[1]), "postings")  # ranges are sampled from it first
+    postings.repartitionByRange("gram", "field", "id").sortWithinPartitions("gram", "field").write.parquet(f"{path}/postings")
+    discard(postings)
+    spark = objects.sparkSession
+    spark.read.parquet(f"{path}/postings").groupBy("field", "gram").agg(F.count("*").alias("n")).write.parquet(f"{path}/sizes")
+    return path
+
+
+def candidates(path: str, questions: DataFrame) -> DataFrame:
+    """(asked, field, id) of questions (asked): objects that hold the rarest grams of the lower-cased question. All that hold it are among them."""
+    spark = questions.sparkSession
+    postings, sizes = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/sizes")
+    asked = staged(questions.select("asked").filter("length(asked) > 0").distinct().withColumn("text", F.lower("asked")), "asked")
+    longer = asked.filter(F.length("text") >= GRAM)
+    inner = F.transform(F.sequence(F.lit(1), F.length("text") - GRAM + 1), lambda i: F.substring("text", i, F.lit(GRAM)))
+    grams = longer.select("asked", F.explode(F.array_distinct(inner)).alias("gram"))
+    # Both fields are asked; a gram that a field lacks leaves nothing of it.
+    each = grams.crossJoin(spark.createDataFrame([("name",), ("expression",)], "field string")).join(sizes, ["field", "gram"], "left")  # two rows
+    nth = F.row_number().over(Window.partitionBy("asked", "field").orderBy(F.coalesce("n", F.lit(0)), "gram"))
+    rarest = each.withColumn("_nth", nth).filter(F.col("_nth") <= MOST_GRAMS)
+    wanted = rarest.groupBy("asked", "field").agg(F.count("*").alias("wanted"), F.count("n").alias("there"))
+    rarest = rarest.join(wanted.filter("wanted = there"), ["asked", "field"]).select("asked", "field", "gram", "wanted")
+    met = postings.join(rarest, ["field", "gram"]).groupBy("asked", "field", "id", "wanted").agg(F.count_distinct("gram").alias("n")).filter("n = wanted").select("asked", "field", "id")
+    for size in range(1, GRAM):
+        short = asked.filter(F.length("text") == size).select("asked", F.col("text").alias("start"))
+        begun = postings.select("field", "id", F.substring("gram", 1, size).alias("start")).join(short, "start").select("asked", "field", "id").distinct()
+        met = met.unionByName(begun)
+    return met
+
+
+def search_many(path: str, objects: DataFrame, questions: DataFrame, kinds: Sequence[str], limit: int = LIMIT) -> DataFrame:
+    """(asked, kind, name, tier, truncated): for each question what `search` gives, from the stored index of the objects (id, kind, name, expression)."""
+    met = candidates(path, questions).select("asked", "id").distinct().join(objects.dropDuplicates(["id"]), "id")
+    name, asked = F.lower("name"), F.lower("asked")
+    tier = F.when(name == asked, 0).when(name.startswith(asked), 1).when(name.contains(asked), 2).when(F.lower("expression").contains(asked), 3)
+    hits = staged(met.withColumn("tier", tier).filter("tier IS NOT NULL").select("asked", "id", "kind", "name", "tier"), "hits")
+    rank = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
+    # Spark keeps the first `limit` of a question in each task before it sorts any of them together.
+    first = hits.withColumn("_nth", F.row_number().over(Window.partitionBy("asked").orderBy("tier", rank, "name", "id"))).filter(F.col("_nth") <= limit)
+    more = hits.groupBy("asked").agg((F.count("*") > limit).alias("truncated"))
+    return first.join(more, "asked").select("asked", "kind", "name", "tier", "truncated")
+
+
+def find_many(path: str, objects: DataFrame, questions: DataFrame) -> DataFrame:
+    """(asked, kind, n_objects, n_found): for each question what find_in_expressions gives of the kinds that hold it."""
+    met = candidates(path, questions).filter("field = 'expression'").select("asked", "id").join(objects.select("id", "kind", "expression").dropDuplicates(["id"]), "id")
+    text, asked = F.lower("expression"), F.lower("asked")
+    times = (F.length(text) - F.length(F.replace(text, asked, F.lit("")))) / F.length("asked")
+    held = met.filter(text.contains(asked)).withColumn("times", times)
+    return held.groupBy("asked", "kind").agg(F.count("*").alias("n_objects"), F.sum("times").cast("long").alias("n_found"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fingerprint
 from ..plans.catalog import drift, graph, listing, reconcile, requirements, search
 from ..plans.model import Measure
+from ..sources.staging import new_path
 from ._base import RELATIONSHIPS, query, retail, table
 
 OBJ = """a AS (SELECT doc_id::VARCHAR AS id, lang AS kind, source || ' ' || doc_id AS name, text AS expression, sha256(text) AS fingerprint FROM documents),
@@ -219,6 +220,36 @@ def c_search(spark, d):
     return search.search(_searched(spark, d), "Red", KINDS)
 
 
+def _identified(spark, d):
+    return _searched(spark, d).withColumn("id", F.concat_ws(":", "kind", "name"))
+
+
+_OBJECTS = "o AS (SELECT DISTINCT 'region' AS kind, r_name AS name, NULL AS x, 1 AS k FROM region UNION ALL SELECT DISTINCT 'nation', n_name, NULL, 2 FROM nation UNION ALL SELECT DISTINCT 'part', p_name, NULL, 3 FROM part UNION ALL SELECT 'document', source || ' ' || doc_id, text, 4 FROM documents)"
+_ASKED = "q AS (SELECT DISTINCT unnest([p_brand, split_part(p_name, ' ', 1), substr(p_name, 2, 4), left(p_type, 2), substr(p_name, 3, 1)]) AS asked FROM part UNION SELECT r_name FROM region)"
+
+
+def _asked(spark, d):
+    p = table(spark, d, "part")
+    parts = F.array("p_brand", F.substring_index("p_name", " ", 1), F.substring("p_name", 2, 4), F.substring("p_type", 1, 2), F.substring("p_name", 3, 1))
+    return p.select(F.explode(parts).alias("asked")).unionByName(table(spark, d, "region").select(F.col("r_name").alias("asked"))).distinct()
+
+
+@query("c_search_many", f"""WITH {_OBJECTS}, {_ASKED},
+t AS (SELECT asked, kind, name, k, CASE WHEN lower(name) = lower(asked) THEN 0 WHEN starts_with(lower(name), lower(asked)) THEN 1 WHEN contains(lower(name), lower(asked)) THEN 2 WHEN contains(lower(x), lower(asked)) THEN 3 END AS tier FROM o, q)
+SELECT asked, kind, name, tier, count(*) OVER (PARTITION BY asked) > 40 AS truncated FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asked ORDER BY tier, k, name) <= 40""")
+def c_search_many(spark, d):
+    """Whole words, parts of words and single letters, all in one job over a stored index."""
+    objects = _identified(spark, d)
+    return search.search_many(search.write_index(objects, new_path(spark, "search-index")), objects, _asked(spark, d), KINDS)
+
+
+@query("c_find_many", f"""WITH {_OBJECTS}, {_ASKED}
+SELECT asked, kind, count(*)::BIGINT AS n_objects, sum((length(x) - length(replace(lower(x), lower(asked), ''))) // length(asked))::BIGINT AS n_found FROM o JOIN q ON contains(lower(x), lower(asked)) GROUP BY 1, 2""")
+def c_find_many(spark, d):
+    objects = _identified(spark, d)
+    return search.find_many(search.write_index(objects, new_path(spark, "search-index")), objects, _asked(spark, d))
+
+
 _EXPRESSIONS = (("document", "documents", "text"), ("page", "pages", "html"), ("turn", "conversations", "text"), ("item", "benchmark", "text"), ("event", "events", "props"))
 
 
