@@ -3,8 +3,9 @@
 Patterns find email addresses, IP addresses, payment cards and phone numbers (leftmost, non-overlapping for each kind;
 what fails its check is dropped). The field then looks at the words that hold a digit or an at sign: every other word is
 no entity. Its labels are the four kinds, secrets (keys, access tokens) and none. Its nodes have features of a word's form
-and of the words around it; neighbouring nodes share a transition potential; and words of a document that repeat, or whose
-last seven digits or more are the same, share a skip potential, however far apart. Nodes that a pattern found are observed;
+and of the words around it; neighbouring nodes share a transition potential; and words of a document that repeat, or are
+similar (the last seven digits of a number, however it is written; the local part of an address; the beginning or end of a
+long token), share a skip potential, however far apart. Nodes that a pattern found are observed;
 loopy message passing over all texts of a step at once gives the rest their marginals, and words of a marginal of a
 threshold or more are added as spans of that kind.
 
@@ -24,8 +25,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,10 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = (*KINDS, "secret")
 FIT_DOCS = 4000
 FIT_UNITS, FIT_NODES = 4000, 100
-LEVELS, PRECISE = (0.9, 0.95, 0.98, 0.99), 0.98
+LEVELS, PRECISE = (0.85, 0.9, 0.95, 0.98, 0.99), 0.98
 ROUNDS = 15
+#: Nodes or links of one numpy step.
+BLOCK = 1 << 15
 
 # Names to which secrets are assigned.
 _SECRET = re.compile(r"""\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)["']?\x20?[=:]\x20?["']?([A-Za-z0-9+/_=-]{16,})""", re.IGNORECASE)
@@ -147,21 +151,86 @@ def secret_values(text: str) -> list[tuple[int, int]]:
 OPEN, SEEN, TWIN = 0, 1, 2
 
 
+class Forms:
+    """Features of nodes, one after the other."""
+
+    def __init__(self, rows: Iterable[list[int]] = ()):
+        self.flat, self.sizes = array("H"), array("B")
+        for row in rows:
+            self.add(row)
+
+    def add(self, row: list[int]) -> None:
+        self.flat.extend(row)
+        self.sizes.append(len(row))
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def rows(self, a: int, b: int) -> list[list[int]]:
+        at = sum(self.sizes[:a])
+        out = []
+        for n in self.sizes[a:b]:
+            out.append(self.flat[at : at + n].tolist())
+            at += n
+        return out
+
+    def scores(self, node: np.ndarray) -> np.ndarray:
+        """The sum of each node's weights; every node has a feature."""
+        sizes = np.frombuffer(self.sizes, np.uint8).astype(np.int64)
+        edges = np.concatenate([[0], sizes.cumsum()])
+        flat = np.frombuffer(self.flat, np.uint16)
+        out = np.empty((len(sizes), node.shape[1]))
+        for lo in range(0, len(sizes), BLOCK):
+            hi = min(lo + BLOCK, len(sizes))
+            out[lo:hi] = np.add.reduceat(node[flat[edges[lo] : edges[hi]]], edges[lo:hi] - edges[lo], 0)
+        return out
+
+
+def link_keys(word: str, digits: int, before: str) -> tuple[set[str], str]:
+    """(keys, digits so far): words of a document that share a key are linked: the same but for case; a number of the same last seven digits, however it is written, or spread over words; the local part of an address; the beginning and the end of a long token."""
+    keys = {word.lower()} if digits >= 6 or "@" in word or len(word) >= 16 else set()
+    if "@" in word:
+        local = word.partition("@")[0].lower()
+        if len(local) >= 5:
+            keys.add(f"{local}@")
+    elif len(word) >= 20 and word.isascii():
+        keys |= {f"{word[:12].lower()}..", f"..{word[-12:].lower()}"}
+    number = "".join(c for c in word if "0" <= c <= "9")
+    plain = len(number) >= 2 and not any(c.isalpha() or c in "@_=" for c in word)
+    so_far = (before + number)[-15:] if plain else ""
+    if digits >= 6 or len(so_far) >= 7:
+        tail = number if len(number) >= 7 else so_far
+        if len(tail) >= 7:
+            keys.add(f"#{tail[-7:]}")
+    return keys, so_far
+
+
 class Field:
     """The nodes of some texts: features, labels (0: none, kind + 1), which are observed, chain links and skip links.
 
-    In a field to learn from, secrets have their label, and twins follow each node.
+    In a field to learn from, secrets have their label, and twins follow each node. A node takes some 300 bytes here and
+    while messages pass.
     """
 
     def __init__(self, texts: list[tuple[int, str, list[tuple[int, int, int]]]], learn: bool = False):
-        self.text, self.start, self.end, self.label, self.role = [], [], [], [], []
-        self.forms: list[list[int]] = []
-        chain, skip = [], []
+        self.text, self.start, self.end, self.forms = array("i"), array("q"), array("q"), Forms()
+        labels, roles = array("b"), array("b")
+        chain, skip = array("i"), array("i")
+
+        def add(nth: int, a: int, b: int, label: int, role: int, form: list[int]) -> int:
+            self.text.append(nth)
+            self.start.append(a)
+            self.end.append(b)
+            labels.append(label)
+            roles.append(role)
+            self.forms.add(form)
+            return len(roles) - 1
+
         for nth, text, base in texts:
             last_of: dict[str, int] = {}
-            spans = sorted((a, b, kind) for kind, a, b in base)
-            told = sorted((a, b, len(KINDS)) for a, b in secret_values(text)) if learn else []
-            last, last_end = -1, -2
+            spans = Spans(base)
+            told = Spans([(len(KINDS), a, b) for a, b in secret_values(text)] if learn else [])
+            last, last_end, so_far = -1, -2, ""
             for begin, stop in node_words(text):
                 whole = text[begin:stop]
                 word = whole.strip(_TRIM)
@@ -170,38 +239,51 @@ class Field:
                     continue
                 a = begin + whole.index(word)
                 b = a + len(word)
-                label = _label(spans, a, b)
-                i = self._add(nth, a, b, label or _label(told, a, b), SEEN if label else OPEN, _form(word, digits) + _around(text, begin, stop))
+                label = spans.label(a, b)
+                i = add(nth, a, b, label or told.label(a, b), SEEN if label else OPEN, _form(word, digits) + _around(text, begin, stop))
                 if begin == last_end + 1:
-                    chain.append((last, i))
+                    chain.extend((last, i))
+                else:
+                    so_far = ""
                 last, last_end = i, stop
-                if digits >= 6 or "@" in word:
-                    number = "".join(c for c in word if "0" <= c <= "9")[-7:]
-                    for key in {word.lower(), number if len(number) == 7 else word.lower()}:
-                        if key in last_of:
-                            skip.append((last_of[key], i))
-                        last_of[key] = i
+                keys, so_far = link_keys(word, digits, so_far)
+                for key in keys:
+                    if key in last_of:
+                        skip.extend((last_of[key], i))
+                    last_of[key] = i
                 if learn:
                     hidden = word.lstrip("+(").replace("-", "").rstrip(")")
-                    skip.append((i, self._add(nth, a, b, self.label[i], TWIN, _form(hidden, digits))))
+                    skip.extend((i, add(nth, a, b, labels[i], TWIN, _form(hidden, digits))))
+        pairs = lambda x: np.frombuffer(x, np.int32).reshape(-1, 2) if len(x) else np.zeros((0, 2), np.int32)
+        self.chain, self.skip = pairs(chain), np.unique(pairs(skip), axis=0)
+        self.label, self.role = np.array(labels, np.int8), np.array(roles, np.int8)
         if learn:
             # A word that repeats what a pattern found is of that kind, whether a pattern sees it or not.
-            for links in (skip, skip[::-1]):
-                for i, j in links:
+            links = list(map(tuple, self.skip.tolist()))
+            for some in (links, links[::-1]):
+                for i, j in some:
                     self.label[i], self.label[j] = self.label[i] or self.label[j], self.label[j] or self.label[i]
-        self.label, self.role = np.array(self.label, np.int64), np.array(self.role, np.int64)
         self.seen = self.role == SEEN
-        self.chain = np.array(chain, np.int64).reshape(-1, 2)
-        self.skip = np.array(sorted(set(skip)), np.int64).reshape(-1, 2)
 
-    def _add(self, nth: int, a: int, b: int, label: int, role: int, form: list[int]) -> int:
-        for held, value in ((self.text, nth), (self.start, a), (self.end, b), (self.label, label), (self.role, role), (self.forms, form)):
-            held.append(value)
-        return len(self.forms) - 1
 
-    @property
-    def x(self) -> np.ndarray:
-        return dense(self.forms)
+class Spans:
+    """Spans (kind, start, end) in which a place is looked up; those of a kind don't overlap."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.of: dict[int, tuple[list[int], list[int]]] = {}
+        for kind, a, b in sorted(spans):
+            starts, ends = self.of.setdefault(kind, ([], []))
+            starts.append(a)
+            ends.append(b)
+
+    def label(self, a: int, b: int) -> int:
+        """Kind + 1 of the first span that meets a to b, or 0."""
+        best = None
+        for kind, (starts, ends) in self.of.items():
+            i = bisect_right(ends, a)
+            if i < len(ends) and starts[i] < b and (best is None or (starts[i], ends[i], kind) < best):
+                best = (starts[i], ends[i], kind)
+        return 0 if best is None else best[2] + 1
 
 
 def dense(forms: list[list[int]]) -> np.ndarray:
@@ -210,14 +292,6 @@ def dense(forms: list[list[int]]) -> np.ndarray:
     return x
 
 
-def _label(spans: list[tuple[int, int, int]], a: int, b: int) -> int:
-    """Kind + 1 of the first of sorted spans that meets a to b, or 0. Spans of other kinds may overlap, so those before are looked through."""
-    for start, end, kind in spans[: bisect_left(spans, (b,))]:
-        if end > a:
-            return kind + 1
-    return 0
-
-
 class Weights:
     def __init__(self):
         n = len(LABELS) + 1
@@ -226,8 +300,13 @@ class Weights:
         self.least = np.full(len(LABELS), 2.0)
 
 
+def _shares(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 def train(x: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> Weights:
-    """Pseudo-likelihood: each node given its neighbours' labels; chain and skip are pairs of nodes."""
+    """Pseudo-likelihood: each node given its neighbours' labels, and as often without them, so that what a node's own signs tell isn't left to its neighbours; chain and skip are pairs of nodes."""
     w = Weights()
     n = w.node.shape[1]
     if not len(label) or not label.any():
@@ -235,17 +314,16 @@ def train(x: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray,
     hot = np.eye(n)[label]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w.node, w.chain, w.skip)]
     for t in range(1, rounds + 1):
-        z = x @ w.node
+        alone = x @ w.node
+        z = alone.copy()
         np.add.at(z, chain[:, 1], w.chain[label[chain[:, 0]]])
         np.add.at(z, chain[:, 0], w.chain[:, label[chain[:, 1]]].T)
         np.add.at(z, skip[:, 1], w.skip[label[skip[:, 0]]])
         np.add.at(z, skip[:, 0], w.skip[label[skip[:, 1]]])
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        g = hot - p / p.sum(1, keepdims=True)
+        g, g_alone = hot - _shares(z), hot - _shares(alone)
         g_chain = hot[chain[:, 0]].T @ g[chain[:, 1]] + g[chain[:, 0]].T @ hot[chain[:, 1]]
         g_skip = hot[skip[:, 0]].T @ g[skip[:, 1]] + hot[skip[:, 1]].T @ g[skip[:, 0]]
-        for param, gradient, (m, v) in zip((w.node, w.chain, w.skip), (x.T @ g, g_chain, (g_skip + g_skip.T) / 2), moments):
+        for param, gradient, (m, v) in zip((w.node, w.chain, w.skip), (x.T @ ((g + g_alone) / 2), g_chain, (g_skip + g_skip.T) / 2), moments):
             gradient = gradient / len(label) - ridge * param
             m += 0.1 * (gradient - m)
             v += 0.01 * (gradient * gradient - v)
@@ -253,37 +331,48 @@ def train(x: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray,
     return w
 
 
-def marginals(field: Field, w: Weights, rounds: int = ROUNDS) -> np.ndarray:
-    """(nodes, labels) by loopy sum-product messages; observed nodes are fixed."""
-    unary = field.x @ w.node
-    seen = field.seen
-    unary[seen] = np.where(np.arange(unary.shape[1]) == field.label[seen, None], 0.0, -50.0)
-    links = np.concatenate([field.chain, field.skip])
-    if not len(links):
-        z = np.exp(unary - unary.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
-    pair = np.concatenate([np.broadcast_to(w.chain, (len(field.chain), *w.chain.shape)), np.broadcast_to(w.skip, (len(field.skip), *w.skip.shape))])
-    # Directed both ways: message e goes from src[e] to dst[e]; its reverse is e +- number of links.
-    src, dst = np.concatenate([links[:, 0], links[:, 1]]), np.concatenate([links[:, 1], links[:, 0]])
-    potential = np.concatenate([pair, pair.transpose(0, 2, 1)])
-    back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
-    log = lambda z: np.log(np.maximum(z, 1e-30))
-    message = np.zeros((len(src), unary.shape[1]))
-    for _ in range(rounds):
+def marginals(field: Field | Sample, w: Weights, rounds: int = ROUNDS) -> np.ndarray:
+    """(nodes, labels) by loopy sum-product messages; observed nodes are fixed. A text's messages stop when none of them changes much, whatever other texts are there."""
+    forms = field.forms if isinstance(field.forms, Forms) else Forms(field.forms)
+    unary = forms.scores(w.node)
+    unary[field.seen] = np.where(np.arange(unary.shape[1]) == np.asarray(field.label)[field.seen, None], 0.0, -50.0)
+    text = np.asarray(field.text, np.int64) if len(field.text) == len(unary) else np.zeros(len(unary), np.int64)
+    kinds = [(np.asarray(links), pair.astype(np.float32)) for links, pair in ((field.chain, w.chain), (field.skip, w.skip)) if len(links)]
+    # Messages to the second and to the first node of each link.
+    messages = [[np.zeros((len(links), unary.shape[1]), np.float32) for _ in range(2)] for links, _ in kinds]
+
+    def totals() -> np.ndarray:
         total = unary.copy()
-        np.add.at(total, dst, message)
-        out = (total[src] - message[back])[:, :, None] + potential
-        top = out.max(1, keepdims=True)
-        new = log(np.exp(out - top).sum(1)) + top[:, 0]
-        new -= new.max(1, keepdims=True)
-        change = np.abs(new - message).max()
-        message = 0.5 * message + 0.5 * new
-        if change < 1e-3:
+        for (links, _), pair in zip(kinds, messages):
+            for side, message in zip((1, 0), pair):
+                for label in range(total.shape[1]):
+                    total[:, label] += np.bincount(links[:, side], message[:, label], len(total))
+        return total
+
+    live = np.ones(int(text.max(initial=0)) + 1, bool)
+    for _ in range(rounds if kinds else 0):
+        total, change = totals(), np.zeros(len(live), np.float32)
+        for (links, potential), pair in zip(kinds, messages):
+            for lo in range(0, len(links), BLOCK):
+                at = lo + np.flatnonzero(live[text[links[lo : lo + BLOCK, 0]]])
+                if len(at):
+                    old = [pair[0][at], pair[1][at]]
+                    for side in (0, 1):
+                        new = _passed(total[links[at, side]] - old[1 - side], potential.T if side else potential)
+                        np.maximum.at(change, text[links[at, 0]], np.abs(new - old[side]).max(1))
+                        pair[side][at] = (old[side] + new) / 2
+        live &= change >= 1e-3
+        if not live.any():
             break
-    total = unary.copy()
-    np.add.at(total, dst, message)
-    z = np.exp(total - total.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+    return _shares(totals())
+
+
+def _passed(sent: np.ndarray, potential: np.ndarray) -> np.ndarray:
+    """What arrives over links of one potential, in logarithms, the largest 0."""
+    out = sent[:, :, None] + potential
+    top = out.max(1, keepdims=True)
+    new = np.log(np.maximum(np.exp(out - top).sum(1), 1e-30)) + top[:, 0]
+    return new - new.max(1, keepdims=True)
 
 
 def added_spans(field: Field, w: Weights) -> dict[int, list[tuple[int, int, int]]]:
@@ -293,11 +382,12 @@ def added_spans(field: Field, w: Weights) -> dict[int, list[tuple[int, int, int]
         return out
     p = marginals(field, w)
     best = p[:, 1:].argmax(1)
-    linked = {int(b): int(a) for a, b in field.chain}
+    before_of = np.full(len(field.label), -1, np.int32)
+    before_of[field.chain[:, 1]] = field.chain[:, 0]
     made: dict[int, tuple[int, int]] = {}
     for i in np.flatnonzero(~field.seen & (p[:, 1:].max(1) >= w.least[best])).tolist():
         kind, spans = int(best[i]), out.setdefault(field.text[i], [])
-        if (before := linked.get(i)) in made and made[before][1] == kind < len(KINDS):
+        if (before := int(before_of[i])) in made and made[before][1] == kind < len(KINDS):
             at = made[before][0]
             spans[at] = (kind, spans[at][1], field.end[i])
         else:
@@ -333,7 +423,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 field = Field([(r, text, base)], learn=True)
                 for nth in range(-(-len(field.label) // FIT_NODES)):
                     a, b = nth * FIT_NODES, min(len(field.label), (nth + 1) * FIT_NODES)
-                    forms = field.forms[a:b]
+                    forms = field.forms.rows(a, b)
                     within = [x[((x >= a) & (x < b)).all(1)] - a for x in (field.chain, field.skip)]
                     row = [lo + r, nth, [len(f) for f in forms], [i for f in forms for i in f], field.label[a:b].tolist(), field.role[a:b].tolist(), *[x.ravel().tolist() for x in within]]
                     for o, v in zip(out, row):
@@ -347,6 +437,7 @@ class Sample:
     """Stretches put together: what Field has, without places."""
 
     def __init__(self, rows: list[dict]):
+        self.text = np.repeat(np.arange(len(rows)), [len(r["sizes"]) for r in rows])
         self.forms, chain, skip, at = [], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)], 0
         for r in rows:
             edges = np.concatenate([[0], np.cumsum(r["sizes"])])
