@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import numeric_order
+from .steps import add_index, add_index_within
 
 
 def top_fold(parts: DataFrame, most: int = 10, by: Sequence[str] = ("measure",), label: str = "label", value: str = "value") -> DataFrame:
@@ -25,6 +26,12 @@ def rank_abs(value: Column, tie: Column, by: Sequence[str] = ()) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.abs(value)), tie))
 
 
+def ranked_by_size(rows: DataFrame, value: str, tie: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+    """rows with their rank by magnitude in each group, ties by `tie`; a group may span many tasks."""
+    order = [F.desc(F.abs(value)), F.col(tie)]
+    return add_index_within(rows, by, order, name, start=1) if by else add_index(rows, order, name, start=1)
+
+
 def share(value: Column, by: Sequence[str] = ()) -> Column:
     return value / F.sum(value).over(Window.partitionBy(*by))
 
@@ -48,14 +55,14 @@ def disjoint_spans(spans: DataFrame, by: Sequence[str], low: str = "low", high:
 
 
 def positions(parts: DataFrame, order: str, label: str = "label", value: str = "value", key: str | None = None) -> DataFrame:
-    """parts with `position` under an order: largest, smallest, label (numbers by size) or time (by key, missing last)."""
+    """parts with `position`, from 1, under an order: largest, smallest, label (numbers by size) or time (by key, missing last). Positions are counted over ranges of the order."""
     by = {
         "largest": [F.desc(value), F.col(label)],
         "smallest": [F.asc(value), F.col(label)],
         "label": [numeric_order(F.col(label)), F.col(label)],
         "time": [F.col(key or label).asc_nulls_last(), F.col(label)],
     }[order]
-    return parts.withColumn("position", F.row_number().over(Window.orderBy(*by)))
+    return add_index(parts, by, "position", start=1)
 
 
 def key_is_number(kind: str) -> bool:

@@ -25,13 +25,29 @@ def row_range(df: DataFrame, order: Sequence, first: int = 0, count: int | None
     return numbered.filter(F.col("_nth") >= first).drop("_nth")
 
 
+def ranged(df: DataFrame, order: Sequence) -> DataFrame:
+    """df in ranges of an order, written: `_part` is a range's number and `_at` a row's place, both rising with the order."""
+    found = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    return found.withColumn("_part", F.shiftright("_at", 33))
+
+
 def add_index(df: DataFrame, order: Sequence, name: str = "index", start: int = 0) -> DataFrame:
     """A gapless index in a stated order. The ranges are written before they are counted, so that both uses see the same."""
-    ranged = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
-    ranged = ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_local", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    rows = ranged(df, order).withColumn("_local", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranged.join(before, "_part").withColumn(name, F.col("_before") + F.col("_local") + start).drop("_at", "_part", "_local", "_before")
+    return rows.join(before, "_part").withColumn(name, F.col("_before") + F.col("_local") + start).drop("_at", "_part", "_local", "_before")
+
+
+def add_index_within(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "index", start: int = 0) -> DataFrame:
+    """A gapless index within each group of `by`: all rows are numbered by ranges, and a group's first number is taken off, so a group may span many ranges."""
+    rows = add_index(df, [*[F.col(c) for c in by], *order], "_index")
+    first = rows.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.min("_index").alias("_first"))
+    return rows.join(first, same_group(by)).withColumn(name, F.col("_index") - F.col("_first") + start).drop("_index", "_first", *[f"_by_{c}" for c in by])
+
+
+def same_group(by: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.lit(True))
 
 
 def nested_join(left: DataFrame, right: DataFrame, on: Column, key: Sequence[str], name: str) -> DataFrame:
@@ -70,11 +86,21 @@ def unpivot_others(df: DataFrame, keep: Sequence[str], name: str = "attribute",
 
 
 def fill(df: DataFrame, column: str, by: Sequence[str], order: Sequence, down: bool = True) -> DataFrame:
-    """Nulls take the last value before them in the order (down), or the next after (up), within each group."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    if down:
-        return df.withColumn(column, F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.withColumn(column, F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    """Nulls take the last value before them in the order (down), or the next after (up), within each group.
+
+    A scan over ranges: each range fills what it can; what a group has last (or first) in each of its ranges is carried over
+    those that have nothing, a row a range; and the rest of a range takes what is carried into it. So a group, or the whole
+    table, may span any number of ranges.
+    """
+    rows = ranged(df, [*[F.col(c) for c in by], *order])
+    inside = Window.partitionBy("_part", *by).orderBy(F.asc("_at") if down else F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumn("_filled", F.last(column, ignorenulls=True).over(inside))
+    latest = F.max_by if down else F.min_by
+    ends = rows.groupBy("_part", *by).agg(latest(F.struct(F.col(column).alias("v")), F.when(F.col(column).isNotNull(), F.col("_at"))).alias("_end"))
+    over = Window.partitionBy(*by).orderBy(F.asc("_part") if down else F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("_part").alias("_into"), *[F.col(c).alias(f"_by_{c}") for c in by], F.last("_end.v", ignorenulls=True).over(over).alias("_carried")).filter("_carried IS NOT NULL")
+    found = filled.join(carried, (F.col("_part") == F.col("_into")) & same_group(by), "left").withColumn(column, F.coalesce("_filled", "_carried"))
+    return found.select(*df.columns)
 
 
 def calendar(df: DataFrame, column: str) -> DataFrame:

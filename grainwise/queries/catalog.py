@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint
-from ..plans.catalog import drift, graph, listing, reconcile, requirements, search
+from ..plans.catalog import drift, graph, listing, reconcile, requirements, rules, search
 from ..plans.model import Measure
 from ..sources.staging import new_path
 from ._base import RELATIONSHIPS, query, retail, table
@@ -293,6 +293,78 @@ def c_requirements(spark, d):
     return requirements.derive(objects).drop("evidence")
 
 
+def _and(x: str) -> str:
+    return f"CASE WHEN len({x}) < 2 THEN array_to_string({x}, '') ELSE array_to_string({x}[:len({x}) - 1], ', ') || ' and ' || {x}[len({x})] END"
+
+
+def _hash(*parts: str) -> str:
+    return f"substr(sha256(concat_ws(chr(31), {', '.join(parts)})), 1, 16)"
+
+
+def _definitions(spark, d):
+    """Definition tables: documents as measures that read columns, nations as levels of regions, segments as row filters of nations, orders as relationships."""
+    docs, nation = table(spark, d, "documents"), table(spark, d, "nation")
+    nth = F.col("doc_id")
+    none = F.array().cast("array<string>")
+    places = docs.select(F.col("source").alias("model"), F.col("lang").alias("table"), "doc_id")
+    columns = places.filter("doc_id % 5 < 3").select("model", "table", F.concat(F.lit("c"), nth % 5).alias("name")).distinct()
+    calculated = F.col("name") == "c1"
+    roles = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("role"), F.col("c_mktsegment").alias("table")).distinct()
+    ways = table(spark, d, "orders").select("o_orderstatus", "o_orderpriority").distinct()
+    tables = places.select("model", F.col("table").alias("name"), F.lit(False).alias("system")).distinct().unionByName(spark.createDataFrame([("sales", "status F", True)], "model string, name string, system boolean"))
+    levels = nation.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("hierarchy"), F.col("n_nationkey").cast("int").alias("ordinal"), F.col("n_name").alias("level"), F.lit("n_name").alias("column"))
+    empty = table(spark, d, "region").select(F.concat(F.lit("no "), "r_name").alias("hierarchy"), F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("column"))
+    return {
+        "measures": docs.select(
+            F.col("source").alias("model"), F.col("lang").alias("table"), F.concat(F.lit("m"), nth).alias("name"), F.when(nth % 7 == 0, " ").otherwise(F.substring("text", 1, 40)).alias("expression"), fingerprint(F.col("text")).alias("fingerprint"),
+            F.when(nth % 3 == 0, F.array(F.concat("lang", F.lit(".c"), nth % 5))).otherwise(none).alias("columns"), F.when(nth % 4 == 0, F.array(F.lit("m2"), F.lit("m1"))).otherwise(none).alias("measures"), (nth % 6 == 0).alias("implicit"),
+        ),
+        "columns": columns.select("*", F.when(F.col("table") == "de", "").otherwise("a + b").alias("expression"), calculated.alias("calculated"), fingerprint(F.col("table"), F.col("name")).alias("fingerprint")),
+        "tables": tables.select("*", F.lit(False).alias("measure_only"), (F.col("name") == "fr").alias("parameter"), fingerprint(F.col("name")).alias("fingerprint")),
+        "relationships": ways.select(
+            F.lit("sales").alias("model"), F.lit("orders").alias("from_table"), F.col("o_orderpriority").alias("from_column"), F.concat(F.lit("status "), "o_orderstatus").alias("to_table"), F.lit("k").alias("to_column"), F.lit("many to one").alias("cardinality"),
+            F.col("o_orderpriority").startswith("1").alias("active"), F.col("o_orderpriority").startswith("2").alias("integrity"), F.lit(None).cast("string").alias("direction"), fingerprint(F.col("o_orderpriority")).alias("fingerprint"),
+        ),
+        "levels": levels.unionByName(empty).select(F.lit("geo").alias("model"), F.lit("region").alias("table"), "*", fingerprint(F.col("hierarchy")).alias("fingerprint")),
+        "filters": roles.select(F.lit("sales").alias("model"), "role", F.lit("read").alias("access"), "table", F.when(F.col("table") == "BUILDING", "").otherwise("[a] = 1").alias("expression"), fingerprint(F.col("role"), F.col("table")).alias("fingerprint")),
+        "gaps": places.groupBy("model", "table").agg(F.count("*").alias("n")).select("model", F.concat("table", F.lit(" texts")).alias("feature"), "n", F.lit("no rule").alias("reason")),
+    }
+
+
+RULES_SQL = f"""WITH d AS (SELECT source AS model, lang AS "table", 'm' || doc_id AS name, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE left(text, 40) END AS expression, sha256(text) AS fp, CASE WHEN doc_id % 3 = 0 THEN [lang || '.c' || doc_id % 5] ELSE [] END AS cols, CASE WHEN doc_id % 4 = 0 THEN ['m1', 'm2'] ELSE [] END AS ms, doc_id % 6 = 0 AS implicit FROM documents),
+c AS (SELECT DISTINCT source AS model, lang AS "table", 'c' || doc_id % 5 AS name FROM documents WHERE doc_id % 5 < 3),
+m AS (SELECT d.*, 'measure:' || "table" || '.' || name AS node, fp AS bound FROM d WHERE NOT implicit UNION ALL SELECT d.*, 'column:' || cols[1], sha256(c."table" || chr(31) || c.name) FROM d JOIN c ON c.model = d.model AND c."table" || '.' || c.name = d.cols[1] WHERE implicit),
+mx AS (SELECT *, {_hash("'measure'", "model", '"table"', "name")} AS h, node || '|' || bound || '|' || trim(expression) AS ev FROM m),
+r AS (SELECT DISTINCT o_orderpriority AS p, 'status ' || o_orderstatus AS s FROM orders WHERE o_orderstatus <> 'F'),
+rx AS (SELECT *, {_hash("'relationship'", "'sales'", "'orders.' || p", "s || '.k'")} AS h, 'table:orders -> table:' || s || '|' || sha256(p) || '|orders.' || p || ' -> ' || s || '.k' AS ev, starts_with(p, '1') AS active FROM r),
+l AS (SELECT r_name AS h, list(n_name ORDER BY n_nationkey) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1 UNION ALL SELECT 'no ' || r_name, [] FROM region),
+lx AS (SELECT *, {_hash("'hierarchy'", "'geo'", "'region'", "h")} AS id, 'hierarchy:region.' || h || '|' || sha256(h) || '|' || array_to_string(names, ' > ') AS ev FROM l),
+f AS (SELECT DISTINCT n_name AS role, c_mktsegment AS t, CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE '[a] = 1' END AS x FROM customer JOIN nation ON c_nationkey = n_nationkey),
+fx AS (SELECT *, 'role:' || role || '|' || sha256(role || chr(31) || t) || '|' || t || ': ' || x AS ev FROM f),
+g AS (SELECT role, list_sort(list(t)) AS ts, list_sort(list(ev)) AS evs FROM fx GROUP BY 1),
+t AS (SELECT model, list_sort(list("table")) AS names FROM (SELECT DISTINCT source AS model, lang AS "table" FROM documents WHERE lang <> 'fr') GROUP BY 1)
+SELECT model, 'F-' || h AS requirement, 'functional' AS kind, 'incomplete definitions' AS category, 'What ' || "table" || '.' || name || ' computes is not stated and has to be supplied.' AS statement, 'low' AS confidence, ev AS evidence FROM mx WHERE trim(expression) = ''
+UNION ALL SELECT model, 'B-' || h, 'business', 'metrics', 'The solution reports ' || name || '.' || CASE WHEN len(cols) > 0 THEN ' It reads ' || {_and("cols")} || '.' WHEN len(ms) > 0 THEN ' It is made of ' || {_and("ms")} || '.' ELSE '' END || CASE WHEN implicit THEN ' The report makes this figure, no measure does.' ELSE '' END, 'high', ev FROM mx WHERE trim(expression) <> ''
+UNION ALL SELECT model, 'F-' || h, 'functional', 'measure definitions', "table" || '.' || name || ' is computed as its expression in the evidence says.' || CASE WHEN len(ms) > 0 THEN ' Before it, ' || {_and("ms")} || ' must be known.' ELSE '' END, 'high', ev FROM mx WHERE trim(expression) <> ''
+UNION ALL SELECT model, 'F-' || {_hash("'column'", "model", '"table"', "name")}, 'functional', CASE WHEN "table" = 'de' THEN 'incomplete definitions' ELSE 'derived columns' END, "table" || '.' || name || CASE WHEN "table" = 'de' THEN ' is calculated, but by what is not stated.' ELSE ' is calculated by its expression in the evidence, and not loaded.' END, CASE WHEN "table" = 'de' THEN 'low' ELSE 'high' END, 'column:' || "table" || '.' || name || '|' || sha256("table" || chr(31) || name) || '|' || CASE WHEN "table" = 'de' THEN '' ELSE 'a + b' END FROM c WHERE name = 'c1'
+UNION ALL SELECT 'sales', 'B-' || h, 'business', 'analysis by dimension', CASE WHEN active THEN 'Users can split orders by what ' || s || ' says of it.' ELSE 'Calculations that ask for it can take another way from orders to ' || s || '.' END, CASE WHEN active THEN 'medium' ELSE 'low' END, ev FROM rx
+UNION ALL SELECT 'sales', 'F-' || h, 'functional', 'relationships', 'An ' || CASE WHEN active THEN 'active' ELSE 'inactive' END || ' relationship (many to one) joins orders.' || p || ' to ' || s || '.k, filters one way and ' || CASE WHEN starts_with(p, '2') THEN 'drops no row, since each key is known to exist' ELSE 'keeps rows without a partner' END || '.', 'high', ev FROM rx
+UNION ALL SELECT 'geo', 'F-' || id, 'functional', 'incomplete definitions', h || ' of region has no levels; its way down has to be stated.', 'low', ev FROM lx WHERE len(names) = 0
+UNION ALL SELECT 'geo', 'B-' || id, 'business', 'drilling', 'Users can drill through ' || h || ' of region: ' || array_to_string(names, ' > ') || '.', 'high', ev FROM lx WHERE len(names) > 0
+UNION ALL SELECT 'geo', 'F-' || id, 'functional', 'hierarchies', h || ' of region has ' || len(names) || ' levels, in this order: ' || array_to_string(list_transform(names, lambda n: n || ' (n_name)'), ', ') || '.', 'high', ev FROM lx WHERE len(names) > 0
+UNION ALL SELECT 'sales', 'B-' || {_hash("'role'", "'sales'", "role")}, 'business', 'who sees what', 'Members of ' || role || ' see only the rows of ' || {_and("ts")} || ' that its filters let through.', 'high', array_to_string(evs, ';') FROM g
+UNION ALL SELECT 'sales', 'F-' || {_hash("'role'", "'sales'", "role", "t")}, 'functional', 'row filters', 'For ' || role || ', rows of ' || t || ' are filtered by the expression in the evidence.', 'high', 'role:' || role || '|' || sha256(role || chr(31) || t) || '|' || x FROM fx WHERE x <> ''
+UNION ALL SELECT model, 'B-' || {_hash("'scope'", "model")}, 'business', 'scope', 'The solution covers ' || len(names) || CASE WHEN len(names) = 1 THEN ' subject: ' ELSE ' subjects: ' END || {_and("names")} || '.', 'high', array_to_string(list_transform(names, lambda n: 'table:' || n || '|' || sha256(n) || '|table ' || n), ';') FROM t
+UNION ALL SELECT model, 'F-' || {_hash("'gap'", "model", "feature")}, 'functional', 'gaps', 'The ' || n || ' ' || feature || ' of this model are not covered (no rule) and have to be specified elsewhere.', 'low', '' FROM (SELECT source AS model, lang || ' texts' AS feature, count(*) AS n FROM documents GROUP BY 1, 2)"""
+
+
+@query("c_requirement_rules", RULES_SQL)
+def c_requirement_rules(spark, d):
+    found = rules.derive(_definitions(spark, d))
+    rests = F.array_join(F.transform("evidence", lambda e: F.concat_ws("|", e["node"], e["fingerprint"], e["detail"])), ";")
+    return found.withColumn("evidence", rests)
+
+
 @query("c_corroboration", """SELECT backing, count(*)::BIGINT AS n FROM (SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'shown' WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'read' ELSE 'nothing' END AS backing FROM documents) GROUP BY 1""")
 def c_corroboration(spark, d):
     marks = table(spark, d, "labels").withColumnRenamed("doc_id", "id")

@@ -91,7 +91,7 @@ def w_latest_per_key(spark, d):
 
 @query("w_rank_abs", "SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY abs(c_acctbal) DESC, c_custkey)::BIGINT AS rank FROM customer")
 def w_rank_abs(spark, d):
-    return table(spark, d, "customer").select("c_nationkey", "c_custkey", shape.rank_abs(F.col("c_acctbal"), F.col("c_custkey"), ["c_nationkey"]).cast("long").alias("rank"))
+    return shape.ranked_by_size(table(spark, d, "customer"), "c_acctbal", "c_custkey", ["c_nationkey"]).select("c_nationkey", "c_custkey", "rank")
 
 
 @query("w_share", f"WITH b AS ({BRANDS}) SELECT p_brand, round(v / sum(v) OVER (), 6) AS share FROM b")

@@ -116,6 +116,16 @@ def f_brief(spark, d):
     return table(spark, d, "orders").select("o_orderkey", formats.brief(F.col("o_totalprice")).alias("shown"))
 
 
+@query("f_no_numbers", """WITH v AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE WHEN 3 THEN NULL WHEN 4 THEN (o_orderkey % 50 + 1) * 1e20::DOUBLE WHEN 5 THEN -2.5::DOUBLE ELSE 1250.0::DOUBLE END AS x FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 4 THEN format('{:,.1f}', x) WHEN o_orderkey % 7 = 5 THEN '-2.5' WHEN o_orderkey % 7 = 6 THEN '1,250.0' END AS shown,
+CASE WHEN o_orderkey % 7 = 4 THEN printf('%.1f', round(x / 1e9, 1)) || 'B' WHEN o_orderkey % 7 = 5 THEN '-2.5' WHEN o_orderkey % 7 = 6 THEN '1.3K' END AS small FROM v""")
+def f_no_numbers(spark, d):
+    """Figures that are no numbers, infinite, missing or beyond a decimal's reach: a text or nothing."""
+    k = F.col("o_orderkey") % 7
+    x = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).when(k == 4, (F.col("o_orderkey") % 50 + 1) * 1e20).when(k == 5, -2.5).when(k == 6, 1250.0)
+    return table(spark, d, "orders").select("o_orderkey", formats.render(x, "#,0.0").alias("shown"), formats.brief(x).alias("small"))
+
+
 @query("f_canonical", r"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '("(?:[^"]|"")*"|''(?:[^'']|'''')*''|\[[^\]]*\]|//[^\n]*|--[^\n]*|/\*[\s\S]*?\*/|[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|[\p{L}_][\p{L}\p{N}_.]*|<>|<=|>=|&&|\|\||\S)', 1) AS w FROM documents),
 k AS (SELECT doc_id, list_filter(w, lambda x: NOT regexp_full_match(x, '//[^\n]*|--[^\n]*|/\*[\s\S]*?\*/')) AS w FROM t)
 SELECT doc_id, sha256(array_to_string(list_transform(w, lambda x: CASE WHEN starts_with(x, '"') THEN x WHEN regexp_full_match(x, '[0-9]+(\.[0-9]+)?')

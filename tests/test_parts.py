@@ -207,3 +207,48 @@ def test_medians(spark):
     rows = rows.union(spark.createDataFrame([(10, 1.5), (11, None), (12, 1.0), (12, 4.0)], "g long, v double"))
     found = {r["g"]: r["median"] for r in shape.medians(rows, ["g"], "v").collect()}
     assert found == {r["g"]: r["m"] for r in rows.groupBy("g").agg(F.median("v").alias("m")).collect()} and len(found) == 8
+
+
+@pytest.mark.parametrize("value", [float("nan"), float("inf"), float("-inf")])
+def test_no_numbers(spark, value):
+    for picture in ("0%", "#,0.00", r"\$#,0;(#,0);zero", "0.0##"):
+        assert one(spark, formats.render(F.col("v"), picture), v=value) is None and one(spark, formats.compact(F.col("v"), picture), v=value) is None
+    assert one(spark, formats.brief(F.col("v")), v=value) is None
+
+
+@pytest.mark.parametrize("value", [1e20, -1e30, 1.7e308, 5e-324, -1e-310, 99999999999999990000.0, 1e37])
+def test_extreme_numbers(spark, value):
+    for picture in ("0%", "#,0.00", "0.0##", "0"):
+        shown = one(spark, formats.render(F.col("v"), picture), v=value)
+        assert float(shown.replace(",", "").replace("%", "")) == pytest.approx(value * (100 if "%" in picture else 1), abs=0.01) or value > 1e306
+    assert one(spark, formats.brief(F.col("v")), v=value)
+
+
+@pytest.mark.parametrize("down", [True, False])
+def test_fill_over_ranges(spark, down):
+    """One group over many ranges, long stretches without values, groups of one row, a group of nulls, and none at all."""
+    rng = random.Random(2)
+    rows = [(g, i, (None if rng.random() < 0.9 or i in range(100, 400) else f"{g}:{i}")) for g, n in (("a", 600), ("b", 1), (None, 40), ("c", 30)) for i in range(n)]
+    rows = [(g, i, None if g == "c" else v) for g, i, v in rows]
+    frame = spark.createDataFrame(rows, "g string, i int, v string")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = steps.ranged(frame, ["g", "i"]).filter("g = 'a'").select("_part").distinct().count()
+        got = {(r["g"], r["i"]): r["v"] for r in steps.fill(frame, "v", ["g"], ["i"], down).collect()}
+        alone = {r["i"]: r["v"] for r in steps.fill(frame.filter("g = 'a'"), "v", [], ["i"], down).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, last = {}, {}
+    for g, i, v in sorted(rows, key=lambda r: r[1], reverse=not down):
+        last[g] = v if v is not None else last.get(g)
+        want[g, i] = last[g]
+    assert parts > 8 and got == want and alone == {i: v for (g, i), v in want.items() if g == "a"}
+
+
+def test_indexes_within_groups(spark):
+    rows = [(g, i * 37 % 101) for g, n in (("a", 80), (None, 5), ("b", 1)) for i in range(n)]
+    got = steps.add_index_within(spark.createDataFrame(rows, "g string, x int"), ["g"], [F.desc("x")], "nth", start=1).collect()
+    want = {(g, x): sorted((y for h, y in rows if h == g), reverse=True).index(x) + 1 for g, x in rows}
+    assert {(r["g"], r["x"]): r["nth"] for r in got} == want
