@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ...sources import stores
+
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(id, kind, status, old_fingerprint, new_fingerprint) of objects (id, kind, fingerprint)."""
@@ -16,6 +18,11 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "id", "full").select("id", F.coalesce("_kb", "_ka").alias("kind"), status.alias("status"), "old_fingerprint", "new_fingerprint")
 
 
+def changes_between(spark: SparkSession, path: str, old: str, new: str) -> DataFrame:
+    """What `diff` says of two digested snapshots, without what is unchanged: only buckets whose digests differ are read."""
+    return diff(*stores.digested_sides(spark, path, old, new)).filter("status <> 'unchanged'")
+
+
 def renames(changes: DataFrame) -> DataFrame:
     """(old_id, new_id, kind): a removed and an added object of one kind and fingerprint, each the only one on its side."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fingerprint
 from ..plans.catalog import drift, graph, listing, reconcile, requirements, rules, search
 from ..plans.model import Measure
+from ..sources import stores
 from ..sources.staging import new_path
 from ._base import RELATIONSHIPS, query, retail, table
 
@@ -57,6 +58,15 @@ def c_drift_diff(spark, d):
     return _diff(spark, d).select("id", "kind", "status")
 
 
+@query("c_drift_digests", f"WITH {OBJ} SELECT id, kind, status, old_fp AS old_fingerprint, new_fp AS new_fingerprint FROM diff WHERE status <> 'unchanged'")
+def c_drift_digests(spark, d):
+    """Two stored snapshots compared by the digests of their buckets first."""
+    path = new_path(spark, "digested")
+    for label, side in (("before", before(spark, d)), ("after", after(spark, d))):
+        stores.save_digested(side.select("id", "kind", "fingerprint"), path, label)
+    return drift.changes_between(spark, path, "before", "after")
+
+
 @query("c_rename", f"WITH {OBJ} SELECT * FROM renamed")
 def c_rename(spark, d):
     return drift.renames(_diff(spark, d))
