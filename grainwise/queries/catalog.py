@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint
-from ..plans.catalog import drift, graph, listing, reconcile, requirements, rules, search
+from ..plans.catalog import drift, evaluable, graph, listing, reconcile, requirements, rules, search
 from ..plans.model import Measure
 from ..sources import stores
 from ..sources.staging import new_path
@@ -375,6 +375,40 @@ def c_requirement_rules(spark, d):
     return found.withColumn("evidence", rests)
 
 
+@query("d_status_of_models", """WITH RECURSIVE d AS (SELECT (doc_id // 16)::VARCHAR AS model, doc_id AS i, 'm' || doc_id AS name, CASE doc_id % 8 WHEN 0 THEN lang WHEN 6 THEN 'nowhere' END AS base, CASE doc_id % 8 WHEN 1 THEN [i - 1] WHEN 2 THEN [i - 1, i - 2] WHEN 3 THEN [i + 1] WHEN 4 THEN [i - 1] WHEN 7 THEN [i + 1] ELSE [] END AS ins FROM (SELECT *, doc_id AS i FROM documents)),
+e AS (SELECT model, name AS src, 'm' || unnest(ins) AS dst FROM d), r AS (SELECT model, name AS start, name AS at FROM d UNION SELECT r.model, r.start, e.dst FROM r JOIN e ON e.model = r.model AND e.src = r.at),
+l AS (SELECT DISTINCT r.model, r.start AS name FROM r JOIN e ON e.model = r.model AND e.src = r.at AND e.dst = r.start),
+f AS (SELECT r.model, r.start, bool_or(l.name IS NOT NULL) AS cycle, bool_or(d.name IS NULL) AS no_measure, bool_or(d.base = 'nowhere') AS no_table, bool_or(d.base IS NULL AND len(d.ins) = 0) AS constant FROM r LEFT JOIN d ON d.model = r.model AND d.name = r.at LEFT JOIN l ON l.model = r.model AND l.name = r.at GROUP BY 1, 2),
+c AS (SELECT model, start AS measure, CASE WHEN cycle THEN 'cycle' WHEN no_measure THEN 'measure' WHEN coalesce(no_table, false) THEN 'table' WHEN coalesce(constant, false) THEN 'constant' END AS construct FROM f)
+SELECT model, measure, CASE WHEN construct IS NULL THEN 'EXACT' WHEN construct = 'constant' THEN 'UNSUPPORTED' ELSE 'BLOCKED' END AS status, construct FROM c""")
+def d_status_of_models(spark, d):
+    """Documents as measures of many small models, made of their neighbours; some in cycles, some of what isn't there."""
+    docs, i = table(spark, d, "documents"), F.col("doc_id")
+    model = F.floor(i / 16).cast("string").alias("model")
+    k, at = i % 8, lambda n: F.concat(F.lit("m"), i + n)
+    inputs = F.when(k.isin(1, 4), F.array(at(-1))).when(k == 2, F.array(at(-1), at(-2))).when(k.isin(3, 7), F.array(at(1))).otherwise(F.array().cast("array<string>"))
+    measures = docs.select(model, at(0).alias("name"), F.when(k == 0, F.col("lang")).when(k == 6, "nowhere").alias("base"), inputs.alias("inputs"))
+    return evaluable.statuses(measures, docs.select(model, F.col("lang").alias("name")))
+
+
+@query("d_grains_of_models", """WITH m AS (SELECT DISTINCT source AS model, lang FROM documents), x AS (SELECT n_nationkey AS k, n_name AS t, n_regionkey AS r FROM nation),
+c AS (SELECT model, lang || ':' || t AS tab, t || '_name' AS name FROM m, x UNION ALL SELECT model, lang || ':' || r_name, r_name || '_text' FROM m, region)
+SELECT m.model, lang || ':' || x.t AS base, c.tab AS "table", c.name AS "column" FROM m, x JOIN region ON x.r = r_regionkey JOIN c ON c.tab IN (lang || ':' || x.t, lang || ':' || r_name) WHERE c.model = m.model""")
+def d_grains_of_models(spark, d):
+    """Models with a fact for each nation, which leads to its region; names are options, keys, ids and amounts are not."""
+    models = table(spark, d, "documents").select(F.col("source").alias("model"), "lang").distinct()
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    own = models.join(F.broadcast(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")), F.lit(True))  # 25 rows
+    one, many = F.concat_ws(":", "lang", "r_name"), F.concat_ws(":", "lang", "n_name")
+    column = lambda tab, name, kind: own.select("model", tab.alias("table"), name.alias("name"), F.lit(kind).alias("data_type")).distinct()
+    columns = graph.union([
+        column(many, F.concat("n_name", F.lit("_name")), "string"), column(many, F.concat("n_name", F.lit("_id")), "string"), column(many, F.lit("region"), "string"), column(many, F.lit("amount"), "double"),
+        column(one, F.concat("r_name", F.lit("_text")), "string"), column(one, F.lit("region"), "string"),
+    ])
+    ways = own.select("model", many.alias("from_table"), F.lit("region").alias("from_column"), one.alias("to_table"), F.lit("region").alias("to_column"), F.lit(True).alias("active"))
+    return evaluable.grain_options(columns, ways, own.select("model", many.alias("base")))
+
+
 @query("c_corroboration", """SELECT backing, count(*)::BIGINT AS n FROM (SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'shown' WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'read' ELSE 'nothing' END AS backing FROM documents) GROUP BY 1""")
 def c_corroboration(spark, d):
     marks = table(spark, d, "labels").withColumnRenamed("doc_id", "id")

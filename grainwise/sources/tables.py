@@ -46,16 +46,19 @@ def tolerant_json(rows: DataFrame, column: str, schema: str, required: Sequence[
 def profile(table: DataFrame, columns: Sequence[str], exact_upto: int | None = None) -> DataFrame:
     """(column_name, n_distinct, sample) of the columns; the sample is the least value.
 
-    An exact count of distinct values sends every one of them through a shuffle. With exact_upto, one pass estimates all
-    counts, and only columns that may have so many values at most are counted; others keep their estimate, which is above it.
+    An exact count of distinct values sends every one of them through a shuffle. With exact_upto, one pass keeps an estimate
+    and a sketch of the most frequent values for each column, both of bounded size: a column of so many values at most has
+    all of them in the sketch and is counted exactly; others have the estimate, or one more than exact_upto, whichever is more.
     """
-    exact = list(columns)
-    if exact_upto is not None:
-        # The estimate is within a few hundredths; twice the bound leaves none out.
-        rough = table.agg(*[F.approx_count_distinct(c, 0.02).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-        exact = [c for i, c in enumerate(columns) if rough[i] <= 2 * exact_upto]
-    n = lambda i, c: F.count_distinct(c) if c in exact else F.lit(rough[i]).cast("long")
-    aggs = [x for i, c in enumerate(columns) for x in (n(i, c).alias(f"n:{c}"), F.min(c).cast("string").alias(f"s:{c}"))]
+    if exact_upto is None:
+        n = lambda c: F.count_distinct(c)
+    else:
+        kept = 1 << (2 * exact_upto).bit_length()  # the sketch is exact up to three quarters of this
+        few = lambda c: F.size(F.filter(F.call_function("approx_top_k", F.col(c), F.lit(exact_upto + 2), F.lit(kept)), lambda x: x["item"].isNotNull()))
+        rough = lambda c: F.approx_count_distinct(c, 0.02)
+        # Estimates of so few values are within a few hundredths.
+        n = lambda c: F.when(rough(c) <= exact_upto + exact_upto // 4, few(c)).otherwise(F.greatest(rough(c), F.lit(exact_upto + 1))).cast("long")
+    aggs = [x for c in columns for x in (n(c).alias(f"n:{c}"), F.min(c).cast("string").alias(f"s:{c}"))]
     whole = table.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`n:{c}`").alias("n_distinct"), F.col(f"`s:{c}`").alias("sample")) for c in columns])
     return whole.select(F.inline(rows))

@@ -252,3 +252,10 @@ def test_indexes_within_groups(spark):
     got = steps.add_index_within(spark.createDataFrame(rows, "g string, x int"), ["g"], [F.desc("x")], "nth", start=1).collect()
     want = {(g, x): sorted((y for h, y in rows if h == g), reverse=True).index(x) + 1 for g, x in rows}
     assert {(r["g"], r["x"]): r["nth"] for r in got} == want
+
+
+def test_profile_of_few_values(spark):
+    """Counts up to the bound are exact, nulls aside; beyond it they are above it."""
+    df = spark.range(20_000).selectExpr("id % 30 AS a", "id % 31 AS b", "id % 45 AS c", "id AS d", "IF(id % 3 = 0, NULL, id % 5) AS e", "concat('x', id % 30) AS f", "CAST(NULL AS STRING) AS g", "id % 2 = 0 AS h", "IF(id % 7 = 0, NULL, id % 30) AS i")
+    found = {r["column_name"]: r["n_distinct"] for r in tables.profile(df, df.columns, 30).collect()}
+    assert {c: n for c, n in found.items() if n <= 30} == {"a": 30, "e": 5, "f": 30, "g": 0, "h": 2, "i": 30} and found["b"] >= 31 and found["d"] > 18_000
