@@ -69,11 +69,12 @@ def parallel(n: int, unit: str) -> Span:
 
 @dataclass(frozen=True)
 class States:
-    """Aggregates of a period that can be merged over several: parts of the rows kept, the aggregate that merges each, and the figure made of the merged ones."""
+    """Aggregates of a period that can be merged over several: parts of the rows kept, the aggregate that merges each, the figure made of the merged ones, and the figure over no rows."""
 
     parts: Callable[[Callable], Sequence[Column]]
     merge: Sequence[Callable[[Column], Column]]
     finish: Callable[..., Column] = lambda x: x
+    nothing: int | None = None
 
 
 def periods_in(unit: str, period: str) -> int | None:

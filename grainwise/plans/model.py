@@ -80,7 +80,7 @@ def total(name: str, base: str, value: Callable[[], Column], **more) -> Measure:
 def row_count(name: str, base: str, condition: Callable[[], Column] | None = None, **more) -> Measure:
     """A count of rows, of those that meet a condition if there is one, that can run over periods."""
     own = lambda keep: keep & condition() if condition else keep
-    return Measure(name, base, lambda keep: own(keep).rows(), states=States(lambda keep: [own(keep).rows()], [F.sum]), **more)
+    return Measure(name, base, lambda keep: own(keep).rows(), states=States(lambda keep: [own(keep).rows()], [F.sum], nothing=0), **more)
 
 
 def mean(name: str, base: str, value: Callable[[], Column], **more) -> Measure:

@@ -9,8 +9,10 @@ from ..functions.names import is_id_like
 from ..operators import shape
 from ..plans import contexts as ctx
 from ..plans import dashboard as dash
+from ..plans import stored
 from ..plans.model import Measure, Model, Relationship, as_rows, distinct_count, mean
-from ._base import FROM_LINES, money, query, retail, table
+from ..sources.staging import new_path
+from ._base import FROM_LINES, SQL, money, query, retail, table
 
 REV = "sum(l_extendedprice * (1 - l_discount))"
 MONTHLY = f"SELECT date_trunc('month', o_orderdate)::DATE AS period, {REV} AS revenue FROM {FROM_LINES} GROUP BY 1"
@@ -205,6 +207,26 @@ def d_dashboard(spark, d):
     return board.select("by", "label", "folded", "value", "is_filter")
 
 
+_BOARD = SQL["d_dashboard"]
+
+
+@query("d_dashboard_stored", _BOARD)
+def d_dashboard_stored(spark, d):
+    """The same board from aggregates that were stored by year; it reads no fact table."""
+    m = retail(spark, d)
+    kept = stored.store(m, ["lines", "return_rate"], ["region.r_name", "part.p_brand", "orders.o_orderstatus"], new_path(spark, "stored"), "year")
+    board = kept.dashboard("lines", ["region.r_name", "part.p_brand", "orders.o_orderstatus"], {"region.r_name": "ASIA"}, 1997)
+    return board.select("by", "label", "folded", "value", "is_filter")
+
+
+@dated("d_stored_figures", f"SELECT date_trunc('quarter', o_orderdate)::DATE AS period, r_name, round({REV}, 4) AS revenue, round(count(*) FILTER (WHERE l_returnflag = 'R') / count(*), 6) AS return_rate FROM {FROM_LINES} WHERE year(o_orderdate) = 1998 GROUP BY 1, 2")
+def d_stored_figures(spark, d):
+    """A ratio and a sum by region and quarter, from months that were stored by region and brand."""
+    kept = stored.store(retail(spark, d), ["revenue", "return_rate"], ["region.r_name", "part.p_brand"], new_path(spark, "stored"), "month")
+    found = _dated(kept.evaluate(["revenue", "return_rate"], ["region.r_name"], "quarter", 1998))
+    return found.select("period", "r_name", *money("revenue"), F.round("return_rate", 6).alias("return_rate"))
+
+
 @dated("d_sparklines", f"""WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS period, round(sum(l_quantity), 4) AS quantity, count(*)::DOUBLE AS lines FROM {FROM_LINES} GROUP BY 1),
 u AS (UNPIVOT m ON quantity, lines INTO NAME measure VALUE value) SELECT measure, period, value FROM u QUALIFY row_number() OVER (PARTITION BY measure ORDER BY period DESC) <= 40""")
 def d_sparklines(spark, d):
