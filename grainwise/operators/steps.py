@@ -51,7 +51,10 @@ def same_group(by: Sequence[str]) -> Column:
 
 
 def nested_join(left: DataFrame, right: DataFrame, on: Column, key: Sequence[str], name: str) -> DataFrame:
-    """left with the matching rows of right as an array column; none give an empty array."""
+    """left with the matching rows of right as an array column; none give an empty array.
+
+    An array has all partners of one key in one row, so it is for keys of some thousands at most; join and keep rows beyond.
+    """
     picked = [c for c in right.columns]
     rows = left.join(right, on, "left")
     present = F.col(picked[0]).isNotNull()
