@@ -11,8 +11,9 @@ every link is confirmed on the whole shingle sets:
 3. In each group the shingle sets themselves are compared, and links of SIMILAR or more are given as a spanning forest.
 
 A pair of similarity 0.8 is missed with a probability of (1 - 0.8**4)**40 = 7e-10 in step 1 and of 2e-9 in step 2 if the hashes are independent, a
-more similar one with less; a link that is not one is never given. Meetings and groups above a chunk's size are cut into
-chunks that are compared chunk by chunk, so no task gets one whole.
+more similar one with less; a link that is not one is never given. Meetings and groups above a slice's size are cut, and
+what the slices join is contracted before the rest is compared (`_linked`), so no task gets one whole, and a family of
+n copies costs n rows and not its pairs.
 
 Words, folding and defined cases are those of `simhash`; texts under five words have one shingle, and wordless texts are
 copies of each other.
@@ -36,7 +37,9 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 40, 4
 #: Equal least hashes, of BANDS * ROWS, from which sets are compared in full.
 LIKELY = 96
+#: Rows of a slice or chunk, of a meeting (bytes of least hashes) and of a group (whole texts).
 MEETING, GROUP = 2048, 256
+PIVOTS = 4
 
 _rng = np.random.default_rng(20250102)
 _TIMES = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -205,20 +208,51 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _by_group(batches, made, similar)
 
 
-def _dealt(rows: DataFrame, n_col: str, most: int) -> DataFrame:
-    """rows (key, s) with their part: with c chunks, a row goes out once for each chunk, c = n / most."""
-    chunks = F.ceil(F.col(n_col) / most).cast("int")
-    own = F.pmod(F.xxhash64("s", F.lit(2)), "chunks").cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: (F.least(x, F.col("own")) * F.col("chunks") + F.greatest(x, F.col("own"))).cast("long"))
-    return rows.withColumn("chunks", chunks).withColumn("own", own).select("key", F.explode(parts).alias("part"), "s")
-
-
 def _compared(dealt: DataFrame, content: DataFrame, run) -> DataFrame:
     """Edges that run finds in the parts of dealt, with each row's content (s, value)."""
     rows = dealt.join(content, "s").select("key", "part", "s", "value")
     return rows.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "s").mapInArrow(run, "a long, b long").distinct()
 
 
+def _linked(rows: DataFrame, content: DataFrame, run, most: int, name: str) -> DataFrame:
+    """Edges that join what run links among rows (key, s) of one key, each row having its content (s, value).
+
+    A key of more than `most` rows is cut into slices, and PIVOTS of its rows are in each slice, so that a family of copies
+    is joined over all slices for its own rows alone. Rows that are joined so are one component: what is left to compare are
+    the rows outside a key's largest component, chunk by chunk, with each other and with the largest one. If r of n rows lie
+    outside, this sends n * r / most rows, and none where r is 0.
+    """
+    large = rows.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*(F.min_by("s", F.xxhash64("s", F.lit(i))) for i in range(PIVOTS)))).alias("pivots"))
+    large = staged(large.filter(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("slices"), "pivots"), f"{name}-large")
+    some_large = not large.isEmpty()
+    dealt = rows.withColumn("part", F.lit(0).cast("long"))
+    if some_large:
+        part = F.coalesce(F.pmod(F.xxhash64("s", F.lit(2)), "slices"), F.lit(0)).cast("long")
+        dealt = rows.join(large, "key", "left").filter(F.col("pivots").isNull() | ~F.array_contains("pivots", F.col("s"))).select("key", part.alias("part"), "s")
+        everywhere = large.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices").cast("long") - 1)).alias("part"), "pivots")
+        dealt = dealt.unionByName(everywhere.select("key", "part", F.explode("pivots").alias("s")))
+    edges = _compared(dealt, content, run)
+    if not some_large:
+        return edges
+    edges = staged(edges, f"{name}-slices")
+    roots = components(edges, f"{name}-joined")
+    sides = rows.join(large.select("key"), "key").join(roots, F.col("s") == F.col("node"), "left").select("key", "s", F.coalesce("root", "s").alias("root"))
+    sides = staged(sides, f"{name}-sides")
+    heaviest = F.max_by("root", F.struct("m", "root")).alias("main")
+    main = sides.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(heaviest, F.sum("m").alias("n"), F.max("m").alias("m")).filter("n > m")
+    chunks = lambda rows: F.ceil(rows / most).cast("int")
+    left = sides.join(main.select("key", "main", chunks(F.col("n") - F.col("m")).alias("outs"), chunks(F.col("m")).alias("ins")), "key").withColumn("inside", F.col("root") == F.col("main"))
+    left = left.withColumn("own", F.pmod(F.xxhash64("s", F.lit(3)), F.when(F.col("inside"), F.col("ins")).otherwise(F.col("outs"))).cast("int"))
+    own, outs, ins = F.col("own"), F.col("outs"), F.col("ins")
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    # Parts of two chunks outside are numbered from 0 up, those of one outside and one inside from -1 down.
+    across = lambda out, inside: (-1 - out.cast("long") * ins - inside).cast("long")
+    with_main = F.when(F.col("inside"), F.transform(each(outs), lambda x: across(x, own))).otherwise(F.transform(each(ins), lambda x: across(own, x)))
+    outside = F.transform(each(outs), lambda x: F.least(x, own).cast("long") * outs + F.greatest(x, own))
+    parts = F.when(F.col("inside"), with_main).otherwise(F.concat(with_main, outside))
+    return edges.unionByName(_compared(left.select("key", F.explode(parts).alias("part"), "s"), content, run))
+
+
 def _near_fingerprints(made: DataFrame) -> DataFrame:
     """Edges (a, b) between sets of equal fingerprints, and between one set each of linked ones."""
     sets = made.filter("s <> 0").select("s", "fp").distinct()
@@ -237,16 +271,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = made.select(F.explode("bands").alias("key"), "s")
     busy = met.groupBy("key").agg(F.min("s").alias("least"), F.max("s").alias("most")).filter("least < most").select("key")
     meetings = staged(met.join(busy, "key").distinct(), "near-meetings")
-    sizes = meetings.groupBy("key").agg(F.count("*").alias("n"))
     candidates = meetings.select("s").distinct()
     sketches = made.join(candidates, "s", "left_semi").groupBy("s").agg(F.min("sketch").alias("value"))
-    alike = _compared(_dealt(meetings.join(sizes, "key"), "n", MEETING), sketches, _likely).unionByName(_near_fingerprints(made))
+    alike = _linked(meetings, sketches, _likely, MEETING, "near-met").unionByName(_near_fingerprints(made))
     groups = staged(components(alike, "near-likely").select(F.col("node").alias("s"), F.col("root").alias("key")), "near-groups")
-    members = groups.groupBy("key").agg(F.count("*").alias("n"))
     one = made.join(groups.select("s"), "s", "left_semi").groupBy("s").agg(F.min("k").alias("k"))
     # Wholly equal rows share a key: one text of each is enough.
     texts = rows.join(one, "k").select("s", "k", F.col("text").alias("value")).dropDuplicates(["s"]).select("s", "value")
-    roots = components(_compared(_dealt(groups.join(members, "key"), "n", GROUP), texts, _similar), "near-cc")
+    roots = components(_linked(groups, texts, _similar, GROUP, "near-group"), "near-cc")
     return made.select("doc_id", "k", "s").join(roots, F.col("s") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "s").alias("root"))
 
 

@@ -76,6 +76,47 @@ def test_chunks(spark, size, monkeypatch):
     assert sorted(r["doc_id"] for r in near_copies.keep_one(df).collect()) == kept_by_force(rows)
 
 
+def family(n, seed, shared=0.0, changes=(1, 2, 3, 6)):
+    """n near copies of one text of 300 words; a share of its words is that of every family."""
+    rng, common = random.Random(seed), random.Random(0)
+    w = [f"c{common.randrange(5000)}" if i < shared * 300 else f"f{rng.randrange(5000)}" for i in range(300)]
+    out = []
+    for _ in range(n):
+        c = list(w)
+        for i in rng.sample(range(300), rng.choice(changes)):
+            c[i] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(c))
+    return out
+
+
+def test_families_in_slices(spark, monkeypatch):
+    """Families that meet each other, above a slice's size: the same as by brute force, whatever lies outside the largest."""
+    monkeypatch.setattr(near_copies, "MEETING", 16)
+    monkeypatch.setattr(near_copies, "GROUP", 8)
+    texts = family(60, 1, 0.8) + family(25, 2, 0.8) + family(3, 3, 0.8) + family(20, 4)
+    random.Random(9).shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(df).collect()) == kept_by_force(rows)
+
+
+def test_family_costs_its_rows(spark, monkeypatch):
+    """Of one large family, each text goes out about once, not once for each chunk of the others."""
+    sent = []
+    compared = near_copies._compared
+
+    def counted(dealt, content, run):
+        if run is near_copies._similar:
+            sent.append(dealt.count())
+        return compared(dealt, content, run)
+
+    monkeypatch.setattr(near_copies, "_compared", counted)
+    monkeypatch.setattr(near_copies, "GROUP", 32)
+    df = spark.createDataFrame(list(enumerate(family(1200, 1, changes=(1, 2, 3)))), "doc_id long, text string")
+    assert near_copies.keep_one(df).count() == 1
+    assert 1200 * 0.9 < sum(sent) < 1200 * 1.2
+
+
 def test_odd_rows(odd, none):
     rows = {(r["doc_id"], r["text"]) for r in odd.collect()}
     found = [(r["doc_id"], r["text"]) for r in near_copies.keep_one(odd).collect()]
