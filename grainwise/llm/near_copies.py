@@ -222,11 +222,13 @@ def _linked(rows: DataFrame, content: DataFrame, run, most: int, name: str) -> D
     the rows outside a key's largest component, chunk by chunk, with each other and with the largest one. If r of n rows lie
     outside, this sends n * r / most rows, and none where r is 0.
     """
-    large = rows.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*(F.min_by("s", F.xxhash64("s", F.lit(i))) for i in range(PIVOTS)))).alias("pivots"))
-    large = staged(large.filter(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("slices"), "pivots"), f"{name}-large")
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("slices"))
+    large = staged(large, f"{name}-large")
     some_large = not large.isEmpty()
     dealt = rows.withColumn("part", F.lit(0).cast("long"))
     if some_large:
+        pivots = F.array_distinct(F.array(*(F.min_by("s", F.xxhash64("s", F.lit(i))) for i in range(PIVOTS))))
+        large = staged(rows.join(large, "key").groupBy("key", "slices").agg(pivots.alias("pivots")), f"{name}-pivots")
         part = F.coalesce(F.pmod(F.xxhash64("s", F.lit(2)), "slices"), F.lit(0)).cast("long")
         dealt = rows.join(large, "key", "left").filter(F.col("pivots").isNull() | ~F.array_contains("pivots", F.col("s"))).select("key", part.alias("part"), "s")
         everywhere = large.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices").cast("long") - 1)).alias("part"), "pivots")
