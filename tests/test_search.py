@@ -1,5 +1,7 @@
 """The stored index against a scan of all texts."""
 
+import time
+
 import pytest
 
 from grainwise.plans.catalog import search
@@ -66,3 +68,13 @@ def test_candidates_are_few(spark, objects, index):
     assert {(r["asked"], r["field"], r["id"]) for r in search.candidates(index, asked).collect()} == {("needle", "expression", "8"), ("net sales", "name", "1"), ("net sales", "expression", "3")}
     empty = search.write_index(objects.limit(0), index + "-empty")
     assert search.search_many(empty, objects, asked, KINDS).count() == 0
+
+
+def test_long_text(spark, tmp_path):
+    """The work for a text grows with its length: a million characters are indexed in seconds, where a search for each place from the text's start took minutes."""
+    text = "abcdefghij" * 100_000 + "needle é😀"
+    objects = spark.createDataFrame([("1", "table", "long", text)], "id string, kind string, name string, expression string")
+    began = time.perf_counter()
+    found = search.find_many(search.write_index(objects, str(tmp_path / "long")), objects, spark.createDataFrame([("NEEDLE",), ("j",), ("é😀",), ("ééé",)], "asked string"))
+    assert sorted(map(tuple, found.collect())) == [("NEEDLE", "table", 1, 1), ("j", "table", 1, 100_000), ("é😀", "table", 1, 1)]
+    assert time.perf_counter() - began < 60
