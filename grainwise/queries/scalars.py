@@ -107,7 +107,7 @@ def f_format(spark, d):
 @query("f_compact", """WITH v AS (SELECT c_custkey, sum(o_totalprice) AS x FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1)
 SELECT c_custkey, CASE WHEN x >= 1e9 THEN '$' || format('{:,.2f}', x / 1e9) || 'B' WHEN x >= 1e6 THEN '$' || format('{:,.2f}', x / 1e6) || 'M' ELSE '$' || format('{:,.0f}', round(x)) END AS shown FROM v""")
 def f_compact(spark, d):
-    rows = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey").agg(F.sum("o_totalprice").alias("x"))
+    rows = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey").agg(formats.exact_sum(F.col("o_totalprice")).alias("x"))
     return rows.select("c_custkey", formats.compact(F.col("x"), r"\$#,0").alias("shown"))
 
 

@@ -1,6 +1,7 @@
 """Sources, formats, names and load steps on small fixtures."""
 
 import random
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +32,17 @@ def test_compact(spark, value, shown):
     assert one(spark, formats.compact(F.col("v"), r"\$#,0"), v=value) == shown
 
 
+def test_exact_sum(spark):
+    """A sum that ends in a half is rounded up in whatever order its figures come; sums of no numbers stay so."""
+    orders = list(permutations([343828.36, 218758.4, 49553.65, 245439.09]))
+    rows = [(k, v) for k, some in enumerate(orders) for v in some] + [(98, float("nan")), (98, 1.0), (99, None), (97, 1e300), (97, None)]
+    summed = spark.createDataFrame(rows, "k int, v double").coalesce(1).groupBy("k").agg(formats.exact_sum(F.col("v")).alias("x"), F.sum("v").alias("plain"))
+    got = {r.k: (r.x, r.shown, r.plain) for r in summed.withColumn("shown", formats.compact(F.col("x"), r"\$#,0")).collect()}
+    assert {got[k][:2] for k in range(len(orders))} == {(857579.5, "$857,580")}
+    assert {got[k][2] for k in range(len(orders))} > {857579.5}
+    assert got[98][0] != got[98][0] and got[99][0] is None and got[97][0] == 1e300
+
+
 @pytest.mark.parametrize("value, shown", [(0.0, "0"), (1.5e9, "1.5B"), (2.25e6, "2.3M"), (1500.0, "1.5K"), (12.34, "12.3"), (7.0, "7"), (0.01234, "0.012")])
 def test_brief(spark, value, shown):
     assert one(spark, formats.brief(F.col("v")), v=value) == shown
