@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import numeric_order
+from ..sources.staging import staged
 from .steps import add_index, add_index_within
 
 
@@ -84,6 +85,8 @@ def medians(rows: DataFrame, by: Sequence[str], value: str, name: str = "median"
     """
     near = F.percentile_approx(value, [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy)
     ends = rows.groupBy(*by).agg(F.count(value).alias("_n"), near.alias("_ends")).select(*[F.col(b).alias(f"_{b}") for b in by], "_n", F.col("_ends")[0].alias("_lo"), F.col("_ends")[1].alias("_hi"))
+    # Written, so that its size is known: of few groups, Spark broadcasts it, where it would otherwise deal all rows by group to as few tasks.
+    ends = staged(ends, "ends")
     same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])
     there = rows.select(*by, F.col(value).alias("_v")).join(ends, same).select(*by, "_v", "_n", "_lo", "_hi")
     middle = there.filter(F.col("_v").between(F.col("_lo"), F.col("_hi"))).groupBy(*by, "_v", "_n").agg(F.count("*").alias("_times"))

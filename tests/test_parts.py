@@ -271,3 +271,12 @@ def test_profile_of_few_values(spark):
     df = spark.range(20_000).selectExpr("id % 30 AS a", "id % 31 AS b", "id % 45 AS c", "id AS d", "IF(id % 3 = 0, NULL, id % 5) AS e", "concat('x', id % 30) AS f", "CAST(NULL AS STRING) AS g", "id % 2 = 0 AS h", "IF(id % 7 = 0, NULL, id % 30) AS i")
     found = {r["column_name"]: r["n_distinct"] for r in tables.profile(df, df.columns, 30).collect()}
     assert {c: n for c, n in found.items() if n <= 30} == {"a": 30, "e": 5, "f": 30, "g": 0, "h": 2, "i": 30} and found["b"] >= 31 and found["d"] > 18_000
+
+
+def test_medians_of_few_groups(spark):
+    """Rows of a few large groups are not dealt by group: no join sorts them, so a task's memory doesn't grow with a group."""
+    rows = spark.range(0, 1001, 1, 4).select((F.col("id") % 2).cast("string").alias("g"), F.col("id").cast("double").alias("v"))
+    found = shape.medians(rows, ["g"], "v")
+    assert {tuple(r) for r in found.collect()} == {("0", 500.0), ("1", 500.0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "percentile_approx" not in plan
