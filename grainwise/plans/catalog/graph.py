@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...sources.staging import discard, staged
+from ...sources.staging import discard, shuffle_tasks, staged
 
 
 #: Rounds that a closure goes step by step before it contracts what is left.
@@ -20,8 +20,10 @@ def union(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def build(nodes: Sequence[DataFrame], edges: Sequence[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges without repeats."""
-    return union(nodes).dropDuplicates(["id"]), union(edges).dropDuplicates(["src", "dst", "kind"])
+    """Nodes and edges without repeats. They are dealt by key first, to a stated number of tasks, which adaptive execution doesn't merge: few
+    repeat, so a task that reads would hold all it has read, and a merged one millions of keys."""
+    n = shuffle_tasks(nodes[0].sparkSession)
+    return union(nodes).repartition(n, "id").dropDuplicates(["id"]), union(edges).repartition(n, "src", "dst").dropDuplicates(["src", "dst", "kind"])
 
 
 def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:

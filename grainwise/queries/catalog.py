@@ -8,7 +8,7 @@ from ..functions.text import fingerprint
 from ..plans.catalog import drift, evaluable, graph, listing, reconcile, requirements, rules, search
 from ..plans.model import Measure
 from ..sources import stores
-from ..sources.staging import new_path
+from ..sources.staging import new_path, shuffle_tasks
 from ._base import RELATIONSHIPS, query, retail, table
 
 OBJ = """a AS (SELECT doc_id::VARCHAR AS id, lang AS kind, source || ' ' || doc_id AS name, text AS expression, sha256(text) AS fingerprint FROM documents),
@@ -118,7 +118,7 @@ def c_graph_build(spark, d):
 @query("s_graph_export", f"WITH {EDGES}, {NODES} SELECT 'node' AS what, id AS a, kind AS b FROM n UNION ALL SELECT 'edge', src, dst FROM e")
 def s_graph_export(spark, d):
     nodes, edges = keys_graph(spark, d)
-    return nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("kind").alias("b")).unionByName(edges.select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"))).orderBy("what", "a", "b")
+    return nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("kind").alias("b")).unionByName(edges.select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"))).repartitionByRange(shuffle_tasks(spark), "what", "a", "b").sortWithinPartitions("what", "a", "b")
 
 
 @query("c_dependencies", """SELECT 'region:' || n_regionkey AS start, count(DISTINCT n_nationkey)::BIGINT AS nations, count(DISTINCT c_custkey)::BIGINT AS customers, count(DISTINCT o_orderkey)::BIGINT AS orders, count(DISTINCT l_partkey)::BIGINT AS parts

@@ -28,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
+def shuffle_tasks(spark: SparkSession) -> int:
+    """The number of tasks that the session has set for a shuffle."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions", None) or spark.sparkContext.defaultParallelism)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -10,6 +10,7 @@ from grainwise.functions import dates, formats, names, text
 from grainwise.operators import filters, security, shape, steps
 from grainwise.plans import dashboard
 from grainwise.plans.catalog import drift, graph, reconcile, requirements
+from grainwise.queries import QUERIES
 from grainwise.sources import stores, tables
 
 
@@ -280,3 +281,13 @@ def test_medians_of_few_groups(spark):
     assert {tuple(r) for r in found.collect()} == {("0", 500.0), ("1", 500.0)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation" in plan and "percentile_approx" not in plan
+
+
+def test_graph_is_dealt_evenly(spark):
+    """Nodes and edges are told apart in as many tasks as the session says, whatever their size, and exported in order."""
+    edges = spark.range(2000).select((F.col("id") % 1000).cast("string").alias("src"), (F.col("id") % 500).cast("string").alias("dst"), F.lit("reads").alias("kind"))
+    nodes, found = graph.build([edges.select(F.col("src").alias("id"), "kind")], [edges])
+    assert nodes.count() == 1000 and found.count() == 1000
+    assert found.groupBy(F.spark_partition_id()).count().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = QUERIES["s_graph_export"](spark, "/root/testdata/sf0.001").collect()
+    assert rows == sorted(rows)
