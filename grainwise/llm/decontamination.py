@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import KEY, first_words, fresh, hash_words, mix, named, row_key, staged, text_steps, word_spans
+from ._common import KEY, first_words, fresh, hash_words, lean, mix, named, row_key, staged, text_steps, word_spans
 
 #: 1: the position counts; 0: it is ignored.
 MASKS = ("1101011", "1011101", "11001011", "10110011", "111011")
@@ -191,7 +191,7 @@ def _rows(out: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBat
 def text_overlaps(texts: DataFrame, items: DataFrame, bitmap_log2: int = BITMAP_LOG2) -> DataFrame:
     """One row for each distinct text (k, text) and item (item, text) with an overlap, by their keys."""
     spark = texts.sparkSession
-    prepared = staged(items.select("item", "text").dropDuplicates(["item"]).mapInArrow(_seeds, f"item {KEY}, words binary, h array<long>, at array<long>, masks array<string>"), "leak-items")
+    prepared = staged(items.select("item", "text").dropDuplicates(["item"]).mapInArrow(lean(_seeds), f"item {KEY}, words binary, h array<long>, at array<long>, masks array<string>"), "leak-items")
     seeds = staged(prepared.select("item", F.explode(F.arrays_zip("h", "at")).alias("s")).select("item", F.col("s.h").alias("h"), F.col("s.at").alias("item_at")), "leak-seeds")
     masks = [*MASKS, *sorted(r[0] for r in prepared.select(F.explode("masks")).distinct().collect())]  # at most 17 more
     bits_log2 = min(bitmap_log2, max(16, int(seeds.count() * 64).bit_length()))
@@ -200,7 +200,7 @@ def text_overlaps(texts: DataFrame, items: DataFrame, bitmap_log2: int = BITMAP_
     bitmap = np.zeros(1 << bits_log2, bool)
     bitmap[taken] = True
     known = spark.sparkContext.broadcast(np.packbits(bitmap, bitorder="little"))
-    hits = staged(texts.select("text", "k").mapInArrow(_hits(known, masks, bits_log2), f"k {KEY}, h long, at long"), "leak-hits")
+    hits = staged(texts.select("text", "k").mapInArrow(lean(_hits(known, masks, bits_log2)), f"k {KEY}, h long, at long"), "leak-hits")
     candidates = staged(hits.join(seeds, "h").select("k", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "leak-candidates")
     met = candidates.select("k").distinct()
     some = texts.join(met, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
@@ -208,7 +208,7 @@ def text_overlaps(texts: DataFrame, items: DataFrame, bitmap_log2: int = BITMAP_
     rows = some.select("k", F.lit(0).alias("kind"), nobody.alias("item"), F.lit(0).cast("long").alias("shift"), F.col("text").cast("binary").alias("raw")).unionByName(
         candidates.join(prepared.select("item", F.col("words").alias("raw")), "item").select("k", F.lit(1).alias("kind"), "item", "shift", "raw")
     )
-    return staged(rows.repartition("k").sortWithinPartitions("k", "kind", "item", "shift").mapInArrow(_verify, _FOUND), "leak-found")
+    return staged(rows.repartition("k").sortWithinPartitions("k", "kind", "item", "shift").mapInArrow(lean(_verify), _FOUND), "leak-found")
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import KEY, discard, first_words, hash_runs, hash_words, keyed, mix, one_of_each, staged, text_steps, word_spans
+from ._common import KEY, discard, first_words, hash_runs, hash_words, keyed, lean, mix, one_of_each, staged, text_steps, word_spans
 from .simhash import components, links
 
 WORDS = 5
@@ -211,7 +211,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compared(dealt: DataFrame, content: DataFrame, run) -> DataFrame:
     """Edges that run finds in the parts of dealt, with each row's content (s, value)."""
     rows = dealt.join(content, "s").select("key", "part", "s", "value")
-    return rows.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "s").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "s").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _linked(rows: DataFrame, content: DataFrame, run, most: int, name: str) -> DataFrame:
@@ -269,7 +269,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, k, root) of every row: k is its key, root is common to all rows of a component."""
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    made = staged(rows.mapInArrow(_sketch, f"doc_id {id_type}, k {KEY}, s long, fp long, sketch binary, bands array<long>"), "near-sets")
+    made = staged(rows.mapInArrow(lean(_sketch), f"doc_id {id_type}, k {KEY}, s long, fp long, sketch binary, bands array<long>"), "near-sets")
     met = made.select(F.explode("bands").alias("key"), "s")
     busy = met.groupBy("key").agg(F.min("s").alias("least"), F.max("s").alias("most")).filter("least < most").select("key")
     meetings = staged(met.join(busy, "key").distinct(), "near-meetings")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._common import first_words, fresh, hash_words, mix, named, staged, text_steps, word_spans
+from ._common import first_words, fresh, hash_words, lean, mix, named, staged, text_steps, word_spans
 
 BITS = 18
 FIT_ROWS = 12_000
@@ -163,7 +163,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model from labelled (text, label, at): at orders the rows by hash, and the fit takes the first fit_rows."""
     labelled = labelled.filter("label in (0, 1)")
     none = np.zeros(1 << BITS)
-    counts = labelled.select("text", "label").mapInArrow(_class_counts, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = labelled.select("text", "label").mapInArrow(lean(_class_counts), "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     seen = counts.toArrow()  # at most 2**BITS rows
     docs = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(docs) < 2:
@@ -173,7 +173,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     for c, name in ((0, "n0"), (1, "n1")):
         n[c, seen["f"].to_numpy()] += seen[name].to_numpy()
     ratio = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
-    sample = fit_sample(labelled, docs, fit_rows).mapInArrow(_rows_of_features, "label int, at long, f array<int>").toArrow()
+    sample = fit_sample(labelled, docs, fit_rows).mapInArrow(lean(_rows_of_features), "label int, at long, f array<int>").toArrow()
     order = np.lexsort((sample["label"].to_numpy(), sample["at"].to_numpy()))
     y = sample["label"].to_numpy()[order].astype(np.int64)
     lists = sample["f"].combine_chunks()
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
     # Plain names on the way: mapInArrow doesn't take those with a dot.
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     schema = StructType([*plain.schema.fields, StructField("score", DoubleType())])
-    found = plain.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)), schema)
+    found = plain.mapInArrow(lean(_score(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col))), schema)
     return found.toDF(*docs.columns, name)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import KEY, discard, first_words, keyed, one_of_each, staged, text_steps, word_spans
+from ._common import KEY, discard, first_words, keyed, lean, one_of_each, staged, text_steps, word_spans
 
 RADIUS = 3
 CHUNK = 2048
@@ -83,7 +83,7 @@ def _fingerprints(words_per_shingle: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
     """(doc_id, k, fp): k is the row's key, fp has the fingerprint's 64 bits as a signed long."""
     rows = keyed(docs, id_col, text_col)
-    return rows.mapInArrow(_fingerprints(words_per_shingle), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k {KEY}, fp long")
+    return rows.mapInArrow(lean(_fingerprints(words_per_shingle)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k {KEY}, fp long")
 
 
 # --- bit-sliced comparison ------------------------------------------------------------------------------------------
@@ -230,7 +230,7 @@ def links(distinct: DataFrame) -> DataFrame:
         finer = staged(met.join(crowded, "key").select("fp", F.explode(F.array(*[quarter(j) for j in range(4)])).alias("key")), "simhash-finer")
         parts.append(_dealt(finer.join(count(finer), "key")))
     rows = reduce(DataFrame.unionByName, parts).repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "fp")
-    return rows.mapInArrow(_compare, "a long, b long").distinct()
+    return rows.mapInArrow(lean(_compare), "a long, b long").distinct()
 
 
 def _dealt(met: DataFrame) -> DataFrame:

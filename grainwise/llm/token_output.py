@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import discard, hash_words, named, new_path, same_words, staged, text_steps
+from ._common import discard, hash_words, lean, named, new_path, same_words, staged, text_steps
 
 #: Ids handled in one numpy step.
 STEP_IDS = 1 << 19
@@ -257,23 +257,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     spark = docs.sparkSession
     rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    ids = staged(rows.mapInArrow(_tokenize(tokenizer, end_id), f"doc_id {id_type}, n_tokens long, ids binary"), "token-ids")
-    counted = ids.select("n_tokens", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    ids = staged(rows.mapInArrow(lean(_tokenize(tokenizer, end_id)), f"doc_id {id_type}, n_tokens long, ids binary"), "token-ids")
+    counted = ids.select("n_tokens", "ids").mapInArrow(lean(_count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranks = [(r["id"], i) for i, r in enumerate(sorted(counted.collect(), key=lambda r: (-r["n"], r["id"])))]  # at most the vocabulary
     table = np.zeros(max((i for i, _ in ranks), default=0) + 1, np.uint32)
     for token, rank in ranks:
         table[token] = rank
-    spark.createDataFrame(ranks, "id long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
+    spark.createDataFrame(pa.table({"id": pa.array([i for i, _ in ranks], pa.int64()), "rank": pa.array([r for _, r in ranks], pa.int64())})).coalesce(1).write.parquet(f"{path}/ranks")
     known = spark.sparkContext.broadcast(table)
     schema = f"doc_id {id_type}, n_tokens long, control binary, data binary"
     # Written, since the ranges are sampled from it before it is dealt out; a hash splits the rows of an id that very many have.
-    coded = staged(ids.mapInArrow(_write(known), schema), "token-codes")
+    coded = staged(ids.mapInArrow(lean(_write(known)), schema), "token-codes")
     discard(ids)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("control", "data")]
     (
         coded.repartitionByRange(*order)
         .sortWithinPartitions(*order, "n_tokens", "control", "data")
-        .mapInArrow(_number, schema.replace("n_tokens", "part int, local_start long, n_tokens"))
+        .mapInArrow(lean(_number), schema.replace("n_tokens", "part int, local_start long, n_tokens"))
         .write.option("compression", "zstd")
         .parquet(f"{path}/documents")
     )
@@ -308,7 +308,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.parquet(f"{path}/documents").join(parts, "part")
     id_type = files.schema["doc_id"].dataType.simpleString()
     rows = files.select("doc_id", (F.col("start") + F.col("local_start")).alias("start"), "n_tokens", "control", "data")
-    return rows.mapInArrow(_read(spark.sparkContext.broadcast(table)), f"doc_id {id_type}, start long, n_tokens long, ids binary")
+    return rows.mapInArrow(lean(_read(spark.sparkContext.broadcast(table))), f"doc_id {id_type}, start long, n_tokens long, ids binary")
 
 
 def byte_bpe_path() -> str:

@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -736,3 +737,37 @@ def test_shards_of_which_half_is_one_text(spark):
     mean = sum(size.values()) / 24
     assert len(size) == 24 and all(abs(v / mean - 1) <= 0.05 for v in size.values())
     assert len({r["shard"] for r in rows if r["doc_id"] in (0, 2, 4)}) <= 17  # it holds two thirds of the tokens
+
+
+def test_workers_give_free_memory_back():
+    """What a task has freed, below something that its worker keeps, doesn't stay with the worker."""
+    from grainwise.llm._common import lean
+
+    kept = []
+
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    def run(batches):
+        held = [bytes([1]) * 2000 for _ in range(60_000)]
+        kept.append(bytes([1]) * 2000)
+        yield resident()
+        del held
+        yield from batches
+
+    most = next(found := lean(run)(iter(())))
+    assert list(found) == []
+    assert resident() < most - 80
+
+
+def test_ranks_need_no_other_workers(spark, tmp_path, monkeypatch):
+    """Tables made by the driver go to Spark by Arrow; lists would start a second set of Python workers, which stay."""
+    from pyspark import SparkContext
+
+    from grainwise.llm.token_output import byte_bpe_path, write_tokens
+
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *_: pytest.fail("a list went to Python workers"))
+    docs = spark.sql("SELECT 1L AS doc_id, 'a b a' AS text UNION ALL SELECT 2L, NULL")
+    path = write_tokens(docs, str(tmp_path / "ids"), byte_bpe_path())
+    ranks = spark.read.parquet(f"{path}/ranks")
+    assert ranks.dtypes == [("id", "bigint"), ("rank", "bigint")] and ranks.count() == 4
