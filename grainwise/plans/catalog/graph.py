@@ -13,6 +13,8 @@ from ...sources.staging import discard, shuffle_tasks, staged
 
 #: Rounds that a closure goes step by step before it contracts what is left.
 STEP_ROUNDS = 6
+#: Rounds up to which a closure reads the edges as they are in each, and doesn't write them without repeats first.
+READ_ROUNDS = 2
 
 
 def union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -39,7 +41,9 @@ def closure(edges: DataFrame, starts: DataFrame, backwards: bool = False, most:
     with its logarithm; then each round follows an edge.
     """
     a, b = ("dst", "src") if backwards else ("src", "dst")
-    step = staged(edges.select(F.col(a).alias("_from"), F.col(b).alias("_to")).distinct(), "steps")
+    step = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
+    if most is None or most > READ_ROUNDS:
+        step = staged(step.distinct(), "steps")
     seen = frontier = staged(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct(), "frontier")
     parts, depth = [frontier], 0
     while most is None or depth < most:
@@ -51,6 +55,7 @@ def closure(edges: DataFrame, starts: DataFrame, backwards: bool = False, most:
             break
         parts.append(frontier)
         if depth == step_rounds:
+            step = staged(step.distinct(), "steps") if most is not None and most <= READ_ROUNDS else step
             seen = staged(union(parts), "seen")
             deeper = _closure_of_chains(step, seen, frontier, most)
             discard(step, *parts)
@@ -117,15 +122,21 @@ def contracted(step: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def neighbourhood(edges: DataFrame, nodes: DataFrame, start: str, depth: int = 2, per_column: int = 12, always: Sequence[str] = ("source",)) -> DataFrame:
-    """(id, kind, depth, more): nodes within `depth` steps either way, nearest depth first, and the neighbours of these of a kind in `always`, a step further; at most per_column of a kind and depth, the rest counted in `more`."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """(id, kind, depth, more): nodes within `depth` steps either way, nearest depth first, and the neighbours of these of a kind in `always`, a step further; at most per_column of a kind and depth, the rest counted in `more`.
+
+    Edges and nodes may repeat. What is reached is written before it meets the edges or nodes, so that where it is small these are read and not dealt.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     begin = nodes.filter(F.col("id") == start).select("id")
     within = closure(both, begin, most=depth).select("id", "depth")
-    kept = nodes.filter(F.col("kind").isin(*always)).select(F.col("id").alias("dst"))
-    beyond = within.unionByName(begin.select("id", F.lit(0).alias("depth"))).join(both.join(kept, "dst"), F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth"))
-    reached = within.unionByName(beyond).filter(F.col("id") != start).groupBy("id").agg(F.min("depth").alias("depth"))
+    around = staged(within.unionByName(begin.distinct().select("id", F.lit(0).alias("depth"))), "around")
+    beyond = around.join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth"), F.lit(False).alias("_within"))
+    reached = around.withColumn("_within", F.lit(True)).unionByName(beyond).filter(F.col("id") != start)
+    reached = staged(reached.groupBy("id", "_within").agg(F.min("depth").alias("depth")), "reached")
+    found = reached.join(nodes.select("id", "kind"), "id").filter(F.col("_within") | F.col("kind").isin(*always))
+    found = found.groupBy("id").agg(F.min("depth").alias("depth"), F.min("kind").alias("kind"))
     column = Window.partitionBy("kind", "depth")
-    ranked = reached.join(nodes, "id").withColumn("_nth", F.row_number().over(column.orderBy("id"))).withColumn("_n", F.count("*").over(column))
+    ranked = found.withColumn("_nth", F.row_number().over(column.orderBy("id"))).withColumn("_n", F.count("*").over(column))
     return ranked.filter(F.col("_nth") <= per_column).select("id", "kind", "depth", F.greatest(F.col("_n") - per_column, F.lit(0)).alias("more"))
 
 

@@ -96,7 +96,8 @@ UNION ALL SELECT DISTINCT 'orders:' || l_orderkey, 'part:' || l_partkey, 'reads'
 NODES = "n AS (" + " UNION ALL ".join(f"SELECT '{t}:' || {k} AS id, '{t}' AS kind FROM {t}" for t, k in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"))) + ")"
 
 
-def keys_graph(spark, d):
+def keys_rows(spark, d):
+    """Nodes and edges of the keys, table by table; they may repeat."""
     t = lambda n: table(spark, d, n)
     node = lambda n, k: t(n).select(F.concat(F.lit(f"{n}:"), k).alias("id"), F.lit(n).alias("kind"))
     edge = lambda df, a, b, x, y, kind: df.select(F.concat(F.lit(f"{a}:"), x).alias("src"), F.concat(F.lit(f"{b}:"), y).alias("dst"), F.lit(kind).alias("kind"))
@@ -107,7 +108,11 @@ def keys_graph(spark, d):
         edge(t("orders"), "customer", "orders", "o_custkey", "o_orderkey", "references"),
         edge(t("lineitem"), "orders", "part", "l_orderkey", "l_partkey", "reads"),
     ]
-    return graph.build(nodes, edges)
+    return nodes, edges
+
+
+def keys_graph(spark, d):
+    return graph.build(*keys_rows(spark, d))
 
 
 @query("c_graph_build", f"WITH {EDGES}, {NODES} SELECT 'node' AS what, kind, count(*)::BIGINT AS n FROM n GROUP BY 2 UNION ALL SELECT 'edge', kind, count(*)::BIGINT FROM e GROUP BY 2")
@@ -143,7 +148,7 @@ def c_impact(spark, d):
 d2 AS (SELECT DISTINCT dst AS id, 2 AS depth FROM u JOIN d1 ON u.src = d1.id WHERE dst <> 'nation:3' AND dst NOT IN (SELECT id FROM d1)), r AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2)
 SELECT id, kind, depth, greatest(count(*) OVER w - 12, 0)::BIGINT AS more FROM r JOIN n USING (id) WINDOW w AS (PARTITION BY kind, depth) QUALIFY row_number() OVER (PARTITION BY kind, depth ORDER BY id) <= 12""")
 def c_neighbourhood(spark, d):
-    nodes, edges = keys_graph(spark, d)
+    nodes, edges = map(graph.union, keys_rows(spark, d))
     return graph.neighbourhood(edges, nodes, "nation:3")
 
 
@@ -151,7 +156,7 @@ def c_neighbourhood(spark, d):
 d2 AS (SELECT DISTINCT dst AS id, 2 AS depth FROM u JOIN d1 ON u.src = d1.id WHERE dst NOT IN (SELECT id FROM d1) AND (starts_with(dst, 'region:') OR starts_with(dst, 'part:'))), r AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2)
 SELECT id, kind, depth, greatest(count(*) OVER w - 12, 0)::BIGINT AS more FROM r JOIN n USING (id) WINDOW w AS (PARTITION BY kind, depth) QUALIFY row_number() OVER (PARTITION BY kind, depth ORDER BY id) <= 12""")
 def c_neighbourhood_sources(spark, d):
-    nodes, edges = keys_graph(spark, d)
+    nodes, edges = map(graph.union, keys_rows(spark, d))
     return graph.neighbourhood(edges, nodes, "customer:3", depth=1, always=("region", "part"))
 
 

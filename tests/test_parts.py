@@ -291,3 +291,11 @@ def test_graph_is_dealt_evenly(spark):
     assert found.groupBy(F.spark_partition_id()).count().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = QUERIES["s_graph_export"](spark, "/root/testdata/sf0.001").collect()
     assert rows == sorted(rows)
+
+
+def test_neighbourhood_of_repeated_rows(spark):
+    """Edges and nodes that repeat, also in a kind that is reached a step further, count once."""
+    nodes = spark.createDataFrame([(x, k) for x, k in (("a", "node"), ("b", "node"), ("c", "node"), ("d", "source"), ("e", "node"), ("f", "source")) for _ in range(3)], "id string, kind string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("d", "c"), ("c", "e"), ("f", "e"), ("a", "b"), ("d", "c"), ("b", "gone")], "src string, dst string")
+    found = graph.neighbourhood(edges, nodes, "a", per_column=1)
+    assert sorted(map(tuple, found.collect())) == [("b", "node", 1, 0), ("c", "node", 2, 0), ("d", "source", 3, 0)]
