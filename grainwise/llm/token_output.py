@@ -7,9 +7,9 @@ the id's rank by frequency over all documents, so common ids take one byte. `ran
 most one row for each id of the vocabulary, and `parts` the first position of each part.
 Decoding looks the four lengths of each control byte up in a table of 256 rows and gathers the ids with numpy.
 
-A text is cut before spaces that follow a character other than white space, where no token of a byte-level BPE can cross;
-pieces of a step are told apart by 64-bit hashes and then by their bytes, and each distinct piece is encoded by the tokenizers library and kept in a bounded
-cache.
+A text is cut where no token of a byte-level BPE can cross: mostly into words and runs of signs, so that a word is one piece whatever follows it.
+Pieces of a step are told apart by 64-bit hashes and then by their bytes, and each distinct piece is encoded by the tokenizers library and kept in a
+bounded cache.
 
 Defined cases: a null text is empty; an empty text has the end id alone; repeated rows and ids are written in order of
 their ids, then of a hash of their bytes; null ids come first; an empty table gives an empty result; extra columns are left alone.
@@ -20,7 +20,8 @@ from __future__ import annotations
 import os
 import string
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from ._common import discard, hash_words, lean, named, new_path, same_words, sta
 
 #: Ids handled in one numpy step.
 STEP_IDS = 1 << 19
-CACHE_PIECES = 250_000
+CACHE_PIECES = 500_000
 CACHE_PIECE_BYTES = 40
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -74,21 +75,49 @@ _encoders: dict[str, Encoder] = {}
 
 # A byte-level vocabulary writes each byte as a letter: printable ones as themselves, the others from U+0100 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_LETTERS = {b: 256 + n for n, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
-_SPACE = chr(_LETTERS[32])
-_SIGNS = string.punctuation
-
-
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, first): a text is cut before each space after a character that is not white space; first: each text's first piece."""
-    cut = data == 32
+_LETTERS = np.arange(256, dtype="<u2")
+_LETTERS[sorted({*range(256)} - {*_PLAIN})] = 256 + np.arange(256 - len(_PLAIN))
+_ALPHA = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+_SIGN = np.array([chr(b) in string.punctuation for b in range(256)])
+#: Which characters of two bytes are letters, up to Cyrillic.
+_ALPHA_2 = np.array([i >= 128 and i < 0x530 and chr(i).isalpha() for i in range(2048)])
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes are letters or halves of letters: ASCII, and those of two bytes up to Cyrillic. Others count as no letters."""
+    found = _ALPHA[data]
+    lead = np.flatnonzero((data >= 0xC2) & (data <= 0xD4))
+    if len(lead):
+        is_letter = _ALPHA_2[(data[lead].astype(np.int64) & 31) << 6 | data[lead + 1] & 63]
+        found[lead] = is_letter
+        found[lead + 1] = is_letter
+    return found
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, letter: np.ndarray, whole: Sequence[bytes] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, first): where a text is cut, and each text's first piece. All cuts lie between units of a byte-level BPE.
+
+    It is cut before a space or line feed after a character that is not white space, before a sign after a letter, and before
+    a letter after a sign that begins no contraction or after a line feed that is a unit; never within a text of `whole`.
+    """
+    cut = np.zeros(len(data), bool)
     if len(data):
         before = np.concatenate([[np.uint8(0)], data[:-1]])
-        cut &= before > 32
+        feed = data == 10
+        cut = ((data == 32) | feed) & (before > 32)
         # After the last byte of white space outside ASCII (U+0085, U+00A0, U+1680 to U+3000) nothing is cut; it may spare more.
         two, three = np.concatenate([np.zeros(2, np.uint8), data[:-2]]), np.concatenate([np.zeros(3, np.uint8), data[:-3]])
         cut &= ~((two == 0xC2) & ((before == 0x85) | (before == 0xA0)))
         cut &= ~((three >= 0xE1) & (three <= 0xE3) & (two >= 0x80) & (two <= 0xA0) & (before >= 0x80))
+        sign = _SIGN[data]
+        cut[1:] |= letter[1:] & (cut & feed | sign & (data != 39))[:-1] | sign[1:] & letter[:-1]
+        if whole:
+            raw = data.tobytes()
+            for word in whole:
+                at = raw.find(word)
+                while at >= 0:
+                    cut[at + 1 : at + len(word)] = False
+                    at = raw.find(word, at + 1)
     full = offsets[:-1][offsets[1:] > offsets[:-1]]
     cut[full] = True
     starts = np.flatnonzero(cut)
@@ -96,65 +125,43 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Encoder:
-    """A tokenizer with its caches of pieces and words; one for each worker process."""
+    """A tokenizer with its cache of pieces; one for each worker process."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"  # 16 or 32 bits
         self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _word(self, word: str, lead: str) -> bytes:
-        """Ids of letters after `lead`, a unit of a byte-level BPE."""
-        ids = self.words.get(lead + word)
-        if ids is None:
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-            ids = self.words[lead + word] = array(self.kind, [t.id for t in self.tokenizer.model.tokenize(lead + letters)]).tobytes()
-        return ids
-
-    def _signs(self, signs: str) -> bytes:
-        """Ids of a run of signs, or of one line feed, after a letter or sign and before a letter."""
-        if signs not in self.words:
-            self.words[signs] = self._whole([signs])[0]
-        return self.words[signs]
-
-    def _pieces(self, new: list[bytes]) -> list[bytes]:
-        """Ids of pieces. Those of letters and signs after them, a line feed within at most, go unit by unit; others are encoded whole."""
-        out: list[bytes] = [b""] * len(new)
-        others = []
-        for i, piece in enumerate(new):
-            text = piece.decode()
-            if text[:1] == " ":
-                word = text[1:].rstrip(_SIGNS)
-                if word.isalpha():
-                    signs = text[len(word) + 1 :]
-                    ids = self._word(word, _SPACE)
-                    out[i] = ids + self._signs(signs) if signs else ids
-                    continue
-                first, feed, second = text[1:].partition("\n")
-                a, b = first.rstrip(_SIGNS), second.rstrip(_SIGNS)
-                if feed and a.isalpha() and b.isalpha():
-                    signs, more = first[len(a) :], second[len(b) :]
-                    out[i] = self._word(a, _SPACE) + (self._signs(signs) if signs else b"") + self._signs(feed) + self._word(b, "") + (self._signs(more) if more else b"")
-                    continue
-            others.append(i)
-        for i, ids in zip(others, self._whole([new[i].decode() for i in others])):
-            out[i] = ids
-        if len(self.words) > CACHE_PIECES:
-            self.words.clear()
-        return out
+
+    def _ids(self, new: list[bytes], plain: list[bool]) -> tuple[array, list[int]]:
+        """The ids of pieces, one after the other, and how many each has. Those of letters alone, a space before them at most, are plain: a unit each."""
+        joined = np.frombuffer(b"".join([piece for piece, is_plain in zip(new, plain) if is_plain]), np.uint8)
+        text, at, units, tokenize = _LETTERS[joined].tobytes().decode("utf-16-le"), 0, [], self.tokenizer.model.tokenize
+        others = iter(self.tokenizer.encode_batch_fast([piece.decode() for piece, is_plain in zip(new, plain) if not is_plain], add_special_tokens=False))
+        for piece, is_plain in zip(new, plain):
+            if is_plain:
+                end = at + len(piece)
+                units.append([t.id for t in tokenize(text[at:end])])
+                at = end
+            else:
+                units.append(next(others).ids)
+        return array(self.kind, chain.from_iterable(units)), list(map(len, units))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): the ids of texts, one after the other, and how many each has. Equal pieces are looked up once."""
-        starts, first = pieces(data, offsets)
+        letter = letters(data)
+        starts, first = pieces(data, offsets, letter, self.added)
         ends = np.append(starts[1:], len(data))
-        _, at, of = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
+        hashes = hash_words(data, starts, ends)
+        order = np.argsort(hashes)
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        at = order[new]
+        of = np.empty(len(order), np.int64)
+        of[order] = new.cumsum() - 1
         other = np.flatnonzero(~same_words(data, starts, ends, at[of]))
         # Pieces that share a hash with another one are each taken by themselves.
         of[other] = len(at) + np.arange(len(other))
@@ -162,18 +169,28 @@ class Encoder:
         raw = data.tobytes()
         distinct = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         found = list(map(self.known.get, distinct))
+        known = [ids for ids in found if ids is not None]
         missing = [i for i, ids in enumerate(found) if ids is None]
+        upto = np.concatenate([[0], letter.cumsum()])
+        begin, end = starts[at[missing]], ends[at[missing]]
+        begin = begin + (data[begin] == 32) if len(missing) else begin
+        plain = (upto[end] - upto[begin] == end - begin) & (end > begin)
+        texts = [distinct[i] for i in missing]
+        more, sizes_more = self._ids(texts, plain.tolist())
+        kind = np.dtype(f"<u{more.itemsize}")
         # Frequent pieces come early: a full cache stays as it is.
-        room = CACHE_PIECES - len(self.known)
-        for i, ids in zip(missing, self._pieces([distinct[i] for i in missing])):
-            found[i] = ids
-            if room > 0 and len(distinct[i]) <= CACHE_PIECE_BYTES:
-                self.known[distinct[i]] = ids
-                room -= 1
-        kind = np.dtype(f"<u{array(self.kind).itemsize}")
-        flat = np.frombuffer(b"".join(found), kind)
-        sizes = np.array([len(x) for x in found], np.int64) // kind.itemsize
-        begins = sizes.cumsum() - sizes
+        if (room := CACHE_PIECES - len(self.known)) > 0:
+            raw_more, done = more.tobytes(), 0
+            for piece, n in zip(texts[:room], sizes_more):
+                if len(piece) <= CACHE_PIECE_BYTES:
+                    self.known[piece] = raw_more[done * more.itemsize : (done + n) * more.itemsize]
+                done += n
+        flat = np.concatenate([np.frombuffer(b"".join(known), kind), np.frombuffer(more, kind)])
+        is_known = np.ones(len(at), bool)
+        is_known[missing] = False
+        sizes, begins = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        for of_them, n, shift in ((is_known, np.array(list(map(len, known)), np.int64) // more.itemsize, 0), (~is_known, np.array(sizes_more, np.int64), len(flat) - len(more))):
+            sizes[of_them], begins[of_them] = n, shift + n.cumsum() - n
         counts = sizes[of]
         ends_at = counts.cumsum()
         ids = flat[np.arange(int(counts.sum())) + np.repeat(begins[of] - (ends_at - counts), counts)]
@@ -191,7 +208,7 @@ def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:
-            for lo, hi, data, offsets in text_steps(batch.column(1), 4 << 20):
+            for lo, hi, data, offsets in text_steps(batch.column(1)):
                 ids, counts = e.encode(data, offsets)
                 ids = np.insert(ids, counts.cumsum(), end_id)
                 counts = counts + 1

@@ -700,6 +700,29 @@ def test_pieces_that_share_a_hash(monkeypatch):
     assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
 
 
+def test_a_word_is_one_piece_whatever_follows(monkeypatch):
+    """A word is looked up once for all signs and line feeds around it, and what is cut has the ids of the whole text."""
+    e = token_output.Encoder(token_output.byte_bpe_path())
+    asked = []
+    monkeypatch.setattr(e, "_ids", lambda new, plain, ids=e._ids: asked.extend(new) or ids(new, plain))
+    text = " cité cité, cité. cité; cité\ncité (cité)"
+    e.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    assert sorted(x.decode() for x in asked) == sorted([" cité", ",", ".", ";", "\n", "cité", " (", ")"])
+
+
+def test_cut_texts_have_the_ids_of_whole_ones():
+    """Every letter of two bytes before and after signs, contractions, white space of all kinds, added tokens, and random mixtures."""
+    e = token_output.Encoder(token_output.byte_bpe_path())
+    some = np.random.default_rng(5)
+    kinds = ["a", "it", "Zoë", "é", "Ж", "δ", "ß", "ա", "中", "ก", "e\u0301", "’", "'", "'s", "'ll", "'S", "-", ".", ",", "_", "(", "\"", "1", "23", "²", "×", "÷", "ª", "ʰ", " ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\0", "<|endoftext|>", "<|", "endoftext", "|>", "🙂"]
+    texts = [" ".join(f"{c}.{c}'s-{c}\n{c}" for c in map(chr, range(128 + k, 0x800, 16))) for k in range(16)]
+    texts += ["".join(kinds[i] for i in some.integers(0, len(kinds), n)) for n in some.integers(0, 40, 4000)]
+    data = [t.encode() for t in texts]
+    ids, counts = e.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
 def test_hash_words():
     from grainwise.llm._common import hash_words, same_words
 
