@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, starts: DataFrame, backwards: bool = False, most: int | None = None, step_rounds: int = STEP_ROUNDS) -> DataFrame:
     """(start, id, depth) of all that starts (id) lead to, cycles included once, within `most` steps if that is given; depth is the least number of steps.
 
+    Edges may repeat. They are dealt by the end they leave and sorted once, and kept so on the executors' disks: a round deals its frontier alone.
     The first rounds go step by step: each joins the frontier alone. What is deeper is contracted: chains of nodes with one
     way in and one way out, however long, and cycles with them, become one edge of their length each, in rounds that grow
     with its logarithm; then each round follows an edge.
@@ -43,7 +45,7 @@ def closure(edges: DataFrame, starts: DataFrame, backwards: bool = False, most:
     a, b = ("dst", "src") if backwards else ("src", "dst")
     step = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
     if most is None or most > READ_ROUNDS:
-        step = staged(step.distinct(), "steps")
+        step = dealt(step)
     seen = frontier = staged(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct(), "frontier")
     parts, depth = [frontier], 0
     while most is None or depth < most:
@@ -55,15 +57,23 @@ def closure(edges: DataFrame, starts: DataFrame, backwards: bool = False, most:
             break
         parts.append(frontier)
         if depth == step_rounds:
-            step = staged(step.distinct(), "steps") if most is not None and most <= READ_ROUNDS else step
+            step = dealt(step) if most is not None and most <= READ_ROUNDS else step
             seen = staged(union(parts), "seen")
             deeper = _closure_of_chains(step, seen, frontier, most)
-            discard(step, *parts)
+            step.unpersist()
+            discard(*parts)
             return deeper.filter("depth > 0")
-    discard(step)
+    step.unpersist()
     return union(parts).filter("depth > 0")
 
 
+def dealt(step: DataFrame) -> DataFrame:
+    """step (_from, _to) without repeats, dealt by _from to the session's number of shuffle tasks and sorted in each, on disk until unpersisted."""
+    step = step.repartition(shuffle_tasks(step.sparkSession), "_from").distinct().sortWithinPartitions("_from").persist(StorageLevel.DISK_ONLY)
+    step.count()  # joins know how it is dealt once it is there
+    return step
+
+
 def least(paths: DataFrame) -> DataFrame:
     """(start, id, depth): the shortest of paths."""
     return paths.groupBy("start", "id").agg(F.min("depth").alias("depth"))

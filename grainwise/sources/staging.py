@@ -29,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shuffle_tasks(spark: SparkSession) -> int:
-    """The number of tasks that the session has set for a shuffle."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", None) or spark.sparkContext.defaultParallelism)
+    """The number of tasks that the session has for a shuffle, set or not."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def new_path(spark: SparkSession, name: str) -> str:

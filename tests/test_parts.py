@@ -299,3 +299,18 @@ def test_neighbourhood_of_repeated_rows(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("d", "c"), ("c", "e"), ("f", "e"), ("a", "b"), ("d", "c"), ("b", "gone")], "src string, dst string")
     found = graph.neighbourhood(edges, nodes, "a", per_column=1)
     assert sorted(map(tuple, found.collect())) == [("b", "node", 1, 0), ("c", "node", 2, 0), ("d", "source", 3, 0)]
+
+
+def test_edges_of_a_closure_are_dealt_once(spark, monkeypatch):
+    """Repeated edges count once, none are left on disk, and a join of a frontier deals and sorts it alone, however large."""
+    kept = []
+    monkeypatch.setattr(graph, "dealt", lambda step, deal=graph.dealt: kept.append(deal(step)) or kept[-1])
+    edges = spark.range(2000).selectExpr("concat('a', id % 100) AS src", "concat('a', id % 100 + 1) AS dst", "'k' AS kind")
+    got = graph.closure(edges, spark.createDataFrame([("a97",)], "id string"))
+    assert sorted((r["id"], r["depth"]) for r in got.collect()) == [("a100", 3), ("a98", 1), ("a99", 2)]
+    assert len(kept) == 1 and not kept[0].is_cached
+    step = graph.dealt(edges.selectExpr("src AS _from", "dst AS _to"))
+    plan = edges.select("dst").hint("merge").join(step, F.col("dst") == F.col("_from"))._jdf.queryExecution().executedPlan().toString()
+    outside = plan.split("InMemoryRelation")[0]
+    assert step.count() == 100 and outside.count("Exchange ") == 1 and outside.count("Sort [") == 1
+    step.unpersist()
