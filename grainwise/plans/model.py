@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import shuffle_tasks
 from .contexts import PERIODS, STEP, Over, Span, States  # noqa: F401
 
 
@@ -267,6 +268,10 @@ class Model:
                 frame = frame.filter(F.year(calendar) == year)
             for column, value in where.items():
                 frame = frame.filter(self.equals(frame, column, value))
+            if needed - {base} and (values := [m.distinct() for m in some if m.distinct]):
+                # Else a task that joins also holds nearly all its rows' values, as many as adaptive execution gives it.
+                keys_of = sorted({r.many for r in self.relationships if r.many.startswith(f"{base}.")})
+                frame = frame.repartition(shuffle_tasks(frame.sparkSession), *values, *keys_of)
             by = [F.col(g).alias(g.split(".")[-1]) for g in grain]
             if period:
                 by.append(F.date_trunc(period, calendar).alias("period"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as flt
 from ..operators import shape
-from ..plans.model import Measure, Model, Relationship, as_rows
+from ..plans.model import Measure, Model, Relationship, as_rows, distinct_count
 from ..sources import stores
 from ..sources import tables as src
 from ..sources.staging import new_path
@@ -353,7 +353,7 @@ def a_profile(spark, d):
 @query("a_additive", f"""WITH p AS (SELECT c_mktsegment, sum(l_quantity) AS q, count(DISTINCT l_partkey) AS parts FROM {FROM_LINES} GROUP BY 1), w AS (SELECT sum(l_quantity) AS q, count(DISTINCT l_partkey) AS parts FROM lineitem)
 SELECT 'quantity' AS measure, abs(sum(p.q) - any_value(w.q)) <= 1e-9 * greatest(abs(any_value(w.q)), 1) AS additive FROM p, w UNION ALL SELECT 'parts', abs(sum(p.parts) - any_value(w.parts)) <= 1e-9 * greatest(abs(any_value(w.parts)), 1) FROM p, w""")
 def a_additive(spark, d):
-    m = retail(spark, d).add(Measure("parts", "lineitem", lambda keep: F.count_distinct(keep(F.col("lineitem.l_partkey")))))
+    m = retail(spark, d).add(distinct_count("parts", "lineitem", lambda: F.col("lineitem.l_partkey")))
     names = ["quantity", "parts"]
     return flt.additive(as_rows(m.evaluate(names, ["customer.c_mktsegment"]), names, ["c_mktsegment"]), as_rows(m.evaluate(names), names))
 

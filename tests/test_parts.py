@@ -314,3 +314,10 @@ def test_edges_of_a_closure_are_dealt_once(spark, monkeypatch):
     outside = plan.split("InMemoryRelation")[0]
     assert step.count() == 100 and outside.count("Exchange ") == 1 and outside.count("Sort [") == 1
     step.unpersist()
+
+
+def test_joined_rows_are_dealt_before_distinct_counts(spark, sf_dir):
+    """A task that joins doesn't gather values to count: they are dealt to a stated number of tasks first, which adaptive execution doesn't merge."""
+    found = QUERIES["a_additive"](spark, sf_dir)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["measure"]: r["additive"] for r in found.collect()} == {"quantity": True, "parts": False}
