@@ -8,8 +8,9 @@ the filter, those found once too. Segments follow the size of the texts, and a s
 positives are as rare in any corpus.
 
 A filter of at most BROADCAST_BYTES is broadcast, as a file that each executor gets once and its workers map, and texts
-probe it where they are. A larger one stays in its segments,
-and each text's n-grams are sent to them and the levels back; the scores are the same.
+probe it where they are. A larger one stays in its segments: texts are taken in stretches of some 2 MB, the distinct n-grams
+of a stretch are sent to the segments, packed, and the levels back to where the stretch's texts are sent; the scores are the
+same. What is sent follows the distinct n-grams of stretches, and no part of the filter gets a row for each text.
 
 With q the lower and q' the upper end of a quantised count, m a weight, and n the training texts:
 P(w | v) = (q(v, w) + m P(w)) / (q'(v) + m), at a text's start (q(start, w) + m P(w)) / (n + m), where
@@ -32,6 +33,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -40,7 +42,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import first_words, hash_words, mix, staged, text_steps, word_spans
+from ._common import discard, first_words, hash_words, lean, mix, staged, text_steps, word_spans
 
 BROADCAST_BYTES = 1 << 28
 BITS_PER_ENTRY = 12
@@ -50,6 +52,8 @@ PRIOR = 50.0
 #: Bytes of training text for each segment of the filter, and segments that meet their probes together if it isn't broadcast.
 SEGMENT_TEXT = 1 << 20
 GROUP_SEGMENTS_LOG2 = 4
+#: Counts go to segments one by one up to so many; beyond, some of them go together, so that a step's n-grams make fewer rows.
+COUNTED_APART_LOG2 = 10
 HEAVY_WORDS = 1 << 20
 STEP = 2 << 20
 #: Parts in which the driver reads the filter, one after the other.
@@ -128,23 +132,44 @@ def place(grams: np.ndarray, level, size) -> tuple[np.ndarray, np.ndarray]:
     return (y & np.uint64(0xFFFFFFFF)) * size >> np.uint64(32), _MASKS[y >> np.uint64(64 - _MASKS_LOG2)]
 
 
+def stretches(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """(first row, row after the last) of each run of rows whose keys are equal."""
+    new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return list(pairwise([0, *(np.flatnonzero(new) + 1).tolist(), len(keys[0])])) if len(keys[0]) else []
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of x in order, and where each of x is among them. Sorts values with their places in the low bits, much faster than places alone."""
+    low = np.uint64((1 << max(1, len(x)).bit_length()) - 1)
+    order = (np.sort((x & ~low) | np.arange(len(x), dtype=np.uint64)) & low).astype(np.int64)
+    values = x[order]
+    if (values[1:] < values[:-1]).any():  # some differ in the low bits only
+        order = np.argsort(x)
+        values = x[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]])[: len(x)]
+    of = np.empty(len(x), np.int64)
+    of[order] = new.cumsum() - 1
+    return values[new], of
+
+
 def _binary(raw: np.ndarray, edges: np.ndarray) -> pa.Array:
     """A binary value for each stretch of raw between two edges."""
     return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * raw.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
 def _count(segments_log2: int):
-    """Rows (segment, h, n): the n-grams of a step that fall into a segment, and their counts, as 64 and 32 bits each."""
+    """Rows (part, h, n): the n-grams of a step that fall into a part of the segments, and their counts, as 64 and 32 bits each."""
+    together = max(0, min(GROUP_SEGMENTS_LOG2, segments_log2 - COUNTED_APART_LOG2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in text_steps(batch.column(0), STEP):
                 _, token, pair = tokens(data, offsets)
                 h, n = np.unique(np.concatenate([token, pair]), return_counts=True)
-                segment = segment_of(h, segments_log2)
-                new = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+                part = segment_of(h, segments_log2) >> together
+                new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                 edges = np.append(new, len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(segment[new], pa.int32()), _binary(h, edges), _binary(n.astype(np.uint32), edges)], ["segment", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[new], pa.int32()), _binary(h, edges), _binary(n.astype(np.uint32), edges)], ["part", "h", "n"])
 
     return run
 
@@ -153,14 +178,19 @@ _SEGMENT = "segment int, bits binary, tokens long, quantised long, words array<l
 
 
 def _build(segments_log2: int, bits_per_entry: int):
-    """A row for each segment from rows of _count sorted by segment: its bits, sums over its words, and the words' counts."""
+    """A row for each segment from rows of _count sorted by part: its bits, sums over its words, and the words' counts."""
 
-    def segment(now: int, grams: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
+    def part(grams: list[bytes], counts: list[bytes]) -> Iterator[pa.RecordBatch]:
         h, n = np.frombuffer(b"".join(grams), np.uint64), np.frombuffer(b"".join(counts), np.uint32)
         order = np.argsort(h)
         h, n = h[order], n[order]
         new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         h, n = h[new], np.add.reduceat(n.astype(np.int64), new)
+        of = segment_of(h, segments_log2)
+        for lo, hi in stretches(of):
+            yield segment(int(of[lo]), h[lo:hi], n[lo:hi])
+
+    def segment(now: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         level = level_of(n)
         filled = np.zeros(-(-int(level.sum()) * bits_per_entry // 64), np.uint64)
         for lo in range(0, len(h), 1 << 18):  # a bounded number of entries at once
@@ -178,15 +208,15 @@ def _build(segments_log2: int, bits_per_entry: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, grams, counts = -1, [], []
         for batch in batches:
-            for s, h, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if s != now:
+            for p, h, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if p != now:
                     if grams:
-                        yield segment(now, grams, counts)
-                    now, grams, counts = s, [], []
+                        yield from part(grams, counts)
+                    now, grams, counts = p, [], []
                 grams.append(h)
                 counts.append(n)
         if grams:
-            yield segment(now, grams, counts)
+            yield from part(grams, counts)
 
     return run
 
@@ -218,10 +248,10 @@ class Model:
 
 
 class Trained:
-    """The segments of the filter as a table, the model, and the counts (h, c) of words that the model lacks."""
+    """The segments of the filter as a table, the model, the counts (h, c) of words that the model lacks, and the mean bytes of a text."""
 
-    def __init__(self, table: DataFrame, segments_log2: int, model: Model, rare: DataFrame, size: int):
-        self.table, self.segments_log2, self.model, self.rare, self.size = table, segments_log2, model, rare, size
+    def __init__(self, table: DataFrame, segments_log2: int, model: Model, rare: DataFrame, size: int, text_bytes: float):
+        self.table, self.segments_log2, self.model, self.rare, self.size, self.text_bytes = table, segments_log2, model, rare, size, text_bytes
 
     def shared(self) -> Shared:
         """The filter as a file that every executor gets once."""
@@ -252,7 +282,7 @@ def train(texts: DataFrame, prior: float = PRIOR, bits_per_entry: int = BITS_PER
     """A model of texts (text)."""
     n_docs, n_bytes = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     segments_log2 = max(4, math.ceil(math.log2(max(1, n_bytes / SEGMENT_TEXT))))
-    parts = texts.mapInArrow(_count(segments_log2), "segment int, h binary, n binary").repartition("segment").sortWithinPartitions("segment")
+    parts = texts.mapInArrow(_count(segments_log2), "part int, h binary, n binary").repartition("part").sortWithinPartitions("part")
     table = staged(parts.mapInArrow(_build(segments_log2, bits_per_entry), _SEGMENT), "lm-filter")
     total, quantised, size = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "quantised", F.octet_length("bits"))]).first()
     words = table.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("h"), F.col("w.counts").alias("c"))
@@ -267,68 +297,109 @@ def train(texts: DataFrame, prior: float = PRIOR, bits_per_entry: int = BITS_PER
     heavy = words.filter(power >= least).toArrow()  # at most HEAVY_WORDS rows
     h, n = heavy["h"].to_numpy().view(np.uint64), heavy["c"].to_numpy()
     order = np.argsort(h)
-    return Trained(table, segments_log2, Model(total, quantised, sum(kinds.values()), n_docs, h[order], n[order], prior), words.filter(power < least), size)
-
-
-def _distinct(row: np.ndarray, token: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, n-gram) of each row's distinct n-grams in order, and where the tokens and then the pairs are among them."""
-    rows, grams = np.concatenate([row, row]), np.concatenate([token, pair])
-    order = np.lexsort((grams, rows))
-    rows, grams = rows[order], grams[order]
-    new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])])
-    of = np.empty(len(order), np.int64)
-    of[order] = new.cumsum() - 1
-    return rows[new], grams[new], of
+    return Trained(table, segments_log2, Model(total, quantised, sum(kinds.values()), n_docs, h[order], n[order], prior), words.filter(power < least), size, n_bytes / max(1, n_docs))
 
 
-def _ask(segments_log2: int):
-    """Rows (part, kind 1, at: the text's row number, raw: its distinct n-grams that fall into the part)."""
+def _ask(segments_log2: int, rows_log2: int):
+    """Rows (part, kind 1, at: that of a stretch's first text, raw: the stretch's distinct n-grams that fall into the part) from rows (at, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_steps(batch.column(1)):
-                row, grams, _ = _distinct(*tokens(data, offsets))
-                part = segment_of(grams, segments_log2) >> GROUP_SEGMENTS_LOG2
-                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])]))
-                at = batch.column(0).slice(lo, hi - lo).take(pa.array(row[new]))
-                yield pa.RecordBatch.from_arrays([pa.array(part[new], pa.int32()), pa.array(np.ones(len(new)), pa.int32()), at, _binary(grams, np.append(new, len(grams)))], ["part", "kind", "at", "raw"])
+            at = batch.column(0).to_numpy()
+            for first, last in stretches(at >> rows_log2):
+                for lo, _, data, offsets in text_steps(batch.column(1).slice(first, last - first), 2 * STEP):
+                    _, token, pair = tokens(data, offsets)
+                    grams = np.sort(np.concatenate([token, pair]))  # np.unique would hash them, which takes many times as long
+                    grams = grams[np.concatenate([[True], grams[1:] != grams[:-1]])]
+                    part = segment_of(grams, segments_log2) >> GROUP_SEGMENTS_LOG2
+                    new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                    columns = [pa.array(part[new], pa.int32()), pa.array(np.ones(len(new)), pa.int32()), pa.array(np.full(len(new), at[first + lo])), _binary(grams, np.append(new, len(grams)))]
+                    yield pa.RecordBatch.from_arrays(columns, ["part", "kind", "at", "raw"])
 
     return run
 
 
-def _answer(segments_log2: int):
+def _answer(segments_log2: int, rows_log2: int):
     """Levels of the n-grams that were asked for, from rows sorted by (part, kind, at): first a part's segments (kind 0), then the questions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, segments, bits, known = None, [], [], None
         for batch in batches:
-            parts, kinds, ats, raws = (batch.column(c).to_pylist() for c in range(4))
-            out: list[list] = [[], [], []]
-            for part, kind, at, raw in zip(parts, kinds, ats, raws):
-                if part != now:
-                    now, segments, bits, known = part, [], [], None
-                if kind == 0:
-                    segments.append(at)
-                    bits.append(raw)
+            part, kind, at = (batch.column(c).to_numpy() for c in range(3))
+            for first, last in stretches(part, kind):
+                raw = batch.column(3).slice(first, last - first)
+                if part[first] != now:
+                    now, segments, bits, known = part[first], [], [], None
+                if kind[first] == 0:
+                    segments += at[first:last].tolist()
+                    bits += raw.to_pylist()
                     continue
                 if known is None:
                     known = Filter.of(segments_log2, segments, bits)
-                levels = known.levels(np.frombuffer(raw, np.uint64)).astype(np.uint8)
-                for o, v in zip(out, (at, part, levels.tobytes())):
-                    o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["at", "part", "levels"])
+                for lo, hi, data, offsets in text_steps(raw, 2 * STEP):  # many questions at once; frequent n-grams are in most of them
+                    grams, of = distinct(data.view(np.uint64))
+                    levels = known.levels(grams).astype(np.uint8)[of]
+                    own = at[first + lo : first + hi]
+                    yield pa.RecordBatch.from_arrays([pa.array(own >> rows_log2), pa.array(own), pa.array(part[first + lo : first + hi]), _binary(levels, offsets // 8)], ["step", "at", "part", "levels"])
 
     return run
 
 
-def _levels_by_segment(rows: DataFrame, trained: Trained) -> DataFrame:
-    """rows (at, text, ...) with `levels`: those of each text's distinct n-grams in order, in pieces; every segment's bits are read where its n-grams are sent."""
+#: Stands where an answer has its part, so that texts come after the answers to their stretch.
+_TEXT = 2**31 - 1
+
+
+def _with_answers(rows: DataFrame, trained: Trained) -> DataFrame:
+    """(doc_id, held_out, text, part, levels) of rows (doc_id, held_out, text, at): the answers to each stretch, then its texts.
+
+    A step is 2**rows_log2 row numbers, so some 2 MB of text; a stretch is what a task reads of a step, or less where that is long.
+    """
     s = trained.segments_log2
+    rows_log2 = min(16, max(0, math.floor(math.log2(STEP / max(1, trained.text_bytes)))))
     kept = trained.table.select(F.shiftright("segment", GROUP_SEGMENTS_LOG2).alias("part"), F.lit(0).alias("kind"), F.col("segment").cast("long").alias("at"), F.col("bits").alias("raw"))
-    asked = rows.select("at", "text").mapInArrow(_ask(s), "part int, kind int, at long, raw binary")
-    answers = kept.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind", "at").mapInArrow(_answer(s), "at long, part int, levels binary")
-    lists = answers.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("part", "levels"))).alias("levels"))
-    return rows.join(lists.select("at", F.col("levels.levels").alias("levels")), "at")
+    asked = rows.select("at", "text").mapInArrow(lean(_ask(s, rows_log2)), "part int, kind int, at long, raw binary")
+    answers = kept.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind", "at").mapInArrow(lean(_answer(s, rows_log2)), "step long, at long, part int, levels binary")
+    texts = rows.withColumns({"step": F.shiftright("at", rows_log2), "part": F.lit(_TEXT)})
+    both = texts.unionByName(answers, allowMissingColumns=True).repartition("step").sortWithinPartitions("step", "at", "part")
+    return both.select("doc_id", "held_out", "text", "part", "levels")
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each stretch together, from rows of _with_answers: a stretch begins where an answer follows a text."""
+    pieces, last = [], False
+    for batch in batches:
+        answer = batch.column(3).to_numpy() != _TEXT
+        first = np.flatnonzero(answer & ~np.concatenate([[last], answer])[:-1])
+        for k, (lo, hi) in enumerate(pairwise([0, *first.tolist(), len(answer)])):
+            if k and pieces:
+                yield pa.concat_batches(pieces)
+                pieces = []
+            if hi > lo:
+                pieces.append(batch.slice(lo, hi - lo))
+        last = bool(answer[-1]) if len(answer) else last
+    if pieces:
+        yield pa.concat_batches(pieces)
+
+
+def _leveled(batches: Iterator[pa.RecordBatch], bloom: Filter | None) -> Iterator[tuple]:
+    """(doc_id, held_out, row, distinct n-grams and their levels, and which of them each token and each pair is) of texts."""
+    if bloom is not None:
+        for batch in batches:
+            for lo, hi, data, offsets in text_steps(batch.column(2)):
+                row, token, pair = tokens(data, offsets)
+                grams, of = distinct(np.concatenate([token, pair]))
+                yield *(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), row, grams, bloom.levels(grams), of[: len(row)], of[len(row) :]
+        return
+    for batch in _answered(batches):
+        n = int(np.searchsorted(batch.column(3).to_numpy() == _TEXT, True))
+        levels = np.frombuffer(b"".join(batch.column(4).slice(0, n).to_pylist()), np.uint8).astype(np.int64)
+        batch = batch.slice(n)
+        for _, _, data, offsets in text_steps(batch.column(2), 1 << 62):  # all of them
+            row, token, pair = tokens(data, offsets)
+            grams, of = distinct(np.concatenate([token, pair]))
+            if len(grams) != len(levels):
+                raise ValueError(f"{len(levels)} answers to {len(grams)} n-grams")
+            yield batch.column(0), batch.column(1), row, grams, levels, of[: len(row)], of[len(row) :]
 
 
 _SCORED = ["doc_id", "held_out", "at", "n_tokens", "known", "base", "score", "rare", "rare_n"]
@@ -342,40 +413,34 @@ def _score(model, known: Shared | None):
         bloom = known.filter() if known else None
         floor = math.log10(m.total + m.distinct + 1)
         at = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for lo, hi, data, offsets in text_steps(batch.column(2)):
-                n_rows = hi - lo
-                row, token, pair = tokens(data, offsets)
-                if bloom is None:
-                    levels = batch.column(4).slice(lo, n_rows)
-                    flat = np.frombuffer(b"".join(p for pieces in levels.to_pylist() for p in pieces), np.uint8).astype(np.int64)[_distinct(row, token, pair)[2]]
-                    word_level, pair_level = flat[: len(row)], flat[len(row) :]
-                else:
-                    words, of = np.unique(token, return_inverse=True)
-                    word_level = bloom.levels(words)[of]
-                    pair_level = bloom.levels(pair)
-                score = np.bincount(row, m.logs(row, word_level, pair_level), n_rows)
-                c = m.exact(token)
-                base = np.bincount(row, np.log10(np.maximum(c, 0) + 1.0) - floor, n_rows)
-                rare = np.flatnonzero(c < 0)
-                order = rare[np.lexsort((token[rare], row[rare]))]
-                new = np.flatnonzero(np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (token[order][1:] != token[order][:-1])])) if len(order) else order
-                n = np.diff(np.append(new, len(order)))
-                edges = pa.array(np.searchsorted(row[order][new], np.arange(n_rows + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(i).slice(lo, n_rows) for i in (0, 1)),
-                        pa.array(at + np.arange(n_rows)),
-                        pa.array(np.bincount(row, minlength=n_rows), pa.int64()),
-                        pa.array(np.bincount(row[c > 0], minlength=n_rows), pa.int64()),
-                        pa.array(base),
-                        pa.array(score),
-                        pa.ListArray.from_arrays(edges, pa.array(token[order][new].view(np.int64))),
-                        pa.ListArray.from_arrays(edges, pa.array(n, pa.int64())),
-                    ],
-                    _SCORED,
-                )
-                at += n_rows
+        for doc_id, held_out, row, grams, levels, token_at, pair_at in _leveled(batches, bloom):
+            n_rows, token = len(doc_id), grams[token_at]
+            score = np.bincount(row, m.logs(row, levels[token_at], levels[pair_at]), n_rows)
+            word = np.flatnonzero(grams & np.uint64(1))
+            exact = np.full(len(grams), -1)
+            exact[word] = m.exact(grams[word])
+            c = exact[token_at]
+            base = np.bincount(row, np.log10(np.maximum(c, 0) + 1.0) - floor, n_rows)
+            rare = np.flatnonzero(c < 0)
+            order = rare[np.lexsort((token[rare], row[rare]))]
+            new = np.flatnonzero(np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (token[order][1:] != token[order][:-1])])) if len(order) else order
+            n = np.diff(np.append(new, len(order)))
+            edges = pa.array(np.searchsorted(row[order][new], np.arange(n_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    doc_id,
+                    held_out,
+                    pa.array(at + np.arange(n_rows)),
+                    pa.array(np.bincount(row, minlength=n_rows), pa.int64()),
+                    pa.array(np.bincount(row[c > 0], minlength=n_rows), pa.int64()),
+                    pa.array(base),
+                    pa.array(score),
+                    pa.ListArray.from_arrays(edges, pa.array(token[order][new].view(np.int64))),
+                    pa.ListArray.from_arrays(edges, pa.array(n, pa.int64())),
+                ],
+                _SCORED,
+            )
+            at += n_rows
 
     return run
 
@@ -386,15 +451,17 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     trained = train(rows.filter(~F.col("held_out")).select("text"), prior, bits_per_entry)
     model, told = trained.model, None
+    asked = rows
     if trained.size <= broadcast_bytes:
         told = trained.shared()
-        asked = rows.withColumn("at", F.lit(0))
     else:
         # Row numbers that are written, so that whatever reads them finds the same.
-        asked = _levels_by_segment(staged(rows.withColumn("at", F.monotonically_increasing_id()), "lm-rows"), trained)
-        asked = asked.select("doc_id", "held_out", "text", "at", "levels")
+        numbered = staged(rows.withColumn("at", F.monotonically_increasing_id()), "lm-rows")
+        asked = _with_answers(numbered, trained)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, at long, n_tokens long, known long, base double, score double, rare array<long>, rare_n array<long>"
     scored = staged(asked.mapInArrow(_score(context.broadcast(model), told), schema), "lm-scored")
+    if told is None:
+        discard(numbered)
     more = (
         scored.select("at", F.explode(F.arrays_zip("rare", "rare_n")).alias("w"))
         .select("at", F.col("w.rare").alias("h"), F.col("w.rare_n").alias("n"))

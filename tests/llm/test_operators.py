@@ -160,6 +160,54 @@ def test_bloom_levels():
     assert sum(b.column(2)[0].as_py() for b in built) == counts.sum()
 
 
+def test_questions_follow_stretches_not_texts():
+    """2,000 texts of the same words ask each part once a stretch, and are answered as the whole filter would."""
+    text = " ".join(f"w{i}" for i in range(40))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array([text] * 2000)], ["at", "text"])
+    asked = pa.Table.from_batches(lm_scoring._ask(8, 9)(iter([batch])))
+    grams = np.unique(np.concatenate(lm_scoring.tokens(*text_of(text))[1:]))
+    assert set(asked["at"].to_pylist()) == {0, 512, 1024, 1536} and asked.num_rows <= 4 * 16
+    assert np.frombuffer(b"".join(asked.slice(0, asked.num_rows // 4)["raw"].to_pylist()), np.uint64).tolist() == grams.tolist()
+    counts = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([grams.tobytes()]), pa.array([np.full(len(grams), 9, np.uint32).tobytes()])], ["part", "h", "n"])
+    built = list(lm_scoring._build(8, lm_scoring.BITS_PER_ENTRY)(iter([counts])))  # segments that went together come out one by one
+    assert [b.column(0)[0].as_py() for b in built] == sorted(set(lm_scoring.segment_of(grams, 8).tolist()))
+    kept = pa.table({"part": pa.array([b.column(0)[0].as_py() >> 4 for b in built], pa.int32()), "kind": pa.array([0] * len(built), pa.int32()), "at": [b.column(0)[0].as_py() for b in built], "raw": pa.array([b.column(1)[0].as_py() for b in built], pa.binary())})
+    rows = pa.concat_tables([kept, asked]).sort_by([("part", "ascending"), ("kind", "ascending"), ("at", "ascending")])
+    got = pa.Table.from_batches(lm_scoring._answer(8, 9)(iter(rows.combine_chunks().to_batches(max_chunksize=7)))).sort_by([("at", "ascending"), ("part", "ascending")])
+    whole = lm_scoring.Filter.of(8, [b.column(0)[0].as_py() for b in built], [b.column(1)[0].as_py() for b in built])
+    assert b"".join(got["levels"].to_pylist()) == whole.levels(grams).astype(np.uint8).tobytes() * 4
+
+
+def text_of(text):
+    return np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+
+
+@pytest.mark.parametrize("step", [1, 20_000])
+def test_lm_scores_by_stretches(spark, both, monkeypatch, step):
+    """A filter that isn't broadcast gives the same scores, however texts are cut into stretches and batches."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    rows = lambda limit: sorted(map(tuple, lm_scoring.score_texts(both, held, broadcast_bytes=limit).collect()), key=key)
+    want = rows(1 << 28)
+    monkeypatch.setattr(lm_scoring, "STEP", step)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = rows(0)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
+
+
+def test_distinct():
+    rng = np.random.default_rng(1)
+    for x in (rng.integers(0, 9, 1000), rng.integers(0, 2**62, 1000), [5], [5, 5], [7, 6, 7, 6, 5]):
+        x = np.array(x, np.uint64)
+        want, at = np.unique(x, return_inverse=True)
+        got, of = lm_scoring.distinct(x)
+        assert got.tolist() == want.tolist() and of.tolist() == at.tolist()
+
+
 def fingerprint(text):
     w = words((text or "").translate(FOLD))
     if not w:
