@@ -8,7 +8,7 @@ the filter, those found once too. Segments follow the size of the texts, and a s
 positives are as rare in any corpus.
 
 A filter of at most BROADCAST_BYTES is broadcast, as a file that each executor gets once and its workers map, and texts
-probe it where they are. A larger one stays in its segments: texts are taken in stretches of some 2 MB, the distinct n-grams
+probe it where they are. A larger one stays in its segments: texts are taken in stretches of some 4 MB, the distinct n-grams
 of a stretch are sent to the segments, packed, and the levels back to where the stretch's texts are sent; the scores are the
 same. What is sent follows the distinct n-grams of stretches, and no part of the filter gets a row for each text.
 
@@ -307,7 +307,7 @@ def _ask(segments_log2: int, rows_log2: int):
         for batch in batches:
             at = batch.column(0).to_numpy()
             for first, last in stretches(at >> rows_log2):
-                for lo, _, data, offsets in text_steps(batch.column(1).slice(first, last - first), 2 * STEP):
+                for lo, _, data, offsets in text_steps(batch.column(1).slice(first, last - first), 4 * STEP):
                     _, token, pair = tokens(data, offsets)
                     grams = np.sort(np.concatenate([token, pair]))  # np.unique would hash them, which takes many times as long
                     grams = grams[np.concatenate([[True], grams[1:] != grams[:-1]])]
@@ -349,19 +349,20 @@ def _answer(segments_log2: int, rows_log2: int):
 _TEXT = 2**31 - 1
 
 
-def _with_answers(rows: DataFrame, trained: Trained) -> DataFrame:
-    """(doc_id, held_out, text, part, levels) of rows (doc_id, held_out, text, at): the answers to each stretch, then its texts.
+def _with_answers(rows: DataFrame, trained: Trained) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, held_out, text, part, levels) of rows (doc_id, held_out, text, at): the answers to each stretch, then its texts; and the staged answers.
 
-    A step is 2**rows_log2 row numbers, so some 2 MB of text; a stretch is what a task reads of a step, or less where that is long.
+    A step is 2**rows_log2 row numbers, so 2 to 4 MB of text; a stretch is what a task reads of a step, or less where that is long.
     """
     s = trained.segments_log2
-    rows_log2 = min(16, max(0, math.floor(math.log2(STEP / max(1, trained.text_bytes)))))
+    rows_log2 = min(16, max(0, math.floor(math.log2(2 * STEP / max(1, trained.text_bytes)))))
     kept = trained.table.select(F.shiftright("segment", GROUP_SEGMENTS_LOG2).alias("part"), F.lit(0).alias("kind"), F.col("segment").cast("long").alias("at"), F.col("bits").alias("raw"))
     asked = rows.select("at", "text").mapInArrow(lean(_ask(s, rows_log2)), "part int, kind int, at long, raw binary")
     answers = kept.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind", "at").mapInArrow(lean(_answer(s, rows_log2)), "step long, at long, part int, levels binary")
+    answers = staged(answers, "lm-answers")  # so that what was sent can go before texts are
     texts = rows.withColumns({"step": F.shiftright("at", rows_log2), "part": F.lit(_TEXT)})
     both = texts.unionByName(answers, allowMissingColumns=True).repartition("step").sortWithinPartitions("step", "at", "part")
-    return both.select("doc_id", "held_out", "text", "part", "levels")
+    return both.select("doc_id", "held_out", "text", "part", "levels"), answers
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,18 +451,17 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     trained = train(rows.filter(~F.col("held_out")).select("text"), prior, bits_per_entry)
-    model, told = trained.model, None
-    asked = rows
+    model, told, asked, done = trained.model, None, rows, []
     if trained.size <= broadcast_bytes:
         told = trained.shared()
     else:
         # Row numbers that are written, so that whatever reads them finds the same.
         numbered = staged(rows.withColumn("at", F.monotonically_increasing_id()), "lm-rows")
-        asked = _with_answers(numbered, trained)
+        asked, answers = _with_answers(numbered, trained)
+        done = [numbered, answers]
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, at long, n_tokens long, known long, base double, score double, rare array<long>, rare_n array<long>"
     scored = staged(asked.mapInArrow(_score(context.broadcast(model), told), schema), "lm-scored")
-    if told is None:
-        discard(numbered)
+    discard(*done)
     more = (
         scored.select("at", F.explode(F.arrays_zip("rare", "rare_n")).alias("w"))
         .select("at", F.col("w.rare").alias("h"), F.col("w.rare_n").alias("n"))
